@@ -92,12 +92,12 @@ def top_illnesses_6m(visits: DataFrame, as_of: dt.date, k: int = TOP_ILLNESSES_6
 def month_spine(spark: SparkSession, as_of: dt.date, months: int = TREND_MONTHS,
                 clinics: DataFrame | None = None, tenant: Sequence[str] = ()) -> DataFrame:
     """The last ``months`` month labels (per clinic when a tenant is given).
-    The label list is a fixed-size literal, so broadcasting it is bounded."""
-    labels = spark.createDataFrame([(i, m) for i, m in enumerate(month_labels(as_of, months))],
-                                   "month_index int, month string")
+    The labels are a fixed-size literal array, exploded next to each clinic."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("month_index"), F.lit(m).alias("month"))
+                      for i, m in enumerate(month_labels(as_of, months))])
     if not tenant:
-        return labels
-    return clinics.select(*tenant).distinct().crossJoin(F.broadcast(labels))
+        return spark.range(1).select(F.inline(pairs))
+    return clinics.select(*tenant).distinct().select(*tenant, F.inline(pairs))
 
 
 def monthly_visit_trends(visits: DataFrame, as_of: dt.date, months: int = TREND_MONTHS,

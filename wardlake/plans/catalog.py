@@ -88,9 +88,9 @@ def q_search_patients(spark, sf):
 
 
 @query("search_drugs", """
-SELECT id, name FROM drugs WHERE lower(name) LIKE '%green%' ORDER BY name, id LIMIT 200""")
+SELECT id, name FROM drugs WHERE lower(name) LIKE '%red%' ORDER BY name, id LIMIT 200""")
 def q_search_drugs(spark, sf):
-    return search.search_drugs(tables(spark, sf)["drugs"], "Green").select("id", "name")
+    return search.search_drugs(tables(spark, sf)["drugs"], "Red").select("id", "name")
 
 
 @query("search_clients", """

@@ -4,5 +4,5 @@ from __future__ import annotations
 
 
 def all_queries():
-    from . import catalog  # noqa: F401  (registers on import)
+    from . import catalog, catalog_ops, catalog_streams  # noqa: F401  (register on import)
     return dict(catalog.REGISTRY)

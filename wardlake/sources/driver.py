@@ -137,31 +137,40 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
     # Settings as an ordered change log per clinic (one clinic per nation).
     "settings_log": [
         ("nation", ["n_nationkey AS clinic_id", "'clinicName' AS key", "n_name AS value", "1 AS seq"], None),
-        ("nation", ["n_nationkey AS clinic_id", "'clinicName' AS key", "concat(n_name, ' Clinic') AS value",
-                    "2 AS seq"], "n_nationkey % 3 = 0"),
+        ("nation", ["n_nationkey AS clinic_id", "'clinicName' AS key",
+                    "CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, ' Clinic') ELSE NULL END AS value",
+                    "2 AS seq"], None),
         ("nation", ["n_nationkey AS clinic_id", "'licenseExpiresAt' AS key",
-                    "CAST(DATE '2001-07-31' + CAST(n_nationkey * 3 - 30 AS INT) AS STRING) AS value", "3 AS seq"],
-         "n_nationkey % 6 <> 5"),
+                    "CASE WHEN n_nationkey % 6 = 5 THEN NULL"
+                    " ELSE CAST(DATE '2001-07-31' + CAST(n_nationkey * 3 - 30 AS INT) AS STRING) END AS value",
+                    "3 AS seq"], None),
         ("nation", ["n_nationkey AS clinic_id", "'licensePlan' AS key",
-                    "CASE WHEN n_nationkey % 3 = 0 THEN '3month' ELSE '10month' END AS value", "4 AS seq"],
-         "n_nationkey % 4 <> 3"),
+                    "CASE WHEN n_nationkey % 4 = 3 THEN NULL WHEN n_nationkey % 3 = 0 THEN '3month'"
+                    " ELSE '10month' END AS value", "4 AS seq"], None),
         ("nation", ["n_nationkey AS clinic_id", "'refillRemindersEnabled' AS key",
                     "CASE WHEN n_nationkey % 2 = 0 THEN '1' ELSE '0' END AS value", "5 AS seq"], None),
-        ("nation", ["n_nationkey AS clinic_id", "'smsUsername' AS key", "lower(n_name) AS value", "6 AS seq"],
-         "n_nationkey % 5 <> 0"),
+        ("nation", ["n_nationkey AS clinic_id", "'smsUsername' AS key",
+                    "CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE lower(n_name) END AS value", "6 AS seq"], None),
         ("nation", ["n_nationkey AS clinic_id", "'smsApiKey' AS key",
                     "CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE concat('sk-', CAST(n_nationkey AS STRING)) END AS value",
                     "7 AS seq"], None),
+        ("nation", ["n_nationkey AS clinic_id", "'smsSenderId' AS key",
+                    "CASE WHEN n_nationkey % 3 = 1 THEN upper(substring(n_name, 1, 4)) ELSE NULL END AS value",
+                    "8 AS seq"], None),
         ("nation", ["n_nationkey AS clinic_id", "'cloudSyncToken' AS key",
-                    "concat('tok-', CAST(n_regionkey AS STRING)) AS value", "8 AS seq"], None),
-        ("nation", ["n_nationkey AS clinic_id", "'lastCloudSyncAt' AS key", "'2001-07-30T10:00:00.000Z' AS value",
-                    "9 AS seq"], "n_nationkey % 2 = 0"),
-        ("nation", ["n_nationkey AS clinic_id", "'lastBackupAt' AS key", "'2001-07-31T09:00:00.000Z' AS value",
+                    "concat('tok-', CAST(n_regionkey AS STRING)) AS value", "9 AS seq"], None),
+        ("nation", ["n_nationkey AS clinic_id", "'lastCloudSyncAt' AS key",
+                    "CASE WHEN n_nationkey % 2 = 0 THEN '2001-07-30T10:00:00.000Z' ELSE NULL END AS value",
                     "10 AS seq"], None),
-        ("nation", ["n_nationkey AS clinic_id", "'lastBackupError' AS key", "'disk full' AS value", "11 AS seq"],
-         "n_nationkey % 7 = 1"),
-        ("nation", ["n_nationkey AS clinic_id", "'aiApiKey' AS key", "'ai-secret' AS value", "12 AS seq"],
-         "n_nationkey % 2 = 1"),
+        ("nation", ["n_nationkey AS clinic_id", "'lastBackupAt' AS key", "'2001-07-31T09:00:00.000Z' AS value",
+                    "11 AS seq"], None),
+        ("nation", ["n_nationkey AS clinic_id", "'lastBackupError' AS key",
+                    "CASE WHEN n_nationkey % 7 = 1 THEN 'disk full' ELSE NULL END AS value", "12 AS seq"], None),
+        ("nation", ["n_nationkey AS clinic_id", "'aiApiKey' AS key",
+                    "CASE WHEN n_nationkey % 2 = 1 THEN 'ai-secret' ELSE '  ' END AS value", "13 AS seq"], None),
+        ("nation", ["n_nationkey AS clinic_id", "'aiAssistantName' AS key",
+                    "concat(substring(n_name, 1, 1), lower(substring(n_name, 2, 5)), ' Helper') AS value",
+                    "14 AS seq"], None),
     ],
     # License feed documents as fetched, one per clinic, some malformed on purpose.
     "license_docs": [("nation", [
@@ -178,6 +187,115 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
         " ELSE concat('{\"', CAST(n_nationkey AS STRING), '\": {\"expiresAt\": \"2001-07-31\", \"clinicName\": \"x\"}}') END)"
         " END AS text",
     ], None)],
+    # Incoming form batches (raw text as typed) for the ingest operators.
+    "incoming_patients": [("customer", [
+        "CAST(c_custkey AS BIGINT) AS row_key",
+        "CASE WHEN c_custkey % 37 = 0 THEN '  ' ELSE concat(' ', substring(c_name, 1, 8), ' ') END AS first_name",
+        "CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE substring(c_name, 10, 9) END AS last_name",
+        "CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'unknown'"
+        " ELSE CAST(DATE '1950-01-01' + CAST(c_custkey % 20000 AS INT) AS STRING) END AS date_of_birth",
+        "CASE c_custkey % 3 WHEN 0 THEN 'Female' WHEN 1 THEN 'Male' ELSE '' END AS gender",
+        "CASE WHEN c_custkey % 10 = 0 THEN '' ELSE concat('0770', lpad(CAST(c_custkey AS STRING), 6, '0')) END AS phone",
+        "c_mktsegment AS address",
+        "CAST(c_custkey % 120 AS STRING) AS created_by_staff_id",
+    ], None)],
+    "incoming_visits": [("orders", [
+        "CAST(o_orderkey AS BIGINT) AS row_key",
+        "CASE WHEN o_orderkey % 53 = 0 THEN '' WHEN o_orderkey % 59 = 0 THEN CAST(o_custkey + 1000000 AS STRING)"
+        " ELSE CAST(o_custkey AS STRING) END AS patient_id",
+        "CASE WHEN o_orderkey % 61 = 0 THEN ' ' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS visit_date",
+        "o_orderpriority AS complaint",
+        "'' AS treatment",
+        "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'abc' ELSE CAST(360 + o_orderkey % 30 AS STRING) END AS temperature_c",
+        "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '120/80' END AS blood_pressure",
+        "CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE CAST(60 + o_orderkey % 40 AS STRING) END AS pulse_bpm",
+        "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE ' 65.5 ' END AS weight_kg",
+        "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'n/a'"
+        " ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END AS charge_amount",
+        "CASE o_orderstatus WHEN 'F' THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)"
+        " WHEN 'P' THEN ' 100.5 ' ELSE 'free' END AS payment_amount",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'Cash' ELSE '' END AS payment_method",
+        "CAST(NULL AS STRING) AS notes",
+        "CAST(o_orderkey % 120 AS STRING) AS created_by_staff_id",
+    ], None)],
+    "incoming_drugs": [("part", [
+        "CAST(p_partkey AS BIGINT) AS row_key",
+        "CASE WHEN p_partkey % 23 = 0 THEN ' ' ELSE concat(p_name, ' ') END AS name",
+        "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END AS unit",
+        "CASE WHEN p_partkey % 19 = 0 THEN 'lots' ELSE CAST(p_size AS STRING) END AS quantity_on_hand",
+        "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_partkey % 20 AS STRING) END AS reorder_level",
+        "CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 29 = 0 THEN 'soon'"
+        " ELSE CAST(DATE '2001-01-01' + CAST(p_partkey % 400 AS INT) AS STRING) END AS expiry_date",
+        "CAST(NULL AS STRING) AS notes",
+        "CAST(p_partkey % 120 AS STRING) AS created_by_staff_id",
+    ], None)],
+    "incoming_appointments": [("events", [
+        "CAST(event_id AS BIGINT) AS row_key",
+        "CASE WHEN event_id % 71 = 0 THEN '0' WHEN event_id % 73 = 0 THEN CAST(user_id + 5000000 AS STRING)"
+        " ELSE CAST(user_id AS STRING) END AS patient_id",
+        "CASE WHEN event_id % 79 = 0 THEN '' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS appointment_date",
+        "CASE WHEN event_id % 2 = 0 THEN '' ELSE '09:30' END AS appointment_time",
+        "event_type AS reason",
+        "CAST(NULL AS STRING) AS notes",
+        "CAST(event_id % 120 AS STRING) AS created_by_staff_id",
+    ], None)],
+    "incoming_staff": [("supplier", [
+        "CAST(s_suppkey AS BIGINT) AS row_key",
+        "CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE concat(' ', s_name) END AS name",
+        "CASE s_suppkey % 4 WHEN 0 THEN 'Admin' WHEN 1 THEN 'Doctor' WHEN 2 THEN 'Nurse' ELSE 'Front Desk' END AS role",
+        "CASE WHEN s_suppkey % 5 = 0 THEN upper(s_name) WHEN s_suppkey % 5 = 1"
+        " THEN concat(' New', CAST(s_suppkey % 7 AS STRING), ' ') ELSE concat('user', CAST(s_suppkey AS STRING)) END AS username",
+        "CASE WHEN s_suppkey % 17 = 0 THEN '' ELSE 'pw' END AS password",
+    ], None)],
+    "incoming_clients": [("customer", [
+        "CAST(c_custkey AS BIGINT) AS row_key",
+        "CASE WHEN c_custkey % 31 = 0 THEN '' ELSE concat(c_name, '  ') END AS name",
+        "CASE WHEN c_custkey % 10 = 0 THEN '' ELSE concat('0880', lpad(CAST(c_custkey AS STRING), 6, '0')) END AS phone",
+        "CASE WHEN c_custkey % 4 = 0 THEN 'Self' ELSE '' END AS sponsor",
+        "CAST(NULL AS STRING) AS sponsor_contact",
+        "CAST(c_custkey % 120 AS STRING) AS created_by_staff_id",
+    ], None)],
+    "incoming_history": [("events", [
+        "CAST(event_id AS BIGINT) AS row_key",
+        "CASE WHEN event_id % 97 = 0 THEN CAST(user_id + 1000000 AS STRING) ELSE CAST(user_id AS STRING) END AS client_id",
+        "CASE WHEN event_id % 89 = 0 THEN '' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS entry_date",
+        "CASE event_type WHEN 'signup' THEN 'Note' WHEN 'error' THEN 'Reminder' WHEN 'click' THEN 'Contact'"
+        " ELSE 'Order' END AS entry_type",
+        "concat('med-', CAST(event_id % 20 AS STRING)) AS medication",
+        "CAST(NULL AS STRING) AS indication",
+        "CASE WHEN event_id % 3 = 0 THEN '30 tablets' ELSE '' END AS quantity",
+        "CASE WHEN event_id % 11 = 0 THEN '' ELSE CAST(event_id % 60 + 1 AS STRING) END AS day_supply",
+        "CAST(NULL AS STRING) AS note",
+        "CAST(event_id % 120 AS STRING) AS created_by_staff_id",
+    ], None)],
+    # Change batches for the change-application operators.
+    "appointment_status_changes": [("events", [
+        "CAST(CASE WHEN event_id % 50 = 1 THEN event_id + 100000000 ELSE event_id - event_id % 2 END AS BIGINT) AS id",
+        "CASE event_type WHEN 'view' THEN 'Completed' WHEN 'click' THEN 'Cancelled' WHEN 'purchase' THEN 'No-Show'"
+        " WHEN 'signup' THEN 'Scheduled' ELSE 'Done' END AS status",
+        "CAST(event_id AS BIGINT) AS seq",
+    ], None)],
+    "client_status_changes": [("orders", [
+        "CAST(o_custkey AS BIGINT) AS id",
+        "CASE o_orderstatus WHEN 'F' THEN 'Inactive' WHEN 'O' THEN 'Active' ELSE 'Paused' END AS status",
+        "CAST(o_orderkey AS BIGINT) AS seq",
+    ], None)],
+    "staff_active_changes": [("lineitem", [
+        "CAST(l_suppkey AS BIGINT) AS id",
+        "l_returnflag = 'N' AS active",
+        "CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq",
+        "CAST(l_shipdate AS TIMESTAMP) AS changed_at",
+    ], None)],
+    "reminder_marks": [("events", [
+        "CAST(event_id AS BIGINT) AS id",
+        "CAST(ts AS TIMESTAMP) + INTERVAL 2 DAY AS sent_at",
+    ], "event_type = 'view'")],
+    # Assistant messages: one clinic per user_id % 4.
+    "assistant_messages": [("events", [
+        "CAST(user_id % 4 AS INT) AS clinic_id",
+        "CAST(event_id AS BIGINT) AS message_id",
+        "CAST(ts AS TIMESTAMP) AS sent_at",
+    ], None)],
 }
 
 CLINIC_TABLES = tuple(BINDINGS)
