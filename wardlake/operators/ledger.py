@@ -41,6 +41,27 @@ def _num_text(milli: int) -> str:
     return f"{sign}{whole}" if frac == 0 else f"{sign}{whole}." + f"{frac:03d}".rstrip("0")
 
 
+def step(bal: int | None, typ: str, q: int | None, drug_id, name: str | None, unit: str | None):
+    """One request against the balance (thousandths; None = the drug does not
+    exist). Returns (new balance, accepted, reason). Checks run in the
+    application's order: drug exists, type, quantity > 0, enough on hand."""
+    if bal is None:
+        return None, False, f"No drug with id {drug_id}"
+    if typ not in ("restock", "dispense"):
+        return bal, False, REASON_TYPE
+    if q is None or q <= 0:
+        return bal, False, REASON_QTY
+    if typ == "restock":
+        return bal + q, True, None
+    if q > bal:
+        return bal, False, f"Only {_num_text(bal)} {unit or 'unit(s)'} of {name} in stock"
+    return bal - q, True, None
+
+
+def _int_or_none(q):
+    return None if q is None or q != q else int(q)
+
+
 def _fold(tenant: Sequence[str]):
     key_cols = [*tenant, "drug_id"]
 
@@ -54,24 +75,13 @@ def _fold(tenant: Sequence[str]):
             names, units = pdf["_name"].tolist(), pdf["_unit"].tolist()
             accepted, reasons, after = [], [], []
             for k, kind, q, typ, nm, un in zip(keys, kinds, qs, types, names, units):
-                q = None if q is None or q != q else int(q)
+                q = _int_or_none(q)
                 if kind == 0:                      # opening row of a drug
                     cur, bal, name, unit = k, q, nm, un
                     continue
                 if k != cur:                       # requests for a drug that does not exist
                     cur, bal, name, unit = k, None, None, None
-                if bal is None:
-                    ok, why = False, f"No drug with id {k[-1]}"
-                elif typ not in ("restock", "dispense"):
-                    ok, why = False, REASON_TYPE
-                elif q is None or q <= 0:
-                    ok, why = False, REASON_QTY
-                elif typ == "restock":
-                    bal, ok, why = bal + q, True, None
-                elif q > bal:
-                    ok, why = False, f"Only {_num_text(bal)} {unit or 'unit(s)'} of {name} in stock"
-                else:
-                    bal, ok, why = bal - q, True, None
+                bal, ok, why = step(bal, typ, q, k[-1], name, unit)
                 accepted.append(ok)
                 reasons.append(why)
                 after.append(bal)

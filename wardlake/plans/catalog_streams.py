@@ -1 +1,49 @@
-"""Registered streaming queries (filled in with the streaming module)."""
+"""Registered streaming queries: each runs the stream over the bound driver
+tables to the end of its input (availableNow) and returns the sink. The
+oracle is the batch answer, since batch and stream must agree."""
+
+from __future__ import annotations
+
+from ..sources.driver import stream_table
+from ..streaming import streams
+from . import catalog
+from .catalog import LEDGER_ORDER, dbl, query, tables
+
+_LEDGER_SQL = catalog.REGISTRY["stock_ledger_apply"][1]
+_QUOTA_SQL_BODY = """
+SELECT clinic_id, message_id, CAST(sent_at + INTERVAL 1 HOUR AS DATE) AS day,
+       row_number() OVER (PARTITION BY clinic_id, CAST(sent_at + INTERVAL 1 HOUR AS DATE)
+                          ORDER BY sent_at, message_id) <= 100 AS admitted
+FROM assistant_messages"""
+
+
+def _register_sql(name: str, sql: str):
+    fn, _ = catalog.REGISTRY[name]
+    catalog.REGISTRY[name] = (fn, sql)
+
+
+@query("stream_daily_income", """
+SELECT visit_date AS day, CAST(sum(payment_amount) AS DOUBLE) AS income, count(*) AS visits
+FROM visits GROUP BY visit_date""")
+def q_stream_daily_income(spark, sf):
+    s = streams.stream_daily_income(stream_table(spark, sf, "visits"))
+    out = streams.run_available_now(s, "daily_income", mode="complete")
+    return out.select("day", dbl("income"), "visits")
+
+
+@query("stream_stock_ledger")
+def q_stream_stock_ledger(spark, sf):
+    t = tables(spark, sf)
+    s = streams.stream_stock_ledger(stream_table(spark, sf, "stock_requests"), t["drugs"], LEDGER_ORDER)
+    out = streams.run_available_now(s, "stock_ledger")
+    return out.select("drug_id", "src_order", "src_line", "src_flag", "type", dbl("quantity"), "accepted", "reason",
+                      dbl("balance_after"))
+
+
+@query("stream_quota", _QUOTA_SQL_BODY)
+def q_stream_quota(spark, sf):
+    s = streams.stream_quota(stream_table(spark, sf, "assistant_messages"), tz="+01:00", limit=100)
+    return streams.run_available_now(s, "quota").select("clinic_id", "message_id", "day", "admitted")
+
+
+_register_sql("stream_stock_ledger", _LEDGER_SQL)

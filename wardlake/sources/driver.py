@@ -322,6 +322,26 @@ def load_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     return out
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A bound clinic table as a streaming DataFrame over the driver's parquet
+    (file source; new files under the same glob arrive as new micro-batches)."""
+    dfs = []
+    for src, exprs, where in BINDINGS[name]:
+        path = f"{sf_dir}/{src}.parquet"
+        schema = spark.read.parquet(path).schema
+        r = spark.readStream.schema(schema)
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+        df = r.parquet(path[:-1] + "[" + path[-1] + "]")   # a one-file glob: the source wants a pattern
+        if where:
+            df = df.where(where)
+        dfs.append(df.selectExpr(*exprs))
+    out = dfs[0]
+    for other in dfs[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def binding_ctes() -> str:
     """The same bindings as DuckDB common table expressions (oracle side)."""
     ctes = []
