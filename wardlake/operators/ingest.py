@@ -21,6 +21,25 @@ from ..functions.semantics import js_trim, number_or_null, number_or_zero, opt_t
 from ..schemas import ENTRY_TYPES, MONEY, QTY
 
 
+FORM_FIELDS = {
+    "patients": ("first_name", "last_name", "date_of_birth", "gender", "phone", "address", "created_by_staff_id"),
+    "visits": ("patient_id", "visit_date", "complaint", "treatment", "temperature_c", "blood_pressure", "pulse_bpm",
+               "weight_kg", "charge_amount", "payment_amount", "payment_method", "notes", "created_by_staff_id"),
+    "drugs": ("name", "unit", "quantity_on_hand", "reorder_level", "expiry_date", "notes", "created_by_staff_id"),
+    "appointments": ("patient_id", "appointment_date", "appointment_time", "reason", "notes", "created_by_staff_id"),
+    "staff": ("name", "role", "username", "password"),
+    "clients": ("name", "phone", "sponsor", "sponsor_contact", "created_by_staff_id"),
+    "history": ("client_id", "entry_date", "entry_type", "medication", "indication", "quantity", "day_supply",
+                "note", "created_by_staff_id"),
+}
+
+
+def _form(batch: DataFrame, kind: str) -> DataFrame:
+    """Fields a form left out arrive as NULL (absent), like an omitted property."""
+    missing = [f for f in FORM_FIELDS[kind] if f not in batch.columns]
+    return batch.select("*", *[F.lit(None).cast("string").alias(f) for f in missing]) if missing else batch
+
+
 def _reasons(*checks: tuple[Column, Column | str]) -> Column:
     """Array of messages for the failed checks (``cond`` true means failed)."""
     msgs = [F.when(cond, msg if isinstance(msg, Column) else F.lit(msg)) for cond, msg in checks]
@@ -62,6 +81,7 @@ def _author(c: str = "created_by_staff_id") -> Column:
 
 
 def ingest_patients(batch: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
+    batch = _form(batch, "patients")
     fn, ln, dob = F.col("first_name"), F.col("last_name"), F.col("date_of_birth")
     return batch.select(
         *tenant, "row_key",
@@ -75,6 +95,7 @@ def ingest_patients(batch: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
 def ingest_visits(batch: DataFrame, patients: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
     """Paid is a number or 0; a blank charge means charged what was paid;
     vitals left blank stay NULL (never 0)."""
+    batch = _form(batch, "visits")
     b = _exists(batch.withColumn("_raw_pid", F.col("patient_id").cast("string")), patients, "patient_id", tenant,
                 "_patient_known")
     paid = number_or_zero(F.col("payment_amount"), "decimal(18,2)")
@@ -99,6 +120,7 @@ def ingest_visits(batch: DataFrame, patients: DataFrame, tenant: Sequence[str] =
 
 
 def ingest_drugs(batch: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
+    batch = _form(batch, "drugs")
     name = F.col("name")
     return batch.select(
         *tenant, "row_key", js_trim(name).alias("name"), opt_text(F.col("unit")).alias("unit"),
@@ -111,6 +133,7 @@ def ingest_drugs(batch: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
 
 
 def ingest_appointments(batch: DataFrame, patients: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
+    batch = _form(batch, "appointments")
     b = _exists(batch.withColumn("_raw_pid", F.col("patient_id").cast("string")), patients, "patient_id", tenant,
                 "_patient_known")
     d = F.col("appointment_date")
@@ -130,6 +153,7 @@ def ingest_staff(batch: DataFrame, existing: DataFrame, tenant: Sequence[str] =
     """Four required fields; username trimmed and lower-cased and unique,
     counting inactive accounts and earlier rows of the same batch (``row_key``
     order). The password is checked for presence only and never kept."""
+    batch = _form(batch, "staff")
     uname = F.lower(js_trim(F.col("username")))
     b = batch.withColumn("_u", uname)
     taken = existing.select(*tenant, F.col("username").alias("_u")).distinct().withColumn("_taken", F.lit(True))
@@ -147,6 +171,7 @@ def ingest_staff(batch: DataFrame, existing: DataFrame, tenant: Sequence[str] =
 
 
 def ingest_clients(batch: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
+    batch = _form(batch, "clients")
     name = F.col("name")
     return batch.select(
         *tenant, "row_key", js_trim(name).alias("name"), opt_text(F.col("phone")).alias("phone"),
@@ -156,6 +181,7 @@ def ingest_clients(batch: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
 
 
 def ingest_history(batch: DataFrame, clients: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
+    batch = _form(batch, "history")
     b = _exists(batch, clients, "client_id", tenant, "_client_known")
     ds = F.col("day_supply")
     d = F.col("entry_date")
