@@ -89,13 +89,16 @@ def blank_or_null(c: Column) -> Column:
 
 def number_or_zero(c: Column, dtype: str = "decimal(18,2)") -> Column:
     """``Number(x) || 0``: unparseable or blank input counts as 0."""
-    return F.coalesce(js_trim(c.cast("string")).try_cast(dtype), F.lit(0).cast(dtype))
+    s = c.cast("string")
+    # The plain cast already ignores ASCII padding; the Unicode-aware trim runs only when it fails.
+    return F.coalesce(s.try_cast(dtype), js_trim(s).try_cast(dtype), F.lit(0).cast(dtype))
 
 
 def number_or_null(c: Column, dtype: str = "double") -> Column:
     """Blank or NULL stays NULL; anything else is parsed (NULL if it is not a number)."""
+    s = c.cast("string")
     return F.when(blank_or_null(c), F.lit(None).cast(dtype)).otherwise(
-        js_trim(c.cast("string")).try_cast(dtype))
+        F.coalesce(s.try_cast(dtype), js_trim(s).try_cast(dtype)))
 
 
 def ascii_lower(c: Column) -> Column:

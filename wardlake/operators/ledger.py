@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import QTY
+from ..session import ship_package
 
 REASON_QTY = "quantity must be greater than 0"
 REASON_TYPE = "type must be restock or dispense"
@@ -99,6 +100,7 @@ def stock_ledger_apply(drugs: DataFrame, requests: DataFrame, order: Sequence[st
 
     ``order`` names the request columns that give the total order within a
     drug (they must be unique per drug for a deterministic replay)."""
+    ship_package(requests.sparkSession)
     milli = lambda c: (F.col(c) * F.lit(1000)).cast("long")
     req_cols = [c for c in requests.columns if c not in (*tenant, "drug_id")]
     opening = drugs.select(

@@ -619,8 +619,7 @@ spine AS (SELECT t.clinic_id, i AS month_index, strftime(DATE '2001-02-01' + to_
 
 def _bundle(spark, sf):
     t, s = _settings(spark, sf)
-    tb = dict(t)
-    tb["visits"] = reports.stamp_tenant(t["visits"], t["patients"], "patient_id")
+    tb = {"visits": reports.stamp_tenant(t["visits"], t["patients"], "patient_id"), "patients": t["patients"]}
     return reports.trends_bundle(tb, s, AS_OF_CLINIC, NOW_CLINIC, "+01:00")
 
 

@@ -13,6 +13,7 @@ customer behind it.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -301,25 +302,53 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
 CLINIC_TABLES = tuple(BINDINGS)
 
 
-def load_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class BoundTables(Mapping):
+    """Clinic tables of one driver folder, each built on first use.
+
+    A query touches two or three tables; building only those keeps planning
+    cheap. Each driver file is opened once per session (one file index and
+    footer read) and shared by every table bound to it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir, self._built = spark, sf_dir, {}
+
+    def _source(self, src: str) -> DataFrame:
+        key = (id(self._spark), f"{self._dir}/{src}.parquet")
+        if key not in _SOURCES:
+            _SOURCES[key] = self._spark.read.parquet(key[1])
+        return _SOURCES[key]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            dfs = []
+            for src, exprs, where in BINDINGS[name]:
+                df = self._source(src)
+                if where:
+                    df = df.where(where)
+                dfs.append(df.selectExpr(*exprs))
+            df = dfs[0]
+            for other in dfs[1:]:
+                df = df.unionByName(other)
+            self._built[name] = df
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(BINDINGS)
+
+    def __len__(self):
+        return len(BINDINGS)
+
+
+_SOURCES: dict[tuple[int, str], DataFrame] = {}
+
+
+def load_driver_tables(spark: SparkSession, sf_dir: str) -> BoundTables:
     """All clinic tables bound from the driver parquet under ``sf_dir``.
 
-    Lazy: nothing is read until an operator's plan runs, and column pruning
-    and filter pushdown reach the parquet scan through the projections.
-    """
-    out = {}
-    for name, parts in BINDINGS.items():
-        dfs = []
-        for src, exprs, where in parts:
-            df = spark.read.parquet(f"{sf_dir}/{src}.parquet")
-            if where:
-                df = df.where(where)
-            dfs.append(df.selectExpr(*exprs))
-        df = dfs[0]
-        for other in dfs[1:]:
-            df = df.unionByName(other)
-        out[name] = df
-    return out
+    Lazy twice over: a table's plan is built when first asked for, and nothing
+    is read until an action runs; column pruning and filter pushdown reach the
+    parquet scan through the projections."""
+    return BoundTables(spark, sf_dir)
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import _int_or_none, step
 from ..schemas import AI_DAILY_LIMIT, QTY
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 
 
 # ------------------------------------------------------------------ runner
@@ -58,6 +58,7 @@ def stream_stock_ledger(requests: DataFrame, drugs: DataFrame, order: Sequence[s
     """Streaming replay of stock requests; same output columns as the batch
     ledger's core (accepted, reason, balance_after). ``drugs`` is static: the
     opening stock is read when a drug is first seen, later batches use state."""
+    ship_package(requests.sparkSession)
     milli = (F.col("quantity") * F.lit(1000)).cast("long")
     d = drugs.select(*tenant, F.col("id").alias("drug_id"), (F.col("quantity_on_hand") * 1000).cast("long")
                      .alias("_open"), F.col("name").alias("_name"), F.col("unit").alias("_unit"))
@@ -99,6 +100,7 @@ def stream_quota(messages: DataFrame, tz: str = "UTC", limit: int = AI_DAILY_LIM
                  tenant: Sequence[str] = ("clinic_id",)) -> DataFrame:
     """Streaming admission: per clinic the state is (local day, messages
     admitted that day), as the application keeps it in two settings."""
+    ship_package(messages.sparkSession)
     m = messages.withColumn("day", F.to_date(F.from_utc_timestamp(F.col("sent_at"), tz)))
     out_schema = T.StructType([f for f in m.select(*tenant, "message_id", "day").schema.fields]
                               + [T.StructField("admitted", T.BooleanType())])
