@@ -134,8 +134,9 @@ def ai_quota_admission(messages: DataFrame, tz: str = "UTC", limit: int = AI_DAI
 
     Plan: ``row_number() <= limit`` over (clinic, day) lets Spark keep at most
     ``limit`` rows per group in each map task before the shuffle, so a hot
-    clinic-day never gathers all its messages in one task; refused messages
-    are the anti join of the batch with the admitted ones."""
+    clinic-day never gathers all its messages in one task. The admitted ids
+    are then matched back to the batch with one left join on (clinic, day,
+    message), a key that spreads even a hot clinic-day over all partitions."""
     from pyspark.sql import Window
     m = messages.withColumn("day", F.to_date(F.from_utc_timestamp(F.col("sent_at"), tz)))
     w = Window.partitionBy(*tenant, "day").orderBy("sent_at", "message_id")
@@ -144,7 +145,6 @@ def ai_quota_admission(messages: DataFrame, tz: str = "UTC", limit: int = AI_DAI
         top = (top.join(used, [*tenant, "day"], "left")
                .where(F.col("_rn") <= F.lit(limit) - F.coalesce(F.col("used"), F.lit(0)))
                .drop("used"))
-    admitted = top.drop("_rn").withColumn("admitted", F.lit(True))
-    refused = (m.join(admitted.select(*tenant, "day", "message_id"), [*tenant, "day", "message_id"], "left_anti")
-               .withColumn("admitted", F.lit(False)))
-    return admitted.unionByName(refused)
+    ids = top.select(*tenant, "day", "message_id", F.lit(True).alias("_adm"))
+    return (m.join(ids, [*tenant, "day", "message_id"], "left")
+            .withColumn("admitted", F.coalesce(F.col("_adm"), F.lit(False))).drop("_adm"))
