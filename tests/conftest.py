@@ -1,7 +1,6 @@
 import datetime as dt
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,8 +14,6 @@ AS_OF = dt.date(2026, 8, 14)   # a Friday; the week started Monday 2026-08-10
 @pytest.fixture(scope="session")
 def spark():
     s = build_session(master="local[4]", shuffle_partitions=4, app_name="wardlake-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wardlake-test-ckpt-"))
     checkpoint_dir(s)
     yield s
 

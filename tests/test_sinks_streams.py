@@ -14,11 +14,19 @@ from wardlake.operators import aggregates as agg
 from wardlake.operators import changes, ledger
 from wardlake.sources import sinks
 from wardlake.sources.driver import load_driver_tables
+from wardlake.session import checkpoint_dir
 from wardlake.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
 
+def _scratch(spark):
+    d = checkpoint_dir(spark)
+    d = d[len("file:"):] if d.startswith("file:") else d
+    os.makedirs(d, exist_ok=True)
+    return d
+
+
 def _csv_reference(header, records):
     """The application's CSV text for string cells (test-side restatement)."""
     def cell(v):
@@ -57,7 +65,7 @@ def _split_write(spark, df, root, key):
 def test_stream_ledger_state_across_batches_equals_batch(spark):
     t = load_driver_tables(spark, SF)
     req = t["stock_requests"].withColumn("_month", F.date_format("requested_at", "yyyy"))
-    root = tempfile.mkdtemp(prefix="wardlake-req-", dir=os.path.dirname(spark.conf.get("spark.checkpoint.dir")))
+    root = tempfile.mkdtemp(prefix="wardlake-req-", dir=_scratch(spark))
     _split_write(spark, req, root, "_month")
     order = ["requested_at", "src_order", "src_line", "quantity", "src_price", "src_flag"]
     src = (spark.readStream.schema(spark.read.parquet(f"{root}/part_0000").schema)
@@ -72,7 +80,7 @@ def test_stream_ledger_state_across_batches_equals_batch(spark):
 def test_stream_quota_equals_batch(spark):
     m = spark.createDataFrame([(c, i, dt.datetime(2026, 8, 14, 0, 0) + dt.timedelta(minutes=7 * i))
                                for c in (1, 2) for i in range(400)], "clinic_id int, message_id long, sent_at timestamp")
-    root = tempfile.mkdtemp(prefix="wardlake-msg-", dir=os.path.dirname(spark.conf.get("spark.checkpoint.dir")))
+    root = tempfile.mkdtemp(prefix="wardlake-msg-", dir=_scratch(spark))
     _split_write(spark, m.withColumn("_h", F.date_format("sent_at", "yyyy-MM-dd HH")), root, "_h")
     src = (spark.readStream.schema(spark.read.parquet(f"{root}/part_0000").schema)
            .option("maxFilesPerTrigger", 3).parquet(f"{root}/part_*"))
@@ -85,7 +93,7 @@ def test_stream_daily_income_complete_mode(spark):
     v = spark.createDataFrame([(1, AS_OF, Decimal("10.00")), (2, AS_OF, Decimal("5.50")),
                                (3, dt.date(2026, 8, 13), Decimal("1.00"))],
                               "id long, visit_date date, payment_amount decimal(18,2)")
-    root = tempfile.mkdtemp(prefix="wardlake-vis-", dir=os.path.dirname(spark.conf.get("spark.checkpoint.dir")))
+    root = tempfile.mkdtemp(prefix="wardlake-vis-", dir=_scratch(spark))
     v.write.parquet(f"{root}/v")
     src = spark.readStream.schema(v.schema).parquet(f"{root}/v")
     got = streams.run_available_now(streams.stream_daily_income(src), "test_income", mode="complete")

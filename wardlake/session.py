@@ -39,16 +39,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from the session. Only when unset (local runs and tests) a fresh
-    private folder is made and registered, so jobs never silently fall back
-    to a machine-local folder on a cluster where the setting exists.
-    """
+    Read from the session (``spark.checkpoint.dir``, as the cluster sets it),
+    else the folder already given to ``setCheckpointDir``. Only when neither
+    exists (local runs, tests) a private folder is made and registered with
+    ``setCheckpointDir``; jobs never fall back to a machine-local folder where
+    the cluster names a shared one. The setting itself is a core config that
+    cannot change at runtime, so it is never written here."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="wardlake-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc = spark.sparkContext
+    if path:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(path)
+        return path
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    path = tempfile.mkdtemp(prefix="wardlake-ckpt-")
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
 
 
 _SHIPPED: set[int] = set()
