@@ -25,16 +25,18 @@ LEDGER_ORDER = ("requested_at", "src_order", "src_line", "quantity", "src_price"
 NEW_PATIENT_TZ = "+01:00"
 
 
-def query(name: str, body: str | None = None, recursive: bool = False, extra: str = ""):
-    """Register ``fn`` under ``name`` with oracle ``body`` (a SELECT over the bound tables)."""
+def query(name: str, body: str | None = None, recursive: bool = False, extra: str = "", sql: str | None = None):
+    """Register ``fn`` under ``name`` with oracle ``body`` (a SELECT over the
+    bound tables, wrapped with the binding CTEs) or a complete ``sql``."""
+    oracle = sql
+    if body is not None:
+        head = binding_ctes()
+        if recursive:
+            head = head.replace("WITH ", "WITH RECURSIVE ", 1)
+        oracle = head + (",\n" + extra if extra else "") + "\n" + body
+
     def deco(fn: QueryFn) -> QueryFn:
-        sql = None
-        if body is not None:
-            head = binding_ctes()
-            if recursive:
-                head = head.replace("WITH ", "WITH RECURSIVE ", 1)
-            sql = head + (",\n" + extra if extra else "") + "\n" + body
-        REGISTRY[name] = (fn, sql)
+        REGISTRY[name] = (fn, oracle)
         return fn
     return deco
 

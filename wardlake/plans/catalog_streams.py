@@ -17,11 +17,6 @@ SELECT clinic_id, message_id, CAST(sent_at + INTERVAL 1 HOUR AS DATE) AS day,
 FROM assistant_messages"""
 
 
-def _register_sql(name: str, sql: str):
-    fn, _ = catalog.REGISTRY[name]
-    catalog.REGISTRY[name] = (fn, sql)
-
-
 @query("stream_daily_income", """
 SELECT visit_date AS day, CAST(sum(payment_amount) AS DOUBLE) AS income, count(*) AS visits
 FROM visits GROUP BY visit_date""")
@@ -31,7 +26,7 @@ def q_stream_daily_income(spark, sf):
     return out.select("day", dbl("income"), "visits")
 
 
-@query("stream_stock_ledger")
+@query("stream_stock_ledger", sql=_LEDGER_SQL)
 def q_stream_stock_ledger(spark, sf):
     t = tables(spark, sf)
     s = streams.stream_stock_ledger(stream_table(spark, sf, "stock_requests"), t["drugs"], LEDGER_ORDER)
@@ -45,5 +40,3 @@ def q_stream_quota(spark, sf):
     s = streams.stream_quota(stream_table(spark, sf, "assistant_messages"), tz="+01:00", limit=100)
     return streams.run_available_now(s, "quota").select("clinic_id", "message_id", "day", "admitted")
 
-
-_register_sql("stream_stock_ledger", _LEDGER_SQL)

@@ -63,10 +63,15 @@ def dashboard_summary(tables: dict[str, DataFrame], as_of: dt.date, appointments
     top = agg.top_illnesses_week(v, as_of, tenant=tenant).groupBy(*tenant).agg(
         F.count(F.lit(1)).alias("top_illness_count"))
     out = _join_one_row([seen, appts, stock, top], tenant)
+    # A clinic missing from one part (no visits this week, say) counts 0 there.
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("patients_today", "patients_week", "appointments_today",
+                                                        "top_illness_count", "low_stock_count", "expiring_soon_count")}
     return out.select(
-        *tenant, "patients_today", "patients_week", "income_today", "appointments_today",
-        "top_illness_count", "low_stock_count", "expiring_soon_count",
-        (F.col("low_stock_count") + F.col("expiring_soon_count")).alias("needs_attention_count"))
+        *tenant, *[zero[c].alias(c) for c in ("patients_today", "patients_week")],
+        F.coalesce(F.col("income_today"), F.lit(0).cast("decimal(28,2)")).alias("income_today"),
+        *[zero[c].alias(c) for c in ("appointments_today", "top_illness_count", "low_stock_count",
+                                     "expiring_soon_count")],
+        (zero["low_stock_count"] + zero["expiring_soon_count"]).alias("needs_attention_count"))
 
 
 def dashboard_lists(tables: dict[str, DataFrame], as_of: dt.date, tenant: Sequence[str] = ()) -> dict[str, DataFrame]:

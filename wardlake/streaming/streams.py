@@ -37,19 +37,25 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFra
     """Run a streaming query over everything available, then stop.
 
     The sink is parquet under the session's checkpoint folder (shared storage
-    on a cluster). Complete mode rewrites the result each micro-batch; append
-    mode appends. Returns the sink read back as a batch DataFrame."""
+    on a cluster). Each micro-batch overwrites its own ``batch=<id>`` folder,
+    so a batch replayed after a failure replaces its earlier attempt instead
+    of adding rows (exactly-once output with the checkpointed offsets).
+    Complete mode rewrites the whole result each micro-batch. Returns the
+    sink read back as a batch DataFrame."""
     spark = df.sparkSession
     base = f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(f"{out}/batch=0")
+        else:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     q = (df.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    return spark.read.parquet(out).select(*df.columns)
 
 
 # ------------------------------------------------------------------ stock ledger
@@ -71,14 +77,16 @@ def stream_stock_ledger(requests: DataFrame, drugs: DataFrame, order: Sequence[s
     key_n = len(tenant) + 1
 
     def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="mergesort")
+        chunks = list(pdfs)
+        pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+        if len(pdf) > 1:
+            pdf = pdf.sort_values(list(order), kind="mergesort")
         if state.exists:
             bal, known = state.get
             bal = bal if known else None
         else:
-            first = pdf.iloc[0]
-            bal = _int_or_none(first["_open"])
-        name, unit = pdf["_name"].iloc[0], pdf["_unit"].iloc[0]
+            bal = _int_or_none(pdf["_open"].iat[0])
+        name, unit = pdf["_name"].iat[0], pdf["_unit"].iat[0]
         drug_id = key[key_n - 1]
         acc, why, after = [], [], []
         for typ, q in zip(pdf["type"].tolist(), pdf["_q"].tolist()):
@@ -87,8 +95,9 @@ def stream_stock_ledger(requests: DataFrame, drugs: DataFrame, order: Sequence[s
             why.append(reason)
             after.append(bal)
         state.update((bal if bal is not None else 0, bal is not None))
-        res = pdf[keep].assign(accepted=acc, reason=why, _after=pd.array(after, dtype="Int64"))
-        yield res
+        out = {c: pdf[c].to_numpy() for c in keep}
+        out.update(accepted=acc, reason=why, _after=pd.array(after, dtype="Int64"))
+        yield pd.DataFrame(out)
 
     folded = r.groupBy(*tenant, "drug_id").applyInPandasWithState(
         fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
