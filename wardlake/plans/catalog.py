@@ -79,6 +79,28 @@ def q_full_listing(spark, sf):
         "id", "first_name", "last_name", "gender", "phone", "address")
 
 
+@query("lookup_staff_by_username", """
+SELECT id, name, username FROM staff
+WHERE username IN (SELECT lower(trim(username)) FROM incoming_staff)""")
+def q_lookup_staff_by_username(spark, sf):
+    t = tables(spark, sf)
+    return search.lookup_staff_by_username(t["staff"], t["incoming_staff"]).select("id", "name", "username")
+
+
+@query("full_listing_drugs", """
+SELECT id, name, unit, CAST(quantity_on_hand AS DOUBLE) AS quantity_on_hand, expiry_date FROM drugs""")
+def q_full_listing_drugs(spark, sf):
+    d = tables(spark, sf)["drugs"]
+    return search.full_listing(d, ["name"]).select("id", "name", "unit", dbl("quantity_on_hand"), "expiry_date")
+
+
+@query("full_listing_clients", """
+SELECT id, name, phone, status FROM subscription_clients""")
+def q_full_listing_clients(spark, sf):
+    c = tables(spark, sf)["subscription_clients"]
+    return search.full_listing(c, ["name"]).select("id", "name", "phone", "status")
+
+
 # ------------------------------------------------------------------ search and filters
 @query("search_patients", """
 SELECT id, first_name, last_name, phone FROM patients

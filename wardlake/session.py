@@ -59,26 +59,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: list[bool] = []
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``wardlake`` importable in Python workers (the pandas functions
-    of the ledger and the streams import it there). The package is zipped on
-    the driver once per SparkContext and distributed with ``addPyFile``."""
-    import zipfile
-
-    sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    """Make the pandas functions of the ledger and the streams runnable in
+    Python workers that do not have ``wardlake`` installed: functions of this
+    package are pickled by value (with what they reference from it) instead
+    of by module path. No files are written or shipped."""
+    if _SHIPPED:
         return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    fd, path = tempfile.mkstemp(prefix="wardlake-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for root, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(root, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    from pyspark import cloudpickle
+
+    import wardlake
+    cloudpickle.register_pickle_by_value(wardlake)
+    _SHIPPED.append(True)
