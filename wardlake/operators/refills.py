@@ -12,16 +12,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import REFILL_WINDOW_DAYS
 from .joins import refillable_orders
 
-_PAYLOAD = ("client_id", "entry_date", "entry_type", "medication", "indication", "quantity", "day_supply",
-            "note", "reminder_sent_at", "created_by_staff_id", "created_at")
-
-
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` tuple per ``keys`` (NULL keys form a group)."""
     payload = [c for c in df.columns if c not in keys and c not in order]
@@ -54,7 +50,13 @@ def refills_due(history: DataFrame, clients: DataFrame, as_of: dt.date, window_d
 
 def trend_bar_scale(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Bar height in percent of the largest value of its set:
-    max(4, round(100 * v / max(1, max(v)))). The set is small (one chart)."""
-    top = F.greatest(F.lit(1.0), F.max(F.col(value)).over(Window.partitionBy(*group)).cast("double"))
-    pct = F.floor(F.col(value).cast("double") * 100.0 / top + 0.5)
-    return df.withColumn("height_pct", F.greatest(F.lit(4), pct.cast("int")))
+    max(4, round(100 * v / max(1, max(v)))). The maximum per set is an
+    aggregate joined back (on a constant key when there is one set)."""
+    keys = list(group) or ["_set"]
+    base = df if group else df.withColumn("_set", F.lit(0))
+    top = base.groupBy(*keys).agg(F.max(F.col(value)).alias("_max"))
+    pct = F.floor(F.col(value).cast("double") * 100.0 / F.greatest(F.lit(1.0), F.col("_max").cast("double")) + 0.5)
+    out = base.join(top, keys).withColumn("height_pct", F.greatest(F.lit(4), pct.cast("int"))).drop("_max")
+    out = out if group else out.drop("_set")
+    order = [c for c in (*group, "month_index") if c in out.columns]
+    return out.orderBy(*order) if "month_index" in order else out

@@ -11,7 +11,7 @@ import datetime as dt
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.semantics import js_decimal_text, js_number_text
@@ -114,22 +114,36 @@ def client_history_struct() -> Column:
         F.date_format(F.col("reminder_sent_at"), ISO_INSTANT).alias("reminderSentAt"))
 
 
-def export_clients_nested(clients: DataFrame, history: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
+HISTORY_PAGE_ENTRIES = 10_000
+
+
+def export_clients_nested(clients: DataFrame, history: DataFrame, tenant: Sequence[str] = (),
+                          max_entries_per_record: int = HISTORY_PAGE_ENTRIES) -> DataFrame:
     """Every client (any status) with its history array, newest entry first
     (entry_date, id); a client without history gets ``[]``.
 
-    One ``groupBy(client)`` builds the arrays (partial-aggregated per map
-    task) and one join attaches them; no per-client query."""
-    h = (history.groupBy(*tenant, "client_id")
+    One ``groupBy`` builds the arrays (partial-aggregated per map task) and one
+    join attaches them; no per-client query. A record never holds more than
+    about ``max_entries_per_record`` entries: a client with more history is
+    split into ``pages`` records (``page`` 0..pages-1) by a hash of the entry
+    id, each page newest first, so one very large client cannot make one huge
+    row. Clients below the limit get exactly one record (page 0 of 1)."""
+    n = history.groupBy(*tenant, "client_id").agg(F.count(F.lit(1)).alias("_n"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_entries_per_record))).cast("int")
+    h = (history.join(n, [*tenant, "client_id"])
+         .withColumn("pages", pages)
+         .withColumn("page", F.when(F.col("pages") > 1, F.pmod(F.xxhash64("id"), F.col("pages")))
+                     .otherwise(F.lit(0)).cast("int"))
+         .groupBy(*tenant, "client_id", "page", "pages")
          .agg(F.sort_array(F.collect_list(F.struct(F.col("entry_date").alias("_d"), F.col("id").alias("_i"),
                                                    client_history_struct().alias("h"))), asc=False).alias("_hist")))
     c = clients.select(*tenant, "id", "name", "phone", "status")
+    empty = F.array().cast("array<struct<id:bigint,entryDate:string,entryType:string,"
+                           "medication:string,daySupply:int,reminderSentAt:string>>")
     return (c.join(h.withColumnRenamed("client_id", "id"), [*tenant, "id"], "left")
             .select(*tenant, "id", "name", "phone", "status",
-                    F.coalesce(F.transform("_hist", lambda x: x["h"]),
-                               F.array().cast("array<struct<id:bigint,entryDate:string,entryType:string,"
-                                              "medication:string,daySupply:int,reminderSentAt:string>>"))
-                    .alias("history")))
+                    F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("pages", F.lit(1)).alias("pages"),
+                    F.coalesce(F.transform("_hist", lambda x: x["h"]), empty).alias("history")))
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
@@ -161,7 +175,7 @@ def sync_envelope(settings: DataFrame, clients: DataFrame, history: DataFrame,
             .select(*[F.col(t).alias("clinicId") for t in tenant[:1]],
                     F.struct(F.col("smsUsername").alias("username"), F.col("smsSenderId").alias("senderId"))
                     .alias("smsSettings"),
-                    F.struct("id", "name", "phone", "status", "history").alias("client")))
+                    F.struct("id", "name", "phone", "status", "page", "pages", "history").alias("client")))
 
 
 # ------------------------------------------------------------------ snapshots
@@ -189,12 +203,10 @@ def snapshot_write(tables: dict[str, DataFrame], root: str, at: dt.datetime) ->
 
 def snapshots_to_drop(manifest: DataFrame, keep: int = SNAPSHOTS_KEPT) -> DataFrame:
     """Names beyond the newest ``keep`` (by name); foreign names are ignored.
-    The manifest has one row per snapshot, so its size is bounded by the
-    number of snapshots taken."""
-    own = manifest.where(F.col("name").rlike(SNAPSHOT_NAME.pattern))
-    w = Window.orderBy(F.desc("name"))
-    return own.select("name").distinct().withColumn("_rank", F.row_number().over(w)).where(
-        F.col("_rank") > keep).select("name")
+    The manifest has one row per snapshot (bounded by the snapshots taken)."""
+    own = manifest.where(F.col("name").rlike(SNAPSHOT_NAME.pattern)).select("name").distinct()
+    newest = own.orderBy(F.desc("name")).limit(keep)
+    return own.join(newest, "name", "left_anti")
 
 
 def snapshot_retention(spark: SparkSession, root: str, keep: int = SNAPSHOTS_KEPT) -> int:
