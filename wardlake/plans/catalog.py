@@ -298,7 +298,7 @@ def q_top_illnesses_6m(spark, sf):
 
 @query("monthly_visit_trends", """
 SELECT s.month_index, s.month, coalesce(a.visit_count, 0) AS visit_count, CAST(coalesce(a.income, 0) AS DOUBLE) AS income
-FROM (SELECT i AS month_index, strftime(DATE '2001-02-01' + to_months(i), '%Y-%m') AS month FROM range(6) r(i)) s
+FROM (SELECT CAST(i AS INTEGER) AS month_index, strftime(DATE '2001-02-01' + to_months(i), '%Y-%m') AS month FROM range(6) r(i)) s
 LEFT JOIN (SELECT strftime(visit_date, '%Y-%m') AS month, count(*) AS visit_count, sum(payment_amount) AS income
            FROM visits WHERE visit_date >= DATE '2001-02-01' GROUP BY 1) a ON a.month = s.month""")
 def q_monthly_visit_trends(spark, sf):
@@ -308,7 +308,7 @@ def q_monthly_visit_trends(spark, sf):
 
 @query("new_patients_by_month", """
 SELECT s.month_index, s.month, coalesce(a.n, 0) AS n
-FROM (SELECT i AS month_index, strftime(DATE '2001-02-01' + to_months(i), '%Y-%m') AS month FROM range(6) r(i)) s
+FROM (SELECT CAST(i AS INTEGER) AS month_index, strftime(DATE '2001-02-01' + to_months(i), '%Y-%m') AS month FROM range(6) r(i)) s
 LEFT JOIN (SELECT strftime(created_at + INTERVAL 1 HOUR, '%Y-%m') AS month, count(*) AS n
            FROM patients WHERE created_at >= TIMESTAMP '2001-01-31 12:00:00' GROUP BY 1) a ON a.month = s.month""")
 def q_new_patients_by_month(spark, sf):
@@ -346,7 +346,7 @@ def q_latest_order_per_medication(spark, sf):
 
 @query("refills_due", f"""
 SELECT id, client_id, client_name, medication, entry_date + day_supply AS due_date,
-       (entry_date + day_supply) - DATE '{AS_OF_EVENTS}' AS days_until_due
+       CAST((entry_date + day_supply) - DATE '{AS_OF_EVENTS}' AS INTEGER) AS days_until_due
 FROM latest_orders
 WHERE client_status = 'Active' AND reminder_sent_at IS NULL
   AND (entry_date + day_supply) - DATE '{AS_OF_EVENTS}' <= 7""", extra=_LATEST_SQL)

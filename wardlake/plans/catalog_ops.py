@@ -513,10 +513,10 @@ def q_csv_sink(spark, sf):
 
 _HIST_JSON = """
 hist AS (
-  SELECT client_id, to_json(list(struct_pack(id := id, entryDate := CAST(entry_date AS VARCHAR),
+  SELECT client_id, CAST(to_json(list(struct_pack(id := id, entryDate := CAST(entry_date AS VARCHAR),
                                    entryType := entry_type, medication := medication, daySupply := day_supply,
                                    reminderSentAt := strftime(reminder_sent_at, '%Y-%m-%dT%H:%M:%S.%gZ'))
-                                 ORDER BY entry_date DESC, id DESC)) AS history_json
+                                 ORDER BY entry_date DESC, id DESC)) AS VARCHAR) AS history_json
   FROM subscription_history GROUP BY client_id)"""
 
 
@@ -613,7 +613,7 @@ def q_sync_status(spark, sf):
 _CLINIC_VISITS = """
 cv AS (SELECT v.*, p.clinic_id FROM visits v JOIN patients p ON p.id = v.patient_id),
 ten AS (SELECT clinic_id FROM upserted WHERE key = 'licensePlan' AND value = '10month'),
-spine AS (SELECT t.clinic_id, i AS month_index, strftime(DATE '2001-02-01' + to_months(i), '%Y-%m') AS month
+spine AS (SELECT t.clinic_id, CAST(i AS INTEGER) AS month_index, strftime(DATE '2001-02-01' + to_months(i), '%Y-%m') AS month
           FROM ten t CROSS JOIN range(6) r(i))"""
 
 
@@ -669,7 +669,7 @@ def q_income_summary_by_clinic(spark, sf):
 
 @query("refills_due_by_clinic", f"""
 SELECT c.clinic_id, l.id, l.client_id, l.medication,
-       (l.entry_date + l.day_supply) - DATE '{AS_OF_EVENTS}' AS days_until_due
+       CAST((l.entry_date + l.day_supply) - DATE '{AS_OF_EVENTS}' AS INTEGER) AS days_until_due
 FROM (SELECT * FROM (
         SELECT h.*, row_number() OVER (PARTITION BY h.client_id, h.medication
                                        ORDER BY h.entry_date DESC, h.id DESC) AS rn
