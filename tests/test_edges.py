@@ -136,3 +136,14 @@ def test_drug_flags_and_card(spark):
     f = search.drug_flags(d, AS_OF).collect()[0]
     assert f.is_low and f.is_expiring
     assert labels.drug_card(d).collect()[0].meta == "2.5 unit(s) on hand · reorder at 3 · expires 2026-08-24"
+
+
+def test_scan_table_declared_schema_and_missing_columns(spark, tmp_path):
+    from wardlake.sources.tables import scan_table
+    old = spark.createDataFrame([(1, 2, AS_OF, Decimal("40.00"))],
+                                "id long, patient_id long, visit_date date, payment_amount decimal(18,2)")
+    old.write.parquet(str(tmp_path / "visits"))
+    v = scan_table(spark, str(tmp_path / "visits"), "visits")
+    r = v.collect()[0]
+    assert r.payment_amount == Decimal("40.00") and r.charge_amount is None and r.pulse_bpm is None
+    assert dict(v.dtypes)["charge_amount"] == "decimal(18,2)" and "created_by_staff_id" in v.columns

@@ -313,7 +313,7 @@ class BoundTables(Mapping):
         self._spark, self._dir, self._built = spark, sf_dir, {}
 
     def _source(self, src: str) -> DataFrame:
-        key = (id(self._spark), f"{self._dir}/{src}.parquet")
+        key = (self._spark, f"{self._dir}/{src}.parquet")   # the session itself, so a new session never hits
         if key not in _SOURCES:
             _SOURCES[key] = self._spark.read.parquet(key[1])
         return _SOURCES[key]
@@ -339,7 +339,7 @@ class BoundTables(Mapping):
         return len(BINDINGS)
 
 
-_SOURCES: dict[tuple[int, str], DataFrame] = {}
+_SOURCES: dict[tuple[SparkSession, str], DataFrame] = {}
 
 
 def load_driver_tables(spark: SparkSession, sf_dir: str) -> BoundTables:
