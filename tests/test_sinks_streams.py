@@ -114,3 +114,12 @@ def test_tenant_run_equals_per_clinic_runs(spark):
     inc = rows(agg.income_summary(v, as_of, tenant=["clinic_id"]), "clinic_id", "this_month")
     total = agg.income_summary(v, as_of).collect()[0].this_month
     assert sum(r[1] for r in inc) == total
+
+
+def test_csv_lf_mode_uses_spark_writer_with_same_quoting(spark, tmp_path):
+    recs = [(None, "plain"), ("42", "has, comma"), ('say "hi"', "line\nbreak"), (" lead", "cr\rhere"), ("x", "")]
+    df = spark.createDataFrame(recs, "`Name` string, `Notes` string").coalesce(1)
+    out = str(tmp_path / "csv_lf")
+    sinks.write_csv(df, out, crlf=False)
+    text = "".join(open(p, newline="").read() for p in sorted(glob.glob(out + "/part-*")))
+    assert text == _csv_reference(["Name", "Notes"], recs).replace("\r\n", "\n") + "\n"
