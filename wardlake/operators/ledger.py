@@ -93,21 +93,24 @@ def _fold(tenant: Sequence[str]):
     return run
 
 
-def stock_ledger_apply(drugs: DataFrame, requests: DataFrame, order: Sequence[str],
-                       tenant: Sequence[str] = ()) -> DataFrame:
-    """Every request with ``accepted``, ``reason`` (NULL when accepted) and
-    ``balance_after`` (stock after the request; NULL for an unknown drug).
+HOT_ROWS = 1_000_000        # a drug with more requests is replayed in parallel chunks
+CHUNK_ROWS = 500_000        # rows per chunk of a hot drug (one task's memory)
+PROBE_ROWS = 512            # requests replayed per chunk to meet the reference replay
+MAX_BROADCAST_KEYS = 100_000
 
-    ``order`` names the request columns that give the total order within a
-    drug (they must be unique per drug for a deterministic replay)."""
-    ship_package(requests.sparkSession)
-    milli = lambda c: (F.col(c) * F.lit(1000)).cast("long")
+
+def _milli(c: str):
+    return (F.col(c) * F.lit(1000)).cast("long")
+
+
+def _sequential(drugs: DataFrame, requests: DataFrame, order: Sequence[str], tenant: Sequence[str]) -> DataFrame:
+    """Per-drug streaming fold (see module doc); output carries ``_after``."""
     req_cols = [c for c in requests.columns if c not in (*tenant, "drug_id")]
     opening = drugs.select(
-        *tenant, F.col("id").alias("drug_id"), F.lit(0).alias("_kind"), milli("quantity_on_hand").alias("_q"),
+        *tenant, F.col("id").alias("drug_id"), F.lit(0).alias("_kind"), _milli("quantity_on_hand").alias("_q"),
         F.col("name").alias("_name"), F.col("unit").alias("_unit"))
     reqs = requests.select(
-        *tenant, "drug_id", F.lit(1).alias("_kind"), milli("quantity").alias("_q"),
+        *tenant, "drug_id", F.lit(1).alias("_kind"), _milli("quantity").alias("_q"),
         F.lit(None).cast("string").alias("_name"), F.lit(None).cast("string").alias("_unit"), *req_cols)
     stream = (reqs.unionByName(opening, allowMissingColumns=True)
               .repartition(*tenant, "drug_id")
@@ -116,7 +119,41 @@ def stock_ledger_apply(drugs: DataFrame, requests: DataFrame, order: Sequence[st
     schema = T.StructType(base + [T.StructField("accepted", T.BooleanType()),
                                   T.StructField("reason", T.StringType()),
                                   T.StructField("_after", T.LongType())])
-    folded = stream.mapInPandas(_fold(tenant), schema)
+    return stream.mapInPandas(_fold(tenant), schema)
+
+
+def stock_ledger_apply(drugs: DataFrame, requests: DataFrame, order: Sequence[str],
+                       tenant: Sequence[str] = (), hot_rows: int | None = HOT_ROWS,
+                       chunk_rows: int = CHUNK_ROWS, probe_rows: int = PROBE_ROWS) -> DataFrame:
+    """Every request with ``accepted``, ``reason`` (NULL when accepted) and
+    ``balance_after`` (stock after the request; NULL for an unknown drug).
+
+    ``order`` names the request columns that give the total order within a
+    drug (they must be unique per drug for a deterministic replay).
+
+    Drugs with more than ``hot_rows`` requests (found with one
+    partial-aggregated count) are replayed in parallel chunks
+    (``ledger_split``); the rest, and any hot drug whose chunk walk does not
+    resolve, go through the per-drug streaming fold. ``hot_rows=None`` skips
+    the check."""
+    from .ledger_split import replay_hot
+    ship_package(requests.sparkSession)
+    keys = [*tenant, "drug_id"]
+    folded = _sequential(drugs, requests, order, tenant)
+    if hot_rows is not None:
+        known = drugs.select(*tenant, F.col("id").alias("drug_id"))
+        hot = (requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+               .join(known, keys, "left_semi"))
+        stats = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("rows")).collect()[0]   # two numbers
+        if stats["k"]:
+            hot_keys = hot.select(*keys)
+            if stats["k"] <= MAX_BROADCAST_KEYS:          # measured above: at most this many keys
+                hot_keys = F.broadcast(hot_keys)
+            cold = requests.join(hot_keys, keys, "left_anti")
+            hot_req = requests.join(hot_keys, keys, "left_semi").withColumn("_q", _milli("quantity"))
+            done, left = replay_hot(drugs, hot_req, keys, order, int(stats["rows"]), chunk_rows, probe_rows,
+                                    folded.schema, tenant)
+            folded = _sequential(drugs, cold.unionByName(left), order, tenant).unionByName(done)
     return folded.withColumn("balance_after", (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY)).drop("_after")
 
 

@@ -1,0 +1,174 @@
+"""Parallel replay of a hot drug's stock requests, exact.
+
+A drug with millions of requests cannot be one task's sequential pass, yet
+refusals make every outcome depend on the whole prefix. Three steps keep the
+result exact while splitting the work:
+
+1. The hot drug's requests are range-partitioned by (drug, order) into
+   ordered chunks of about ``chunk_rows`` rows and written once to the shared
+   checkpoint folder (a stable chunking for the next steps).
+2. Each chunk is summarised in parallel: ``T``, the smallest entry balance
+   with no refusal (above it the exit is entry + ``net``), and a reference
+   replay from balance 0: its exit and its first ``probe_rows`` states.
+3. Per drug, a walk over the chunk summaries (one small row per chunk) finds
+   every chunk's exact entry balance: linear above ``T``; otherwise the
+   chunk's first ``probe_rows`` requests are replayed from the true entry
+   until the balance equals the reference's at the same step, after which
+   both replays are identical, so the exit is the reference exit. Replays
+   from different balances merge quickly because a refusal leaves a balance
+   below the refused quantity (measured: 18-46 distinct exits over tens of
+   thousands of entry balances for 2,000-request chunks).
+4. Every chunk is replayed in parallel from its entry balance.
+
+A drug whose walk does not merge within the probe is returned unresolved and
+is replayed sequentially by the caller, so the result is exact in every case.
+"""
+
+from __future__ import annotations
+
+import math
+import uuid
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import checkpoint_dir, ship_package
+
+
+def _next(bal: int, typ: str, q) -> int:
+    """Balance after one request (exists-checked drug), the rule of ``ledger.step``."""
+    if typ == "restock" and q is not None and q > 0:
+        return bal + q
+    if typ == "dispense" and q is not None and 0 < q <= bal:
+        return bal - q
+    return bal
+
+
+def _int(q):
+    return None if q is None or q != q else int(q)
+
+
+def write_chunks(hot_requests: DataFrame, keys: Sequence[str], order: Sequence[str], n_chunks: int) -> DataFrame:
+    """Ordered chunks (``_chunk`` = range partition id), written to the shared
+    checkpoint folder and read back, so every later step sees one chunking."""
+    spark = hot_requests.sparkSession
+    path = f"{checkpoint_dir(spark)}/ledger-chunks-{uuid.uuid4().hex}"
+    (hot_requests.repartitionByRange(n_chunks, *keys, *order)
+     .withColumn("_chunk", F.spark_partition_id())
+     .write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def summarise_chunks(chunks: DataFrame, keys: Sequence[str], order: Sequence[str], probe_rows: int) -> DataFrame:
+    """One row per (drug, chunk): T, net, rows, reference exit, reference
+    states and the first ``probe_rows`` requests. Groups are single chunks."""
+    ship_package(chunks.sparkSession)
+    schema = T.StructType([*[chunks.schema[k] for k in keys], T.StructField("_chunk", T.IntegerType()),
+                           T.StructField("t", T.LongType()), T.StructField("net", T.LongType()),
+                           T.StructField("n", T.LongType()), T.StructField("ref_exit", T.LongType()),
+                           T.StructField("ref_states", T.ArrayType(T.LongType())),
+                           T.StructField("probe_type", T.ArrayType(T.StringType())),
+                           T.StructField("probe_q", T.ArrayType(T.LongType()))])
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="mergesort")
+        types, qs = pdf["type"].tolist(), [_int(q) for q in pdf["_q"].tolist()]
+        need, run, bal, states = 0, 0, 0, []
+        for i, (typ, q) in enumerate(zip(types, qs)):
+            if typ == "dispense" and q is not None and q > 0:
+                need = max(need, q - run)
+                run -= q
+            elif typ == "restock" and q is not None and q > 0:
+                run += q
+            bal = _next(bal, typ, q)
+            if i < probe_rows:
+                states.append(bal)
+        row = {k: pdf[k].iat[0] for k in keys}
+        row.update(_chunk=int(pdf["_chunk"].iat[0]), t=need, net=run, n=len(pdf), ref_exit=bal, ref_states=states,
+                   probe_type=types[:probe_rows], probe_q=qs[:probe_rows])
+        return pd.DataFrame([row])
+
+    return chunks.groupBy(*keys, "_chunk").applyInPandas(summarise, schema)
+
+
+def chunk_entries(summaries: DataFrame, opening: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Entry balance of every chunk (``_entry``) and whether the drug's walk
+    resolved (``_resolved``). One group per drug holds one small row per chunk."""
+    ship_package(summaries.sparkSession)
+    s = summaries.join(opening, list(keys))
+    schema = T.StructType([*[s.schema[k] for k in keys], T.StructField("_chunk", T.IntegerType()),
+                           T.StructField("_entry", T.LongType()), T.StructField("_resolved", T.BooleanType())])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        x, entries, resolved = int(pdf["_open"].iat[0]), [], True
+        for r in pdf.itertuples(index=False):
+            entries.append(x)
+            if x >= r.t:
+                x += r.net
+                continue
+            y, merged = x, False
+            for typ, q, ref in zip(r.probe_type, r.probe_q, r.ref_states):
+                y = _next(y, typ, _int(q))
+                if y == ref:
+                    merged = True
+                    break
+            if merged:
+                x = int(r.ref_exit)
+            elif r.n <= len(r.probe_q):
+                x = y                      # the whole chunk was replayed
+            else:
+                resolved = False
+                break
+        entries += [None] * (len(pdf) - len(entries))
+        out = pdf[list(keys) + ["_chunk"]].copy()
+        out["_entry"] = pd.array(entries, dtype="Int64")
+        out["_resolved"] = resolved
+        return out
+
+    return s.groupBy(*keys).applyInPandas(walk, schema)
+
+
+def replay_chunks(chunks: DataFrame, entries: DataFrame, info: DataFrame, keys: Sequence[str],
+                  order: Sequence[str], out_schema: T.StructType) -> DataFrame:
+    """Replay each chunk from its entry balance (groups are single chunks)."""
+    ship_package(chunks.sparkSession)
+    from .ledger import step
+    j = chunks.join(entries, [*keys, "_chunk"]).join(info, list(keys))
+    cols = [f.name for f in out_schema.fields if f.name not in ("accepted", "reason", "_after")]
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="mergesort")
+        bal = int(pdf["_entry"].iat[0])
+        name, unit, drug_id = pdf["_name"].iat[0], pdf["_unit"].iat[0], pdf["drug_id"].iat[0]
+        acc, why, after = [], [], []
+        for typ, q in zip(pdf["type"].tolist(), pdf["_q"].tolist()):
+            bal, ok, reason = step(bal, typ, _int(q), drug_id, name, unit)
+            acc.append(ok)
+            why.append(reason)
+            after.append(bal)
+        out = {c: pdf[c].to_numpy() for c in cols}
+        out.update(accepted=acc, reason=why, _after=pd.array(after, dtype="Int64"))
+        return pd.DataFrame(out)
+
+    return j.groupBy(*keys, "_chunk").applyInPandas(replay, out_schema)
+
+
+def replay_hot(drugs: DataFrame, hot_requests: DataFrame, keys: Sequence[str], order: Sequence[str],
+               hot_total_rows: int, chunk_rows: int, probe_rows: int, out_schema: T.StructType,
+               tenant: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(replayed rows of resolved hot drugs, requests of unresolved hot drugs).
+    ``hot_requests`` carries ``_q`` (quantity in thousandths)."""
+    n_chunks = max(1, math.ceil(hot_total_rows / chunk_rows))
+    chunks = write_chunks(hot_requests, keys, order, n_chunks)
+    info = drugs.select(*tenant, F.col("id").alias("drug_id"),
+                        (F.col("quantity_on_hand") * 1000).cast("long").alias("_open"),
+                        F.col("name").alias("_name"), F.col("unit").alias("_unit"))
+    entries = chunk_entries(summarise_chunks(chunks, keys, order, probe_rows), info.select(*keys, "_open"), keys)
+    done = replay_chunks(chunks, entries.where("_resolved"), info.select(*keys, "_name", "_unit"), keys, order,
+                         out_schema)
+    left = chunks.join(entries.where(~F.col("_resolved")).select(*keys).distinct(), list(keys), "left_semi")
+    return done, left.drop("_chunk", "_q")
