@@ -147,3 +147,22 @@ def test_scan_table_declared_schema_and_missing_columns(spark, tmp_path):
     r = v.collect()[0]
     assert r.payment_amount == Decimal("40.00") and r.charge_amount is None and r.pulse_bpm is None
     assert dict(v.dtypes)["charge_amount"] == "decimal(18,2)" and "created_by_staff_id" in v.columns
+
+
+def test_quota_counts_messages_already_used_today(spark):
+    m = spark.createDataFrame([(1, i, dt.datetime(2026, 8, 14, 9, i)) for i in range(5)]
+                              + [(2, 10 + i, dt.datetime(2026, 8, 14, 9, i)) for i in range(5)],
+                              "clinic_id int, message_id long, sent_at timestamp")
+    used = spark.createDataFrame([(1, AS_OF, 3)], "clinic_id int, day date, used int")
+    got = dict(rows(changes.ai_quota_admission(m, limit=5, used=used), "message_id", "admitted"))
+    assert [got[i] for i in range(5)] == [True, True, False, False, False]
+    assert all(got[10 + i] for i in range(5))
+
+
+def test_per_clinic_list_cap(spark):
+    p = spark.createDataFrame([(c, i, f"F{i}", f"L{i % 3}", None) for c in (1, 2) for i in range(5)],
+                              "clinic_id int, id long, first_name string, last_name string, phone string")
+    got = rows(search.search_patients(p, None, cap=2, tenant=["clinic_id"]), "clinic_id", "id")
+    assert got == [(1, 0), (1, 3), (2, 0), (2, 3)]
+    keys = spark.createDataFrame([(1, 4), (1, 4), (2, 9)], "clinic_id int, id long")
+    assert rows(search.lookup_by_keys(p, keys, tenant=["clinic_id"]), "clinic_id", "id") == [(1, 4)]
