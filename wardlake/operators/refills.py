@@ -50,13 +50,17 @@ def refills_due(history: DataFrame, clients: DataFrame, as_of: dt.date, window_d
 
 def trend_bar_scale(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Bar height in percent of the largest value of its set:
-    max(4, round(100 * v / max(1, max(v)))). The maximum per set is an
-    aggregate joined back (on a constant key when there is one set)."""
-    keys = list(group) or ["_set"]
-    base = df if group else df.withColumn("_set", F.lit(0))
-    top = base.groupBy(*keys).agg(F.max(F.col(value)).alias("_max"))
-    pct = F.floor(F.col(value).cast("double") * 100.0 / F.greatest(F.lit(1.0), F.col("_max").cast("double")) + 0.5)
-    out = base.join(top, keys).withColumn("height_pct", F.greatest(F.lit(4), pct.cast("int"))).drop("_max")
-    out = out if group else out.drop("_set")
+    max(4, round(100 * v / max(1, max(v)))). With ``group`` the maximum per
+    set is an aggregate joined back on the group key; a single set (one chart)
+    reads its maximum as one scalar."""
+    if group:
+        top = df.groupBy(*group).agg(F.max(F.col(value)).alias("_max"))
+        base, top_col = df.join(top, list(group)), F.col("_max")
+    else:
+        top_value = df.agg(F.max(F.col(value))).first()[0]          # one number
+        base, top_col = df, F.lit(top_value)
+    pct = F.floor(F.col(value).cast("double") * 100.0 / F.greatest(F.lit(1.0), top_col.cast("double")) + 0.5)
+    out = base.withColumn("height_pct", F.greatest(F.lit(4), pct.cast("int")))
+    out = out.drop("_max") if group else out
     order = [c for c in (*group, "month_index") if c in out.columns]
     return out.orderBy(*order) if "month_index" in order else out

@@ -1,8 +1,8 @@
 """Composite reports: dashboard, trends bundle, assistant context, sync status.
 
-Each composite is built from the single-purpose operators; the one-row
-aggregates are joined on the tenant key (or cross-joined when there is none:
-global aggregates have exactly one row, so that cross join is bounded).
+Each composite is built from the single-purpose operators. One-row reports
+are one aggregation over a tagged union of their inputs, never a join of
+one-row results.
 """
 
 from __future__ import annotations
@@ -22,56 +22,73 @@ from ..functions.semantics import week_start
 from ..schemas import EXPIRY_HORIZON_DAYS, SECRET_SETTING_KEYS
 
 
-def _join_one_row(parts: Sequence[DataFrame], tenant: Sequence[str]) -> DataFrame:
-    """Side by side on the tenant key; without one every part is a global
-    aggregate of exactly one row, joined on a constant key."""
-    keys = list(tenant) or ["_one"]
-    if not tenant:
-        parts = [p.withColumn("_one", F.lit(1)) for p in parts]
+def _dashboard_parts(tables: dict[str, DataFrame], as_of: dt.date, appointments_as_of: dt.date | None,
+                     tenant: Sequence[str], horizon_days: int, with_outstanding: bool) -> DataFrame:
+    """The dashboard's inputs as one tagged row set (``_part``): one row per
+    patient seen this week (p), Scheduled appointment today (a), drug (d), top
+    complaint (t) and, optionally, open balance (o). One aggregation over it
+    gives every number, so no one-row results are joined together."""
+    v, d = tables["visits"], tables["drugs"]
+    ws = week_start(as_of)
+    today = F.col("visit_date") == F.lit(as_of)
+    money, none_i, none_b = "decimal(28,2)", F.lit(None).cast("long"), F.lit(None).cast("boolean")
+
+    def part(df, tag, i=None, m=None, low=None, exp=None):
+        return df.select(*tenant, F.lit(tag).alias("_part"), (i if i is not None else none_i).cast("long").alias("_i"),
+                         (m if m is not None else F.lit(None)).cast(money).alias("_m"),
+                         (low if low is not None else none_b).alias("_low"),
+                         (exp if exp is not None else none_b).alias("_exp"))
+
+    per_patient = (v.where(F.col("visit_date") >= F.lit(ws)).groupBy(*tenant, "patient_id")
+                   .agg(F.max(today.cast("int")).alias("_seen_today"),
+                        F.sum(F.when(today, F.col("payment_amount"))).alias("_paid_today")))
+    appts = tables["appointments"].where((F.col("status") == "Scheduled")
+                                         & (F.col("appointment_date") == F.lit(appointments_as_of or as_of)))
+    limit = as_of + dt.timedelta(days=horizon_days)
+    parts = [
+        part(per_patient, "p", i=F.col("_seen_today"), m=F.col("_paid_today")),
+        part(appts, "a"),
+        part(d, "d", low=F.col("quantity_on_hand") <= F.col("reorder_level"),
+             exp=F.col("expiry_date").isNotNull() & (F.col("expiry_date") <= F.lit(limit))),
+        part(agg.top_illnesses_week(v, as_of, tenant=tenant), "t"),
+    ]
+    if with_outstanding:
+        o = v.where(F.col("charge_amount") > F.col("payment_amount")).join(
+            tables["patients"].select(*tenant, F.col("id").alias("patient_id")), [*tenant, "patient_id"], "left_semi")
+        parts.append(part(o, "o", m=F.col("charge_amount") - F.col("payment_amount")))
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, keys, "full")
-    return out.drop("_one") if not tenant else out
+        out = out.unionByName(p)
+    return out
+
+
+def _count(tag: str, cond=None):
+    c = F.col("_part") == tag
+    return F.count_if(c if cond is None else (c & F.coalesce(cond, F.lit(False))))
+
+
+def _sum(tag: str, col: str, dtype: str):
+    return F.coalesce(F.sum(F.when(F.col("_part") == tag, F.col(col))), F.lit(0).cast(dtype))
 
 
 def dashboard_summary(tables: dict[str, DataFrame], as_of: dt.date, appointments_as_of: dt.date | None = None,
                       tenant: Sequence[str] = (), horizon_days: int = EXPIRY_HORIZON_DAYS) -> DataFrame:
     """One row (per clinic): patients today / this week, income today,
     Scheduled appointments today, and the sizes of the top-complaints, low-stock,
-    expiring and needs-attention lists. The lists themselves come from
-    :func:`dashboard_lists`.
+    expiring and needs-attention lists (the lists come from
+    :func:`dashboard_lists`). One aggregation over the tagged inputs
+    (:func:`_dashboard_parts`); distinct patients are reduced to one row per
+    (clinic, patient) first. Without a tenant the result is always one row."""
+    parts = _dashboard_parts(tables, as_of, appointments_as_of, tenant, horizon_days, with_outstanding=False)
+    return parts.groupBy(*tenant).agg(*_dashboard_columns())
 
-    Fused where the inputs allow: one pass over this week's visits gives the
-    distinct patients and today's income (reduced to one row per patient
-    first), one pass over drugs gives both stock counts."""
-    v, d = tables["visits"], tables["drugs"]
-    ws = week_start(as_of)
-    today = F.col("visit_date") == F.lit(as_of)
-    per_patient = (v.where(F.col("visit_date") >= F.lit(ws)).groupBy(*tenant, "patient_id")
-                   .agg(F.max(today.cast("int")).alias("_seen_today"),
-                        F.sum(F.when(today, F.col("payment_amount"))).alias("_paid_today")))
-    seen = per_patient.groupBy(*tenant).agg(
-        F.coalesce(F.sum("_seen_today"), F.lit(0)).cast("long").alias("patients_today"),
-        F.count(F.lit(1)).alias("patients_week"),
-        F.coalesce(F.sum("_paid_today"), F.lit(0).cast("decimal(28,2)")).alias("income_today"))
-    appts = agg.appointments_today(tables["appointments"], appointments_as_of or as_of, tenant)
-    limit = as_of + dt.timedelta(days=horizon_days)
-    stock = d.groupBy(*tenant).agg(
-        F.count_if(F.col("quantity_on_hand") <= F.col("reorder_level")).alias("low_stock_count"),
-        F.count_if(F.col("expiry_date").isNotNull() & (F.col("expiry_date") <= F.lit(limit)))
-        .alias("expiring_soon_count"))
-    top = agg.top_illnesses_week(v, as_of, tenant=tenant).groupBy(*tenant).agg(
-        F.count(F.lit(1)).alias("top_illness_count"))
-    out = _join_one_row([seen, appts, stock, top], tenant)
-    # A clinic missing from one part (no visits this week, say) counts 0 there.
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("patients_today", "patients_week", "appointments_today",
-                                                        "top_illness_count", "low_stock_count", "expiring_soon_count")}
-    return out.select(
-        *tenant, *[zero[c].alias(c) for c in ("patients_today", "patients_week")],
-        F.coalesce(F.col("income_today"), F.lit(0).cast("decimal(28,2)")).alias("income_today"),
-        *[zero[c].alias(c) for c in ("appointments_today", "top_illness_count", "low_stock_count",
-                                     "expiring_soon_count")],
-        (zero["low_stock_count"] + zero["expiring_soon_count"]).alias("needs_attention_count"))
+
+def _dashboard_columns():
+    low, soon = _count("d", F.col("_low")), _count("d", F.col("_exp"))
+    return [_sum("p", "_i", "bigint").alias("patients_today"), _count("p").alias("patients_week"),
+            _sum("p", "_m", "decimal(28,2)").alias("income_today"), _count("a").alias("appointments_today"),
+            _count("t").alias("top_illness_count"), low.alias("low_stock_count"),
+            soon.alias("expiring_soon_count"), (low + soon).alias("needs_attention_count")]
 
 
 def dashboard_lists(tables: dict[str, DataFrame], as_of: dt.date, tenant: Sequence[str] = ()) -> dict[str, DataFrame]:
@@ -110,11 +127,12 @@ def trends_bundle(tables: dict[str, DataFrame], settings: DataFrame, as_of: dt.d
 
 
 def assistant_context(tables: dict[str, DataFrame], as_of: dt.date, appointments_as_of: dt.date | None = None,
-                      tenant: Sequence[str] = ()) -> DataFrame:
-    """The eight-number snapshot given to the assistant, as a JSON document."""
-    dash = dashboard_summary(tables, as_of, appointments_as_of, tenant)
-    out = agg.outstanding_total(tables["visits"], tables["patients"], tenant)
-    j = _join_one_row([dash, out], tenant)
+                      tenant: Sequence[str] = (), horizon_days: int = EXPIRY_HORIZON_DAYS) -> DataFrame:
+    """The eight-number snapshot given to the assistant, as a JSON document:
+    the dashboard numbers plus open balances, from one aggregation."""
+    parts = _dashboard_parts(tables, as_of, appointments_as_of, tenant, horizon_days, with_outstanding=True)
+    j = parts.groupBy(*tenant).agg(*_dashboard_columns(), _count("o").alias("outstanding_count"),
+                                   _sum("o", "_m", "decimal(28,2)").alias("outstanding_total"))
     fields = (("patientsSeenToday", "patients_today"), ("patientsSeenThisWeek", "patients_week"),
               ("incomeToday", "income_today"), ("appointmentsToday", "appointments_today"),
               ("lowStockDrugCount", "low_stock_count"), ("expiringSoonDrugCount", "expiring_soon_count"),
