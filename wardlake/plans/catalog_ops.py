@@ -610,6 +610,10 @@ def q_sync_status(spark, sf):
     return reports.sync_status(s)
 
 
+_CLINIC_FACTS = """
+cv AS (SELECT v.*, p.clinic_id FROM visits v JOIN patients p ON p.id = v.patient_id),
+ca AS (SELECT a.*, p.clinic_id FROM appointments a JOIN patients p ON p.id = a.patient_id)"""
+
 _CLINIC_VISITS = """
 cv AS (SELECT v.*, p.clinic_id FROM visits v JOIN patients p ON p.id = v.patient_id),
 ten AS (SELECT clinic_id FROM upserted WHERE key = 'licensePlan' AND value = '10month'),
@@ -667,6 +671,37 @@ def q_income_summary_by_clinic(spark, sf):
     return s.select("clinic_id", dbl("today"), dbl("this_week"), dbl("this_month"))
 
 
+@query("dashboard_summary_by_clinic", f"""
+SELECT k.clinic_id, coalesce(s.patients_today, 0) AS patients_today, coalesce(s.patients_week, 0) AS patients_week,
+       CAST(coalesce(s.income_today, 0) AS DOUBLE) AS income_today, coalesce(a.n, 0) AS appointments_today,
+       coalesce(t.n, 0) AS top_illness_count, coalesce(d.low, 0) AS low_stock_count,
+       coalesce(d.soon, 0) AS expiring_soon_count, coalesce(d.low, 0) + coalesce(d.soon, 0) AS needs_attention_count
+FROM (SELECT clinic_id FROM cv WHERE visit_date >= DATE '2001-07-30'
+      UNION SELECT clinic_id FROM ca WHERE status = 'Scheduled' AND appointment_date = DATE '{AS_OF_EVENTS}'
+      UNION SELECT clinic_id FROM drugs) k
+LEFT JOIN (SELECT clinic_id, count(DISTINCT patient_id) FILTER (WHERE visit_date = DATE '{AS_OF_CLINIC}') AS patients_today,
+                  count(DISTINCT patient_id) AS patients_week,
+                  sum(payment_amount) FILTER (WHERE visit_date = DATE '{AS_OF_CLINIC}') AS income_today
+           FROM cv WHERE visit_date >= DATE '2001-07-30' GROUP BY clinic_id) s ON s.clinic_id = k.clinic_id
+LEFT JOIN (SELECT clinic_id, count(*) AS n FROM ca
+           WHERE status = 'Scheduled' AND appointment_date = DATE '{AS_OF_EVENTS}' GROUP BY clinic_id) a
+  ON a.clinic_id = k.clinic_id
+LEFT JOIN (SELECT clinic_id, count(*) AS n FROM (
+             SELECT clinic_id, complaint, row_number() OVER (PARTITION BY clinic_id ORDER BY count(*) DESC, complaint) AS rn
+             FROM cv WHERE visit_date >= DATE '2001-07-30' AND complaint IS NOT NULL AND trim(complaint) <> ''
+             GROUP BY clinic_id, complaint) WHERE rn <= 5 GROUP BY clinic_id) t ON t.clinic_id = k.clinic_id
+LEFT JOIN (SELECT clinic_id, count(*) FILTER (WHERE quantity_on_hand <= reorder_level) AS low,
+                  count(*) FILTER (WHERE expiry_date IS NOT NULL AND expiry_date <= DATE '{AS_OF_CLINIC}' + 30) AS soon
+           FROM drugs GROUP BY clinic_id) d ON d.clinic_id = k.clinic_id""", extra=_CLINIC_FACTS)
+def q_dashboard_summary_by_clinic(spark, sf):
+    t = tables(spark, sf)
+    tb = {"visits": reports.stamp_tenant(t["visits"], t["patients"], "patient_id"),
+          "appointments": reports.stamp_tenant(t["appointments"], t["patients"], "patient_id"),
+          "drugs": t["drugs"]}
+    d = reports.dashboard_summary(tb, AS_OF_CLINIC, AS_OF_EVENTS, tenant=["clinic_id"])
+    return d.withColumn("income_today", F.col("income_today").cast("double"))
+
+
 @query("refills_due_by_clinic", f"""
 SELECT c.clinic_id, l.id, l.client_id, l.medication,
        CAST((l.entry_date + l.day_supply) - DATE '{AS_OF_EVENTS}' AS INTEGER) AS days_until_due

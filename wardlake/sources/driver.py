@@ -75,6 +75,7 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
         "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE DATE '2001-01-01' + CAST(p_partkey % 400 AS INT) END AS expiry_date",
         "CASE WHEN p_partkey % 9 = 0 THEN 'keep cool' ELSE NULL END AS notes",
         "CAST(p_partkey % 120 AS BIGINT) AS created_by_staff_id",
+        "CAST(p_partkey % 25 AS INT) AS clinic_id",
     ], None)],
     # Stock requests in arrival order. (l_shipdate, l_orderkey, l_linenumber,
     # l_quantity, l_extendedprice, l_returnflag) is unique within a part.
