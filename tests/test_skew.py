@@ -139,3 +139,27 @@ def test_hot_drug_chunk_walk_resolves_and_merges(spark):
     assert len(entries) == 10 and all(r["_resolved"] and r["_entry"] is not None for r in entries)
     short = LS.chunk_entries(LS.summarise_chunks(chunks, ["drug_id"], ["seq"], 1), opening, ["drug_id"]).collect()
     assert not short[0]["_resolved"]
+
+
+def test_hot_drug_split_respects_the_tenant_key(spark):
+    # Two clinics use the same drug ids; clinic 1's drug 0 is hot, clinic 2's is not.
+    req = _requests(spark).withColumn("clinic_id", F.when(F.col("seq") % 2 == 0, F.lit(1)).otherwise(F.lit(2)))
+    req = req.where((F.col("clinic_id") == 1) | (F.col("drug_id") != 0) | (F.col("seq") % 7 == 1))
+    drugs = spark.range(200).select((F.col("id") % 2 + 1).cast("int").alias("clinic_id"),
+                                    (F.col("id") / 2).cast("long").alias("id"),
+                                    F.concat(F.lit("d"), F.col("id")).alias("name"),
+                                    F.lit(None).cast("string").alias("unit"),
+                                    (F.col("id") % 5 * 10).cast("decimal(18,3)").alias("quantity_on_hand"))
+    got = ledger.stock_ledger_apply(drugs, req, ["seq"], tenant=["clinic_id"], hot_rows=2000, chunk_rows=1000,
+                                    probe_rows=256)
+    got = {r.seq: (r.accepted, r.balance_after) for r in got.collect()}
+    bal = {(r.clinic_id, r.id): r.quantity_on_hand for r in drugs.collect()}
+    want = {}
+    for r in sorted(req.collect(), key=lambda r: r.seq):
+        k = (r.clinic_id, r.drug_id)
+        b = bal[k]
+        ok = r.type == "restock" or r.quantity <= b
+        b = b + r.quantity if r.type == "restock" else (b - r.quantity if ok else b)
+        bal[k] = b
+        want[r.seq] = (ok, b)
+    assert got == want
