@@ -70,10 +70,15 @@ def _bad_date(c: Column) -> Column:
 
 
 def _exists(batch: DataFrame, ref: DataFrame, fk: str, tenant: Sequence[str], flag: str) -> DataFrame:
-    keys = ref.select(*tenant, F.col("id").cast("long").alias(fk)).distinct().withColumn(flag, F.lit(True))
-    return (batch.withColumn(fk, F.col(fk).cast("string").try_cast("long"))
-            .join(keys, [*tenant, fk], "left")
-            .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
+    """Flag batch rows whose ``fk`` exists in ``ref.id``. The reference table
+    is first cut down to the keys the batch asks for (a semi join against the
+    batch's distinct keys, small enough for AQE to broadcast), so a small
+    batch never shuffles a large table."""
+    b = batch.withColumn(fk, F.col(fk).cast("string").try_cast("long"))
+    wanted = b.select(*tenant, fk).where(F.col(fk).isNotNull()).distinct()
+    keys = (ref.select(*tenant, F.col("id").cast("long").alias(fk))
+            .join(wanted, [*tenant, fk], "left_semi").distinct().withColumn(flag, F.lit(True)))
+    return b.join(keys, [*tenant, fk], "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 def _author(c: str = "created_by_staff_id") -> Column:
