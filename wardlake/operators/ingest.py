@@ -161,7 +161,9 @@ def ingest_staff(batch: DataFrame, existing: DataFrame, tenant: Sequence[str] =
     batch = _form(batch, "staff")
     uname = F.lower(js_trim(F.col("username")))
     b = batch.withColumn("_u", uname)
-    taken = existing.select(*tenant, F.col("username").alias("_u")).distinct().withColumn("_taken", F.lit(True))
+    asked = b.select(*tenant, "_u").distinct()
+    taken = (existing.select(*tenant, F.col("username").alias("_u")).join(asked, [*tenant, "_u"], "left_semi")
+             .distinct().withColumn("_taken", F.lit(True)))
     first = (b.where(present(F.col("username")))
              .groupBy(*tenant, "_u").agg(F.min("row_key").alias("_first")))
     b = (b.join(taken, [*tenant, "_u"], "left").join(first, [*tenant, "_u"], "left"))
