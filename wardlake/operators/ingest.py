@@ -244,20 +244,21 @@ def enum_check(tables: dict[str, DataFrame], rules=ENUM_RULES) -> DataFrame:
 
 
 def fk_audit(tables: dict[str, DataFrame], edges=FK_EDGES, tenant: Sequence[str] = ()) -> DataFrame:
-    """Per edge: child rows with a non-NULL key, and how many point nowhere."""
+    """Per edge: child rows with a non-NULL key, and how many point nowhere.
+    Child rows are counted per key first, so the join sees distinct keys."""
     parts = []
     for child, col, parent in edges:
         if child not in tables or parent not in tables:
             continue
-        c = tables[child].where(F.col(col).isNotNull()).select(*tenant, F.col(col).alias("_k"))
+        c = (tables[child].where(F.col(col).isNotNull())
+             .groupBy(*tenant, F.col(col).alias("_k")).agg(F.count(F.lit(1)).alias("_n")))
         p = tables[parent].select(*tenant, F.col("id").alias("_k")).distinct().withColumn("_hit", F.lit(1))
         j = c.join(p, [*tenant, "_k"], "left")
-        parts.append(j.agg(F.count(F.lit(1)).alias("references"),
-                           F.count(F.when(F.col("_hit").isNull(), 1)).alias("orphans"))
+        parts.append(j.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("references"),
+                           F.coalesce(F.sum(F.when(F.col("_hit").isNull(), F.col("_n"))), F.lit(0)).alias("orphans"))
                      .select(F.lit(f"{child}.{col}").alias("edge"), F.lit(parent).alias("parent"),
                              "references", "orphans"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-

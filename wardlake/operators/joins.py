@@ -97,15 +97,18 @@ def refillable_orders(history: DataFrame, clients: DataFrame, tenant: Sequence[s
 
 def attribution_coverage(tables: dict[str, DataFrame], staff: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
     """Per table: records, records with an author stamp, and records whose
-    author is a known staff member."""
+    author is a known staff member. Records are first counted per author
+    (partial aggregation), so the join sees one row per author, however many
+    records a busy author has."""
     known = staff.select(*tenant, F.col("id").alias("created_by_staff_id"), F.lit(True).alias("_known"))
     parts = []
     for name, df in tables.items():
-        j = df.select(*tenant, "created_by_staff_id").join(known, [*tenant, "created_by_staff_id"], "left")
+        per_author = df.groupBy(*tenant, "created_by_staff_id").agg(F.count(F.lit(1)).alias("_n"))
+        j = per_author.join(known, [*tenant, "created_by_staff_id"], "left")
         parts.append(j.groupBy(*tenant).agg(
-            F.count(F.lit(1)).alias("records"),
-            F.count("created_by_staff_id").alias("with_author"),
-            F.count("_known").alias("with_known_author"),
+            F.sum("_n").alias("records"),
+            F.coalesce(F.sum(F.when(F.col("created_by_staff_id").isNotNull(), F.col("_n"))), F.lit(0)).alias("with_author"),
+            F.coalesce(F.sum(F.when(F.col("_known"), F.col("_n"))), F.lit(0)).alias("with_known_author"),
         ).withColumn("table_name", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
