@@ -166,3 +166,12 @@ def test_per_clinic_list_cap(spark):
     assert got == [(1, 0), (1, 3), (2, 0), (2, 3)]
     keys = spark.createDataFrame([(1, 4), (1, 4), (2, 9)], "clinic_id int, id long")
     assert rows(search.lookup_by_keys(p, keys, tenant=["clinic_id"]), "clinic_id", "id") == [(1, 4)]
+
+
+def test_license_feed_entries_one_document_for_all_clinics(spark):
+    from wardlake.sources.license import license_feed_entries
+    doc = ('{"a": {"expiresAt": "2027-01-15", "plan": "10month"}, "b": {"expiresAt": 5}, "c": {},'
+           ' "d": {"expiresAt": "2026-12-01", "plan": "lifetime"}, "e": "x"}')
+    docs = spark.createDataFrame([(1, doc), (2, "not json"), (3, "[1, 2]")], "doc_id int, text string")
+    got = rows(license_feed_entries(docs, keep=["doc_id"]), "doc_id", "clinic_key", "expires_at", "plan")
+    assert got == [(1, "a", "2027-01-15", "10month"), (1, "d", "2026-12-01", None)]

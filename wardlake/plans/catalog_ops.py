@@ -293,6 +293,19 @@ def q_license_feed(spark, sf):
     return license_feed(tables(spark, sf)["license_docs"], keep=["doc_id"])
 
 
+@query("license_feed_entries", """
+SELECT doc_id, k AS clinic_key, json_extract_string(text, '$."' || k || '".expiresAt') AS expires_at,
+       CASE WHEN json_type(text, '$."' || k || '".plan') = 'VARCHAR'
+             AND json_extract_string(text, '$."' || k || '".plan') IN ('3month', '10month')
+            THEN json_extract_string(text, '$."' || k || '".plan') END AS plan
+FROM (SELECT doc_id, text, unnest(json_keys(text)) AS k FROM license_docs
+      WHERE json_valid(text) AND json_type(text) = 'OBJECT')
+WHERE json_type(text, '$."' || k || '".expiresAt') = 'VARCHAR'""")
+def q_license_feed_entries(spark, sf):
+    from ..sources.license import license_feed_entries
+    return license_feed_entries(tables(spark, sf)["license_docs"], keep=["doc_id"])
+
+
 def _current_license(s):
     return changes.settings_pivot(s, ["licenseExpiresAt", "licensePlan"])
 

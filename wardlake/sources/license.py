@@ -40,3 +40,20 @@ def license_feed(docs: DataFrame, text: str = "text", clinic_key: str = "clinic_
     return out.select(*keep, clinic_key,
                       F.try_variant_get(F.col("_exp"), "$", "string").alias("expires_at"),
                       F.when(plan_s.isin(*PLANS), plan_s).alias("plan"))
+
+
+def license_feed_entries(docs: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Every valid entry of every document: (keep..., clinic_key, expires_at,
+    plan). The feed is one object for all clinics; exploding its entries once
+    (then an equi-join on the clinic id) serves every clinic without pairing
+    the document with each clinic. Same rules as :func:`license_feed`."""
+    v = F.try_parse_json(F.col(text))
+    d = docs.select(*keep, v.alias("_v")).where(
+        F.col("_v").isNotNull() & F.schema_of_variant(F.col("_v")).startswith("OBJECT"))
+    e = d.select(*keep, F.explode(F.try_variant_get(F.col("_v"), "$", "map<string,variant>")).alias("clinic_key", "_e"))
+    e = e.select(*keep, "clinic_key", F.try_variant_get(F.col("_e"), "$.expiresAt", "variant").alias("_exp"),
+                 F.try_variant_get(F.col("_e"), "$.plan", "variant").alias("_plan"))
+    e = e.where(F.col("_exp").isNotNull() & (F.schema_of_variant(F.col("_exp")) == "STRING"))
+    plan_s = F.when(F.schema_of_variant(F.col("_plan")) == "STRING", F.try_variant_get(F.col("_plan"), "$", "string"))
+    return e.select(*keep, "clinic_key", F.try_variant_get(F.col("_exp"), "$", "string").alias("expires_at"),
+                    F.when(plan_s.isin(*PLANS), plan_s).alias("plan"))
