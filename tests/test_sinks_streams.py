@@ -123,3 +123,19 @@ def test_csv_lf_mode_uses_spark_writer_with_same_quoting(spark, tmp_path):
     sinks.write_csv(df, out, crlf=False)
     text = "".join(open(p, newline="").read() for p in sorted(glob.glob(out + "/part-*")))
     assert text == _csv_reference(["Name", "Notes"], recs).replace("\r\n", "\n") + "\n"
+
+
+def test_stream_daily_income_append_mode_emits_only_closed_days(spark):
+    t = load_driver_tables(spark, SF)
+    src = stream_table_for_test(spark)
+    got = rows(streams.run_available_now(streams.stream_daily_income(src), "test_income_append", mode="append"),
+               "day", "income", "visits")
+    batch = dict((r[0], (r[1], r[2])) for r in rows(
+        t["visits"].groupBy(F.col("visit_date").alias("day")).agg(F.sum("payment_amount"), F.count(F.lit(1)))))
+    assert 0 < len(got) < len(batch)                   # the newest days stay open under the watermark
+    assert all(batch[d] == (inc, n) for d, inc, n in got)
+
+
+def stream_table_for_test(spark):
+    from wardlake.sources.driver import stream_table
+    return stream_table(spark, SF, "visits")
