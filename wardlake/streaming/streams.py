@@ -59,47 +59,62 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFra
 
 
 # ------------------------------------------------------------------ stock ledger
+STATE_BUCKETS = 256
+
+
 def stream_stock_ledger(requests: DataFrame, drugs: DataFrame, order: Sequence[str],
-                        tenant: Sequence[str] = ()) -> DataFrame:
+                        tenant: Sequence[str] = (), buckets: int = STATE_BUCKETS) -> DataFrame:
     """Streaming replay of stock requests; same output columns as the batch
     ledger's core (accepted, reason, balance_after). ``drugs`` is static: the
-    opening stock is read when a drug is first seen, later batches use state."""
+    opening stock is read when a drug is first seen, later batches use state.
+
+    State is keyed by a hash bucket of (clinic, drug), and a bucket's state
+    holds the balances of its drugs. One pandas call per bucket and
+    micro-batch, instead of one per drug, keeps the per-group overhead
+    independent of the number of drugs; a group holds the bucket's rows of
+    one trigger and its drugs' balances."""
     ship_package(requests.sparkSession)
     milli = (F.col("quantity") * F.lit(1000)).cast("long")
     d = drugs.select(*tenant, F.col("id").alias("drug_id"), (F.col("quantity_on_hand") * 1000).cast("long")
                      .alias("_open"), F.col("name").alias("_name"), F.col("unit").alias("_unit"))
-    r = requests.withColumn("_q", milli).join(d, [*tenant, "drug_id"], "left")
-    keep = list(dict.fromkeys([*tenant, "drug_id", *order, "type", "quantity"]))
+    keys = [*tenant, "drug_id"]
+    r = (requests.withColumn("_q", milli).join(d, keys, "left")
+         .withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    keep = list(dict.fromkeys([*keys, *order, "type", "quantity"]))
     out_schema = T.StructType([f for f in r.select(*keep).schema.fields] + [
         T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
         T.StructField("_after", T.LongType())])
-    state_schema = T.StructType([T.StructField("bal", T.LongType()), T.StructField("known", T.BooleanType())])
-    key_n = len(tenant) + 1
+    state_schema = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())),
+                                 T.StructField("bal", T.ArrayType(T.LongType())),
+                                 T.StructField("known", T.ArrayType(T.BooleanType()))])
 
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def fold(bucket, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         chunks = list(pdfs)
         pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
-        if len(pdf) > 1:
-            pdf = pdf.sort_values(list(order), kind="mergesort")
+        pdf = pdf.sort_values([*keys, *order], kind="mergesort")
+        book = {}
         if state.exists:
-            bal, known = state.get
-            bal = bal if known else None
-        else:
-            bal = _int_or_none(pdf["_open"].iat[0])
-        name, unit = pdf["_name"].iat[0], pdf["_unit"].iat[0]
-        drug_id = key[key_n - 1]
+            ks, bs, kn = state.get
+            book = {k: (b if ok else None) for k, b, ok in zip(ks, bs, kn)}
         acc, why, after = [], [], []
-        for typ, q in zip(pdf["type"].tolist(), pdf["_q"].tolist()):
-            bal, ok, reason = step(bal, typ, _int_or_none(q), drug_id, name, unit)
+        cols = [pdf[c].tolist() for c in keys]
+        for i, (typ, q, opening, name, unit) in enumerate(zip(pdf["type"].tolist(), pdf["_q"].tolist(),
+                                                              pdf["_open"].tolist(), pdf["_name"].tolist(),
+                                                              pdf["_unit"].tolist())):
+            k = repr(tuple(c[i] for c in cols))
+            bal = book[k] if k in book else _int_or_none(opening)
+            bal, ok, reason = step(bal, typ, _int_or_none(q), cols[-1][i], name, unit)
+            book[k] = bal
             acc.append(ok)
             why.append(reason)
             after.append(bal)
-        state.update((bal if bal is not None else 0, bal is not None))
+        ks = list(book)
+        state.update((ks, [book[k] if book[k] is not None else 0 for k in ks], [book[k] is not None for k in ks]))
         out = {c: pdf[c].to_numpy() for c in keep}
         out.update(accepted=acc, reason=why, _after=pd.array(after, dtype="Int64"))
         yield pd.DataFrame(out)
 
-    folded = r.groupBy(*tenant, "drug_id").applyInPandasWithState(
+    folded = r.groupBy("_bucket").applyInPandasWithState(
         fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
     return folded.withColumn("balance_after", (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY)).drop("_after")
 
