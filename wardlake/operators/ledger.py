@@ -140,7 +140,8 @@ def stock_ledger_apply(drugs: DataFrame, requests: DataFrame, order: Sequence[st
     ship_package(requests.sparkSession)
     keys = [*tenant, "drug_id"]
     folded = _sequential(drugs, requests, order, tenant)
-    if hot_rows is not None:
+    # No drug can be hot when all requests together are at most hot_rows (a column-less count).
+    if hot_rows is not None and requests.count() > hot_rows:
         known = drugs.select(*tenant, F.col("id").alias("drug_id"))
         hot = (requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
                .join(known, keys, "left_semi"))
