@@ -50,7 +50,8 @@ def refills_due(history: DataFrame, clients: DataFrame, as_of: dt.date, window_d
 
 def trend_bar_scale(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Bar height in percent of the largest value of its set:
-    max(4, round(100 * v / max(1, max(v)))). With ``group`` the maximum per
+    max(4, round(100 * v / max(1, max(v)))), plus the short month name as the
+    bar label when the set has a ``month`` column. With ``group`` the maximum per
     set is an aggregate joined back on the group key; a single set (one chart)
     reads its maximum as one scalar."""
     if group:
@@ -61,6 +62,8 @@ def trend_bar_scale(df: DataFrame, value: str, group: Sequence[str] = ()) -> Dat
         base, top_col = df, F.lit(top_value)
     pct = F.floor(F.col(value).cast("double") * 100.0 / F.greatest(F.lit(1.0), top_col.cast("double")) + 0.5)
     out = base.withColumn("height_pct", F.greatest(F.lit(4), pct.cast("int")))
+    if "month" in out.columns:                      # bar label: short month name of a 'yyyy-MM' label
+        out = out.withColumn("label", F.date_format(F.to_date(F.col("month"), "yyyy-MM"), "MMM"))
     out = out.drop("_max") if group else out
     order = [c for c in (*group, "month_index") if c in out.columns]
     return out.orderBy(*order) if "month_index" in order else out

@@ -358,14 +358,15 @@ def q_refills_due(spark, sf):
 
 @query("trend_bar_scale", """
 SELECT month, visit_count,
-       greatest(4, CAST(floor(visit_count * 100.0 / greatest(1.0, max(visit_count) OVER ()) + 0.5) AS INT)) AS height_pct
+       greatest(4, CAST(floor(visit_count * 100.0 / greatest(1.0, max(visit_count) OVER ()) + 0.5) AS INT)) AS height_pct,
+       strftime(strptime(month, '%Y-%m'), '%b') AS label
 FROM (SELECT s.month, coalesce(a.visit_count, 0) AS visit_count
       FROM (SELECT strftime(DATE '2001-02-01' + to_months(i), '%Y-%m') AS month FROM range(6) r(i)) s
       LEFT JOIN (SELECT strftime(visit_date, '%Y-%m') AS month, count(*) AS visit_count
                  FROM visits WHERE visit_date >= DATE '2001-02-01' GROUP BY 1) a ON a.month = s.month)""")
 def q_trend_bar_scale(spark, sf):
     t = agg.monthly_visit_trends(tables(spark, sf)["visits"], AS_OF_CLINIC)
-    return refills.trend_bar_scale(t, "visit_count").select("month", "visit_count", "height_pct")
+    return refills.trend_bar_scale(t, "visit_count").select("month", "visit_count", "height_pct", "label")
 
 
 # ------------------------------------------------------------------ stock ledger
