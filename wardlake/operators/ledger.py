@@ -142,7 +142,7 @@ def stock_ledger_apply(drugs: DataFrame, requests: DataFrame, order: Sequence[st
     folded = _sequential(drugs, requests, order, tenant)
     # No drug can be hot when all requests together are at most hot_rows (a column-less count).
     if hot_rows is not None and requests.count() > hot_rows:
-        known = drugs.select(*tenant, F.col("id").alias("drug_id"))
+        known = drugs.where(F.col("quantity_on_hand").isNotNull()).select(*tenant, F.col("id").alias("drug_id"))
         hot = (requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
                .join(known, keys, "left_semi"))
         stats = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("rows")).collect()[0]   # two numbers

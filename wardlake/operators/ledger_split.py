@@ -23,6 +23,9 @@ result exact while splitting the work:
 A drug whose walk does not merge within the probe is returned unresolved and
 is replayed sequentially by the caller, so the result is exact in every case.
 
+The chunk tables stay in the checkpoint folder (the result reads them
+lazily), under the folder's own retention like any checkpoint.
+
 Sizing: a chunk is one task's pandas frame (about ``chunk_rows`` rows); the
 walk holds one row per chunk of the drug with two arrays of ``probe_rows``
 numbers (defaults: 2,000 chunks and about 17 MB per billion requests).
