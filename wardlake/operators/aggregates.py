@@ -126,7 +126,8 @@ def new_patients_by_month(patients: DataFrame, now: dt.datetime, tz: str = "UTC"
     cut_date = add_months_overflow(now.date(), -months)
     cutoff = dt.datetime.combine(cut_date, now.time())
     local = F.from_utc_timestamp(F.col("created_at"), tz)
-    p = patients.where(F.col("created_at") >= F.lit(cutoff))
+    # The cut-off is read in the session time zone, like every stored timestamp (not the Python process's zone).
+    p = patients.where(F.col("created_at") >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp"))
     agg = p.groupBy(*tenant, F.date_format(local, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     local_today = local_datetime(now, tz).date()
     spine = month_spine(spark, local_today, months, clinics if clinics is not None else patients, tenant)
