@@ -452,3 +452,15 @@ def q_stock_reconcile(spark, sf):
     r = ledger.stock_reconcile(t["drugs"], led, LEDGER_ORDER)
     return r.select("drug_id", dbl("opening"), dbl("net_movement"), "accepted_count", dbl("quantity_on_hand"),
                     "balanced")
+
+
+@query("stock_ledger_by_clinic", """
+SELECT d.clinic_id, l.drug_id, l.src_order, l.src_line, l.src_flag, l.accepted,
+       CAST(l.balance_after AS DOUBLE) AS balance_after
+FROM ledger l JOIN drugs d ON d.id = l.drug_id""", recursive=True, extra=_FOLD_SQL)
+def q_stock_ledger_by_clinic(spark, sf):
+    from ..plans.reports import stamp_tenant
+    t = tables(spark, sf)
+    req = stamp_tenant(t["stock_requests"], t["drugs"], "drug_id")
+    led = ledger.stock_ledger_apply(t["drugs"], req, LEDGER_ORDER, tenant=["clinic_id"])
+    return led.select("clinic_id", "drug_id", "src_order", "src_line", "src_flag", "accepted", dbl("balance_after"))
