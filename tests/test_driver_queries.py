@@ -13,7 +13,8 @@ from tools.compare import TABLES, canon
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["income_summary", "refills_due", "stock_ledger_apply", "outstanding_balances", "monthly_visit_trends",
           "ingest_visits", "license_apply", "export_csv_visits", "visit_receipts", "trends_bundle",
-          "ai_quota_admission", "needs_attention"]
+          "ai_quota_admission", "needs_attention", "dashboard_summary_by_clinic", "stock_ledger_by_clinic",
+          "license_feed_entries"]
 
 
 @pytest.fixture(scope="module")
