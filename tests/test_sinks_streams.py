@@ -139,3 +139,16 @@ def test_stream_daily_income_append_mode_emits_only_closed_days(spark):
 def stream_table_for_test(spark):
     from wardlake.sources.driver import stream_table
     return stream_table(spark, SF, "visits")
+
+
+def test_stream_daily_income_per_clinic(spark):
+    v = spark.createDataFrame([(1, AS_OF, Decimal("10.00"), 1), (2, AS_OF, Decimal("5.50"), 2),
+                               (3, AS_OF, Decimal("1.00"), 1)],
+                              "id long, visit_date date, payment_amount decimal(18,2), clinic_id int")
+    root = tempfile.mkdtemp(prefix="wardlake-vis2-", dir=_scratch(spark))
+    v.write.parquet(f"{root}/v")
+    src = spark.readStream.schema(v.schema).parquet(f"{root}/v")
+    got = streams.run_available_now(streams.stream_daily_income(src, tenant=["clinic_id"]), "test_income_clinic",
+                                    mode="complete")
+    assert rows(got, "clinic_id", "day", "income", "visits") == [(1, AS_OF, Decimal("11.00"), 2),
+                                                                 (2, AS_OF, Decimal("5.50"), 1)]

@@ -148,13 +148,14 @@ def stream_quota(messages: DataFrame, tz: str = "UTC", limit: int = AI_DAILY_LIM
 
 
 # ------------------------------------------------------------------ daily income
-def stream_daily_income(visits: DataFrame, watermark: str = "1 day") -> DataFrame:
+def stream_daily_income(visits: DataFrame, watermark: str = "1 day", tenant: Sequence[str] = ()) -> DataFrame:
     """Income and visit count per visit day (one-day tumbling event-time
-    window). The event time is the visit date as a TIMESTAMP (a watermark
-    needs TIMESTAMP, not TIMESTAMP_NTZ). Use complete mode to see every day,
-    append mode to get each day once the watermark has closed it."""
-    v = visits.select(F.col("visit_date").cast("timestamp").alias("event_time"), "payment_amount")
+    window), per clinic when a tenant key is given. The event time is the
+    visit date as a TIMESTAMP (a watermark needs TIMESTAMP, not
+    TIMESTAMP_NTZ). Use complete mode to see every day, append mode to get
+    each day once the watermark has closed it."""
+    v = visits.select(*tenant, F.col("visit_date").cast("timestamp").alias("event_time"), "payment_amount")
     return (v.withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", "1 day"))
+            .groupBy(*tenant, F.window("event_time", "1 day"))
             .agg(F.sum("payment_amount").alias("income"), F.count(F.lit(1)).alias("visits"))
-            .select(F.to_date(F.col("window.start")).alias("day"), "income", "visits"))
+            .select(*tenant, F.to_date(F.col("window.start")).alias("day"), "income", "visits"))
