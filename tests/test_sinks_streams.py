@@ -152,3 +152,23 @@ def test_stream_daily_income_per_clinic(spark):
                                     mode="complete")
     assert rows(got, "clinic_id", "day", "income", "visits") == [(1, AS_OF, Decimal("11.00"), 2),
                                                                  (2, AS_OF, Decimal("5.50"), 1)]
+
+
+def test_tenant_trends_and_refills_equal_per_clinic_runs(spark):
+    from wardlake.operators import refills
+    t = load_driver_tables(spark, SF)
+    v = t["visits"].join(t["patients"].select(F.col("id").alias("patient_id"), "clinic_id"), "patient_id")
+    as_of = dt.date(2001, 7, 31)
+    clinics = sorted(r[0] for r in v.select("clinic_id").distinct().collect())[:6]
+    together = {(r.clinic_id, r.month): (r.visit_count, r.income)
+                for r in agg.monthly_visit_trends(v, as_of, tenant=["clinic_id"]).collect()}
+    for c in clinics:
+        alone = agg.monthly_visit_trends(v.where(F.col("clinic_id") == c), as_of).collect()
+        assert [(r.visit_count, r.income) for r in alone] == [together[(c, r.month)] for r in alone]
+    h = t["subscription_history"].join(
+        t["subscription_clients"].select(F.col("id").alias("client_id"), "clinic_id"), "client_id")
+    due = rows(refills.refills_due(h, t["subscription_clients"], dt.date(2024, 1, 28), tenant=["clinic_id"]),
+               "clinic_id", "id", "days_until_due")
+    plain = rows(refills.refills_due(t["subscription_history"], t["subscription_clients"], dt.date(2024, 1, 28)),
+                 "id", "days_until_due")
+    assert sorted((i, d) for _, i, d in due) == sorted(plain)
