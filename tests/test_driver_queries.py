@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from tools.compare import TABLES, canon
+from wardlake.plans.registry import all_queries
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["income_summary", "refills_due", "stock_ledger_apply", "outstanding_balances", "monthly_visit_trends",
@@ -41,4 +42,4 @@ def test_entry_and_contract(spark):
     assert df.count() == 1
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 80
-    assert set(q) - set(o) == set()   # every registered query has an oracle
+    assert set(all_queries()) <= set(o)   # every query of the catalogue has an oracle
