@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .packing import op2_pattern_packing
+from .quality import op1_ordinal_quality
 from .records import op9_token_records
+from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_ordinal_quality": op1_ordinal_quality,
     "op2_pattern_packing": op2_pattern_packing,
     "op9_token_records": op9_token_records,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
