@@ -61,10 +61,32 @@ def pipeline(spec: dict) -> str | None:
     return None
 
 
+class Cache(dict):
+    """Ids by pretoken. Two generations: when the young one is full it becomes the old one, and what
+    is still in use comes back from there, so frequent pretokens stay and memory is bounded."""
+
+    def __init__(self, tok, keep: int):
+        super().__init__()
+        self.tok, self.keep, self.old = tok, keep, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= LONGEST_KEPT:
+            self[word] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """``ids(texts)``: for each text its ids as little-endian unsigned 32-bit numbers, joined."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -74,40 +96,22 @@ class Encoder:
         self.lower = self.kind == "word"
         pats = _patterns()
         self.unsafe, self.split = pats["unsafe"].search, self.kind and pats[self.kind].findall
-        self.cache: dict[str, bytes] = {}
-        self.keep = keep
+        self.cache = Cache(self.tok, keep)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _simple(self, text: str) -> bool:
+    def simple(self, text: str) -> bool:
         return bool(self.kind) and not self.unsafe(text) and not any(a in text for a in self.added)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        if len(self.cache) > self.keep:
-            self.cache.clear()
-        cache, parts, rest = self.cache, [], []
-        for i, t in enumerate(texts):
-            if self._simple(t):
-                parts.append((i, self.split(t.lower() if self.lower else t)))
-            else:
-                rest.append(i)
-        new = set()
-        for _, p in parts:
-            new.update(p)
-        new = [w for w in new if w not in cache]
-        once = {}
-        for a in range(0, len(new), 5000):
-            for w, b in zip(new[a:a + 5000], self._whole(new[a:a + 5000]), strict=True):
-                (cache if len(w) <= LONGEST_KEPT else once)[w] = b
-        for i, p in parts:
-            if once:
-                out[i] = b"".join([once[w] if w in once else cache[w] for w in p])
+        get, out = self.cache.__getitem__, []
+        for t in texts:
+            if self.simple(t):
+                out.append(b"".join(map(get, self.split(t.lower() if self.lower else t))))
+                self.cache.trim()
             else:
-                out[i] = b"".join(map(cache.__getitem__, p))
-        for i, b in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = b
+                out.append(self.whole(t))
         return out
 
 
