@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .neardup import op3_fast_sketch_dedup
 from .packing import op2_pattern_packing
 from .quality import op1_ordinal_quality
 from .records import op9_token_records
@@ -10,6 +11,7 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_pattern_packing": op2_pattern_packing,
+    "op3_fast_sketch_dedup": op3_fast_sketch_dedup,
     "op9_token_records": op9_token_records,
     "op10_toxicity": op10_toxicity,
 }
