@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_automaton_decontamination
 from .neardup import op3_fast_sketch_dedup
 from .packing import op2_pattern_packing
 from .quality import op1_ordinal_quality
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_pattern_packing": op2_pattern_packing,
     "op3_fast_sketch_dedup": op3_fast_sketch_dedup,
+    "op4_automaton_decontamination": op4_automaton_decontamination,
     "op9_token_records": op9_token_records,
     "op10_toxicity": op10_toxicity,
 }
