@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op7_multi_index_search
 from .decontaminate import op4_automaton_decontamination
 from .neardup import op3_fast_sketch_dedup
 from .packing import op2_pattern_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_pattern_packing": op2_pattern_packing,
     "op3_fast_sketch_dedup": op3_fast_sketch_dedup,
     "op4_automaton_decontamination": op4_automaton_decontamination,
+    "op7_multi_index_search": op7_multi_index_search,
     "op9_token_records": op9_token_records,
     "op10_toxicity": op10_toxicity,
 }
