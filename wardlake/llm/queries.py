@@ -6,18 +6,25 @@ from .ann import op7_multi_index_search
 from .decontaminate import op4_automaton_decontamination
 from .neardup import op3_fast_sketch_dedup
 from .packing import op2_pattern_packing
+from .preferences import OP8_SQL, op8_preference_pairs
 from .quality import op1_ordinal_quality
 from .records import op9_token_records
 from .toxicity import op10_toxicity
+from .warc import OP6_SQL, op6_seekable_warc
 
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_pattern_packing": op2_pattern_packing,
     "op3_fast_sketch_dedup": op3_fast_sketch_dedup,
     "op4_automaton_decontamination": op4_automaton_decontamination,
+    "op6_seekable_warc": op6_seekable_warc,
     "op7_multi_index_search": op7_multi_index_search,
+    "op8_preference_pairs": op8_preference_pairs,
     "op9_token_records": op9_token_records,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_seekable_warc": OP6_SQL,
+    "op8_preference_pairs": OP8_SQL,
+}
