@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op7_multi_index_search
 from .decontaminate import op4_automaton_decontamination
+from .katz import op5_katz_scores
 from .neardup import op3_fast_sketch_dedup
 from .packing import op2_pattern_packing
 from .preferences import OP8_SQL, op8_preference_pairs
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_pattern_packing": op2_pattern_packing,
     "op3_fast_sketch_dedup": op3_fast_sketch_dedup,
     "op4_automaton_decontamination": op4_automaton_decontamination,
+    "op5_katz_scores": op5_katz_scores,
     "op6_seekable_warc": op6_seekable_warc,
     "op7_multi_index_search": op7_multi_index_search,
     "op8_preference_pairs": op8_preference_pairs,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_katz_scores": op5_katz_scores,
     "op6_seekable_warc": OP6_SQL,
     "op8_preference_pairs": OP8_SQL,
 }
