@@ -170,6 +170,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return done.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the kept one of its group, all columns as they are."""
+    gone = saved(near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "copies")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+
+
 def op3_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, 4-word shingles, similarity 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)

@@ -11,9 +11,9 @@ Features, hashed into one table:
 * the distinct character n-grams of words (as in ``toxicity.text_grams``), of
   those the ``FEATURES`` that are most associated with a grade;
 * *shapes*: runs of lower-case, upper-case, digits and blanks count as one sign
-  each, other signs as themselves; relative frequencies of 1 to 4 such signs;
+  each, other signs as themselves; relative frequencies of 1 to 3 such signs;
 * binned statistics: length, mean word length, distinct words, words that
-  repeat the word before, distinct lines, upper-case share.
+  repeat the word before, distinct lines, upper-case words.
 
 The model is fitted on at most ``SAMPLE`` rated rows drawn by the hash of
 their doc_id, the rest as in ``toxicity``: extraction on Spark, one table look-up per
@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from .common import blocks, mix64, ready, table, worker_state
 from .toxicity import BUCKETS, distinct_grams, held_out, labelled_sample
 
-FEATURES = 20_000
-SAMPLE = 20_000
+FEATURES = 4_000
+SAMPLE = 10_000
 LEAST_TEXTS = 3
-SHAPES = 1 << 14            # buckets of shapes and statistics, after those of n-grams
+SHAPES = 1 << 13            # buckets of shapes and statistics, after those of n-grams
 SHAPE_SCALE = 10.0
 PENALTY = 1e-5
-ROUNDS = 300
+ROUNDS = 150
 LEAST_GRADE, LEAST_TAIL = 1, 0.5
 
 
@@ -67,43 +67,56 @@ def _classes() -> np.ndarray:
     return out
 
 
-def shape_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the text, bucket, value) with repeats; values of a shape add up to its relative frequency."""
+def shapes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1, 2 and 3 signs: (index of the text, bucket) of every shape with repeats, and what one counts in each text."""
     classes = worker_state("classes", _classes)
-    texts = [t or "" for t in texts]
     size = np.array([len(t) for t in texts])
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     cls = classes[np.minimum(codes, 65535)]
-    owner = np.repeat(np.arange(len(texts)), size)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
     new = np.ones(len(cls), bool)
     new[1:] = (cls[1:] != cls[:-1]) | (cls[1:] >= 16) | (owner[1:] != owner[:-1])
     seq, own = cls[new].astype(np.uint64), owner[new]
-    at, bucket, value = [], [], []
     h = np.zeros(len(seq), np.uint64)
-    for n in range(1, 5):
+    for n in range(1, 4):
         if n > len(seq):
             break
         h = h[:len(seq) - n + 1] * np.uint64(0x100000001B3) + seq[n - 1:]
         ok = np.flatnonzero(own[:len(h)] == own[n - 1:])
         o = own[ok]
-        at.append(o)
-        bucket.append((mix64(h[ok] + np.uint64(n << 50)) % np.uint64(SHAPES)).astype(np.int64))
-        value.append(SHAPE_SCALE / np.bincount(o, minlength=len(texts))[o])
-    upper = np.bincount(owner, cls == 2, minlength=len(texts)) / np.maximum(size, 1)
+        share = SHAPE_SCALE / np.maximum(np.bincount(o, minlength=len(texts)), 1)
+        yield o, (mix64(h[ok] + np.uint64(n << 50)) % np.uint64(SHAPES)).astype(np.int64), share
+
+
+def statistics(texts: list[str]) -> np.ndarray:
+    """Buckets of the binned statistics, a row per text."""
     stats = np.zeros((len(texts), 6), np.int64)
     for i, t in enumerate(texts):
-        words = t.split()
+        words, lines = t.split(), t.split("\n")
         n = len(words)
-        lines = t.split("\n")
-        again = sum(map(str.__eq__, words, words[1:])) / n if n else 0.0
         length = min(15, n.bit_length())
+        again = sum(map(str.__eq__, words, words[1:])) / n if n else 0.0
+        upper = sum(map(str.isupper, words)) / n if n else 0.0
         stats[i] = (length, length * 16 + int(15 * len(set(words)) / n) if n else 0, min(15, int(40 * again)),
-                    min(30, len(t) // n) if n else 31, int(15 * len(set(lines)) / len(lines)), min(15, int(30 * upper[i])))
+                    min(30, len(t) // n) if n else 31, int(15 * len(set(lines)) / len(lines)), min(15, int(30 * upper)))
     name = np.arange(stats.shape[1], dtype=np.int64) * 4096 + (1 << 40)
+    return (mix64((stats + name).ravel()) % np.uint64(SHAPES)).astype(np.int64).reshape(stats.shape)
+
+
+def shape_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, bucket, value) of shapes and statistics, each bucket of a text once."""
+    texts = [t or "" for t in texts]
+    at, bucket, value = [], [], []
+    for o, b, share in shapes(texts):
+        at.append(o.astype(np.int64))
+        bucket.append(b)
+        value.append(share[o])
+    stats = statistics(texts)
     at.append(np.repeat(np.arange(len(texts)), stats.shape[1]))
-    bucket.append((mix64((stats + name).ravel()) % np.uint64(SHAPES)).astype(np.int64))
+    bucket.append(stats.ravel())
     value.append(np.ones(stats.size))
-    return np.concatenate(at), np.concatenate(bucket), np.concatenate(value)
+    key, inverse = np.unique(np.concatenate(at) * SHAPES + np.concatenate(bucket), return_inverse=True)
+    return key // SHAPES, key % SHAPES, np.bincount(inverse, np.concatenate(value))
 
 
 def tails(position: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
@@ -113,11 +126,13 @@ def tails(position: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 
 def positions(weight: np.ndarray, texts: list[str | None]) -> np.ndarray:
     """s of each text: one pass over its n-grams and shapes. ``weight`` covers BUCKETS + SHAPES."""
-    grams, shapes = weight[:BUCKETS], weight[BUCKETS:]
+    grams, own = weight[:BUCKETS], weight[BUCKETS:]
     at, found = distinct_grams(texts, grams != 0)
-    s = np.bincount(at, grams[found], minlength=len(texts))
-    at, found, value = shape_features(texts)
-    return s + np.bincount(at, shapes[found] * value, minlength=len(texts))
+    s = np.bincount(at, grams[found], minlength=len(texts)).astype(float)
+    texts = [t or "" for t in texts]
+    for o, found, share in shapes(texts):
+        s += np.bincount(o, own[found], minlength=len(texts)) * share
+    return s + own[statistics(texts)].sum(axis=1)
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, grades: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,10 +209,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most: int = SAMPLE, fo
                 at, found = distinct_grams(text[a:b], kept)
                 grams += [number[x] for x in np.split(found, np.searchsorted(at, np.arange(1, b - a)))]
                 at, found, value = shape_features(text[a:b])
-                key, inverse = np.unique(at * SHAPES + found, return_inverse=True)
-                cut = np.searchsorted(key // SHAPES, np.arange(1, b - a))
-                cols += np.split((key % SHAPES).astype(np.int32), cut)
-                vals += np.split(np.bincount(inverse, value).astype(np.float32), cut)
+                cut = np.searchsorted(at, np.arange(1, b - a))
+                cols += np.split(found.astype(np.int32), cut)
+                vals += np.split(value.astype(np.float32), cut)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(grams, pa.list_(pa.int32())), pa.array(cols, pa.list_(pa.int32())),
                                               pa.array(vals, pa.list_(pa.float32()))], names=["y", "grams", "cols", "vals"])
 
@@ -226,15 +240,30 @@ def grade(docs: DataFrame, weight: np.ndarray, thresholds: np.ndarray, extra: tu
         w, cuts = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            s = np.concatenate([positions(w, texts[a:b]) for a, b in blocks(texts)]) if texts else np.zeros(0)
+            s = np.concatenate([positions(w, texts[a:b]) for a, b in blocks(texts, 1 << 20)]) if texts else np.zeros(0)
             p = tails(s, cuts)
             tail = p[:, least_grade - 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p.sum(axis=1)), pa.array(tail), pa.array(list(p), pa.list_(pa.float64())), pa.array(tail >= least_tail)],
                                              names=[*kept, "expected_grade", "tail", "tails", "selected"])
 
     inner = docs.select(*dict.fromkeys((*kept, "text")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.select(*kept).schema)
-    return inner.mapInArrow(run, f"{schema}, expected_grade double, tail double, tails array<double>, selected boolean")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.select(*kept).schema]
+    return inner.mapInArrow(run, ", ".join([*schema, "expected_grade double", "tail double", "tails array<double>", "selected boolean"]))
+
+
+def selected(docs: DataFrame, weight: np.ndarray, thresholds: np.ndarray, least_grade: int = LEAST_GRADE, least_tail: float = LEAST_TAIL) -> DataFrame:
+    """The rows of ``docs`` whose P(grade >= ``least_grade``) reaches ``least_tail``, all columns as they are."""
+    spark = ready(docs.sparkSession)
+    shared = spark.sparkContext.broadcast((weight, thresholds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, cuts = shared.value
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            keep = [x >= least_tail for a, b in blocks(texts, 1 << 20) for x in tails(positions(w, texts[a:b]), cuts)[:, least_grade - 1].tolist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 GRADES = 3
