@@ -65,7 +65,7 @@ def _press(a: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, compressed."""
     import zstandard
     a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
 
 
 def _unpress(data: bytes, kind: str, n: int) -> np.ndarray:

@@ -168,6 +168,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, m
                         lengths.append(got)
                         taken[got] = taken.get(got, 0) + 1
                         room -= got
+                    if not taken:
+                        break
                     times = min(left, *(int(stock.n[g]) // k for g, k in taken.items()))
                     runs.append((times, lengths))
                     for g, k in taken.items():

@@ -27,7 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_katz_scores": op5_katz_scores,
     "op6_seekable_warc": OP6_SQL,
     "op8_preference_pairs": OP8_SQL,
 }

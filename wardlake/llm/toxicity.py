@@ -212,8 +212,22 @@ def score(docs: DataFrame, model: LinearModel, extra: tuple[str, ...] = ()) -> D
 
     kept = list(dict.fromkeys((*extra, "text"))) if "text" in extra else list(extra)
     inner = docs.select(*dict.fromkeys((*kept, "text")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.select(*kept).schema) + ", score double, predicted int"
-    return inner.mapInArrow(run, schema)
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.select(*kept).schema]
+    return inner.mapInArrow(run, ", ".join([*schema, "score double", "predicted int"]))
+
+
+def without_toxic(docs: DataFrame, model: LinearModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``, all columns as they are."""
+    spark = ready(docs.sparkSession)
+    shared = spark.sparkContext.broadcast((model.weight, model.intercept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            keep = [x < least for a, b in blocks(texts) for x in LinearModel(*shared.value).scores(texts[a:b]).tolist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
