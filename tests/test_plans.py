@@ -6,6 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from wardlake.plans.registry import all_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,8 +29,8 @@ def details(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    q = E.queries()
-    return {name: plan(fn(spark, SF)) for name, fn in q.items() if not name.startswith("stream_")}
+    q = all_queries()
+    return {name: plan(fn(spark, SF)) for name, (fn, _) in q.items() if not name.startswith("stream_")}
 
 
 def test_no_cartesian_or_nested_loop_joins(plans):
@@ -53,6 +54,6 @@ def test_latest_per_key_is_an_aggregate_not_a_window(plans):
         assert "Window" not in plans[name], name
 
 
-def test_ledger_is_one_exchange_and_no_join(plans):
+def test_ledger_result_reads_the_written_pass(plans):
     p = plans["stock_ledger_apply"]
-    assert "Join" not in p and p.count("Exchange") == 1 and "MapInPandas" in p
+    assert "MapInPandas" not in p and "Window" not in p and p.count("MapInArrow") == 1

@@ -3,6 +3,7 @@ Results are checked against a brute-force replay on the driver (small fixture)."
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -113,35 +114,53 @@ def test_hot_client_nested_export_is_paged(spark):
     assert all(r.pages == 1 and r.page == 0 for r in small) and sum(len(r.history) for r in small) == 500
 
 
-def test_hot_drug_split_into_chunks_is_exact(spark):
+@pytest.fixture
+def many_partitions(spark):
+    """Small range partitions, so that drugs span many of them."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("probe", [2000, 20, 1])
+def test_drug_over_many_partitions_is_exact(spark, many_partitions, probe):
+    """With a short probe the walk has to replay partitions from their true entry and go on."""
     drugs = spark.range(100).select(F.col("id").alias("id"), F.concat(F.lit("d"), F.col("id")).alias("name"),
                                     F.lit(None).cast("string").alias("unit"),
                                     (F.col("id") % 7 * 10).cast("decimal(18,3)").alias("quantity_on_hand"))
     req = _requests(spark)
-    opening = {r.id: r.quantity_on_hand for r in drugs.collect()}
-    want, _ = _brute_force([tuple(r) for r in req.collect()], opening)
-    # drug 0 (10,000 requests) is hot: 10 chunks; probe long enough to merge.
-    split = ledger.stock_ledger_apply(drugs, req, ["seq"], hot_rows=1000, chunk_rows=1000, probe_rows=256)
-    got = {r.seq: (r.accepted, r.balance_after, r.reason is None) for r in split.collect()}
-    assert {k: v[:2] for k, v in got.items()} == want
-    assert all(v[2] == v[0] for v in got.values())
-    # a probe of one request cannot merge: the drug falls back to the sequential replay, still exact.
-    fallback = ledger.stock_ledger_apply(drugs, req, ["seq"], hot_rows=1000, chunk_rows=1000, probe_rows=1)
-    assert {r.seq: (r.accepted, r.balance_after) for r in fallback.collect()} == want
-
-
-def test_hot_drug_chunk_walk_resolves_and_merges(spark):
-    from wardlake.operators import ledger_split as LS
-    req = _requests(spark).where("drug_id = 0").withColumn("_q", (F.col("quantity") * 1000).cast("long"))
-    opening = spark.createDataFrame([(0, 0)], "drug_id long, _open long")
-    chunks = LS.write_chunks(req, ["drug_id"], ["seq"], 10)
-    entries = LS.chunk_entries(LS.summarise_chunks(chunks, ["drug_id"], ["seq"], 256), opening, ["drug_id"]).collect()
-    assert len(entries) == 10 and all(r["_resolved"] and r["_entry"] is not None for r in entries)
-    short = LS.chunk_entries(LS.summarise_chunks(chunks, ["drug_id"], ["seq"], 1), opening, ["drug_id"]).collect()
-    assert not short[0]["_resolved"]
-
-
-def test_hot_drug_split_respects_the_tenant_key(spark):
+    want, _ = _brute_force([tuple(r) for r in req.collect()], {r.id: r.quantity_on_hand for r in drugs.collect()})
+    got = ledger.stock_ledger_apply(drugs, req, ["seq"], probe=probe).collect()
+    assert len(got) == N and {r.seq: (r.accepted, r.balance_after) for r in got} == want
+    assert all((r.reason is None) == r.accepted for r in got)
+
+
+def test_unknown_and_null_drugs_are_refused_before_the_replay(spark, many_partitions):
+    big = 9007199254740993
+    req = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(77)).otherwise(F.lit(1)).cast("long").alias("drug_id"),
+        F.col("id").alias("seq"), F.lit("restock").alias("type"),
+        F.when(F.col("id") % 9 == 2, F.lit(None)).otherwise(F.lit(1)).cast("decimal(18,3)").alias("quantity"),
+        F.when(F.col("id") % 2 == 0, F.lit(big)).alias("created_by_staff_id"), F.lit("x").alias("_name2"))
+    drugs = spark.createDataFrame([(1, "d", None, 5)], "id long, name string, unit string, quantity_on_hand int").withColumn(
+        "quantity_on_hand", F.col("quantity_on_hand").cast("decimal(18,3)"))
+    out = ledger.stock_ledger_apply(drugs, req, ["seq"])
+    assert out.columns == [*req.columns, "accepted", "reason", "balance_after"]
+    got = {r.seq: r for r in out.collect()}
+    assert len(got) == 9000
+    for i, r in got.items():
+        assert r.created_by_staff_id == (big if i % 2 == 0 else None)
+        if i % 3 == 2:
+            assert (r.accepted, r.reason) == ((False, "quantity must be greater than 0") if i % 9 == 2 else (True, None))
+        else:
+            assert (r.accepted, r.balance_after, r.reason) == (False, None, "No drug with id null" if i % 3 == 0 else "No drug with id 77")
+    assert max(r.balance_after for r in got.values() if r.balance_after is not None) == 5 + 2000
+
+
+def test_hot_drug_respects_the_tenant_key(spark, many_partitions):
     # Two clinics use the same drug ids; clinic 1's drug 0 is hot, clinic 2's is not.
     req = _requests(spark).withColumn("clinic_id", F.when(F.col("seq") % 2 == 0, F.lit(1)).otherwise(F.lit(2)))
     req = req.where((F.col("clinic_id") == 1) | (F.col("drug_id") != 0) | (F.col("seq") % 7 == 1))
@@ -150,8 +169,7 @@ def test_hot_drug_split_respects_the_tenant_key(spark):
                                     F.concat(F.lit("d"), F.col("id")).alias("name"),
                                     F.lit(None).cast("string").alias("unit"),
                                     (F.col("id") % 5 * 10).cast("decimal(18,3)").alias("quantity_on_hand"))
-    got = ledger.stock_ledger_apply(drugs, req, ["seq"], tenant=["clinic_id"], hot_rows=2000, chunk_rows=1000,
-                                    probe_rows=256)
+    got = ledger.stock_ledger_apply(drugs, req, ["seq"], tenant=["clinic_id"], probe=256)
     got = {r.seq: (r.accepted, r.balance_after) for r in got.collect()}
     bal = {(r.clinic_id, r.id): r.quantity_on_hand for r in drugs.collect()}
     want = {}

@@ -2,21 +2,30 @@
 
 The rule is order-dependent: a dispense larger than what is on hand is
 refused and leaves the balance unchanged, so every later outcome depends on
-every earlier refusal. A running sum cannot express it (it would go negative)
-and the outcome of one request is a function of the whole prefix, so each
-drug's requests are replayed in sequence.
-
-Plan: opening stock joins the request stream as a first row per drug (a
-union, no join), the stream is hash-partitioned by (clinic, drug) and sorted
-within partitions, and ``mapInPandas`` folds it batch by batch carrying only
-(drug, balance) between rows. Memory per task is one Arrow batch, whatever
-the size of a drug's history: a drug holding a third of all requests is
-streamed through the sort and the fold, never collected into one list. The
-sequential dependency itself cannot be split: a hot drug is one sequential
-pass, and the other drugs spread over the remaining tasks.
-
-Quantities enter the fold as exact integer thousandths (DECIMAL(18,3)
-scaled), so balances are exact.
+every earlier refusal. A running sum cannot express it.
+
+One plan for drugs of any size:
+
+1. Requests for unknown drugs (and NULL ids) are refused by a join and never
+   reach the replay.
+2. The others are range-partitioned by (drug, order): a drug with many
+   requests spans several partitions, a small one lies inside one. Each
+   partition is replayed in one pass (``mapInArrow``; columns that the replay
+   does not need stay Arrow arrays), every drug from its opening stock, and
+   written once to the shared checkpoint folder with a summary of its first
+   and last drug.
+3. Only a drug that continues from an earlier partition can have started from
+   a wrong balance. Its summaries (one small row per partition) are walked in order:
+   a partition entered at ``x`` ends at ``x + net`` if nothing in it is
+   refused from there (``x >= need``); otherwise its first ``PROBE`` requests
+   are replayed from ``x`` until the balance meets that of the first pass, after
+   which both are the same. Should they not meet within the probe, that one
+   partition is replayed from its true entry, and the walk goes on.
+4. Partitions entered with another balance than assumed are replayed from their
+   true entry, in parallel; all other rows are final after the first pass.
+
+Replays from different balances meet quickly, because a refusal leaves a
+balance below the refused quantity. Quantities are exact integer thousandths.
 """
 
 from __future__ import annotations
@@ -24,15 +33,20 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import QTY
-from ..session import ship_package
+from ..session import ship_package, shared_table
 
+# Fixed texts of refusals
 REASON_QTY = "quantity must be greater than 0"
 REASON_TYPE = "type must be restock or dispense"
+REASON_UNKNOWN = "No drug with id "
+
+PROBE = 2_000        # requests kept in a summary, to be replayed by the walk
 
 
 def _num_text(milli: int) -> str:
@@ -47,7 +61,7 @@ def step(bal: int | None, typ: str, q: int | None, drug_id, name: str | None, un
     exist). Returns (new balance, accepted, reason). Checks run in the
     application's order: drug exists, type, quantity > 0, enough on hand."""
     if bal is None:
-        return None, False, f"No drug with id {drug_id}"
+        return None, False, f"{REASON_UNKNOWN}{'null' if drug_id is None else drug_id}"
     if typ not in ("restock", "dispense"):
         return bal, False, REASON_TYPE
     if q is None or q <= 0:
@@ -63,99 +77,199 @@ def _int_or_none(q):
     return None if q is None or q != q else int(q)
 
 
-def _fold(tenant: Sequence[str]):
-    key_cols = [*tenant, "drug_id"]
+def _milli(c: str):
+    return (F.col(c) * F.lit(1000)).cast("long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, bal, name, unit = None, None, None, None
-        for pdf in batches:
-            keys = list(zip(*[pdf[c].tolist() for c in key_cols]))
-            kinds = pdf["_kind"].tolist()
-            qs = pdf["_q"].tolist()
-            types = pdf["type"].tolist()
-            names, units = pdf["_name"].tolist(), pdf["_unit"].tolist()
-            accepted, reasons, after = [], [], []
-            for k, kind, q, typ, nm, un in zip(keys, kinds, qs, types, names, units):
-                q = _int_or_none(q)
-                if kind == 0:                      # opening row of a drug
-                    cur, bal, name, unit = k, q, nm, un
-                    continue
-                if k != cur:                       # requests for a drug that does not exist
-                    cur, bal, name, unit = k, None, None, None
-                bal, ok, why = step(bal, typ, q, k[-1], name, unit)
+
+SUMMARY = T.StructType([T.StructField("need", T.LongType()), T.StructField("net", T.LongType()),
+                        T.StructField("n", T.LongType()), T.StructField("exit", T.LongType()),
+                        T.StructField("states", T.ArrayType(T.LongType())),
+                        T.StructField("types", T.ArrayType(T.StringType())),
+                        T.StructField("qs", T.ArrayType(T.LongType()))])
+
+
+OUTCOME = (("accepted", pa.bool_()), ("reason", pa.string()), ("_after", pa.int64()))
+ARROW_SUMMARY = pa.struct([(n, pa.int64()) for n in ("need", "net", "n", "exit")]
+                          + [("states", pa.list_(pa.int64())), ("types", pa.list_(pa.string())), ("qs", pa.list_(pa.int64()))])
+
+
+class _Run:
+    """The requests of one drug in one partition, as far as they have come."""
+
+    def __init__(self, key, start: int, probe: int):
+        self.key, self.bal, self.probe = key, start, probe
+        self.need = self.net = self.n = 0
+        self.states, self.types, self.qs = [], [], []
+
+    def add(self, typ: str, q: int | None, name, unit):
+        self.bal, ok, why = step(self.bal, typ, q, None, name, unit)
+        if q is not None and q > 0:
+            if typ == "restock":
+                self.net += q
+            elif typ == "dispense":
+                self.need = max(self.need, q - self.net)
+                self.net -= q
+        self.n += 1
+        if self.n <= self.probe:
+            self.states.append(self.bal)
+            self.types.append(typ)
+            self.qs.append(q)
+        return ok, why
+
+    def summary(self) -> dict:
+        return {"need": self.need, "net": self.net, "n": self.n, "exit": self.bal, "states": self.states, "types": self.types, "qs": self.qs}
+
+
+def _first_pass(keys: Sequence[str], kept: Sequence[str], probe: int):
+    """Replay a sorted partition, every drug from its opening stock; the last
+    rows are the summaries of its first and last drug."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        part, first, cur, schema = TaskContext.get().partitionId(), None, None, None
+        done = []
+        for batch in batches:
+            schema = schema or pa.schema([*(batch.schema.field(c).with_nullable(True) for c in kept), *(pa.field(*f) for f in OUTCOME), pa.field("_part", pa.int32()), pa.field("_first", pa.bool_()), pa.field("_sum", ARROW_SUMMARY)])
+            key_rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            accepted, reasons, after, is_first = [], [], [], []
+            for key, typ, q, start, name, unit in zip(key_rows, *(batch.column(c).to_pylist() for c in ("type", "_q", "_open", "_name", "_unit")), strict=True):
+                if cur is None or key != cur.key:
+                    if cur is not None and cur is first:
+                        done.append(cur)
+                    cur = _Run(key, start, probe)
+                    first = first or cur
+                ok, why = cur.add(typ, q, name, unit)
                 accepted.append(ok)
                 reasons.append(why)
-                after.append(bal)
-            out = pdf[pdf["_kind"] == 1].drop(columns=["_kind", "_q", "_name", "_unit"])
-            out = out.assign(accepted=accepted, reason=reasons,
-                             _after=pd.array(after, dtype="Int64"))
-            yield out
+                after.append(cur.bal)
+                is_first.append(cur is first)
+            n = len(accepted)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(accepted, pa.bool_()), pa.array(reasons, pa.string()), pa.array(after, pa.int64()),
+                 pa.array([part] * n, pa.int32()), pa.array(is_first, pa.bool_()), pa.nulls(n, ARROW_SUMMARY)], schema=schema)
+        if cur is not None:
+            done.append(cur)
+            cols = []
+            for f in schema:
+                if f.name in keys:
+                    cols.append(pa.array([r.key[keys.index(f.name)] for r in done], f.type))
+                elif f.name == "_part":
+                    cols.append(pa.array([part] * len(done), f.type))
+                elif f.name == "_sum":
+                    cols.append(pa.array([r.summary() for r in done], f.type))
+                else:
+                    cols.append(pa.nulls(len(done), f.type))
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
     return run
 
 
-HOT_ROWS = 1_000_000        # a drug with more requests is replayed in parallel chunks
-CHUNK_ROWS = 500_000        # rows per chunk of a hot drug (one task's memory)
-PROBE_ROWS = 512            # requests replayed per chunk to meet the reference replay
-MAX_BROADCAST_KEYS = 100_000
-
-
-def _milli(c: str):
-    return (F.col(c) * F.lit(1000)).cast("long")
+def _replay(kept: Sequence[str]):
+    """Replay partitions' first drugs, sorted by (partition, order), from ``_entry``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cur, bal = None, None
+        for batch in batches:
+            accepted, reasons, after = [], [], []
+            for part, entry, typ, q, name, unit in zip(*(batch.column(c).to_pylist() for c in ("_part", "_entry", "type", "_q", "_name", "_unit")), strict=True):
+                if part != cur:
+                    cur, bal = part, entry
+                bal, ok, why = step(bal, typ, q, None, name, unit)
+                accepted.append(ok)
+                reasons.append(why)
+                after.append(bal)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(accepted, pa.bool_()), pa.array(reasons, pa.string()), pa.array(after, pa.int64())],
+                                             schema=pa.schema([*(batch.schema.field(c).with_nullable(True) for c in kept), *(pa.field(*f) for f in OUTCOME)]))
+    return run
 
 
-def _sequential(drugs: DataFrame, requests: DataFrame, order: Sequence[str], tenant: Sequence[str]) -> DataFrame:
-    """Per-drug streaming fold (see module doc); output carries ``_after``."""
-    req_cols = [c for c in requests.columns if c not in (*tenant, "drug_id")]
-    opening = drugs.select(
-        *tenant, F.col("id").alias("drug_id"), F.lit(0).alias("_kind"), _milli("quantity_on_hand").alias("_q"),
-        F.col("name").alias("_name"), F.col("unit").alias("_unit"))
-    reqs = requests.select(
-        *tenant, "drug_id", F.lit(1).alias("_kind"), _milli("quantity").alias("_q"),
-        F.lit(None).cast("string").alias("_name"), F.lit(None).cast("string").alias("_unit"), *req_cols)
-    stream = (reqs.unionByName(opening, allowMissingColumns=True)
-              .repartition(*tenant, "drug_id")
-              .sortWithinPartitions(*tenant, "drug_id", "_kind", *order))
-    base = [f for f in stream.schema.fields if f.name not in ("_kind", "_q", "_name", "_unit")]
-    schema = T.StructType(base + [T.StructField("accepted", T.BooleanType()),
-                                  T.StructField("reason", T.StringType()),
-                                  T.StructField("_after", T.LongType())])
-    return stream.mapInPandas(_fold(tenant), schema)
+def _walk(keys: Sequence[str]):
+    """Entry balance of each further partition of a drug, up to the first whose exit is not known."""
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        out, x = [], None
+        for part, start, sm, exact in zip(pdf["_part"], pdf["_open"], pdf["_sum"], pdf["_exit"], strict=True):
+            if x is None or x == start:
+                x = int(sm["exit"])
+                continue
+            row = [part, x, True]
+            if exact is not None and exact == exact:
+                x = int(exact)
+            elif x >= sm["need"]:
+                x += int(sm["net"])
+            else:
+                y, met = x, False
+                for typ, q, ref in zip(sm["types"], sm["qs"], sm["states"], strict=True):
+                    y = step(y, typ, _int_or_none(q), None, "", None)[0]
+                    if y == ref:
+                        met = True
+                        break
+                if met:
+                    x = int(sm["exit"])
+                elif sm["n"] <= len(sm["qs"]):
+                    x = y
+                else:
+                    row[2] = False
+            out.append(row)
+            if not row[2]:
+                break
+        got = pd.DataFrame(out, columns=["_part", "_entry", "_resolved"])
+        for k in keys:
+            got[k] = pdf[k].iat[0]
+        return got[[*keys, "_part", "_entry", "_resolved"]]
+    return walk
 
 
 def stock_ledger_apply(drugs: DataFrame, requests: DataFrame, order: Sequence[str],
-                       tenant: Sequence[str] = (), hot_rows: int | None = HOT_ROWS,
-                       chunk_rows: int = CHUNK_ROWS, probe_rows: int = PROBE_ROWS) -> DataFrame:
+                       tenant: Sequence[str] = (), probe: int = PROBE) -> DataFrame:
     """Every request with ``accepted``, ``reason`` (NULL when accepted) and
     ``balance_after`` (stock after the request; NULL for an unknown drug).
 
     ``order`` names the request columns that give the total order within a
-    drug (they must be unique per drug for a deterministic replay).
-
-    Drugs with more than ``hot_rows`` requests (found with one
-    partial-aggregated count) are replayed in parallel chunks
-    (``ledger_split``); the rest, and any hot drug whose chunk walk does not
-    resolve, go through the per-drug streaming fold. ``hot_rows=None`` skips
-    the check."""
-    from .ledger_split import replay_hot
-    ship_package(requests.sparkSession)
-    keys = [*tenant, "drug_id"]
-    folded = _sequential(drugs, requests, order, tenant)
-    # No drug can be hot when all requests together are at most hot_rows (a column-less count).
-    if hot_rows is not None and requests.count() > hot_rows:
-        known = drugs.where(F.col("quantity_on_hand").isNotNull()).select(*tenant, F.col("id").alias("drug_id"))
-        hot = (requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-               .join(known, keys, "left_semi"))
-        stats = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("rows")).collect()[0]   # two numbers
-        if stats["k"]:
-            hot_keys = hot.select(*keys)
-            if stats["k"] <= MAX_BROADCAST_KEYS:          # measured above: at most this many keys
-                hot_keys = F.broadcast(hot_keys)
-            cold = requests.join(hot_keys, keys, "left_anti")
-            hot_req = requests.join(hot_keys, keys, "left_semi").withColumn("_q", _milli("quantity"))
-            done, left = replay_hot(drugs, hot_req, keys, order, int(stats["rows"]), chunk_rows, probe_rows,
-                                    folded.schema, tenant)
-            folded = _sequential(drugs, cold.unionByName(left), order, tenant).unionByName(done)
-    return folded.withColumn("balance_after", (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY)).drop("_after")
+    drug (they must be unique per drug for a deterministic replay). The first
+    pass is written to the shared checkpoint folder when this is called."""
+    spark = requests.sparkSession
+    ship_package(spark)
+    keys, kept = [*tenant, "drug_id"], requests.columns
+    info = drugs.where(F.col("quantity_on_hand").isNotNull()).select(
+        *tenant, F.col("id").alias("drug_id"), _milli("quantity_on_hand").alias("_open"), F.col("name").alias("_name"), F.col("unit").alias("_unit"))
+    has_id = requests.where(F.col("drug_id").isNotNull())
+    known = has_id.withColumn("_q", _milli("quantity")).join(info, keys)
+    lost = has_id.join(info.select(*keys), keys, "left_anti").select(*kept).union(requests.where(F.col("drug_id").isNull()))
+    refused = lost.select(*kept, F.lit(False).alias("accepted"),
+                          F.concat(F.lit(REASON_UNKNOWN), F.coalesce(F.col("drug_id").cast("string"), F.lit("null"))).alias("reason"), F.lit(None).cast("long").alias("_after"))
+
+    def loose(fields) -> T.StructType:
+        return T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+
+    outcome = [T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("_after", T.LongType())]
+    rows_schema = loose([*requests.schema.fields, *outcome])
+    helpers = [known.schema[c] for c in ("_q", "_open", "_name", "_unit")]
+    schema = loose([*requests.schema.fields, *helpers, *outcome, T.StructField("_part", T.IntegerType()),
+                    T.StructField("_first", T.BooleanType()), T.StructField("_sum", SUMMARY)])
+    passed = shared_table(known.select(*kept, "_q", "_open", "_name", "_unit").repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+                          .mapInArrow(_first_pass(keys, [*kept, "_q", "_open", "_name", "_unit"], probe), schema), "ledger-pass")
+    summaries = passed.where(F.col("_sum").isNotNull()).select(*keys, "_part", "_sum").join(info.select(*keys, "_open"), keys)
+    rows = passed.where(F.col("_sum").isNull())
+    entry_schema = loose([*[requests.schema[k] for k in keys], T.StructField("_part", T.IntegerType()), T.StructField("_entry", T.LongType()),
+                          T.StructField("_resolved", T.BooleanType())])
+
+    def replayed(entries: DataFrame) -> DataFrame:
+        again = (rows.where("_first").join(entries.select(*keys, "_part", "_entry"), [*keys, "_part"])
+                 .select(*kept, "_q", "_name", "_unit", "_part", "_entry").repartition("_part").sortWithinPartitions("_part", *order))
+        return again.mapInArrow(_replay(kept), rows_schema)
+
+    exits = None
+    while True:   # once, but for partitions whose replays do not meet within the probe
+        seen = summaries.withColumn("_exit", F.lit(None).cast("long")) if exits is None else summaries.join(exits, [*keys, "_part"], "left")
+        entries = shared_table(seen.select(*keys, "_part", "_open", "_sum", "_exit").groupBy(*keys).applyInPandas(_walk(keys), entry_schema), "ledger-entries")
+        stuck = entries.where(~F.col("_resolved"))
+        if stuck.isEmpty():
+            break
+        ends = (replayed(stuck).groupBy(*keys).agg(F.max(F.struct(*order, "_after")).alias("_end"))
+                .join(stuck.select(*keys, "_part"), keys).select(*keys, "_part", F.col("_end._after").alias("_exit")))
+        exits = shared_table(ends if exits is None else exits.union(ends.select(*exits.columns)), "ledger-exits")
+    fixed = replayed(entries)
+    kept_rows = rows.join(entries.select(*keys, "_part", F.lit(True).alias("_first")), [*keys, "_part", "_first"], "left_anti")
+    out = kept_rows.select(*kept, "accepted", "reason", "_after").union(fixed).union(refused)
+    return out.withColumn("balance_after", (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY)).drop("_after")
 
 
 def accepted_movements(ledger: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -42,8 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from the session (``spark.checkpoint.dir``, as the cluster sets it),
     else the folder already given to ``setCheckpointDir``. Only when neither
     exists (local runs, tests) a private folder is made and registered with
-    ``setCheckpointDir``; jobs never fall back to a machine-local folder where
-    the cluster names a shared one. The setting itself is a core config that
+    ``setCheckpointDir``; on a cluster without the setting this raises an error,
+    so jobs never fall back to a machine-local folder. The setting itself is a core config that
     cannot change at runtime, so it is never written here."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     sc = spark.sparkContext
@@ -54,11 +55,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="wardlake-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
+def shared_table(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back, so
+    that later steps see one version of it and lost executors cost nothing."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: list[bool] = []
 
 
