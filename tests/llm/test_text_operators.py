@@ -227,6 +227,23 @@ def test_near_duplicates_of_all_documents(spark):
     check_components(neardup.op3_fast_sketch_dedup(spark, SF).collect(), rows, 4, 80)
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("aAbB é\t\n\x0b\x0c\r\x1c\x85.") for _ in range(rnd.randint(0, 60))) for _ in range(400)] + ["x" * 50, "", None, "y" * 20 + " z"]
+    plain = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    for segment in (16, 1 << 18):
+        monkeypatch.setattr(shingles, "SEGMENT", segment)
+        monkeypatch.setattr(shingles, "worker_state", lambda name, make: make())
+        h, n = shingles.hash_words(texts)
+        assert n.tolist() == [len(w) for w in plain] and len(h) == sum(n)
+        names = {}
+        for x, w in zip(h.tolist(), (w for own in plain for w in own), strict=True):
+            if len(w.encode()) <= 16:
+                assert names.setdefault(w, x) == x
+        assert len(set(names.values())) == len(names)
+    assert [len(x) for x in shingles.hash_words([])] == [0, 0]
+
+
 def test_sketches_fill_every_coordinate_and_agree_as_jaccard():
     rng = np.random.default_rng(3)
     one = rng.integers(0, 2**63, 400, dtype=np.uint64)
@@ -315,6 +332,7 @@ def fold(i, n):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_katz_scores_against_a_plain_model(spark, order, monkeypatch):
     monkeypatch.setattr(katz, "CHUNK_TOKENS", 9000)   # several chunks a task
+    monkeypatch.setattr(katz, "BLOCK_ROWS", 7)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd_documents(spark).where("doc_id < 9 or doc_id > 10").select(F.col("doc_id") + 100_000, "text"))
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(False))
     rows = [(r.doc_id, r.text) for r in docs.collect()]

@@ -15,7 +15,7 @@ words seen after h. A history of which no count is discounted would leave nothin
 the others; it gives up half a count (``s(h) = c / (c + 1/2)``), else s(h) = 1.
 At order 1 the unknown word has the mass that the discounts set free.
 
-The corpus is worked in chunks of about ``CHUNK_TOKENS`` tokens (whole texts), and
+The corpus is worked in chunks of about ``CHUNK_TOKENS`` tokens (whole texts, words as 64-bit hashes), and
 each chunk sends every distinct n-gram once, as a sorted run of 64-bit keys and
 training counts, to the bucket of the key's range. A frequent n-gram is therefore
 one entry a chunk, and no bucket can grow from one key. Buckets add up and keep the
@@ -46,14 +46,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, ready, saved, shared_folder, table, worker_state
+from .common import mix64, ready, saved, shared_folder, table
 from .files import open_folder
-from .shingles import ODD, WordHashes, words
+from .shingles import ODD, hash_words
 
 ORDER = 2
 CUT = 5
-CHUNK_TOKENS = 4_000_000
-CHUNK_INPUT = 16 << 20   # bytes of a Parquet file that make about one chunk
+CHUNK_TOKENS = 2_000_000
+BLOCK_CHARS, BLOCK_ROWS = 1 << 20, 2000   # texts that are cut into words at once
+CHUNK_INPUT = 8 << 20    # bytes of a Parquet file that make about one chunk
 END, START = np.uint64(0x9D5C2B0F1E37A648), np.uint64(0x41C6F2A97B30E5D8)
 
 SENT = "kind int, bucket int, part long, n long, keys binary, values binary"
@@ -86,29 +87,37 @@ def unpack_keys(data: bytes, n: int) -> np.ndarray:
 
 # ------------------------------------------------------------------ chunks
 class Chunk:
-    """Texts of a chunk as one stream of word hashes, with n-gram and history keys per token.
+    """Texts of a chunk as one stream of words, with n-gram and history numbers per token.
 
-    Kinds: 2 k - 1 for the k-grams, 2 k - 2 for the histories of order k >= 2."""
+    Kinds: 2 k - 1 for the k-grams, 2 k - 2 for the histories of order k >= 2 (all (k - 1)-grams and the
+    start). ``keys`` of a kind are sorted 64-bit hashes, ``at`` numbers each token's key, ``counts`` has
+    the learned tokens of each key."""
 
-    def __init__(self, ids: list, learn: list[bool], held: list[bool], hashes: list[np.ndarray], order: int):
+    def __init__(self, ids: list, learn: list[bool], held: list[bool], sizes: list[np.ndarray], hashes: list[np.ndarray], order: int):
         self.ids, self.held, self.order = ids, held, order
-        self.sizes = np.array([len(h) for h in hashes], np.int64)
-        w = np.concatenate(hashes)
-        first = np.zeros(len(w), bool)
-        first[np.cumsum(self.sizes) - self.sizes] = True
-        self.learned = np.repeat(np.array(learn, bool), self.sizes)
-        per_token = {1: w}
-        gram = w
+        self.sizes, w = np.concatenate(sizes), np.concatenate(hashes)
+        first = np.cumsum(self.sizes) - self.sizes
+        learned = np.repeat(np.array(learn, bool), self.sizes)
+        words, own = np.unique(w, return_inverse=True)
+        self.keys, self.at = {1: words}, {1: own.astype(np.int32)}
         for k in range(2, order + 1):
-            history = np.empty_like(gram)
-            history[1:] = gram[:-1]
-            history[first] = START + np.uint64(k)
-            gram = mix64(history * ODD[1] + mix64(w + ODD[2]) + np.uint64(k))
-            per_token[2 * k - 2], per_token[2 * k - 1] = history, gram
-        self.keys, self.at, self.seen_at, self.counts = {}, {}, {}, {}
-        for kind, x in per_token.items():
-            self.keys[kind], self.seen_at[kind], self.at[kind] = np.unique(x, return_index=True, return_inverse=True)
-            self.counts[kind] = np.bincount(self.at[kind][self.learned], minlength=len(self.keys[kind]))
+            before, at = self.keys[2 * k - 3], self.at[2 * k - 3]
+            start = START + np.uint64(k)
+            place = int(np.searchsorted(before, start))
+            history = np.empty_like(at)
+            history[1:] = at[:-1] + (at[:-1] >= place)
+            history[first] = place
+            self.keys[2 * k - 2], self.at[2 * k - 2] = np.insert(before, place, start), history
+            gram = mix64(self.keys[2 * k - 2][history] * ODD[1] + mix64(w + ODD[2]) + np.uint64(k))
+            self.keys[2 * k - 1], at = np.unique(gram, return_inverse=True)
+            self.at[2 * k - 1] = at.astype(np.int32)
+        self.counts = {kind: np.bincount(at[learned], minlength=len(self.keys[kind])) for kind, at in self.at.items()}
+
+    def example(self, kind: int) -> np.ndarray:
+        """A token of each key."""
+        out = np.zeros(len(self.keys[kind]), np.int64)
+        out[self.at[kind]] = np.arange(len(self.at[kind]))
+        return out
 
     def cuts(self, kind: int, buckets: int) -> np.ndarray:
         """Where each bucket's range of keys ends."""
@@ -128,27 +137,49 @@ class Chunk:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in SENT.split(", ")])
 
 
+def with_ends(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of tokens of each text, hashes of all tokens): the words of each text and its end."""
+    h, n = hash_words(texts)
+    out = np.full(len(h) + len(n), END, np.uint64)
+    place = np.ones(len(out), bool)
+    place[np.cumsum(n + 1) - 1] = False
+    out[place] = h
+    return n + 1, out
+
+
 def chunks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int, Chunk]]:
-    """(part, chunk): consecutive whole texts of this task's rows (doc_id, text, learn, held)."""
-    first = TaskContext.get().partitionId() << 24
-    part, size, held = first, 0, ([], [], [], [])
+    """(part, chunk): consecutive whole texts of this task's rows (doc_id, text, learn, held), closed by the first
+    text that fills it; texts go in by blocks that depend on the rows alone."""
+    part, size, held = TaskContext.get().partitionId() << 24, 0, ([], [], [], [], [])
+    rows: list[list] = [[], [], [], []]
+    length = 0
+
+    def flush() -> None:
+        nonlocal size, length
+        n, h = with_ends(rows[1])
+        for x, v in zip(held[:3], (rows[0], rows[2], rows[3]), strict=True):
+            x.extend(v)
+        held[3].append(n)
+        held[4].append(h)
+        size += len(h)
+        length = 0
+        for x in rows:
+            x.clear()
+
     for batch in batches:
-        for doc_id, text, learn, out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            cache = worker_state("word hashes", WordHashes)
-            if len(cache) > 1_000_000:
-                cache.clear()
-            w = words(text)
-            h = np.empty(len(w) + 1, np.uint64)
-            h[:-1] = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
-            h[-1] = END
-            if size and size + len(h) > CHUNK_TOKENS:
-                yield part, Chunk(held[0], held[1], held[2], held[3], order)
-                part, size, held = part + 1, 0, ([], [], [], [])
-            for x, v in zip(held, (doc_id, learn, out, h), strict=True):
+        for row in (r for lo in range(0, batch.num_rows, 500) for r in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns), strict=True)):
+            for x, v in zip(rows, row, strict=True):
                 x.append(v)
-            size += len(h)
+            length += len(row[1]) if row[1] else 0
+            if length >= BLOCK_CHARS or len(rows[0]) >= BLOCK_ROWS:
+                flush()
+                if size >= CHUNK_TOKENS:
+                    yield part, Chunk(*held, order)
+                    part, size, held = part + 1, 0, ([], [], [], [], [])
+    if rows[0]:
+        flush()
     if size:
-        yield part, Chunk(held[0], held[1], held[2], held[3], order)
+        yield part, Chunk(*held, order)
 
 
 # ------------------------------------------------------------------ tables
@@ -307,7 +338,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 totals, owner = told(chunk, counts, part, kinds)
                 gram, history = 2 * k - 1, 2 * k - 2
                 use = np.flatnonzero(owner[gram] & (totals[gram] > 0))
-                at = chunk.seen_at[gram][use]        # a token that ends in this n-gram
+                at = chunk.example(gram)[use]        # a token that ends in this n-gram
                 h = chunk.at[history][at]
                 lower = probabilities(chunk, part, model, totals, weights, k - 1)[at]
                 seen = model.discounted(k, totals[gram][use]) / np.maximum(totals[history][h], 1)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, ready, saved, table
 from .components import components
-from .shingles import band_keys, shingle_set, sketch
+from .shingles import band_keys, shingle_sets, sketch
 
 ROWS, BANDS = 6, 40
 CHUNK = 512
@@ -62,7 +62,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in blocks(texts, 1 << 20):
-                sets = [shingle_set(t, width) for t in texts[a:b]]
+                sets = shingle_sets(texts[a:b], width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 if full:
@@ -81,14 +81,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """The rows of ``pairs(a, b)`` whose full sets are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, own = None, None
-        for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            ok = []
-            for i in range(len(a)):
-                if a[i] != name:  # sorted by a: its set is made once
-                    name, own = a[i], shingle_set(ta[i], width)
-                ok.append(alike(own, shingle_set(tb[i], width), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                batch = whole.slice(lo, 200)
+                a = batch.column(0).to_pylist()
+                ok = []
+                for i, other in enumerate(shingle_sets(batch.column(3).to_pylist(), width)):
+                    if a[i] != name:  # sorted by a: its set is made once
+                        name, own = a[i], shingle_sets([batch.column(2)[i].as_py()], width)[0]
+                    ok.append(alike(own, other, percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     ready(pairs.sparkSession)
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -101,7 +103,7 @@ def open_links(group: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     first = group.drop_duplicates("node").sort_values("node")
     node, comp, chunk, pivot = (first[c].to_numpy() for c in ("node", "component", "chunk", "pivot"))
     i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    sets = [shingle_set(t, width) for t in first["text"]]
+    sets = [x for lo in range(0, len(first), 200) for x in shingle_sets(first["text"].iloc[lo:lo + 200].tolist(), width)]
     size = np.array([len(s) for s in sets])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.cumsum(size) - size
