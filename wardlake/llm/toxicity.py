@@ -40,11 +40,11 @@ from .common import blocks, mix64, ready, table, worker_state
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
-FEATURES = 20_000
+FEATURES = 4_000
 SAMPLE = 20_000
 LEAST_TEXTS = 3
 PENALTY = 1e-4
-ROUNDS = 400
+ROUNDS = 150
 
 
 def _alphabet() -> np.ndarray:
