@@ -118,7 +118,11 @@ def test_stock_ledger_refusals_and_reconcile(spark):
     assert onhand == {1: Decimal("125"), 2: Decimal("0"), 3: Decimal("40"), 4: Decimal("10")}
     exp = dict(rows(ledger.stock_expiry_replace(d, lf, ORDER), "drug_id", "expiry_date"))
     assert exp[1] == days(400) and exp[2] is None and exp[3] == days(5)
-    assert all(r.balanced for r in ledger.stock_reconcile(d, lf, ORDER).collect())
+    log = ledger.accepted_movements(lf)
+    after = ledger.stock_on_hand(d, lf, ORDER).select(F.col("drug_id").alias("id"), "quantity_on_hand")
+    assert all(r.balanced for r in ledger.stock_reconcile(d, log, after).collect())
+    wrong = after.withColumn("quantity_on_hand", F.when(F.col("id") == 2, 7).otherwise(F.col("quantity_on_hand")))
+    assert [r.drug_id for r in ledger.stock_reconcile(d, log, wrong.where("id < 4")).collect() if not r.balanced] == [2, 4]
 
 
 def test_low_stock_expiring_and_attention(spark):
@@ -180,8 +184,10 @@ def test_snapshot_names_and_retention(spark, tmp_path):
     for h in range(4):
         sinks.snapshot_write(t, root, dt.datetime(2026, 8, 14, h, 0, 0))
     assert sinks.snapshot_retention(spark, root, keep=2) == 2
-    left = sorted(r.name for r in spark.read.parquet(f"{root}/_manifest").collect())
+    left = sorted(r.name for r in sinks.snapshot_names(spark, root).collect())
     assert left == ["snapshot-2026-08-14_02-00-00", "snapshot-2026-08-14_03-00-00"]
+    assert sinks.snapshot_retention(spark, root, keep=2) == 0
+    assert sorted(x.name for x in (tmp_path / "snaps").iterdir()) == ["_manifest", *left]
     assert spark.read.parquet(f"{root}/snapshot-2026-08-14_03-00-00/drugs").count() == 4
 
 
@@ -296,10 +302,10 @@ def test_refills_due_and_reminders(spark):
 def test_nested_export_shape(spark):
     from wardlake.sources import sinks
     clients, hist = _refill_fixture(spark)
-    n = {r.name: r for r in sinks.export_clients_nested(clients, hist).collect()}
-    assert len(n) == 4 and len(n["Client Due Soon"].history) == 3
-    assert [h.id for h in n["Client Due Soon"].history] == [6, 2, 1]
-    assert sorted(n["Client Due Soon"].history[0].asDict()) == sorted(
+    n = {(r.id, r.month): r for r in sinks.export_clients_nested(clients, hist).collect()}
+    assert {k: [h.id for h in r.history] for k, r in n.items() if k[0] == 1} == {(1, "2026-06"): [1], (1, "2026-07"): [2], (1, "2026-08"): [6]}
+    assert {k[0] for k in n} == {1, 2, 3, 4}
+    assert sorted(n[1, "2026-08"].history[0].asDict()) == sorted(
         ["daySupply", "entryDate", "entryType", "id", "medication", "reminderSentAt"])
     empty = spark.createDataFrame([(9, "No History", None, "Active")], "id long, name string, phone string, status string")
     assert sinks.export_clients_nested(empty, hist).collect()[0].history == []
@@ -312,3 +318,37 @@ def test_cards_and_history_labels(spark):
                               "id long, medication string, quantity string, day_supply int")
     got = rows(labels.history_labels(h), "id", "medication_label", "supply_label")
     assert got == [(1, "Metformin (30 tablets)", "30 days"), (2, "", "")]
+
+
+def test_numbers_that_do_not_fit_are_reported(spark):
+    p = spark.createDataFrame([(1,)], "id long")
+    batch = spark.createDataFrame(
+        [(1, "1", "2026-08-14", "1e17", None, "1d", "72.5"), (2, "1", "2026-08-14", "1e2", "", "NaN", "1e2"),
+         (3, "1", "2026-08-14", " 7.25 ", "Infinity", "1e999", "0x10")],
+        "row_key long, patient_id string, visit_date string, payment_amount string, charge_amount string, temperature_c string, pulse_bpm string")
+    got = ingest.ingest_visits(batch, p).orderBy("row_key").collect()
+    assert [r.reasons for r in got] == [["paymentAmount is too large"], [], ["temperatureC is too large"]]
+    assert [r.temperature_c for r in got[:2]] == [None, None] and [r.pulse_bpm for r in got] == [72.5, 100.0, None]
+    assert (got[1].payment_amount, got[1].charge_amount) == (Decimal("100.00"), Decimal("100.00"))
+    assert (got[2].payment_amount, got[2].charge_amount) == (Decimal("7.25"), Decimal("0.00"))
+    drugs = spark.createDataFrame([(1, "a", "99999999999999999"), (2, "b", "2.5")], "row_key long, name string, quantity_on_hand string")
+    assert [r.reasons for r in ingest.ingest_drugs(drugs).orderBy("row_key").collect()] == [["quantityOnHand is too large"], []]
+
+
+def test_half_days_keep_their_refill(spark):
+    clients = spark.createDataFrame([(1, "c", None, "Active")], "id long, name string, phone string, status string")
+    batch = spark.createDataFrame([(1, "1", AS_OF.isoformat(), "Order", "m", "30.5"), (2, "1", AS_OF.isoformat(), "Order", "n", "1e9")],
+                                  "row_key long, client_id string, entry_date string, entry_type string, medication string, day_supply string")
+    out = ingest.ingest_history(batch, clients)
+    assert {r.row_key: r.reasons for r in out.collect()} == {1: [], 2: ["daySupply is too large"]}
+    hist = ingest.accepted(out).select(F.col("row_key").alias("id"), "client_id", "entry_date", "entry_type", "medication", "day_supply",
+                                       F.lit(None).cast("timestamp").alias("reminder_sent_at"))
+    assert [(r.id, r.days_until_due) for r in refills.refills_due(hist, clients, AS_OF, 40).collect()] == [(1, 30)]
+
+
+def test_quiet_clinics_and_unowned_facts_have_rows(spark):
+    clinics = spark.createDataFrame([(1,), (2,)], "clinic_id int")
+    owners = spark.createDataFrame([(10, 1)], "id long, clinic_id int")
+    v = spark.createDataFrame([(1, 10, AS_OF, Decimal("3")), (2, 99, AS_OF, Decimal("4"))], "id long, patient_id long, visit_date date, payment_amount decimal(18,2)")
+    s = agg.income_summary(reports.stamp_tenant(v, owners, "patient_id"), AS_OF, ["clinic_id"], clinics)
+    assert {r.clinic_id: r.today for r in s.collect()} == {1: Decimal("3.00"), 2: Decimal("0.00"), None: Decimal("4.00")}

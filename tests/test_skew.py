@@ -93,25 +93,23 @@ def test_hot_key_settings_last_wins(spark):
     assert rows(changes.settings_upsert(empty, ch), "key", "value") == [("clinicName", str(N - 1))]
 
 
-def test_hot_client_nested_export_is_paged(spark):
+def test_large_client_export_equals_the_plain_listing(spark):
     from wardlake.sources import sinks
     hist = spark.range(2500).select(
         F.col("id"), F.when(F.col("id") < 2000, F.lit(1)).otherwise(F.col("id") % 5 + 2).alias("client_id"),
-        (F.lit(dt.date(2024, 1, 1)) + (F.col("id") % 300).cast("int")).alias("entry_date"),
-        F.lit("Order").alias("entry_type"), F.lit("m").alias("medication"), F.lit(30).alias("day_supply"),
+        F.when(F.col("id") % 50 != 0, F.lit(dt.date(2024, 1, 1)) + (F.col("id") % 300).cast("int")).alias("entry_date"),
+        F.lit("Order").alias("entry_type"), F.lit("m").alias("medication"), F.lit(30.5).alias("day_supply"),
         F.lit(None).cast("timestamp").alias("reminder_sent_at"))
-    clients = spark.range(1, 8).select(F.col("id"), F.concat(F.lit("c"), F.col("id")).alias("name"),
+    clients = spark.range(1, 9).select(F.col("id"), F.concat(F.lit("c"), F.col("id")).alias("name"),
                                        F.lit(None).cast("string").alias("phone"), F.lit("Active").alias("status"))
-    out = sinks.export_clients_nested(clients, hist, max_entries_per_record=500).collect()
-    big = [r for r in out if r.id == 1]
-    assert len(big) == 4 and {r.pages for r in big} == {4} and sum(len(r.history) for r in big) == 2000
-    assert max(len(r.history) for r in big) < 700
-    for r in big:
-        keys = [(h.entryDate, h.id) for h in r.history]
-        assert keys == sorted(keys, reverse=True)
-    assert sorted(h.id for r in big for h in r.history) == list(range(2000))
-    small = [r for r in out if r.id != 1]
-    assert all(r.pages == 1 and r.page == 0 for r in small) and sum(len(r.history) for r in small) == 500
+    out = sinks.export_clients_nested(clients, hist).collect()
+    assert len({(r.id, r.month) for r in out}) == len(out)
+    assert [(r.month, r.history) for r in out if r.id == 8] == [(None, [])]
+    for r in out:
+        assert all((h.entryDate or "")[:7] == (r.month or "") for h in r.history)
+    whole = [(h.id, r.id) for r in sorted(out, key=lambda r: (r.id, r.month or ""), reverse=True) for h in r.history]
+    plain = [(r.id, r.client_id) for r in sorted(hist.collect(), key=lambda r: (r.client_id, r.entry_date or dt.date.min, r.id), reverse=True)]
+    assert whole == plain
 
 
 @pytest.fixture

@@ -80,7 +80,7 @@ def history_labels(h: DataFrame) -> DataFrame:
                           F.when(_nonblank(F.col("quantity")), F.concat(F.lit(" ("), F.col("quantity"), F.lit(")")))
                           .otherwise(F.lit("")))).otherwise(F.lit(""))
     days = F.when(F.coalesce(F.col("day_supply"), F.lit(0)) != 0,
-                  F.concat(F.col("day_supply").cast("string"), F.lit(" days"))).otherwise(F.lit(""))
+                  F.concat(js_number_text(F.col("day_supply")), F.lit(" days"))).otherwise(F.lit(""))
     return h.select("*", med.alias("medication_label"), days.alias("supply_label"))
 
 

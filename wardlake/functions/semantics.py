@@ -87,18 +87,33 @@ def blank_or_null(c: Column) -> Column:
     return c.isNull() | (c.cast("string") == F.lit(""))
 
 
+#: Decimal number text. Other things that the application's language reads as numbers (Infinity, 0x10)
+#: are no amounts or vitals and count as text here.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number_text(c: Column) -> Column:
+    """The trimmed text if it is a decimal number, else NULL (``1d`` and ``NaN`` are text)."""
+    s = js_trim(c.cast("string"))
+    return F.when(s.rlike(NUMBER), s)
+
+
 def number_or_zero(c: Column, dtype: str = "decimal(18,2)") -> Column:
-    """``Number(x) || 0``: unparseable or blank input counts as 0."""
-    s = c.cast("string")
-    # The plain cast already ignores ASCII padding; the Unicode-aware trim runs only when it fails.
-    return F.coalesce(s.try_cast(dtype), js_trim(s).try_cast(dtype), F.lit(0).cast(dtype))
+    """``Number(x) || 0``: text that is no number counts as 0. A number that does not fit is 0 here
+    and reported by :func:`number_too_large`."""
+    return F.coalesce(number_text(c).try_cast(dtype), F.lit(0).cast(dtype))
+
+
+def number_too_large(c: Column, dtype: str) -> Column:
+    """A number that ``dtype`` cannot hold."""
+    n = number_text(c)
+    fits = n.try_cast(dtype).isNotNull() if dtype != "double" else F.abs(n.try_cast("double")) < float("inf")
+    return F.coalesce(n.isNotNull() & ~F.coalesce(fits, F.lit(False)), F.lit(False))
 
 
 def number_or_null(c: Column, dtype: str = "double") -> Column:
     """Blank or NULL stays NULL; anything else is parsed (NULL if it is not a number)."""
-    s = c.cast("string")
-    return F.when(blank_or_null(c), F.lit(None).cast(dtype)).otherwise(
-        F.coalesce(s.try_cast(dtype), js_trim(s).try_cast(dtype)))
+    return number_text(c).try_cast(dtype)
 
 
 def ascii_lower(c: Column) -> Column:

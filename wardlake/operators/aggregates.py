@@ -26,20 +26,31 @@ def _money(c):
     return F.coalesce(F.sum(c), F.lit(0).cast("decimal(28,2)"))
 
 
-def income_summary(visits: DataFrame, as_of: dt.date, tenant: Sequence[str] = ()) -> DataFrame:
-    """Paid today / this week / this month (0 when nothing), one pass over visits."""
+def fill_clinics(numbers: DataFrame, clinics: DataFrame | None, tenant: Sequence[str]) -> DataFrame:
+    """``numbers`` (one row per tenant) with a row of zeros for every clinic that has none. Facts
+    without an owner keep their row under a NULL tenant."""
+    if clinics is None or not tenant:
+        return numbers
+    kinds = [(c, t) for c, t in numbers.dtypes if c not in tenant]
+    zeros = clinics.select(*tenant, *[F.lit(0).cast(t).alias(c) for c, t in kinds])
+    return numbers.unionByName(zeros).groupBy(*tenant).agg(*[F.sum(c).cast(t).alias(c) for c, t in kinds])
+
+
+def income_summary(visits: DataFrame, as_of: dt.date, tenant: Sequence[str] = (), clinics: DataFrame | None = None) -> DataFrame:
+    """Paid today / this week / this month (0 when nothing), one pass over visits;
+    with ``clinics`` every clinic has its row."""
     ws, ms = week_start(as_of), month_start(as_of)
     lo = min(ws, ms)
     v = visits.where(F.col("visit_date") >= F.lit(lo))
     d, amt = F.col("visit_date"), F.col("payment_amount")
-    return v.groupBy(*tenant).agg(
+    return fill_clinics(v.groupBy(*tenant).agg(
         _money(F.when(d == F.lit(as_of), amt)).alias("today"),
         _money(F.when(d >= F.lit(ws), amt)).alias("this_week"),
         _money(F.when(d >= F.lit(ms), amt)).alias("this_month"),
-    )
+    ), clinics, tenant)
 
 
-def patients_seen(visits: DataFrame, as_of: dt.date, tenant: Sequence[str] = ()) -> DataFrame:
+def patients_seen(visits: DataFrame, as_of: dt.date, tenant: Sequence[str] = (), clinics: DataFrame | None = None) -> DataFrame:
     """Distinct patients with a visit today / this week (exact).
 
     First reduced to one row per (clinic, patient), then counted, so the
@@ -48,19 +59,20 @@ def patients_seen(visits: DataFrame, as_of: dt.date, tenant: Sequence[str] = ())
     per_patient = (visits.where(F.col("visit_date") >= F.lit(ws))
                    .groupBy(*tenant, "patient_id")
                    .agg(F.max((F.col("visit_date") == F.lit(as_of)).cast("int")).alias("_today")))
-    return per_patient.groupBy(*tenant).agg(
+    seen = per_patient.groupBy(*tenant).agg(
         F.sum("_today").cast("long").alias("patients_today"),
         F.count(F.lit(1)).alias("patients_week"),
     ).select(*tenant, F.coalesce("patients_today", F.lit(0)).alias("patients_today"), "patients_week")
+    return fill_clinics(seen, clinics, tenant)
 
 
-def appointments_today(appointments: DataFrame, as_of: dt.date, tenant: Sequence[str] = ()) -> DataFrame:
+def appointments_today(appointments: DataFrame, as_of: dt.date, tenant: Sequence[str] = (), clinics: DataFrame | None = None) -> DataFrame:
     a = appointments.where((F.col("status") == "Scheduled") & (F.col("appointment_date") == F.lit(as_of)))
-    return a.groupBy(*tenant).agg(F.count(F.lit(1)).alias("appointments_today"))
+    return fill_clinics(a.groupBy(*tenant).agg(F.count(F.lit(1)).alias("appointments_today")), clinics, tenant)
 
 
-def active_staff_count(staff: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
-    return staff.where(F.col("active") == 1).groupBy(*tenant).agg(F.count(F.lit(1)).alias("active_staff"))
+def active_staff_count(staff: DataFrame, tenant: Sequence[str] = (), clinics: DataFrame | None = None) -> DataFrame:
+    return fill_clinics(staff.where(F.col("active") == 1).groupBy(*tenant).agg(F.count(F.lit(1)).alias("active_staff")), clinics, tenant)
 
 
 def top_complaints(visits: DataFrame, since: dt.date, k: int, tenant: Sequence[str] = ()) -> DataFrame:
@@ -105,7 +117,8 @@ def monthly_visit_trends(visits: DataFrame, as_of: dt.date, months: int = TREND_
     """Visits and income per month for exactly ``months`` months, oldest first,
     zero-filled. Months after as_of are not in the spine and drop out."""
     spark = visits.sparkSession
-    v = visits.where(F.col("visit_date") >= F.lit(trend_window_start(as_of, months)))
+    after = add_months_overflow(month_start(as_of), 1)
+    v = visits.where((F.col("visit_date") >= F.lit(trend_window_start(as_of, months))) & (F.col("visit_date") < F.lit(after)))
     agg = v.groupBy(*tenant, F.date_format("visit_date", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("visit_count"), F.sum("payment_amount").alias("income"))
     spine = month_spine(spark, as_of, months, clinics if clinics is not None else visits, tenant)
@@ -136,10 +149,10 @@ def new_patients_by_month(patients: DataFrame, now: dt.datetime, tz: str = "UTC"
             .orderBy(*tenant, "month_index"))
 
 
-def outstanding_total(visits: DataFrame, patients: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
+def outstanding_total(visits: DataFrame, patients: DataFrame, tenant: Sequence[str] = (), clinics: DataFrame | None = None) -> DataFrame:
     """Count and sum of open balances over the outstanding list (visits of known patients)."""
     v = visits.where(F.col("charge_amount") > F.col("payment_amount"))
     v = v.join(patients.select(*tenant, F.col("id").alias("patient_id")), [*tenant, "patient_id"], "left_semi")
-    return v.groupBy(*tenant).agg(
+    return fill_clinics(v.groupBy(*tenant).agg(
         F.count(F.lit(1)).alias("outstanding_count"),
-        _money(F.col("charge_amount") - F.col("payment_amount")).alias("outstanding_total"))
+        _money(F.col("charge_amount") - F.col("payment_amount")).alias("outstanding_total")), clinics, tenant)

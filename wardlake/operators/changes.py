@@ -14,9 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import col_add_months_overflow, present
+from ..functions.semantics import col_add_months_overflow, js_trim, present
 from ..schemas import (AI_DAILY_LIMIT, APPOINTMENT_STATUSES, CLIENT_STATUSES, PLAN_MONTHS, PLAN_PRICES, PLANS,
-                       SECRET_SETTING_KEYS)
+                       SECRET_SETTING_KEYS, TRIMMED_SETTING_KEYS)
 
 
 def latest_change(changes: DataFrame, keys: Sequence[str], cols: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -40,8 +40,9 @@ def apply_latest(base: DataFrame, changes: DataFrame, cols: Sequence[str], key:
 def settings_upsert(current: DataFrame, changes: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
     """Last value per key wins over the stored value. A change without a
     value (an absent form field), or a blank value for a secret key, leaves the
-    stored value alone. ``current`` may lack ``seq`` (it then loses to any change)."""
+    stored value alone; values typed into the settings forms are trimmed. ``current`` may lack ``seq`` (it then loses to any change)."""
     cur = current if "seq" in current.columns else current.withColumn("seq", F.lit(-1))
+    changes = changes.withColumn("value", F.when(F.col("key").isin(*TRIMMED_SETTING_KEYS), js_trim(F.col("value"))).otherwise(F.col("value")))
     keep = F.col("value").isNotNull() & ~(F.col("key").isin(*SECRET_SETTING_KEYS) & ~present(F.col("value")))
     both = cur.select(*tenant, "key", "value", F.col("seq").cast("long").alias("seq")).unionByName(
         changes.where(keep).select(*tenant, "key", "value", F.col("seq").cast("long").alias("seq")))
@@ -61,15 +62,11 @@ def apply_appointment_status(appointments: DataFrame, changes: DataFrame,
                              tenant: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(updated appointments, rejected changes with ``reason``). Any status may
     follow any other; the last valid change per appointment wins."""
-    valid = F.col("status").isin(*APPOINTMENT_STATUSES)
-    ids = appointments.select(*tenant, "id").withColumn("_known", F.lit(True))
-    c = changes.join(ids, [*tenant, "id"], "left")
-    reason = (F.when(~F.coalesce(valid, F.lit(False)),
-                     F.lit("status must be one of: " + ", ".join(APPOINTMENT_STATUSES)))
-              .when(F.col("_known").isNull(), F.concat(F.lit("No appointment with id "), F.col("id").cast("string"))))
-    c = c.withColumn("reason", reason).drop("_known")
-    good = c.where(F.col("reason").isNull()).drop("reason")
-    return apply_latest(appointments, good, ["status"], tenant=tenant), c.where(F.col("reason").isNotNull())
+    valid = F.coalesce(F.col("status").isin(*APPOINTMENT_STATUSES), F.lit(False))
+    unknown = changes.where(valid).join(appointments.select(*tenant, "id"), [*tenant, "id"], "left_anti")
+    rejected = (changes.where(~valid).withColumn("reason", F.lit("status must be one of: " + ", ".join(APPOINTMENT_STATUSES)))
+                .unionByName(unknown.withColumn("reason", F.concat(F.lit("No appointment with id "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))))
+    return apply_latest(appointments, changes.where(valid), ["status"], tenant=tenant), rejected
 
 
 def apply_client_status(clients: DataFrame, changes: DataFrame,
@@ -126,6 +123,14 @@ def license_renewal_dates(clinics: DataFrame, as_of: dt.date) -> DataFrame:
             .select("clinic_id", "plan", "mode", "price", "new_expires_at"))
 
 
+def eligible_messages(messages: DataFrame, settings: DataFrame, tenant: Sequence[str] = ("clinic_id",)) -> DataFrame:
+    """Messages of clinics that may use the assistant: on the 10-month plan, with an API key. Others
+    are refused before any quota is used."""
+    s = settings_pivot(settings, ["licensePlan", "aiApiKey"], tenant)
+    ok = s.where((F.col("licensePlan") == "10month") & (F.coalesce(F.col("aiApiKey"), F.lit("")) != "")).select(*tenant)
+    return messages.join(ok, list(tenant), "left_semi")
+
+
 def ai_quota_admission(messages: DataFrame, tz: str = "UTC", limit: int = AI_DAILY_LIMIT,
                        used: DataFrame | None = None, tenant: Sequence[str] = ("clinic_id",)) -> DataFrame:
     """The first ``limit`` messages per clinic per local day are admitted

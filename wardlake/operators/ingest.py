@@ -17,8 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import js_trim, number_or_null, number_or_zero, opt_text, present
-from ..schemas import ENTRY_TYPES, MONEY, QTY
+from ..functions.semantics import js_trim, number_or_null, number_or_zero, number_too_large, opt_text, present
+from ..schemas import APPOINTMENT_STATUSES, CLIENT_STATUSES, ENTRY_TYPES, MONEY, MOVEMENT_TYPES, QTY
 
 
 FORM_FIELDS = {
@@ -78,7 +78,9 @@ def _exists(batch: DataFrame, ref: DataFrame, fk: str, tenant: Sequence[str], fl
     wanted = b.select(*tenant, fk).where(F.col(fk).isNotNull()).distinct()
     keys = (ref.select(*tenant, F.col("id").cast("long").alias(fk))
             .join(wanted, [*tenant, fk], "left_semi").distinct().withColumn(flag, F.lit(True)))
-    return b.join(keys, [*tenant, fk], "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    none = b.where(F.col(fk).isNull()).withColumn(flag, F.lit(False))   # kept apart: they would all meet in one partition
+    some = b.where(F.col(fk).isNotNull()).join(keys, [*tenant, fk], "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return some.unionByName(none)
 
 
 def _author(c: str = "created_by_staff_id") -> Column:
@@ -112,7 +114,7 @@ def ingest_visits(batch: DataFrame, patients: DataFrame, tenant: Sequence[str] =
         opt_text(F.col("complaint")).alias("complaint"), opt_text(F.col("treatment")).alias("treatment"),
         number_or_null(F.col("temperature_c"), "double").alias("temperature_c"),
         opt_text(F.col("blood_pressure")).alias("blood_pressure"),
-        number_or_null(F.col("pulse_bpm"), "int").alias("pulse_bpm"),
+        number_or_null(F.col("pulse_bpm")).alias("pulse_bpm"),
         number_or_null(F.col("weight_kg"), "double").alias("weight_kg"),
         charged.cast(MONEY).alias("charge_amount"), paid.cast(MONEY).alias("payment_amount"),
         opt_text(F.col("payment_method")).alias("payment_method"), opt_text(F.col("notes")).alias("notes"),
@@ -121,7 +123,11 @@ def ingest_visits(batch: DataFrame, patients: DataFrame, tenant: Sequence[str] =
                  (~present(F.col("visit_date")), "visitDate is required"),
                  (~_falsy_id(F.col("_raw_pid")) & ~F.col("_patient_known"),
                   F.concat(F.lit("No patient with id "), F.col("_raw_pid"))),
-                 (_bad_date(F.col("visit_date")), "visitDate is not a date")).alias("reasons"))
+                 (_bad_date(F.col("visit_date")), "visitDate is not a date"),
+                 *[(number_too_large(F.col(c), t), f"{n} is too large") for c, n, t in (
+                     ("payment_amount", "paymentAmount", "decimal(18,2)"), ("charge_amount", "chargeAmount", "decimal(18,2)"),
+                     ("temperature_c", "temperatureC", "double"), ("pulse_bpm", "pulseBpm", "double"),
+                     ("weight_kg", "weightKg", "double"))]).alias("reasons"))
 
 
 def ingest_drugs(batch: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
@@ -134,7 +140,9 @@ def ingest_drugs(batch: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
         _date(F.col("expiry_date")).alias("expiry_date"), opt_text(F.col("notes")).alias("notes"),
         _author().alias("created_by_staff_id"),
         _reasons((~present(name), "name is required"),
-                 (_bad_date(F.col("expiry_date")), "expiryDate is not a date")).alias("reasons"))
+                 (_bad_date(F.col("expiry_date")), "expiryDate is not a date"),
+                 (number_too_large(F.col("quantity_on_hand"), "decimal(18,3)"), "quantityOnHand is too large"),
+                 (number_too_large(F.col("reorder_level"), "decimal(18,3)"), "reorderLevel is too large")).alias("reasons"))
 
 
 def ingest_appointments(batch: DataFrame, patients: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
@@ -195,21 +203,22 @@ def ingest_history(batch: DataFrame, clients: DataFrame, tenant: Sequence[str] =
     return b.select(
         *tenant, "row_key", "client_id", _date(d).alias("entry_date"), F.col("entry_type"),
         opt_text(F.col("medication")).alias("medication"), opt_text(F.col("indication")).alias("indication"),
-        opt_text(F.col("quantity")).alias("quantity"), number_or_null(ds, "int").alias("day_supply"),
+        opt_text(F.col("quantity")).alias("quantity"), number_or_null(ds).alias("day_supply"),
         opt_text(F.col("note")).alias("note"), _author().alias("created_by_staff_id"),
         _reasons((~F.col("_client_known"), "Client not found"),
                  (~present(d), "entryDate is required"),
                  (~F.coalesce(F.col("entry_type").isin(*ENTRY_TYPES), F.lit(False)),
                   "entryType must be Order, Note, or Contact"),
-                 (_bad_date(d), "entryDate is not a date")).alias("reasons"))
+                 (_bad_date(d), "entryDate is not a date"),
+                 (number_too_large(ds, "double") | (F.abs(number_or_null(ds)) > 1_000_000), "daySupply is too large")).alias("reasons"))
 
 
 # CHECK constraints of the stored tables (table, column, allowed values).
 ENUM_RULES = (
-    ("drug_movements", "type", ("restock", "dispense")),
-    ("appointments", "status", ("Scheduled", "Completed", "Cancelled", "No-Show")),
-    ("subscription_clients", "status", ("Active", "Inactive")),
-    ("subscription_history", "entry_type", ("Order", "Note", "Contact")),
+    ("drug_movements", "type", MOVEMENT_TYPES),
+    ("appointments", "status", APPOINTMENT_STATUSES),
+    ("subscription_clients", "status", CLIENT_STATUSES),
+    ("subscription_history", "entry_type", ENTRY_TYPES),
 )
 
 # Foreign keys of the stored tables (child, column, parent). NULL is always allowed.
@@ -228,14 +237,14 @@ FK_EDGES = (
 )
 
 
-def enum_check(tables: dict[str, DataFrame], rules=ENUM_RULES) -> DataFrame:
-    """Value counts of every constrained column with a ``valid`` flag."""
+def enum_check(tables: dict[str, DataFrame], rules=ENUM_RULES, tenant: Sequence[str] = ()) -> DataFrame:
+    """Value counts (per tenant) of every constrained column with a ``valid`` flag."""
     parts = []
     for table, col, allowed in rules:
         if table not in tables:
             continue
-        parts.append(tables[table].groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-                     .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"), "value", "n",
+        parts.append(tables[table].groupBy(*tenant, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+                     .select(*tenant, F.lit(table).alias("table_name"), F.lit(col).alias("column_name"), "value", "n",
                              F.coalesce(F.col("value").isin(*allowed), F.lit(False)).alias("valid")))
     out = parts[0]
     for p in parts[1:]:
@@ -244,21 +253,25 @@ def enum_check(tables: dict[str, DataFrame], rules=ENUM_RULES) -> DataFrame:
 
 
 def fk_audit(tables: dict[str, DataFrame], edges=FK_EDGES, tenant: Sequence[str] = ()) -> DataFrame:
-    """Per edge: child rows with a non-NULL key, and how many point nowhere.
-    Child rows are counted per key first, so the join sees distinct keys."""
-    parts = []
-    for child, col, parent in edges:
-        if child not in tables or parent not in tables:
-            continue
-        c = (tables[child].where(F.col(col).isNotNull())
-             .groupBy(*tenant, F.col(col).alias("_k")).agg(F.count(F.lit(1)).alias("_n")))
-        p = tables[parent].select(*tenant, F.col("id").alias("_k")).distinct().withColumn("_hit", F.lit(1))
-        j = c.join(p, [*tenant, "_k"], "left")
-        parts.append(j.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("references"),
-                           F.coalesce(F.sum(F.when(F.col("_hit").isNull(), F.col("_n"))), F.lit(0)).alias("orphans"))
-                     .select(F.lit(f"{child}.{col}").alias("edge"), F.lit(parent).alias("parent"),
-                             "references", "orphans"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Per edge (and tenant): child rows with a non-NULL key, and how many point nowhere.
+
+    Each child is read once: its keys go out as (edge, parent, key) and are counted per key before the
+    one join, whose other side has the ids of all parents tagged by table. The edge is
+    part of what the rows are dealt by, so a frequent key is one counted row there."""
+    children = list(dict.fromkeys(c for c, _, p in edges if c in tables and p in tables))
+    keyed, ids = None, None
+    for child in children:
+        own = [(col, parent) for c, col, parent in edges if c == child and parent in tables]
+        each = F.array(*[F.struct(F.lit(f"{child}.{col}").alias("edge"), F.lit(parent).alias("parent"), F.col(col).cast("long").alias("_k")) for col, parent in own])
+        part = tables[child].select(*tenant, F.inline(each)).where(F.col("_k").isNotNull())
+        keyed = part if keyed is None else keyed.unionByName(part)
+    for parent in dict.fromkeys(p for c, _, p in edges if c in tables and p in tables):
+        part = tables[parent].select(*tenant, F.lit(parent).alias("parent"), F.col("id").cast("long").alias("_k"))
+        ids = part if ids is None else ids.unionByName(part)
+    counted = keyed.groupBy(*tenant, "edge", "parent", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    if not tenant:   # an edge without references has its row too
+        used = [(f"{c}.{col}", p) for c, col, p in edges if c in tables and p in tables]
+        counted = counted.unionByName(counted.sparkSession.createDataFrame([(e, p, None, 0) for e, p in used], counted.schema))
+    hits = counted.join(ids.distinct().withColumn("_hit", F.lit(1)), [*tenant, "parent", "_k"], "left")
+    return hits.groupBy(*tenant, "edge", "parent").agg(
+        F.sum("_n").alias("references"), F.coalesce(F.sum(F.when(F.col("_hit").isNull(), F.col("_n"))), F.lit(0)).alias("orphans"))

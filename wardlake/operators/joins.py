@@ -37,10 +37,9 @@ def visit_history(visits: DataFrame, staff: DataFrame, patient_keys: DataFrame |
 
 def visits_enriched(visits: DataFrame, patients: DataFrame, staff: DataFrame,
                     tenant: Sequence[str] = ()) -> DataFrame:
-    """visits JOIN patients (names) LEFT JOIN staff (author), by visit_date, id."""
+    """visits JOIN patients (names) LEFT JOIN staff (author); no order of its own."""
     p = patients.select(*tenant, F.col("id").alias("patient_id"), "first_name", "last_name")
-    return (with_author_name(visits.join(p, [*tenant, "patient_id"], "inner"), staff, tenant)
-            .orderBy(*tenant, "visit_date", "id"))
+    return with_author_name(visits.join(p, [*tenant, "patient_id"], "inner"), staff, tenant)
 
 
 def outstanding_balances(visits: DataFrame, patients: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:

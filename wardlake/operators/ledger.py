@@ -302,15 +302,16 @@ def stock_expiry_replace(drugs: DataFrame, ledger: DataFrame, order: Sequence[st
                     F.coalesce(F.col("_new.expiry_date"), F.col("old_expiry_date")).alias("expiry_date")))
 
 
-def stock_reconcile(drugs: DataFrame, ledger: DataFrame, order: Sequence[str], tenant: Sequence[str] = ()) -> DataFrame:
-    """Opening stock plus the signed sum of accepted movements must equal the
-    replayed quantity on hand, for every drug."""
+def stock_reconcile(opening: DataFrame, movements: DataFrame, stored: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
+    """Every drug's opening stock plus the signed sum of its logged movements, against the stored
+    quantity; ``balanced`` is false where the log does not explain what is stored.
+    ``opening`` and ``stored``: drugs (id, quantity_on_hand) before and after; ``movements``: the log."""
     signed = F.when(F.col("type") == "restock", F.col("quantity")).otherwise(-F.col("quantity"))
-    net = (accepted_movements(ledger).groupBy(*tenant, "drug_id")
-           .agg(F.sum(signed).alias("net_movement"), F.count(F.lit(1)).alias("accepted_count")))
-    onhand = stock_on_hand(drugs, ledger, order, tenant)
-    return (onhand.join(net, [*tenant, "drug_id"], "left")
-            .select(*tenant, "drug_id", "opening",
-                    F.coalesce("net_movement", F.lit(0)).cast("decimal(20,3)").alias("net_movement"),
-                    F.coalesce("accepted_count", F.lit(0)).alias("accepted_count"), "quantity_on_hand")
-            .withColumn("balanced", (F.col("opening") + F.col("net_movement")) == F.col("quantity_on_hand")))
+    net = movements.groupBy(*tenant, "drug_id").agg(F.sum(signed).alias("net_movement"), F.count(F.lit(1)).alias("accepted_count"))
+    now = stored.select(*tenant, F.col("id").alias("drug_id"), F.col("quantity_on_hand").alias("stored"))
+    d = opening.select(*tenant, F.col("id").alias("drug_id"), F.col("quantity_on_hand").alias("opening"))
+    kind = "decimal(20,3)"
+    return (d.join(now, [*tenant, "drug_id"], "left").join(net, [*tenant, "drug_id"], "left")
+            .select(*tenant, "drug_id", "opening", F.coalesce("net_movement", F.lit(0)).cast(kind).alias("net_movement"),
+                    F.coalesce("accepted_count", F.lit(0)).alias("accepted_count"), F.col("stored").alias("quantity_on_hand"),
+                    (F.col("opening").cast(kind) + F.coalesce("net_movement", F.lit(0)).cast(kind)).eqNullSafe(F.col("stored").cast(kind)).alias("balanced")))

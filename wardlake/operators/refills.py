@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import REFILL_WINDOW_DAYS
@@ -41,7 +41,7 @@ def refills_due(history: DataFrame, clients: DataFrame, as_of: dt.date, window_d
     Order matters: the latest order is chosen first, then the status and
     reminder filters apply, so a reminded newest order still hides older ones."""
     latest = latest_order_per_medication(history, clients, tenant)
-    due = F.date_add(F.col("entry_date"), F.col("day_supply"))
+    due = F.date_add(F.col("entry_date"), F.col("day_supply").cast("int"))
     return (latest.where((F.col("client_status") == "Active") & F.col("reminder_sent_at").isNull())
             .withColumn("due_date", due)
             .withColumn("days_until_due", F.datediff(F.col("due_date"), F.lit(as_of)))
@@ -51,19 +51,14 @@ def refills_due(history: DataFrame, clients: DataFrame, as_of: dt.date, window_d
 def trend_bar_scale(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Bar height in percent of the largest value of its set:
     max(4, round(100 * v / max(1, max(v)))), plus the short month name as the
-    bar label when the set has a ``month`` column. With ``group`` the maximum per
-    set is an aggregate joined back on the group key; a single set (one chart)
-    reads its maximum as one scalar."""
-    if group:
-        top = df.groupBy(*group).agg(F.max(F.col(value)).alias("_max"))
-        base, top_col = df.join(top, list(group)), F.col("_max")
-    else:
-        top_value = df.agg(F.max(F.col(value))).first()[0]          # one number
-        base, top_col = df, F.lit(top_value)
+    bar label when the set has a ``month`` column. The maximum per set is
+    a window over the set's bars (a chart holds a few months)."""
+    base = df.withColumn("_max", F.max(F.col(value)).over(Window.partitionBy(*(group or [F.lit(1)]))))
+    top_col = F.col("_max")
     pct = F.floor(F.col(value).cast("double") * 100.0 / F.greatest(F.lit(1.0), top_col.cast("double")) + 0.5)
     out = base.withColumn("height_pct", F.greatest(F.lit(4), pct.cast("int")))
     if "month" in out.columns:                      # bar label: short month name of a 'yyyy-MM' label
         out = out.withColumn("label", F.date_format(F.to_date(F.col("month"), "yyyy-MM"), "MMM"))
-    out = out.drop("_max") if group else out
+    out = out.drop("_max")
     order = [c for c in (*group, "month_index") if c in out.columns]
     return out.orderBy(*order) if "month_index" in order else out

@@ -1,6 +1,6 @@
 """Projection, filter and search lists (screens' lists, re-aimed to batches).
 
-Lists capped at ``LIST_CAP`` rows get an id tie-break so the cap is
+Lists with a ``cap`` (the screens use ``schemas.LIST_CAP``) get an id tie-break so the cap is
 deterministic. With a tenant key the cap applies per clinic through
 ``row_number() <= cap`` over the clinic window, which Spark plans as a
 partial top-N before the shuffle (no whole clinic is gathered in one task).
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import like_ascii
-from ..schemas import EXPIRY_HORIZON_DAYS, LIST_CAP
+from ..schemas import EXPIRY_HORIZON_DAYS
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], cap: int | None, tenant: Sequence[str] = ()) -> DataFrame:
@@ -38,7 +38,7 @@ def _matches(cols: Sequence[str], term: str | None) -> Column | None:
     return cond
 
 
-def search_patients(patients: DataFrame, term: str | None = None, cap: int | None = LIST_CAP,
+def search_patients(patients: DataFrame, term: str | None = None, cap: int | None = None,
                     tenant: Sequence[str] = ()) -> DataFrame:
     """Substring match on first name, last name or phone; blank term lists all.
     Ordered by last name, first name (then id)."""
@@ -47,14 +47,14 @@ def search_patients(patients: DataFrame, term: str | None = None, cap: int | Non
     return top_rows(df, [F.col("last_name"), F.col("first_name"), F.col("id")], cap, tenant)
 
 
-def search_drugs(drugs: DataFrame, term: str | None = None, cap: int | None = LIST_CAP,
+def search_drugs(drugs: DataFrame, term: str | None = None, cap: int | None = None,
                  tenant: Sequence[str] = ()) -> DataFrame:
     cond = _matches(("name",), term)
     df = drugs if cond is None else drugs.where(cond)
     return top_rows(df, [F.col("name"), F.col("id")], cap, tenant)
 
 
-def search_clients(clients: DataFrame, term: str | None = None, cap: int | None = LIST_CAP,
+def search_clients(clients: DataFrame, term: str | None = None, cap: int | None = None,
                    tenant: Sequence[str] = ()) -> DataFrame:
     cond = _matches(("name", "phone"), term)
     df = clients if cond is None else clients.where(cond)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import joins, ledger, refills, search
+from ..schemas import LIST_CAP
 from ..sources.driver import AS_OF_CLINIC, AS_OF_EVENTS, NOW_CLINIC, binding_ctes, load_driver_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -108,20 +109,20 @@ WHERE lower(first_name) LIKE '%00012%' OR lower(last_name) LIKE '%00012%' OR low
 ORDER BY last_name, first_name, id LIMIT 200""")
 def q_search_patients(spark, sf):
     p = tables(spark, sf)["patients"]
-    return search.search_patients(p, " 00012 ").select("id", "first_name", "last_name", "phone")
+    return search.search_patients(p, " 00012 ", cap=LIST_CAP).select("id", "first_name", "last_name", "phone")
 
 
 @query("search_drugs", """
 SELECT id, name FROM drugs WHERE lower(name) LIKE '%red%' ORDER BY name, id LIMIT 200""")
 def q_search_drugs(spark, sf):
-    return search.search_drugs(tables(spark, sf)["drugs"], "Red").select("id", "name")
+    return search.search_drugs(tables(spark, sf)["drugs"], "Red", cap=LIST_CAP).select("id", "name")
 
 
 @query("search_clients", """
 SELECT id, name, phone FROM subscription_clients
 WHERE lower(name) LIKE '%#0000001%' OR lower(phone) LIKE '%#0000001%' ORDER BY name, id LIMIT 200""")
 def q_search_clients(spark, sf):
-    return search.search_clients(tables(spark, sf)["subscription_clients"], "#0000001").select("id", "name", "phone")
+    return search.search_clients(tables(spark, sf)["subscription_clients"], "#0000001", cap=LIST_CAP).select("id", "name", "phone")
 
 
 @query("staff_directory", """
@@ -345,11 +346,11 @@ def q_latest_order_per_medication(spark, sf):
 
 
 @query("refills_due", f"""
-SELECT id, client_id, client_name, medication, entry_date + day_supply AS due_date,
-       CAST((entry_date + day_supply) - DATE '{AS_OF_EVENTS}' AS INTEGER) AS days_until_due
+SELECT id, client_id, client_name, medication, entry_date + CAST(trunc(day_supply) AS INTEGER) AS due_date,
+       CAST((entry_date + CAST(trunc(day_supply) AS INTEGER)) - DATE '{AS_OF_EVENTS}' AS INTEGER) AS days_until_due
 FROM latest_orders
 WHERE client_status = 'Active' AND reminder_sent_at IS NULL
-  AND (entry_date + day_supply) - DATE '{AS_OF_EVENTS}' <= 7""", extra=_LATEST_SQL)
+  AND (entry_date + CAST(trunc(day_supply) AS INTEGER)) - DATE '{AS_OF_EVENTS}' <= 7""", extra=_LATEST_SQL)
 def q_refills_due(spark, sf):
     t = tables(spark, sf)
     return refills.refills_due(t["subscription_history"], t["subscription_clients"], AS_OF_EVENTS).select(
@@ -388,7 +389,7 @@ fold AS (
          CASE WHEN r.quantity <= 0 THEN false WHEN r.type = 'restock' THEN true ELSE r.quantity <= f.bal END
   FROM fold f JOIN req r ON r.drug_id = f.drug_id AND r.seq = f.seq + 1),
 ledger AS (
-  SELECT r.*, f.ok AS accepted, f.bal AS balance_after, prev.bal AS balance_before
+  SELECT r.*, coalesce(f.ok, false) AS accepted, f.bal AS balance_after, prev.bal AS balance_before
   FROM req r LEFT JOIN fold f ON f.drug_id = r.drug_id AND f.seq = r.seq
   LEFT JOIN fold prev ON prev.drug_id = r.drug_id AND prev.seq = r.seq - 1)"""
 
@@ -399,9 +400,9 @@ def _ledger(spark, sf):
 
 
 @query("stock_ledger_apply", """
-SELECT l.drug_id, l.src_order, l.src_line, l.src_flag, l.type, CAST(l.quantity AS DOUBLE) AS quantity, l.accepted,
+SELECT l.drug_id, l.src_order, l.src_line, l.src_flag, l.type, CAST(l.quantity AS DOUBLE) AS quantity, l.created_by_staff_id, l.accepted,
        CASE WHEN l.accepted THEN NULL
-            WHEN l.balance_before IS NULL THEN 'No drug with id ' || CAST(l.drug_id AS VARCHAR)
+            WHEN l.balance_before IS NULL THEN 'No drug with id ' || coalesce(CAST(l.drug_id AS VARCHAR), 'null')
             WHEN l.quantity <= 0 THEN 'quantity must be greater than 0'
             ELSE 'Only ' || (CASE WHEN l.balance_before = floor(l.balance_before)
                                   THEN CAST(CAST(l.balance_before AS BIGINT) AS VARCHAR)
@@ -411,7 +412,7 @@ SELECT l.drug_id, l.src_order, l.src_line, l.src_flag, l.type, CAST(l.quantity A
 FROM ledger l LEFT JOIN drugs d ON d.id = l.drug_id""", recursive=True, extra=_FOLD_SQL)
 def q_stock_ledger_apply(spark, sf):
     _, led = _ledger(spark, sf)
-    return led.select("drug_id", "src_order", "src_line", "src_flag", "type", dbl("quantity"), "accepted", "reason",
+    return led.select("drug_id", "src_order", "src_line", "src_flag", "type", dbl("quantity"), "created_by_staff_id", "accepted", "reason",
                       dbl("balance_after"))
 
 
@@ -440,16 +441,20 @@ def q_stock_expiry_replace(spark, sf):
 @query("stock_reconcile", """
 SELECT d.id AS drug_id, CAST(d.quantity_on_hand AS DOUBLE) AS opening,
        CAST(coalesce(m.net, 0) AS DOUBLE) AS net_movement, coalesce(m.cnt, 0) AS accepted_count,
-       CAST(coalesce(f.bal, d.quantity_on_hand) AS DOUBLE) AS quantity_on_hand,
-       d.quantity_on_hand + coalesce(m.net, 0) = coalesce(f.bal, d.quantity_on_hand) AS balanced
+       CAST(coalesce(f.bal, d.quantity_on_hand) + CASE WHEN d.id % 97 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS quantity_on_hand,
+       d.id % 97 <> 0 AS balanced
 FROM drugs d
 LEFT JOIN (SELECT drug_id, bal, row_number() OVER (PARTITION BY drug_id ORDER BY seq DESC) AS rn FROM fold) f
   ON f.drug_id = d.id AND f.rn = 1
 LEFT JOIN (SELECT drug_id, sum(CASE WHEN type = 'restock' THEN quantity ELSE -quantity END) AS net, count(*) AS cnt
            FROM ledger WHERE accepted GROUP BY drug_id) m ON m.drug_id = d.id""", recursive=True, extra=_FOLD_SQL)
 def q_stock_reconcile(spark, sf):
+    """The movement log against stored quantities, some of which are off by one."""
     t, led = _ledger(spark, sf)
-    r = ledger.stock_reconcile(t["drugs"], led, LEDGER_ORDER)
+    after = ledger.stock_on_hand(t["drugs"], led, LEDGER_ORDER)
+    off = F.when(F.col("drug_id") % 97 == 0, 1).otherwise(0)
+    stored = after.select(F.col("drug_id").alias("id"), (F.col("quantity_on_hand") + off).alias("quantity_on_hand"))
+    r = ledger.stock_reconcile(t["drugs"], ledger.accepted_movements(led), stored)
     return r.select("drug_id", dbl("opening"), dbl("net_movement"), "accepted_count", dbl("quantity_on_hand"),
                     "balanced")
 
@@ -457,10 +462,81 @@ def q_stock_reconcile(spark, sf):
 @query("stock_ledger_by_clinic", """
 SELECT d.clinic_id, l.drug_id, l.src_order, l.src_line, l.src_flag, l.accepted,
        CAST(l.balance_after AS DOUBLE) AS balance_after
-FROM ledger l JOIN drugs d ON d.id = l.drug_id""", recursive=True, extra=_FOLD_SQL)
+FROM ledger l LEFT JOIN drugs d ON d.id = l.drug_id""", recursive=True, extra=_FOLD_SQL)
 def q_stock_ledger_by_clinic(spark, sf):
     from ..plans.reports import stamp_tenant
     t = tables(spark, sf)
     req = stamp_tenant(t["stock_requests"], t["drugs"], "drug_id")
     led = ledger.stock_ledger_apply(t["drugs"], req, LEDGER_ORDER, tenant=["clinic_id"])
     return led.select("clinic_id", "drug_id", "src_order", "src_line", "src_flag", "accepted", dbl("balance_after"))
+
+
+# ------------------------------------------------------------------ keyed listings and lookups
+_SEEN = f"SELECT DISTINCT patient_id FROM visits WHERE visit_date = DATE '{AS_OF_CLINIC}'"
+
+
+def _seen(t):
+    return t["visits"].where(F.col("visit_date") == F.lit(AS_OF_CLINIC)).select(F.col("patient_id").alias("id"))
+
+
+@query("visit_history_keyed", f"""
+SELECT v.id, v.patient_id, v.visit_date, s.name AS recorded_by_name
+FROM visits v LEFT JOIN staff s ON s.id = v.created_by_staff_id WHERE v.patient_id IN ({_SEEN})""")
+def q_visit_history_keyed(spark, sf):
+    t = tables(spark, sf)
+    return joins.visit_history(t["visits"], t["staff"], _seen(t)).select("id", "patient_id", "visit_date", "recorded_by_name")
+
+
+@query("movement_history_keyed", """
+SELECT m.id, m.drug_id, m.type, s.name AS recorded_by_name
+FROM drug_movements m LEFT JOIN staff s ON s.id = m.created_by_staff_id
+WHERE m.drug_id IN (SELECT id FROM drugs WHERE quantity_on_hand <= reorder_level)""")
+def q_movement_history_keyed(spark, sf):
+    t = tables(spark, sf)
+    return joins.movement_history(t["drug_movements"], t["staff"], search.low_stock(t["drugs"]).select("id")).select(
+        "id", "drug_id", "type", "recorded_by_name")
+
+
+@query("patient_appointments_keyed", f"""
+SELECT id, patient_id, appointment_date, status FROM appointments WHERE patient_id IN ({_SEEN})""")
+def q_patient_appointments_keyed(spark, sf):
+    t = tables(spark, sf)
+    return joins.patient_appointments(t["appointments"], _seen(t)).select("id", "patient_id", "appointment_date", "status")
+
+
+@query("client_history_keyed", """
+SELECT h.id, h.client_id, h.entry_date, s.name AS recorded_by_name
+FROM subscription_history h LEFT JOIN staff s ON s.id = h.created_by_staff_id
+WHERE h.client_id IN (SELECT id FROM subscription_clients WHERE status = 'Inactive')""")
+def q_client_history_keyed(spark, sf):
+    t = tables(spark, sf)
+    keys = t["subscription_clients"].where("status = 'Inactive'").select("id")
+    return joins.client_history(t["subscription_history"], t["staff"], keys).select("id", "client_id", "entry_date", "recorded_by_name")
+
+
+@query("lookup_drugs", """
+SELECT id, name FROM drugs WHERE id IN (SELECT drug_id FROM stock_requests)""")
+def q_lookup_drugs(spark, sf):
+    t = tables(spark, sf)
+    return search.lookup_by_keys(t["drugs"], t["stock_requests"].select(F.col("drug_id").alias("id"))).select("id", "name")
+
+
+@query("lookup_appointments", """
+SELECT id, status FROM appointments WHERE id IN (SELECT id FROM appointment_status_changes)""")
+def q_lookup_appointments(spark, sf):
+    t = tables(spark, sf)
+    return search.lookup_by_keys(t["appointments"], t["appointment_status_changes"]).select("id", "status")
+
+
+@query("lookup_clients", """
+SELECT id, name, status FROM subscription_clients WHERE id IN (SELECT client_id FROM subscription_history)""")
+def q_lookup_clients(spark, sf):
+    t = tables(spark, sf)
+    return search.lookup_by_keys(t["subscription_clients"], t["subscription_history"].select(F.col("client_id").alias("id"))).select("id", "name", "status")
+
+
+@query("lookup_settings", """
+SELECT clinic_id, key, value FROM settings_stored WHERE (clinic_id, key) IN (SELECT clinic_id, key FROM settings_log)""")
+def q_lookup_settings(spark, sf):
+    t = tables(spark, sf)
+    return search.lookup_by_keys(t["settings_stored"], t["settings_log"], "key", tenant=["clinic_id"]).select("clinic_id", "key", "value")

@@ -43,6 +43,17 @@ def _bad_date(c):
     return f"({_p(c)} AND {_d(c)} IS NULL)"
 
 
+_NUM = r"(CASE WHEN regexp_full_match(trim({0}), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN trim({0}) END)"
+
+
+def _n(c: str) -> str:
+    return _NUM.format(c)
+
+
+def _too_large(c: str, kind: str) -> str:
+    return f"({_n(c)} IS NOT NULL AND TRY_CAST({_n(c)} AS {kind}) IS NULL)"
+
+
 # ------------------------------------------------------------------ ingest
 @query("ingest_patients", f"""
 SELECT row_key, trim(first_name) AS first_name, trim(last_name) AS last_name, {_d('date_of_birth')} AS date_of_birth,
@@ -59,20 +70,20 @@ def q_ingest_patients(spark, sf):
 
 @query("ingest_visits", f"""
 SELECT row_key, pid AS patient_id, {_d('visit_date')} AS visit_date,
-       CASE WHEN temperature_c IS NULL OR temperature_c = '' THEN NULL ELSE TRY_CAST(trim(temperature_c) AS DOUBLE) END
-         AS temperature_c,
-       CASE WHEN pulse_bpm IS NULL OR pulse_bpm = '' THEN NULL ELSE TRY_CAST(trim(pulse_bpm) AS INTEGER) END AS pulse_bpm,
-       CASE WHEN weight_kg IS NULL OR weight_kg = '' THEN NULL ELSE TRY_CAST(trim(weight_kg) AS DOUBLE) END AS weight_kg,
+       TRY_CAST({_n('temperature_c')} AS DOUBLE) AS temperature_c, TRY_CAST({_n('pulse_bpm')} AS DOUBLE) AS pulse_bpm,
+       TRY_CAST({_n('weight_kg')} AS DOUBLE) AS weight_kg,
        CAST(CASE WHEN charge_amount IS NULL OR charge_amount = '' THEN paid
-                 ELSE coalesce(TRY_CAST(trim(charge_amount) AS DECIMAL(18,2)), 0) END AS DOUBLE) AS charge_amount,
+                 ELSE coalesce(TRY_CAST({_n('charge_amount')} AS DECIMAL(18,2)), 0) END AS DOUBLE) AS charge_amount,
        CAST(paid AS DOUBLE) AS payment_amount, NULLIF(payment_method, '') AS payment_method,
        reason IS NULL AS accepted, reason
 FROM (SELECT b.*, CASE WHEN b.pid IS NULL OR b.pid = 0 THEN 'patientId is required'
                        WHEN NOT {_p('b.visit_date')} THEN 'visitDate is required'
                        WHEN NOT b.known THEN 'No patient with id ' || b.patient_id
-                       WHEN {_bad_date('b.visit_date')} THEN 'visitDate is not a date' END AS reason
+                       WHEN {_bad_date('b.visit_date')} THEN 'visitDate is not a date'
+                       WHEN {_too_large('b.payment_amount', 'DECIMAL(18,2)')} THEN 'paymentAmount is too large'
+                       WHEN {_too_large('b.charge_amount', 'DECIMAL(18,2)')} THEN 'chargeAmount is too large' END AS reason
       FROM (SELECT i.*, TRY_CAST(i.patient_id AS BIGINT) AS pid, p.id IS NOT NULL AS known,
-                   coalesce(TRY_CAST(trim(i.payment_amount) AS DECIMAL(18,2)), 0) AS paid
+                   coalesce(TRY_CAST({_n('i.payment_amount')} AS DECIMAL(18,2)), 0) AS paid
             FROM incoming_visits i LEFT JOIN patients p ON p.id = TRY_CAST(i.patient_id AS BIGINT)) b)""")
 def q_ingest_visits(spark, sf):
     t = tables(spark, sf)
@@ -83,11 +94,13 @@ def q_ingest_visits(spark, sf):
 
 @query("ingest_drugs", f"""
 SELECT row_key, trim(name) AS name, NULLIF(unit, '') AS unit,
-       CAST(coalesce(TRY_CAST(trim(quantity_on_hand) AS DECIMAL(18,3)), 0) AS DOUBLE) AS quantity_on_hand,
-       CAST(coalesce(TRY_CAST(trim(reorder_level) AS DECIMAL(18,3)), 0) AS DOUBLE) AS reorder_level,
+       CAST(coalesce(TRY_CAST({_n('quantity_on_hand')} AS DECIMAL(18,3)), 0) AS DOUBLE) AS quantity_on_hand,
+       CAST(coalesce(TRY_CAST({_n('reorder_level')} AS DECIMAL(18,3)), 0) AS DOUBLE) AS reorder_level,
        {_d('expiry_date')} AS expiry_date, reason IS NULL AS accepted, reason
 FROM (SELECT *, CASE WHEN NOT {_p('name')} THEN 'name is required'
-                     WHEN {_bad_date('expiry_date')} THEN 'expiryDate is not a date' END AS reason
+                     WHEN {_bad_date('expiry_date')} THEN 'expiryDate is not a date'
+                     WHEN {_too_large('quantity_on_hand', 'DECIMAL(18,3)')} THEN 'quantityOnHand is too large'
+                     WHEN {_too_large('reorder_level', 'DECIMAL(18,3)')} THEN 'reorderLevel is too large' END AS reason
       FROM incoming_drugs)""")
 def q_ingest_drugs(spark, sf):
     r = ingest.ingest_drugs(tables(spark, sf)["incoming_drugs"])
@@ -137,14 +150,14 @@ def q_ingest_clients(spark, sf):
 
 @query("ingest_history", f"""
 SELECT row_key, cid AS client_id, {_d('entry_date')} AS entry_date, entry_type, NULLIF(quantity, '') AS quantity,
-       CASE WHEN day_supply IS NULL OR day_supply = '' THEN NULL ELSE TRY_CAST(trim(day_supply) AS INTEGER) END
-         AS day_supply,
+       TRY_CAST({_n('day_supply')} AS DOUBLE) AS day_supply,
        reason IS NULL AS accepted, reason
 FROM (SELECT b.*, CASE WHEN NOT b.known THEN 'Client not found'
                        WHEN NOT {_p('b.entry_date')} THEN 'entryDate is required'
                        WHEN NOT coalesce(b.entry_type IN ('Order', 'Note', 'Contact'), false)
                          THEN 'entryType must be Order, Note, or Contact'
-                       WHEN {_bad_date('b.entry_date')} THEN 'entryDate is not a date' END AS reason
+                       WHEN {_bad_date('b.entry_date')} THEN 'entryDate is not a date'
+                       WHEN abs(TRY_CAST({_n('b.day_supply')} AS DOUBLE)) > 1000000 THEN 'daySupply is too large' END AS reason
       FROM (SELECT i.*, TRY_CAST(i.client_id AS BIGINT) AS cid, c.id IS NOT NULL AS known
             FROM incoming_history i LEFT JOIN subscription_clients c ON c.id = TRY_CAST(i.client_id AS BIGINT)) b)""")
 def q_ingest_history(spark, sf):
@@ -202,7 +215,10 @@ def q_schema_upgrade(spark, sf):
 # ------------------------------------------------------------------ settings and changes
 _UPSERTED = f"""
 upserted AS (
-  SELECT clinic_id, key, arg_max(value, seq) AS value FROM settings_log
+  SELECT clinic_id, key, arg_max(value, seq) AS value FROM (
+    SELECT clinic_id, key, CASE WHEN key IN ('aiAssistantName', 'aiApiKey', 'smsUsername', 'smsApiKey', 'smsSenderId')
+                                THEN trim(value) ELSE value END AS value, seq FROM settings_log
+    UNION ALL SELECT clinic_id, key, value, -1 FROM settings_stored)
   WHERE value IS NOT NULL AND NOT (key IN ({_SECRETS_SQL}) AND NOT {_p('value')})
   GROUP BY clinic_id, key),
 cur AS (
@@ -221,8 +237,7 @@ feed AS (
 
 def _settings(spark, sf):
     t = tables(spark, sf)
-    empty = spark.createDataFrame([], "clinic_id int, key string, value string, seq long")
-    return t, changes.settings_upsert(empty, t["settings_log"], tenant=["clinic_id"])
+    return t, changes.settings_upsert(t["settings_stored"], t["settings_log"], tenant=["clinic_id"])
 
 
 @query("settings_upsert", f"""
@@ -437,7 +452,7 @@ def q_drug_card(spark, sf):
 SELECT id, CASE WHEN coalesce(medication, '') <> ''
                 THEN medication || CASE WHEN coalesce(quantity, '') <> '' THEN ' (' || quantity || ')' ELSE '' END
                 ELSE '' END AS medication_label,
-       CASE WHEN coalesce(day_supply, 0) <> 0 THEN CAST(day_supply AS VARCHAR) || ' days' ELSE '' END AS supply_label
+       CASE WHEN coalesce(day_supply, 0) <> 0 THEN (CASE WHEN day_supply = floor(day_supply) THEN CAST(CAST(day_supply AS BIGINT) AS VARCHAR) ELSE CAST(day_supply AS VARCHAR) END) || ' days' ELSE '' END AS supply_label
 FROM subscription_history""")
 def q_history_labels(spark, sf):
     return labels.history_labels(tables(spark, sf)["subscription_history"]).select(
@@ -526,26 +541,26 @@ def q_csv_sink(spark, sf):
 
 _HIST_JSON = """
 hist AS (
-  SELECT client_id, CAST(to_json(list(struct_pack(id := id, entryDate := CAST(entry_date AS VARCHAR),
+  SELECT client_id, strftime(entry_date, '%Y-%m') AS month, CAST(to_json(list(struct_pack(id := id, entryDate := CAST(entry_date AS VARCHAR),
                                    entryType := entry_type, medication := medication, daySupply := day_supply,
                                    reminderSentAt := strftime(reminder_sent_at, '%Y-%m-%dT%H:%M:%S.%gZ'))
                                  ORDER BY entry_date DESC, id DESC)) AS VARCHAR) AS history_json
-  FROM subscription_history GROUP BY client_id)"""
+  FROM subscription_history GROUP BY ALL)"""
 
 
 @query("export_clients_nested", """
-SELECT c.id, c.name, c.phone, c.status, coalesce(h.history_json, '[]') AS history_json
+SELECT c.id, c.name, c.phone, c.status, h.month, coalesce(h.history_json, '[]') AS history_json
 FROM subscription_clients c LEFT JOIN hist h ON h.client_id = c.id""", extra=_HIST_JSON)
 def q_export_clients_nested(spark, sf):
     t = tables(spark, sf)
     n = sinks.export_clients_nested(t["subscription_clients"], t["subscription_history"])
-    return n.select("id", "name", "phone", "status",
+    return n.select("id", "name", "phone", "status", "month",
                     F.to_json("history", {"ignoreNullFields": "false"}).alias("history_json"))
 
 
 @query("sync_envelope", """
 SELECT c.clinic_id AS clinicId, o.sms_username, o.sms_sender_id, c.id AS client_id,
-       coalesce(h.history_json, '[]') AS history_json
+       h.month, coalesce(h.history_json, '[]') AS history_json
 FROM subscription_clients c
 JOIN (SELECT clinic_id, max(CASE WHEN key = 'smsUsername' THEN value END) AS sms_username,
              max(CASE WHEN key = 'smsSenderId' THEN value END) AS sms_sender_id,
@@ -559,7 +574,7 @@ def q_sync_envelope(spark, sf):
     t, s = _settings(spark, sf)
     e = sinks.sync_envelope(s, t["subscription_clients"], t["subscription_history"])
     return e.select("clinicId", F.col("smsSettings.username").alias("sms_username"),
-                    F.col("smsSettings.senderId").alias("sms_sender_id"), F.col("client.id").alias("client_id"),
+                    F.col("smsSettings.senderId").alias("sms_sender_id"), F.col("client.id").alias("client_id"), F.col("client.month").alias("month"),
                     F.to_json("client.history", {"ignoreNullFields": "false"}).alias("history_json"))
 
 
@@ -616,6 +631,7 @@ SELECT clinic_id,
        max(CASE WHEN key = 'lastManualBackupAt' THEN value END) AS last_manual_backup_at,
        max(CASE WHEN key = 'aiAssistantName' THEN value END) AS assistant_name,
        coalesce(max(CASE WHEN key = 'aiApiKey' THEN value END), '') <> '' AS has_ai_api_key,
+       coalesce(max(CASE WHEN key = 'licensePlan' THEN value END), '') = '10month' AS assistant_eligible,
        coalesce(max(CASE WHEN key = 'cloudSyncToken' THEN value END), '') <> '' AS has_sync_token
 FROM upserted GROUP BY clinic_id""", extra=_UPSERTED)
 def q_sync_status(spark, sf):
@@ -671,16 +687,16 @@ def q_trends_bundle_top(spark, sf):
 
 # ------------------------------------------------------------------ many clinics at once (tenant key)
 @query("income_summary_by_clinic", f"""
-SELECT p.clinic_id,
-       CAST(coalesce(sum(v.payment_amount) FILTER (WHERE v.visit_date = DATE '{AS_OF_CLINIC}'), 0) AS DOUBLE) AS today,
-       CAST(coalesce(sum(v.payment_amount) FILTER (WHERE v.visit_date >= DATE '2001-07-30'), 0) AS DOUBLE) AS this_week,
-       CAST(coalesce(sum(v.payment_amount) FILTER (WHERE v.visit_date >= DATE '2001-07-01'), 0) AS DOUBLE) AS this_month
-FROM visits v JOIN patients p ON p.id = v.patient_id
-WHERE v.visit_date >= DATE '2001-07-01' GROUP BY p.clinic_id""")
+SELECT clinic_id, CAST(sum(today) AS DOUBLE) AS today, CAST(sum(this_week) AS DOUBLE) AS this_week, CAST(sum(this_month) AS DOUBLE) AS this_month
+FROM (SELECT p.clinic_id, coalesce(sum(v.payment_amount) FILTER (WHERE v.visit_date = DATE '{AS_OF_CLINIC}'), 0) AS today,
+             coalesce(sum(v.payment_amount) FILTER (WHERE v.visit_date >= DATE '2001-07-30'), 0) AS this_week,
+             coalesce(sum(v.payment_amount) FILTER (WHERE v.visit_date >= DATE '2001-07-01'), 0) AS this_month
+      FROM visits v LEFT JOIN patients p ON p.id = v.patient_id WHERE v.visit_date >= DATE '2001-07-01' GROUP BY p.clinic_id
+      UNION ALL SELECT clinic_id, 0, 0, 0 FROM clinics) GROUP BY clinic_id""")
 def q_income_summary_by_clinic(spark, sf):
     t = tables(spark, sf)
     v = reports.stamp_tenant(t["visits"], t["patients"], "patient_id")
-    s = agg.income_summary(v, AS_OF_CLINIC, tenant=["clinic_id"])
+    s = agg.income_summary(v, AS_OF_CLINIC, tenant=["clinic_id"], clinics=t["clinics"])
     return s.select("clinic_id", dbl("today"), dbl("this_week"), dbl("this_month"))
 
 
@@ -691,7 +707,7 @@ SELECT k.clinic_id, coalesce(s.patients_today, 0) AS patients_today, coalesce(s.
        coalesce(d.soon, 0) AS expiring_soon_count, coalesce(d.low, 0) + coalesce(d.soon, 0) AS needs_attention_count
 FROM (SELECT clinic_id FROM cv WHERE visit_date >= DATE '2001-07-30'
       UNION SELECT clinic_id FROM ca WHERE status = 'Scheduled' AND appointment_date = DATE '{AS_OF_EVENTS}'
-      UNION SELECT clinic_id FROM drugs) k
+      UNION SELECT clinic_id FROM drugs UNION SELECT clinic_id FROM clinics) k
 LEFT JOIN (SELECT clinic_id, count(DISTINCT patient_id) FILTER (WHERE visit_date = DATE '{AS_OF_CLINIC}') AS patients_today,
                   count(DISTINCT patient_id) AS patients_week,
                   sum(payment_amount) FILTER (WHERE visit_date = DATE '{AS_OF_CLINIC}') AS income_today
@@ -711,19 +727,19 @@ def q_dashboard_summary_by_clinic(spark, sf):
     tb = {"visits": reports.stamp_tenant(t["visits"], t["patients"], "patient_id"),
           "appointments": reports.stamp_tenant(t["appointments"], t["patients"], "patient_id"),
           "drugs": t["drugs"]}
-    d = reports.dashboard_summary(tb, AS_OF_CLINIC, AS_OF_EVENTS, tenant=["clinic_id"])
+    d = reports.dashboard_summary(tb, AS_OF_CLINIC, AS_OF_EVENTS, tenant=["clinic_id"], clinics=t["clinics"])
     return d.withColumn("income_today", F.col("income_today").cast("double"))
 
 
 @query("refills_due_by_clinic", f"""
 SELECT c.clinic_id, l.id, l.client_id, l.medication,
-       CAST((l.entry_date + l.day_supply) - DATE '{AS_OF_EVENTS}' AS INTEGER) AS days_until_due
+       CAST((l.entry_date + CAST(trunc(l.day_supply) AS INTEGER)) - DATE '{AS_OF_EVENTS}' AS INTEGER) AS days_until_due
 FROM (SELECT * FROM (
         SELECT h.*, row_number() OVER (PARTITION BY h.client_id, h.medication
                                        ORDER BY h.entry_date DESC, h.id DESC) AS rn
         FROM subscription_history h WHERE h.entry_type = 'Order' AND h.day_supply IS NOT NULL) WHERE rn = 1) l
 JOIN subscription_clients c ON c.id = l.client_id
-WHERE c.status = 'Active' AND l.reminder_sent_at IS NULL AND (l.entry_date + l.day_supply) - DATE '{AS_OF_EVENTS}' <= 7""")
+WHERE c.status = 'Active' AND l.reminder_sent_at IS NULL AND (l.entry_date + CAST(trunc(l.day_supply) AS INTEGER)) - DATE '{AS_OF_EVENTS}' <= 7""")
 def q_refills_due_by_clinic(spark, sf):
     t = tables(spark, sf)
     h = reports.stamp_tenant(t["subscription_history"], t["subscription_clients"], "client_id")
@@ -742,3 +758,68 @@ def q_top_illnesses_week_by_clinic(spark, sf):
     t = tables(spark, sf)
     v = reports.stamp_tenant(t["visits"], t["patients"], "patient_id")
     return agg.top_illnesses_week(v, AS_OF_CLINIC, tenant=["clinic_id"])
+
+
+# ------------------------------------------------------------------ every clinic has its row
+@query("clinic_counts_by_clinic", f"""
+SELECT clinic_id, sum(pt)::BIGINT AS patients_today, sum(pw)::BIGINT AS patients_week, sum(a)::BIGINT AS appointments_today,
+       sum(s)::BIGINT AS active_staff, sum(oc)::BIGINT AS outstanding_count, CAST(sum(ot) AS DOUBLE) AS outstanding_total
+FROM (SELECT clinic_id, 0 AS pt, 0 AS pw, 0 AS a, 0 AS s, 0 AS oc, CAST(0 AS DECIMAL(28,2)) AS ot FROM clinics
+      UNION ALL SELECT p.clinic_id, count(DISTINCT v.patient_id) FILTER (WHERE v.visit_date = DATE '{AS_OF_CLINIC}'),
+                       count(DISTINCT v.patient_id), 0, 0, 0, 0
+                FROM visits v JOIN patients p ON p.id = v.patient_id WHERE v.visit_date >= DATE '2001-07-30' GROUP BY 1
+      UNION ALL SELECT p.clinic_id, 0, 0, count(*), 0, 0, 0 FROM appointments x JOIN patients p ON p.id = x.patient_id
+                WHERE x.status = 'Scheduled' AND x.appointment_date = DATE '{AS_OF_EVENTS}' GROUP BY 1
+      UNION ALL SELECT clinic_id, 0, 0, 0, count(*), 0, 0 FROM staff WHERE active = 1 GROUP BY 1
+      UNION ALL SELECT p.clinic_id, 0, 0, 0, 0, count(*), sum(v.charge_amount - v.payment_amount)
+                FROM visits v JOIN patients p ON p.id = v.patient_id WHERE v.charge_amount > v.payment_amount GROUP BY 1)
+GROUP BY clinic_id""")
+def q_clinic_counts_by_clinic(spark, sf):
+    t, k = tables(spark, sf), ["clinic_id"]
+    v = reports.stamp_tenant(t["visits"], t["patients"], "patient_id")
+    a = reports.stamp_tenant(t["appointments"], t["patients"], "patient_id")
+    parts = [agg.patients_seen(v.where("clinic_id is not null"), AS_OF_CLINIC, k, t["clinics"]),
+             agg.appointments_today(a.where("clinic_id is not null"), AS_OF_EVENTS, k, t["clinics"]),
+             agg.active_staff_count(t["staff"], k, t["clinics"]), agg.outstanding_total(v, t["patients"], k, t["clinics"])]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, k)
+    return out.withColumn("outstanding_total", F.col("outstanding_total").cast("double"))
+
+
+@query("assistant_eligible_messages", """
+SELECT m.clinic_id, m.message_id FROM assistant_messages m
+WHERE m.clinic_id IN (SELECT clinic_id FROM upserted WHERE key = 'licensePlan' AND value = '10month')
+  AND m.clinic_id IN (SELECT clinic_id FROM upserted WHERE key = 'aiApiKey' AND value <> '')""", extra=_UPSERTED)
+def q_assistant_eligible_messages(spark, sf):
+    t, s = _settings(spark, sf)
+    return changes.eligible_messages(t["assistant_messages"], s).select("clinic_id", "message_id")
+
+
+# ------------------------------------------------------------------ snapshots
+@query("snapshot_write", """
+SELECT 'patients' AS table_name, count(*) AS records, CAST(sum(id) AS BIGINT) AS id_sum FROM patients
+UNION ALL SELECT 'visits', count(*), CAST(sum(id) AS BIGINT) FROM visits
+UNION ALL SELECT 'drugs', count(*), CAST(sum(id) AS BIGINT) FROM drugs""")
+def q_snapshot_write(spark, sf):
+    """Written to the shared folder, then read back from there."""
+    import datetime as dt
+    import uuid
+
+    from ..session import checkpoint_dir
+    t = tables(spark, sf)
+    root = f"{checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    name = sinks.snapshot_write({k: t[k] for k in ("patients", "visits", "drugs")}, root, dt.datetime(2024, 1, 28, 12, 0, 0))
+    parts = [spark.read.parquet(f"{root}/{name}/{k}").agg(F.lit(k).alias("table_name"), F.count("*").alias("records"), F.sum("id").alias("id_sum"))
+             for k in ("patients", "visits", "drugs")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query("snapshot_retention", """
+SELECT name FROM (SELECT DISTINCT 'snapshot-' || strftime(sent_at, '%Y-%m-%d_%H-%M-%S') AS name FROM assistant_messages)
+WHERE name NOT IN (SELECT name FROM (SELECT DISTINCT 'snapshot-' || strftime(sent_at, '%Y-%m-%d_%H-%M-%S') AS name
+                                     FROM assistant_messages) ORDER BY name DESC LIMIT 10)""")
+def q_snapshot_retention(spark, sf):
+    """The names to drop of a manifest with a snapshot for every assistant message."""
+    m = tables(spark, sf)["assistant_messages"]
+    return sinks.snapshots_to_drop(m.select(F.concat(F.lit("snapshot-"), F.date_format("sent_at", "yyyy-MM-dd_HH-mm-ss")).alias("name")))

@@ -72,15 +72,17 @@ def _sum(tag: str, col: str, dtype: str):
 
 
 def dashboard_summary(tables: dict[str, DataFrame], as_of: dt.date, appointments_as_of: dt.date | None = None,
-                      tenant: Sequence[str] = (), horizon_days: int = EXPIRY_HORIZON_DAYS) -> DataFrame:
+                      tenant: Sequence[str] = (), horizon_days: int = EXPIRY_HORIZON_DAYS,
+                      clinics: DataFrame | None = None) -> DataFrame:
     """One row (per clinic): patients today / this week, income today,
     Scheduled appointments today, and the sizes of the top-complaints, low-stock,
     expiring and needs-attention lists (the lists come from
     :func:`dashboard_lists`). One aggregation over the tagged inputs
     (:func:`_dashboard_parts`); distinct patients are reduced to one row per
-    (clinic, patient) first. Without a tenant the result is always one row."""
+    (clinic, patient) first. Without a tenant the result is always one row; with ``clinics``
+    every clinic has its row."""
     parts = _dashboard_parts(tables, as_of, appointments_as_of, tenant, horizon_days, with_outstanding=False)
-    return parts.groupBy(*tenant).agg(*_dashboard_columns())
+    return agg.fill_clinics(parts.groupBy(*tenant).agg(*_dashboard_columns()), clinics, tenant)
 
 
 def _dashboard_columns():
@@ -103,8 +105,8 @@ def dashboard_lists(tables: dict[str, DataFrame], as_of: dt.date, tenant: Sequen
 
 def stamp_tenant(facts: DataFrame, owners: DataFrame, fk: str, tenant: str = "clinic_id") -> DataFrame:
     """Give facts the tenant key of the record they belong to (e.g. visits get
-    the clinic of their patient). Data that already carries the key needs none."""
-    return facts.join(owners.select(F.col("id").alias(fk), tenant), fk, "inner")
+    the clinic of their patient); a fact of an unknown owner keeps a NULL tenant. Data that already carries the key needs none."""
+    return facts.join(owners.select(F.col("id").alias(fk), tenant), fk, "left")
 
 
 def plan_clinics(settings: DataFrame, plan: str = "10month", tenant: Sequence[str] = ("clinic_id",)) -> DataFrame:
@@ -127,12 +129,14 @@ def trends_bundle(tables: dict[str, DataFrame], settings: DataFrame, as_of: dt.d
 
 
 def assistant_context(tables: dict[str, DataFrame], as_of: dt.date, appointments_as_of: dt.date | None = None,
-                      tenant: Sequence[str] = (), horizon_days: int = EXPIRY_HORIZON_DAYS) -> DataFrame:
+                      tenant: Sequence[str] = (), horizon_days: int = EXPIRY_HORIZON_DAYS,
+                      clinics: DataFrame | None = None) -> DataFrame:
     """The eight-number snapshot given to the assistant, as a JSON document:
     the dashboard numbers plus open balances, from one aggregation."""
     parts = _dashboard_parts(tables, as_of, appointments_as_of, tenant, horizon_days, with_outstanding=True)
     j = parts.groupBy(*tenant).agg(*_dashboard_columns(), _count("o").alias("outstanding_count"),
                                    _sum("o", "_m", "decimal(28,2)").alias("outstanding_total"))
+    j = agg.fill_clinics(j, clinics, tenant)
     fields = (("patientsSeenToday", "patients_today"), ("patientsSeenThisWeek", "patients_week"),
               ("incomeToday", "income_today"), ("appointmentsToday", "appointments_today"),
               ("lowStockDrugCount", "low_stock_count"), ("expiringSoonDrugCount", "expiring_soon_count"),
@@ -154,7 +158,7 @@ def json_numbers(df: DataFrame, fields: Sequence[tuple[str, str]]) -> Column:
 
 STATUS_KEYS = ("refillRemindersEnabled", "smsUsername", "smsApiKey", "smsSenderId", "lastCloudSyncAt",
                "lastCloudSyncError", "lastBackupAt", "lastBackupError", "lastManualBackupAt", "aiAssistantName",
-               "aiApiKey", "cloudSyncToken")
+               "aiApiKey", "cloudSyncToken", "licensePlan")
 
 
 def sync_status(settings: DataFrame, tenant: Sequence[str] = ("clinic_id",)) -> DataFrame:
@@ -172,4 +176,5 @@ def sync_status(settings: DataFrame, tenant: Sequence[str] = ("clinic_id",)) ->
         F.col("lastBackupAt").alias("last_backup_at"), F.col("lastBackupError").alias("last_backup_error"),
         F.col("lastManualBackupAt").alias("last_manual_backup_at"),
         F.col("aiAssistantName").alias("assistant_name"), has["aiApiKey"].alias("has_ai_api_key"),
-        has["cloudSyncToken"].alias("has_sync_token"))
+        has["cloudSyncToken"].alias("has_sync_token"),
+        (F.coalesce(F.col("licensePlan"), F.lit("")) == "10month").alias("assistant_eligible"))

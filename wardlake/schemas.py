@@ -36,6 +36,8 @@ REFILL_WINDOW_DAYS = 7
 SNAPSHOTS_KEPT = 10
 AI_DAILY_LIMIT = 100
 BANNER_WARNING_DAYS = 7
+# Values typed into the settings forms, stored trimmed.
+TRIMMED_SETTING_KEYS = ("aiAssistantName", "aiApiKey", "smsUsername", "smsApiKey", "smsSenderId")
 SECRET_SETTING_KEYS = ("aiApiKey", "smsApiKey", "cloudSyncToken")
 SNAPSHOT_PREFIX = "snapshot-"
 # ---------------------------------------------------------------------------
@@ -100,7 +102,7 @@ SUBSCRIPTION_HISTORY = T.StructType([
     _f("id", T.LongType(), False), _f("client_id", T.LongType(), False),
     _f("entry_date", T.DateType(), False), _f("entry_type", T.StringType()),
     _f("medication", T.StringType()), _f("indication", T.StringType()),
-    _f("quantity", T.StringType()), _f("day_supply", T.IntegerType()), _f("note", T.StringType()),
+    _f("quantity", T.StringType()), _f("day_supply", T.DoubleType()), _f("note", T.StringType()),
     _f("reminder_sent_at", T.TimestampType()), _f("created_by_staff_id", T.LongType()),
     _f("created_at", T.TimestampType()),
 ])

@@ -16,6 +16,7 @@ import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed report dates for the driver data (orders end 2001-08, events span Jan 2024).
 AS_OF_CLINIC = dt.date(2001, 7, 31)
@@ -80,11 +81,12 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
     # Stock requests in arrival order. (l_shipdate, l_orderkey, l_linenumber,
     # l_quantity, l_extendedprice, l_returnflag) is unique within a part.
     "stock_requests": [("lineitem", [
-        "CAST(l_partkey AS BIGINT) AS drug_id",
+        "CASE WHEN l_orderkey % 101 = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN CAST(l_partkey + 100000000 AS BIGINT)"
+        " ELSE CAST(l_partkey AS BIGINT) END AS drug_id",
         "CASE WHEN l_returnflag = 'R' THEN 'restock' ELSE 'dispense' END AS type",
-        "CAST(l_quantity AS DECIMAL(18,3)) AS quantity",
+        "CASE WHEN l_orderkey % 107 = 0 THEN CAST(0 AS DECIMAL(18,3)) ELSE CAST(l_quantity AS DECIMAL(18,3)) END AS quantity",
         "CASE WHEN l_returnflag = 'R' AND l_orderkey % 3 = 0 THEN CAST(l_shipdate AS DATE) + 365 ELSE NULL END AS expiry_date",
-        "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_suppkey AS BIGINT) END AS created_by_staff_id",
+        "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_suppkey AS BIGINT) + 9007199254740993 END AS created_by_staff_id",
         "CAST(l_shipdate AS TIMESTAMP) AS requested_at",
         "CAST(l_orderkey AS BIGINT) AS src_order",
         "CAST(l_linenumber AS INT) AS src_line",
@@ -131,7 +133,7 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
         "CASE event_type WHEN 'signup' THEN 'Note' WHEN 'error' THEN 'Contact' ELSE 'Order' END AS entry_type",
         "CASE WHEN event_id % 20 = 0 THEN NULL ELSE concat('med-', CAST(event_id % 20 AS STRING)) END AS medication",
         "CASE WHEN event_id % 3 = 0 THEN concat(CAST(event_id % 60 + 1 AS STRING), ' tablets') ELSE NULL END AS quantity",
-        "CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id % 60 + 1 AS INT) END AS day_supply",
+        "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 11 = 1 THEN CAST(30.5 AS DOUBLE) ELSE CAST(event_id % 60 + 1 AS DOUBLE) END AS day_supply",
         "CASE WHEN event_id % 5 = 0 THEN props ELSE NULL END AS note",
         "CASE WHEN event_id % 13 = 0 THEN CAST(ts AS TIMESTAMP) ELSE NULL END AS reminder_sent_at",
         "CAST(event_id % 120 AS BIGINT) AS created_by_staff_id",
@@ -152,7 +154,7 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
         ("nation", ["n_nationkey AS clinic_id", "'refillRemindersEnabled' AS key",
                     "CASE WHEN n_nationkey % 2 = 0 THEN '1' ELSE '0' END AS value", "5 AS seq"], None),
         ("nation", ["n_nationkey AS clinic_id", "'smsUsername' AS key",
-                    "CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE lower(n_name) END AS value", "6 AS seq"], None),
+                    "CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE concat('  ', lower(n_name), ' ') END AS value", "6 AS seq"], None),
         ("nation", ["n_nationkey AS clinic_id", "'smsApiKey' AS key",
                     "CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE concat('sk-', CAST(n_nationkey AS STRING)) END AS value",
                     "7 AS seq"], None),
@@ -208,14 +210,14 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
         "CASE WHEN o_orderkey % 61 = 0 THEN ' ' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS visit_date",
         "o_orderpriority AS complaint",
         "'' AS treatment",
-        "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'abc' ELSE CAST(360 + o_orderkey % 30 AS STRING) END AS temperature_c",
+        "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN (CASE o_orderkey % 3 WHEN 0 THEN 'abc' WHEN 1 THEN '1d' ELSE 'NaN' END) ELSE CAST(360 + o_orderkey % 30 AS STRING) END AS temperature_c",
         "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '120/80' END AS blood_pressure",
-        "CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE CAST(60 + o_orderkey % 40 AS STRING) END AS pulse_bpm",
+        "CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 6 = 1 THEN '72.5' WHEN o_orderkey % 6 = 2 THEN '1e2' ELSE CAST(60 + o_orderkey % 40 AS STRING) END AS pulse_bpm",
         "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE ' 65.5 ' END AS weight_kg",
         "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'n/a'"
         " ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END AS charge_amount",
         "CASE o_orderstatus WHEN 'F' THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)"
-        " WHEN 'P' THEN ' 100.5 ' ELSE 'free' END AS payment_amount",
+        " WHEN 'P' THEN (CASE WHEN o_orderkey % 3 = 0 THEN '1e17' ELSE ' 100.5 ' END) ELSE 'free' END AS payment_amount",
         "CASE WHEN o_orderkey % 2 = 0 THEN 'Cash' ELSE '' END AS payment_method",
         "CAST(NULL AS STRING) AS notes",
         "CAST(o_orderkey % 120 AS STRING) AS created_by_staff_id",
@@ -224,7 +226,7 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
         "CAST(p_partkey AS BIGINT) AS row_key",
         "CASE WHEN p_partkey % 23 = 0 THEN ' ' ELSE concat(p_name, ' ') END AS name",
         "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END AS unit",
-        "CASE WHEN p_partkey % 19 = 0 THEN 'lots' ELSE CAST(p_size AS STRING) END AS quantity_on_hand",
+        "CASE WHEN p_partkey % 19 = 0 THEN 'lots' WHEN p_partkey % 31 = 0 THEN '99999999999999999' ELSE CAST(p_size AS STRING) END AS quantity_on_hand",
         "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_partkey % 20 AS STRING) END AS reorder_level",
         "CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 29 = 0 THEN 'soon'"
         " ELSE CAST(DATE '2001-01-01' + CAST(p_partkey % 400 AS INT) AS STRING) END AS expiry_date",
@@ -266,7 +268,7 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
         "concat('med-', CAST(event_id % 20 AS STRING)) AS medication",
         "CAST(NULL AS STRING) AS indication",
         "CASE WHEN event_id % 3 = 0 THEN '30 tablets' ELSE '' END AS quantity",
-        "CASE WHEN event_id % 11 = 0 THEN '' ELSE CAST(event_id % 60 + 1 AS STRING) END AS day_supply",
+        "CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 11 = 1 THEN '30.5' WHEN event_id % 11 = 2 THEN '1e1' WHEN event_id % 11 = 3 THEN '1e9' ELSE CAST(event_id % 60 + 1 AS STRING) END AS day_supply",
         "CAST(NULL AS STRING) AS note",
         "CAST(event_id % 120 AS STRING) AS created_by_staff_id",
     ], None)],
@@ -290,8 +292,18 @@ BINDINGS: dict[str, list[tuple[str, list[str], str | None]]] = {
     ], None)],
     "reminder_marks": [("events", [
         "CAST(event_id AS BIGINT) AS id",
-        "CAST(ts AS TIMESTAMP) + INTERVAL 2 DAY AS sent_at",
-    ], "event_type = 'view'")],
+        "CASE WHEN event_type = 'view' THEN CAST(ts AS TIMESTAMP) + INTERVAL 2 DAY ELSE NULL END AS sent_at",
+    ], None)],
+    # Clinics: one per nation, and quiet ones (a region each) that nothing belongs to.
+    "clinics": [("nation", ["CAST(n_nationkey AS INT) AS clinic_id"], None),
+                ("region", ["CAST(100 + r_regionkey AS INT) AS clinic_id"], None)],
+    # Settings as stored before the change log.
+    "settings_stored": [
+        ("nation", ["n_nationkey AS clinic_id", "'clinicName' AS key", "'Old name' AS value"], None),
+        ("nation", ["n_nationkey AS clinic_id", "'smsUsername' AS key", "concat('old', CAST(n_nationkey AS STRING)) AS value"], None),
+        ("nation", ["n_nationkey AS clinic_id", "'aiApiKey' AS key", "'old-key' AS value"], None),
+        ("nation", ["n_nationkey AS clinic_id", "'theme' AS key", "' dark ' AS value"], None),
+    ],
     # Assistant messages: one clinic per user_id % 4.
     "assistant_messages": [("events", [
         "CAST(user_id % 4 AS INT) AS clinic_id",
@@ -321,8 +333,13 @@ class BoundTables(Mapping):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
-            dfs = []
-            for src, exprs, where in BINDINGS[name]:
+            parts, dfs = BINDINGS[name], []
+            if len(parts) > 1 and len({(src, where) for src, _, where in parts}) == 1 and parts[0][2] is None:
+                # several rows from each source row: one scan
+                rows = F.array(*[F.struct(*[F.expr(e) for e in exprs]) for _, exprs, _ in parts])
+                self._built[name] = self._source(parts[0][0]).select(F.inline(rows))
+                return self._built[name]
+            for src, exprs, where in parts:
                 df = self._source(src)
                 if where:
                     df = df.where(where)

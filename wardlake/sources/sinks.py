@@ -57,7 +57,7 @@ def export_csv_patients(patients: DataFrame) -> DataFrame:
 
 
 def export_csv_visits(visits: DataFrame, patients: DataFrame, staff: DataFrame) -> DataFrame:
-    v = (visits_enriched(visits, patients, staff)
+    v = (visits_enriched(visits, patients, staff).orderBy("visit_date", "id")
          .withColumn("patient_name", F.concat_ws(" ", F.col("first_name"), F.col("last_name")))
          .withColumn("balance", F.col("charge_amount") - F.col("payment_amount")))
     return export_frame(v, VISIT_COLUMNS)
@@ -114,36 +114,24 @@ def client_history_struct() -> Column:
         F.date_format(F.col("reminder_sent_at"), ISO_INSTANT).alias("reminderSentAt"))
 
 
-HISTORY_PAGE_ENTRIES = 10_000
+def export_clients_nested(clients: DataFrame, history: DataFrame, tenant: Sequence[str] = ()) -> DataFrame:
+    """Every client (any status) with its history, one record per (client,
+    calendar month of entry), ``month`` as yyyy-MM; each record's entries newest
+    first (entry_date, id). Reading a client's records by falling month gives its
+    whole history in the same order. A client without history has one
+    record with a NULL month and ``[]``; entries without a date have a NULL month.
 
-
-def export_clients_nested(clients: DataFrame, history: DataFrame, tenant: Sequence[str] = (),
-                          max_entries_per_record: int = HISTORY_PAGE_ENTRIES) -> DataFrame:
-    """Every client (any status) with its history array, newest entry first
-    (entry_date, id); a client without history gets ``[]``.
-
-    One ``groupBy`` builds the arrays (partial-aggregated per map task) and one
-    join attaches them; no per-client query. A record never holds more than
-    about ``max_entries_per_record`` entries: a client with more history is
-    split into ``pages`` records (``page`` 0..pages-1) by a hash of the entry
-    id, each page newest first, so one very large client cannot make one huge
-    row. Clients below the limit get exactly one record (page 0 of 1)."""
-    n = history.groupBy(*tenant, "client_id").agg(F.count(F.lit(1)).alias("_n"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_entries_per_record))).cast("int")
-    h = (history.join(n, [*tenant, "client_id"])
-         .withColumn("pages", pages)
-         .withColumn("page", F.when(F.col("pages") > 1, F.pmod(F.xxhash64("id"), F.col("pages")))
-                     .otherwise(F.lit(0)).cast("int"))
-         .groupBy(*tenant, "client_id", "page", "pages")
+    One ``groupBy`` builds the arrays and one join attaches them; a record
+    holds one month of one client, whatever the client's size."""
+    h = (history.withColumn("month", F.date_format("entry_date", "yyyy-MM"))
+         .groupBy(*tenant, "client_id", "month")
          .agg(F.sort_array(F.collect_list(F.struct(F.col("entry_date").alias("_d"), F.col("id").alias("_i"),
                                                    client_history_struct().alias("h"))), asc=False).alias("_hist")))
     c = clients.select(*tenant, "id", "name", "phone", "status")
-    empty = F.array().cast("array<struct<id:bigint,entryDate:string,entryType:string,"
-                           "medication:string,daySupply:int,reminderSentAt:string>>")
+    kind = dict(h.select(F.transform("_hist", lambda x: x["h"]).alias("x")).dtypes)["x"]
     return (c.join(h.withColumnRenamed("client_id", "id"), [*tenant, "id"], "left")
-            .select(*tenant, "id", "name", "phone", "status",
-                    F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("pages", F.lit(1)).alias("pages"),
-                    F.coalesce(F.transform("_hist", lambda x: x["h"]), empty).alias("history")))
+            .select(*tenant, "id", "name", "phone", "status", "month",
+                    F.coalesce(F.transform("_hist", lambda x: x["h"]), F.array().cast(kind)).alias("history")))
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
@@ -159,29 +147,31 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def sync_envelope(settings: DataFrame, clients: DataFrame, history: DataFrame,
                   tenant: Sequence[str] = ("clinic_id",)) -> DataFrame:
     """Cloud-sync payload of the clinics that opted in (reminders enabled and
-    an SMS username and key set), one record per (clinic, client) carrying the
+    an SMS username and key set), one record per (clinic, client, month of entry) carrying the
     clinic id and SMS sender settings. API keys and sync tokens are never
-    emitted. One record per client keeps every record bounded by one client's
-    history instead of one document per clinic."""
+    emitted. Records have the shape of ``export_clients_nested``, so none grows with a clinic."""
     from ..operators.changes import settings_pivot
     s = settings_pivot(settings, ["refillRemindersEnabled", "smsUsername", "smsApiKey", "smsSenderId"], tenant)
     opted = s.where((F.col("refillRemindersEnabled") == "1") & (F.coalesce(F.col("smsUsername"), F.lit("")) != "")
                     & (F.coalesce(F.col("smsApiKey"), F.lit("")) != ""))
     if not set(tenant) <= set(history.columns):   # history rows take their client's clinic
-        history = history.join(clients.select(F.col("id").alias("client_id"), *tenant), "client_id")
+        history = history.join(clients.select(F.col("id").alias("client_id"), *tenant), "client_id", "left")
     nested = export_clients_nested(clients, history, tenant)
     return (nested.join(opted, list(tenant), "left_semi")
             .join(opted.select(*tenant, "smsUsername", "smsSenderId"), list(tenant), "inner")
             .select(*[F.col(t).alias("clinicId") for t in tenant[:1]],
                     F.struct(F.col("smsUsername").alias("username"), F.col("smsSenderId").alias("senderId"))
                     .alias("smsSettings"),
-                    F.struct("id", "name", "phone", "status", "page", "pages", "history").alias("client")))
+                    F.struct("id", "name", "phone", "status", "month", "history").alias("client")))
 
 
 # ------------------------------------------------------------------ snapshots
 SNAPSHOT_NAME = re.compile(r"^" + re.escape(SNAPSHOT_PREFIX) + r"\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}$")
 
 
+MANIFEST = "name string, taken_at timestamp, tables array<string>, dropped boolean"
+
+
 def snapshot_name(at: dt.datetime) -> str:
     """Names sort in time order: snapshot-yyyy-MM-dd_HH-mm-ss."""
     return SNAPSHOT_PREFIX + at.strftime("%Y-%m-%d_%H-%M-%S")
@@ -196,35 +186,47 @@ def snapshot_write(tables: dict[str, DataFrame], root: str, at: dt.datetime) ->
     spark = next(iter(tables.values())).sparkSession
     for t, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/{t}")
-    manifest = spark.createDataFrame([(name, at, sorted(tables))], "name string, taken_at timestamp, tables array<string>")
+    manifest = spark.createDataFrame([(name, at, sorted(tables), False)], MANIFEST)
     manifest.write.mode("append").parquet(f"{root}/_manifest")
     return name
 
 
 def snapshots_to_drop(manifest: DataFrame, keep: int = SNAPSHOTS_KEPT) -> DataFrame:
-    """Names beyond the newest ``keep`` (by name); foreign names are ignored.
-    The manifest has one row per snapshot (bounded by the snapshots taken)."""
-    own = manifest.where(F.col("name").rlike(SNAPSHOT_NAME.pattern)).select("name").distinct()
+    """Names beyond the newest ``keep`` (by name); foreign names and names that
+    already have a tombstone are ignored. The manifest has one row per snapshot."""
+    own = manifest.where(F.col("name").rlike(SNAPSHOT_NAME.pattern))
+    if "dropped" in manifest.columns:
+        gone = own.where("dropped").select("name")
+        own = own.join(gone, "name", "left_anti")
+    own = own.select("name").distinct()
     newest = own.orderBy(F.desc("name")).limit(keep)
     return own.join(newest, "name", "left_anti")
 
 
 def snapshot_retention(spark: SparkSession, root: str, keep: int = SNAPSHOTS_KEPT) -> int:
     """Delete snapshots beyond the newest ``keep``; returns how many went.
-    The directories are removed through the Hadoop file system of ``root``
+
+    The manifest is only ever appended to: a tombstone row is written for each name before its folder is
+    deleted, so a stop in between loses no entry, and folders that a stopped run left behind are
+    deleted by the next. Folders go through the Hadoop file system of ``root``
     (works for local, HDFS and object stores alike)."""
-    manifest = spark.read.parquet(f"{root}/_manifest")
+    manifest = spark.read.option("mergeSchema", "true").parquet(f"{root}/_manifest")
     names = [r["name"] for r in snapshots_to_drop(manifest, keep).collect()]  # bounded: <= snapshots taken
-    if not names:
-        return 0
+    if names:
+        rows = [(n, None, None, True) for n in names]
+        spark.createDataFrame(rows, MANIFEST).write.mode("append").parquet(f"{root}/_manifest")
+    manifest = spark.read.option("mergeSchema", "true").parquet(f"{root}/_manifest")
     jvm = spark.sparkContext._jvm  # noqa: SLF001
     conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(conf)
-    for n in names:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}"), True)
-    remaining = manifest.join(spark.createDataFrame([(n,) for n in names], "name string"), "name", "left_anti")
-    remaining.write.mode("overwrite").parquet(f"{root}/_manifest.next")
-    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest"), True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest.next"), jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest"))
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+    for r in manifest.where("dropped").select("name").distinct().collect():   # one per snapshot ever dropped
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{r['name']}")
+        if fs.exists(path):
+            fs.delete(path, True)
     return len(names)
+
+
+def snapshot_names(spark: SparkSession, root: str) -> DataFrame:
+    """Names of the snapshots that are kept."""
+    manifest = spark.read.option("mergeSchema", "true").parquet(f"{root}/_manifest")
+    return manifest.groupBy("name").agg(F.max("dropped").alias("d")).where("not d").select("name")

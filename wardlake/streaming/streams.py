@@ -3,8 +3,8 @@
 * ``stream_stock_ledger``: requests replayed per (clinic, drug) with the
   balance kept in state across micro-batches (``applyInPandasWithState``).
   Rows of one micro-batch are sorted by the order key inside the function.
-* ``stream_quota``: assistant messages admitted per clinic with state
-  (local day, count), reset when the day changes.
+* ``stream_quota``: assistant messages admitted with one count per clinic
+  and local day in state.
 * ``stream_daily_income``: payments summed per one-day event-time window
   with a watermark. Rows later than the watermark are dropped (our choice:
   a day's income is final once the watermark has passed it).
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ledger import _int_or_none, step
+from ..operators.ledger import REASON_UNKNOWN, _int_or_none, step
 from ..schemas import AI_DAILY_LIMIT, QTY
 from ..session import checkpoint_dir, ship_package
 
@@ -59,92 +59,91 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFra
 
 
 # ------------------------------------------------------------------ stock ledger
-STATE_BUCKETS = 256
+BUCKETS_PER_PARTITION = 8
 
 
 def stream_stock_ledger(requests: DataFrame, drugs: DataFrame, order: Sequence[str],
-                        tenant: Sequence[str] = (), buckets: int = STATE_BUCKETS) -> DataFrame:
+                        tenant: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Streaming replay of stock requests; same output columns as the batch
-    ledger's core (accepted, reason, balance_after). ``drugs`` is static: the
-    opening stock is read when a drug is first seen, later batches use state.
-
-    State is keyed by a hash bucket of (clinic, drug), and a bucket's state
-    holds the balances of its drugs. One pandas call per bucket and
-    micro-batch, instead of one per drug, keeps the per-group overhead
-    independent of the number of drugs; a group holds the bucket's rows of
-    one trigger and its drugs' balances."""
-    ship_package(requests.sparkSession)
+    ledger (all request columns, accepted, reason, balance_after). ``drugs`` is
+    static: the opening stock is read when a drug is first seen, later batches use state.
+
+    Requests for drugs that are not known (or NULL) are refused by the join with
+    ``drugs`` and leave nothing in state, so a drug that is added later is
+    known from then on. State is keyed by a hash bucket of (clinic, drug)
+    (``BUCKETS_PER_PARTITION`` times the session's shuffle partitions unless
+    given, so it grows with the cluster); a bucket's state holds the balances of its
+    drugs. Use ``maxFilesPerTrigger`` (``stream_table``) to bound a trigger's rows."""
+    spark = requests.sparkSession
+    ship_package(spark)
+    buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     milli = (F.col("quantity") * F.lit(1000)).cast("long")
-    d = drugs.select(*tenant, F.col("id").alias("drug_id"), (F.col("quantity_on_hand") * 1000).cast("long")
-                     .alias("_open"), F.col("name").alias("_name"), F.col("unit").alias("_unit"))
-    keys = [*tenant, "drug_id"]
-    r = (requests.withColumn("_q", milli).join(d, keys, "left")
-         .withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
-    keep = list(dict.fromkeys([*keys, *order, "type", "quantity"]))
-    out_schema = T.StructType([f for f in r.select(*keep).schema.fields] + [
+    d = drugs.where(F.col("quantity_on_hand").isNotNull()).select(
+        *tenant, F.col("id").alias("drug_id"), (F.col("quantity_on_hand") * 1000).cast("long").alias("_open"), F.col("name").alias("_name"), F.col("unit").alias("_unit"))
+    keys, kept = [*tenant, "drug_id"], requests.columns
+    r = requests.withColumn("_q", milli).join(d, keys, "left")
+    refused = r.where(F.col("_open").isNull()).select(
+        *kept, F.lit(False).alias("accepted"), F.concat(F.lit(REASON_UNKNOWN), F.coalesce(F.col("drug_id").cast("string"), F.lit("null"))).alias("reason"), F.lit(None).cast("long").alias("_after"))
+    # Columns that the replay does not need go through pandas as text, so that no number loses digits.
+    used = {*keys, *order, "type"}
+    text = [f.name for f in requests.schema.fields if f.name not in used and isinstance(f.dataType, (T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.FractionalType))]
+    known = (r.where(F.col("_open").isNotNull()).withColumns({c: F.col(c).cast("string") for c in text} if text else {})
+             .withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in known.select(*kept).schema.fields] + [
         T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
         T.StructField("_after", T.LongType())])
     state_schema = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())),
-                                 T.StructField("bal", T.ArrayType(T.LongType())),
-                                 T.StructField("known", T.ArrayType(T.BooleanType()))])
+                                 T.StructField("bal", T.ArrayType(T.LongType()))])
 
     def fold(bucket, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         chunks = list(pdfs)
         pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
         pdf = pdf.sort_values([*keys, *order], kind="mergesort")
-        book = {}
-        if state.exists:
-            ks, bs, kn = state.get
-            book = {k: (b if ok else None) for k, b, ok in zip(ks, bs, kn)}
+        book = dict(zip(*state.get, strict=True)) if state.exists else {}
         acc, why, after = [], [], []
         cols = [pdf[c].tolist() for c in keys]
         for i, (typ, q, opening, name, unit) in enumerate(zip(pdf["type"].tolist(), pdf["_q"].tolist(),
                                                               pdf["_open"].tolist(), pdf["_name"].tolist(),
-                                                              pdf["_unit"].tolist())):
+                                                              pdf["_unit"].tolist(), strict=True)):
             k = repr(tuple(c[i] for c in cols))
-            bal = book[k] if k in book else _int_or_none(opening)
+            bal = book[k] if k in book else int(opening)
             bal, ok, reason = step(bal, typ, _int_or_none(q), cols[-1][i], name, unit)
             book[k] = bal
             acc.append(ok)
             why.append(reason)
             after.append(bal)
-        ks = list(book)
-        state.update((ks, [book[k] if book[k] is not None else 0 for k in ks], [book[k] is not None for k in ks]))
-        out = {c: pdf[c].to_numpy() for c in keep}
+        state.update((list(book), list(book.values())))
+        out = {c: pdf[c].to_numpy() for c in kept}
         out.update(accepted=acc, reason=why, _after=pd.array(after, dtype="Int64"))
         yield pd.DataFrame(out)
 
-    folded = r.groupBy("_bucket").applyInPandasWithState(
+    folded = known.groupBy("_bucket").applyInPandasWithState(
         fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    return folded.withColumn("balance_after", (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY)).drop("_after")
+    restored = folded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in requests.schema.fields], "accepted", "reason", "_after")
+    return (restored.union(refused).withColumn("balance_after", (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY)).drop("_after"))
 
 
 # ------------------------------------------------------------------ assistant quota
 def stream_quota(messages: DataFrame, tz: str = "UTC", limit: int = AI_DAILY_LIMIT,
                  tenant: Sequence[str] = ("clinic_id",)) -> DataFrame:
-    """Streaming admission: per clinic the state is (local day, messages
-    admitted that day), as the application keeps it in two settings."""
+    """Streaming admission with one count per (clinic, local day) in state, so a
+    late message of an earlier day neither resets nor uses another day's quota.
+    The state is one number per clinic and day."""
     ship_package(messages.sparkSession)
     m = messages.withColumn("day", F.to_date(F.from_utc_timestamp(F.col("sent_at"), tz)))
     out_schema = T.StructType([f for f in m.select(*tenant, "message_id", "day").schema.fields]
                               + [T.StructField("admitted", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("day", T.DateType()), T.StructField("count", T.LongType())])
+    state_schema = T.StructType([T.StructField("count", T.LongType())])
 
     def admit(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["sent_at", "message_id"], kind="mergesort")
-        day, count = state.get if state.exists else (None, 0)
-        flags = []
-        for d in pdf["day"].tolist():
-            if d != day:
-                day, count = d, 0
-            ok = count < limit
-            count += 1 if ok else 0
-            flags.append(ok)
-        state.update((day, count))
-        yield pdf[[*tenant, "message_id", "day"]].assign(admitted=flags)
-
-    return m.groupBy(*tenant).applyInPandasWithState(admit, out_schema, state_schema, "append",
-                                                     GroupStateTimeout.NoTimeout)
+        left = max(0, limit - (state.get[0] if state.exists else 0))
+        admitted = min(left, len(pdf))
+        state.update((limit - left + admitted,))
+        yield pdf[[*tenant, "message_id", "day"]].assign(admitted=[i < admitted for i in range(len(pdf))])
+
+    return m.groupBy(*tenant, "day").applyInPandasWithState(admit, out_schema, state_schema, "append",
+                                                            GroupStateTimeout.NoTimeout)
 
 
 # ------------------------------------------------------------------ daily income
