@@ -16,19 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import js_decimal_text, js_number_text
 from ..operators.joins import visits_enriched
-from ..schemas import SNAPSHOT_PREFIX, SNAPSHOTS_KEPT
+from ..schemas import DRUG_COLUMNS, PATIENT_COLUMNS, VISIT_COLUMNS, SNAPSHOT_PREFIX, SNAPSHOTS_KEPT
 
 # ------------------------------------------------------------------ CSV
-PATIENT_COLUMNS = (("first_name", "First Name"), ("last_name", "Last Name"), ("date_of_birth", "Date of Birth"),
-                   ("gender", "Gender"), ("phone", "Phone"), ("address", "Address"), ("created_at", "Registered At"))
-VISIT_COLUMNS = (("visit_date", "Visit Date"), ("patient_name", "Patient"), ("complaint", "Complaint"),
-                 ("treatment", "Treatment"), ("temperature_c", "Temperature (C)"),
-                 ("blood_pressure", "Blood Pressure"), ("pulse_bpm", "Pulse (bpm)"), ("weight_kg", "Weight (kg)"),
-                 ("charge_amount", "Charged"), ("payment_amount", "Paid"), ("balance", "Balance"),
-                 ("payment_method", "Payment Method"), ("notes", "Notes"), ("recorded_by_name", "Recorded By"))
-DRUG_COLUMNS = (("name", "Name"), ("unit", "Unit"), ("quantity_on_hand", "Quantity On Hand"),
-                ("reorder_level", "Reorder Level"), ("expiry_date", "Expiry Date"), ("notes", "Notes"))
-
 SQL_DATETIME = "yyyy-MM-dd HH:mm:ss"
 ISO_INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
