@@ -51,7 +51,14 @@ def worker_state(name: str, make: Callable[[], T]) -> T:
     return kept[name]
 
 
-def blocks(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(batches: Iterator[Any], rows: int = 500) -> Iterator[Any]:
+    """Arrow batches cut into at most ``rows`` rows, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def blocks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of consecutive texts of about ``most`` characters; a text is never cut."""
     a = size = 0
     for i, t in enumerate(texts):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, ready, table
+from .common import blocks, ready, slices, table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -219,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     automata = _shared(spark, benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in blocks(texts):
                 rows = []
@@ -270,7 +270,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_shar
     has_count = "n_chars" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             counts = batch.column("n_chars").to_pylist() if has_count else []
             keep, new = [], list(texts)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, ready, saved, table
+from .common import blocks, ready, saved, slices, table
 from .components import components
 from .shingles import band_keys, shingle_sets, sketch
 
@@ -59,9 +59,9 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, digest, keys) of every row; digest and keys are NULL for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in blocks(texts, 1 << 20):
+            for a, b in blocks(texts, 1 << 19):
                 sets = shingle_sets(texts[a:b], width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)

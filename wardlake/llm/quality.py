@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, ready, table, worker_state
+from .common import blocks, mix64, ready, slices, table, worker_state
 from .toxicity import BUCKETS, distinct_grams, held_out, labelled_sample
 
 FEATURES = 4_000
@@ -45,6 +45,7 @@ SHAPES = 1 << 13            # buckets of shapes and statistics, after those of n
 SHAPE_SCALE = 10.0
 PENALTY = 1e-5
 ROUNDS = 150
+FIT_ROWS = 512
 LEAST_GRADE, LEAST_TAIL = 1, 0.5
 
 
@@ -140,6 +141,12 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
 
     The thresholds are t_1 and the logarithms of the steps between them, so they stay ordered."""
     m = len(grade)
+    order = np.argsort(rows, kind="stable")
+    rows, cols, values = rows[order].astype(np.int32), cols[order].astype(np.int32), values[order].astype(np.float32)
+    del order
+    edges = [*range(0, m, FIT_ROWS), m]
+    at = np.searchsorted(rows, edges)
+    parts = [(a, b, rows[x:y] - a, cols[x:y], values[x:y]) for a, b, x, y in zip(edges, edges[1:], at, at[1:], strict=False)]
     above = np.clip([(grade >= k).mean() for k in range(1, grades)], 1e-4, 1 - 1e-4)
     first = -np.log(above / (1 - above))
     theta = np.concatenate([np.zeros(n), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
@@ -147,17 +154,19 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
     for t in range(1, ROUNDS + 1):
         w, steps = theta[:n], np.exp(theta[n + 1:])
         cuts = theta[n] + np.concatenate([[0.0], np.cumsum(steps)])
-        s = np.bincount(rows, w[cols] * values, minlength=m)
-        p = np.hstack([np.ones((m, 1)), tails(s, cuts), np.zeros((m, 1))])
-        own = np.maximum(p[np.arange(m), grade] - p[np.arange(m), grade + 1], 1e-12)
-        slope = p * (1 - p)                      # of a tail in s
-        ds = -(slope[np.arange(m), grade] - slope[np.arange(m), grade + 1]) / own / m
-        dcut = np.zeros(grades + 1)
-        np.add.at(dcut, grade, slope[np.arange(m), grade] / own / m)
-        np.add.at(dcut, grade + 1, -slope[np.arange(m), grade + 1] / own / m)
+        gw, dcut = PENALTY * w, np.zeros(grades + 1)
+        for a, b, r, c, v in parts:              # a block of rows at a time, so that memory stays small
+            s, y, i = np.bincount(r, w[c] * v, minlength=b - a), grade[a:b], np.arange(b - a)
+            p = np.hstack([np.ones((b - a, 1)), tails(s, cuts), np.zeros((b - a, 1))])
+            own = np.maximum(p[i, y] - p[i, y + 1], 1e-12)
+            slope = p * (1 - p)                  # of a tail in s
+            ds = -(slope[i, y] - slope[i, y + 1]) / own / m
+            np.add.at(dcut, y, slope[i, y] / own / m)
+            np.add.at(dcut, y + 1, -slope[i, y + 1] / own / m)
+            gw = gw + np.bincount(c, ds[r] * v, minlength=n)
         dcut = dcut[1:grades]
         after = np.cumsum(dcut[::-1])[::-1]
-        g = np.concatenate([np.bincount(cols, ds[rows] * values, minlength=n) + PENALTY * w, after[:1], after[1:] * steps])
+        g = np.concatenate([gw, after[:1], after[1:] * steps])
         mom, var = 0.9 * mom + 0.1 * g, 0.999 * var + 0.001 * g * g
         rate = 0.05 * min(1.0, 3 * (1 - t / (ROUNDS + 1)))
         theta = theta - rate * np.sqrt(1 - 0.999 ** t) / (1 - 0.9 ** t) * mom / (np.sqrt(var) + 1e-8)
@@ -171,7 +180,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most: int = SAMPLE, fo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, total = np.zeros((grades, BUCKETS), np.int64), np.zeros(grades, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             y, text = batch.column("y").to_numpy(), batch.column("text").to_pylist()
             total += np.bincount(y, minlength=grades)
             for a, b in blocks(text):
@@ -203,7 +212,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most: int = SAMPLE, fo
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = number >= 0
-        for batch in batches:
+        for batch in slices(batches):
             text, grams, cols, vals = batch.column("text").to_pylist(), [], [], []
             for a, b in blocks(text):
                 at, found = distinct_grams(text[a:b], kept)
@@ -218,10 +227,11 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most: int = SAMPLE, fo
     got = sample.mapInArrow(features, "y int, grams array<int>, cols array<int>, vals array<float>").toArrow()  # ``most`` rows at most
     y = got.column("y").to_numpy().astype(np.int64)
     lists = {c: got.column(c).combine_chunks() for c in ("grams", "cols", "vals")}
-    own = {c: np.repeat(np.arange(len(y)), lists[c].value_lengths().to_numpy()) for c in ("grams", "cols")}
+    own = {c: np.repeat(np.arange(len(y), dtype=np.int32), lists[c].value_lengths().to_numpy()) for c in ("grams", "cols")}
     rows = np.concatenate([own["grams"], own["cols"]])
-    cols = np.concatenate([lists["grams"].flatten().to_numpy(), lists["cols"].flatten().to_numpy() + len(chosen)])
-    vals = np.concatenate([np.ones(len(own["grams"])), lists["vals"].flatten().to_numpy()])
+    cols = np.concatenate([lists["grams"].flatten().to_numpy(), lists["cols"].flatten().to_numpy() + np.int32(len(chosen))])
+    vals = np.concatenate([np.ones(len(own["grams"]), np.float32), lists["vals"].flatten().to_numpy()])
+    del got, lists, own
     w, cuts = fit_ordinal(rows, cols, vals, y, grades, len(chosen) + SHAPES)
     weight = np.zeros(BUCKETS + SHAPES)
     weight[chosen] = w[:len(chosen)]
@@ -238,7 +248,7 @@ def grade(docs: DataFrame, weight: np.ndarray, thresholds: np.ndarray, extra: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, cuts = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             s = np.concatenate([positions(w, texts[a:b]) for a, b in blocks(texts, 1 << 20)]) if texts else np.zeros(0)
             p = tails(s, cuts)
@@ -258,7 +268,7 @@ def selected(docs: DataFrame, weight: np.ndarray, thresholds: np.ndarray, least_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, cuts = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             keep = [x >= least_tail for a, b in blocks(texts, 1 << 20) for x in tails(positions(w, texts[a:b]), cuts)[:, least_grade - 1].tolist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, ready, shared_folder, table, worker_state
+from .common import blocks, ready, shared_folder, slices, table, worker_state
 from .files import open_file, whole_file
 from .tokens import encoder
 
@@ -154,7 +154,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) ->
         end = struct.pack("<I", end_id)
         part = TaskContext.get().partitionId()
         offsets, at, n_ids, out, ctx = [], 0, 0, None, None
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 ids = [x + end for x in enc.ids(texts[a:b])]

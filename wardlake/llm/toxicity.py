@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, ready, table, worker_state
+from .common import blocks, mix64, ready, slices, table, worker_state
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = np.zeros((2, BUCKETS), np.int64)
         total = np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             y, text = batch.column("y").to_numpy() > 0, batch.column("text").to_pylist()
             total += (int((~y).sum()), int(y.sum()))
             for a, b in blocks(text):
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = number >= 0
-        for batch in batches:
+        for batch in slices(batches):
             text, out = batch.column("text").to_pylist(), []
             for a, b in blocks(text):
                 at, found = distinct_grams(text[a:b], kept)
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: LinearModel, extra: tuple[str, ...] = ()) -> D
     shared = spark.sparkContext.broadcast((model.weight, model.intercept))  # BUCKETS numbers, whatever the corpus size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             s = np.concatenate([LinearModel(*shared.value).scores(texts[a:b]) for a, b in blocks(texts)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
@@ -222,7 +222,7 @@ def without_toxic(docs: DataFrame, model: LinearModel, least: float = 0.5) -> Da
     shared = spark.sparkContext.broadcast((model.weight, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             keep = [x < least for a, b in blocks(texts) for x in LinearModel(*shared.value).scores(texts[a:b]).tolist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
