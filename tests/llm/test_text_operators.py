@@ -431,6 +431,18 @@ def test_quality_grades_and_selection(spark):
     assert quality.grade(docs.where("false"), weight, cuts, ("doc_id",)).collect() == []
 
 
+def test_quality_reads_rare_grams_and_shapes_of_four_signs(spark):
+    """9,000 words, each in three texts of one grade, so that far more than 4,000 n-grams are needed; shapes by their number of signs."""
+    words = ["".join(chr(97 + (i * k + 7 * j) % 26) for j, k in enumerate((1, 3, 5, 7, 11, 17))) + format(i, "04x") for i in range(9_000)]
+    rows = [(i, " ".join(words[(i % 300) * 30:(i % 300) * 30 + 30])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 300 % 2) for i, _ in rows], "doc_id long, grade int")
+    weight, _ = quality.fit(docs, ratings, 2, folds=None)
+    assert np.count_nonzero(weight[:quality.BUCKETS]) == 20_000
+    assert len(list(quality.shapes(["a.b,c"]))) == 4
+    assert (quality.FEATURES, quality.SAMPLE, quality.ROUNDS) == (20_000, 20_000, 300)
+
+
 def test_quality_of_labelled_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality.op1_ordinal_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic = 0").collect()

@@ -11,7 +11,7 @@ Features, hashed into one table:
 * the distinct character n-grams of words (as in ``toxicity.text_grams``), of
   those the ``FEATURES`` that are most associated with a grade;
 * *shapes*: runs of lower-case, upper-case, digits and blanks count as one sign
-  each, other signs as themselves; relative frequencies of 1 to 3 such signs;
+  each, other signs as themselves; relative frequencies of 1 to 4 such signs;
 * binned statistics: length, mean word length, distinct words, words that
   repeat the word before, distinct lines, upper-case words.
 
@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from .common import blocks, mix64, ready, slices, table, worker_state
 from .toxicity import BUCKETS, distinct_grams, held_out, labelled_sample
 
-FEATURES = 4_000
-SAMPLE = 10_000
+FEATURES = 20_000
+SAMPLE = 20_000
 LEAST_TEXTS = 3
-SHAPES = 1 << 13            # buckets of shapes and statistics, after those of n-grams
+SHAPES = 1 << 14            # buckets of shapes and statistics, after those of n-grams
 SHAPE_SCALE = 10.0
 PENALTY = 1e-5
-ROUNDS = 150
+ROUNDS = 300
 FIT_ROWS = 512
 LEAST_GRADE, LEAST_TAIL = 1, 0.5
 
@@ -69,7 +69,7 @@ def _classes() -> np.ndarray:
 
 
 def shapes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For 1, 2 and 3 signs: (index of the text, bucket) of every shape with repeats, and what one counts in each text."""
+    """For 1 to 4 signs: (index of the text, bucket) of every shape with repeats, and what one counts in each text."""
     classes = worker_state("classes", _classes)
     size = np.array([len(t) for t in texts])
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -79,7 +79,7 @@ def shapes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     new[1:] = (cls[1:] != cls[:-1]) | (cls[1:] >= 16) | (owner[1:] != owner[:-1])
     seq, own = cls[new].astype(np.uint64), owner[new]
     h = np.zeros(len(seq), np.uint64)
-    for n in range(1, 4):
+    for n in range(1, 5):
         if n > len(seq):
             break
         h = h[:len(seq) - n + 1] * np.uint64(0x100000001B3) + seq[n - 1:]
@@ -137,16 +137,22 @@ def positions(weight: np.ndarray, texts: list[str | None]) -> np.ndarray:
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, grades: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by full-batch Adam on the likelihood of the grades; deterministic.
-
-    The thresholds are t_1 and the logarithms of the steps between them, so they stay ordered."""
+    """``fit_blocks`` of the features given as (row, column, value)."""
     m = len(grade)
     order = np.argsort(rows, kind="stable")
-    rows, cols, values = rows[order].astype(np.int32), cols[order].astype(np.int32), values[order].astype(np.float32)
-    del order
+    rows, cols, values = rows[order], cols[order], values[order]
     edges = [*range(0, m, FIT_ROWS), m]
     at = np.searchsorted(rows, edges)
-    parts = [(a, b, rows[x:y] - a, cols[x:y], values[x:y]) for a, b, x, y in zip(edges, edges[1:], at, at[1:], strict=False)]
+    return fit_blocks([(a, b, [(np.bincount(rows[x:y] - a, minlength=b - a), cols[x:y], values[x:y])])
+                       for a, b, x, y in zip(edges, edges[1:], at, at[1:], strict=False)], grade, grades, n)
+
+
+def fit_blocks(parts: list[tuple], grade: np.ndarray, grades: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by full-batch Adam on the likelihood of the grades; deterministic.
+
+    ``parts``: (a, b, features) of the rows a to b - 1, where features are (number of each row's, columns, values or
+    None if all are 1), row by row. The thresholds are t_1 and the logarithms of the steps between them, so they stay ordered."""
+    m = len(grade)
     above = np.clip([(grade >= k).mean() for k in range(1, grades)], 1e-4, 1 - 1e-4)
     first = -np.log(above / (1 - above))
     theta = np.concatenate([np.zeros(n), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
@@ -155,15 +161,21 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
         w, steps = theta[:n], np.exp(theta[n + 1:])
         cuts = theta[n] + np.concatenate([[0.0], np.cumsum(steps)])
         gw, dcut = PENALTY * w, np.zeros(grades + 1)
-        for a, b, r, c, v in parts:              # a block of rows at a time, so that memory stays small
-            s, y, i = np.bincount(r, w[c] * v, minlength=b - a), grade[a:b], np.arange(b - a)
+        for a, b, own_features in parts:         # a block of rows at a time, so that memory stays small
+            s, y, i = np.zeros(b - a), grade[a:b], np.arange(b - a)
+            for size, c, v in own_features:
+                some = np.flatnonzero(size)
+                if len(some):
+                    s[some] += np.add.reduceat(w[c] if v is None else w[c] * v, (np.cumsum(size) - size)[some])
             p = np.hstack([np.ones((b - a, 1)), tails(s, cuts), np.zeros((b - a, 1))])
             own = np.maximum(p[i, y] - p[i, y + 1], 1e-12)
             slope = p * (1 - p)                  # of a tail in s
             ds = -(slope[i, y] - slope[i, y + 1]) / own / m
             np.add.at(dcut, y, slope[i, y] / own / m)
             np.add.at(dcut, y + 1, -slope[i, y + 1] / own / m)
-            gw = gw + np.bincount(c, ds[r] * v, minlength=n)
+            for size, c, v in own_features:
+                d = np.repeat(ds, size)
+                gw += np.bincount(c, d if v is None else d * v, minlength=n)
         dcut = dcut[1:grades]
         after = np.cumsum(dcut[::-1])[::-1]
         g = np.concatenate([gw, after[:1], after[1:] * steps])
@@ -204,9 +216,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most: int = SAMPLE, fo
     for k, c in enumerate(names):
         for part, rows in ((F.col(c), held), (F.lit(total[k]) - F.col(c), F.lit(n) - held)):
             strength = strength + F.when((part > 0) & (rows > 0), part * F.log(part * n / (rows * max(total[k], 1)))).otherwise(0.0)
-    best = sums.where((F.col("bucket") >= 0) & (held >= LEAST_TEXTS) & (held < n)).orderBy(strength.desc(), "bucket").limit(FEATURES).collect()
+    best = sums.where((F.col("bucket") >= 0) & (held >= LEAST_TEXTS) & (held < n)).orderBy(strength.desc(), "bucket").limit(FEATURES).select("bucket").toArrow()
     sums.unpersist()
-    chosen = np.array([r.bucket for r in best], np.int64)
+    chosen = best.column("bucket").to_numpy().astype(np.int64)
     number = np.full(BUCKETS, -1, np.int32)
     number[chosen] = np.arange(len(chosen), dtype=np.int32)
 
@@ -216,23 +228,25 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most: int = SAMPLE, fo
             text, grams, cols, vals = batch.column("text").to_pylist(), [], [], []
             for a, b in blocks(text):
                 at, found = distinct_grams(text[a:b], kept)
-                grams += [number[x] for x in np.split(found, np.searchsorted(at, np.arange(1, b - a)))]
+                grams += [x.tobytes() for x in np.split(number[found].astype("<u2"), np.searchsorted(at, np.arange(1, b - a)))]
                 at, found, value = shape_features(text[a:b])
                 cut = np.searchsorted(at, np.arange(1, b - a))
-                cols += np.split(found.astype(np.int32), cut)
-                vals += np.split(value.astype(np.float32), cut)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(grams, pa.list_(pa.int32())), pa.array(cols, pa.list_(pa.int32())),
-                                              pa.array(vals, pa.list_(pa.float32()))], names=["y", "grams", "cols", "vals"])
+                cols += [x.tobytes() for x in np.split((found + len(chosen)).astype("<u2"), cut)]
+                vals += [x.tobytes() for x in np.split(value.astype("<f4"), cut)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(x, pa.binary()) for x in (grams, cols, vals))], names=["y", "grams", "cols", "vals"])
 
-    got = sample.mapInArrow(features, "y int, grams array<int>, cols array<int>, vals array<float>").toArrow()  # ``most`` rows at most
+    if len(chosen) + SHAPES > 1 << 16:
+        raise ValueError("columns are kept in 16 bits")
+    got = sample.mapInArrow(features, "y int, grams binary, cols binary, vals binary").toArrow()  # ``most`` rows at most
     y = got.column("y").to_numpy().astype(np.int64)
-    lists = {c: got.column(c).combine_chunks() for c in ("grams", "cols", "vals")}
-    own = {c: np.repeat(np.arange(len(y), dtype=np.int32), lists[c].value_lengths().to_numpy()) for c in ("grams", "cols")}
-    rows = np.concatenate([own["grams"], own["cols"]])
-    cols = np.concatenate([lists["grams"].flatten().to_numpy(), lists["cols"].flatten().to_numpy() + np.int32(len(chosen))])
-    vals = np.concatenate([np.ones(len(own["grams"]), np.float32), lists["vals"].flatten().to_numpy()])
-    del got, lists, own
-    w, cuts = fit_ordinal(rows, cols, vals, y, grades, len(chosen) + SHAPES)
+    parts = []
+    for a in range(0, len(y), FIT_ROWS):
+        block = {c: got.column(c).slice(a, FIT_ROWS).to_pylist() for c in ("grams", "cols", "vals")}
+        size = {c: np.array([len(x) // 2 for x in block[c]]) for c in ("grams", "cols")}
+        data = {c: np.frombuffer(b"".join(x), "<f4" if c == "vals" else "<u2") for c, x in block.items()}
+        parts.append((a, min(a + FIT_ROWS, len(y)), [(size["grams"], data["grams"], None), (size["cols"], data["cols"], data["vals"])]))
+    del got
+    w, cuts = fit_blocks(parts, y, grades, len(chosen) + SHAPES)
     weight = np.zeros(BUCKETS + SHAPES)
     weight[chosen] = w[:len(chosen)]
     weight[BUCKETS:] = w[len(chosen):]
