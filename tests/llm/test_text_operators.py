@@ -393,6 +393,18 @@ def test_toxicity_learns_character_stems(spark):
     assert toxicity.score(docs.where("false"), model, ("doc_id",)).collect() == []
 
 
+def test_toxicity_weighs_20000_grams_and_fits_as_whole_rows(spark):
+    words = ["".join(chr(97 + (i * k + 7 * j) % 26) for j, k in enumerate((1, 3, 5, 7, 11, 17))) + format(i, "04x") for i in range(9_000)]
+    rows = [(i, " ".join(words[(i % 300) * 30:(i % 300) * 30 + 30])) for i in range(900)]
+    labels = spark.createDataFrame([(i, i % 300 % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, folds=None)
+    assert np.count_nonzero(model.weight) == 20_000 and toxicity.ROUNDS == 400
+    size, cols, y = np.array([2, 0, 1, 3, 0]), np.array([0, 2, 1, 0, 1, 2], "<u2"), np.array([1.0, 0, 0, 1, 0])
+    whole = toxicity.fit_logistic([(size, cols)], np.array([1.0, -0.5, 2.0]), y, 3)
+    cut = toxicity.fit_logistic([(size[:2], cols[:2]), (size[2:], cols[2:])], np.array([1.0, -0.5, 2.0]), y, 3)
+    assert np.allclose(whole[0], cut[0]) and abs(whole[1] - cut[1]) < 1e-9
+
+
 def test_toxicity_of_labelled_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = toxicity.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, mix64, ready, slices, table, worker_state
-from .toxicity import BUCKETS, distinct_grams, held_out, labelled_sample
+from .toxicity import BUCKETS, FIT_ROWS, distinct_grams, held_out, labelled_sample
 
 FEATURES = 20_000
 SAMPLE = 20_000
@@ -45,7 +45,6 @@ SHAPES = 1 << 14            # buckets of shapes and statistics, after those of n
 SHAPE_SCALE = 10.0
 PENALTY = 1e-5
 ROUNDS = 300
-FIT_ROWS = 512
 LEAST_GRADE, LEAST_TAIL = 1, 0.5
 
 

@@ -40,11 +40,12 @@ from .common import blocks, mix64, ready, slices, table, worker_state
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
-FEATURES = 4_000
+FEATURES = 20_000
 SAMPLE = 20_000
 LEAST_TEXTS = 3
 PENALTY = 1e-4
-ROUNDS = 150
+ROUNDS = 400
+FIT_ROWS = 512
 
 
 def _alphabet() -> np.ndarray:
@@ -100,17 +101,22 @@ class LinearModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_logistic(starts: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Logistic regression of sparse rows (row i: ``cols[starts[i]:starts[i + 1]]``, value
-    ``values[col]``) by full-batch Adam; deterministic."""
-    rows = np.repeat(np.arange(len(y)), np.diff(starts))
+def fit_logistic(parts: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Logistic regression of sparse rows by full-batch Adam; deterministic. ``parts``: (number of each row's
+    features, their columns) of consecutive blocks of rows; the value of a feature is ``values[col]``."""
     w, b = np.zeros(n), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
-    x = values[cols]
     for t in range(1, ROUNDS + 1):
-        z = b + np.bincount(rows, w[cols] * x, minlength=len(y))
-        e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        g, gb = np.bincount(cols, e[rows] * x, minlength=n) + PENALTY * w, e.sum()
+        x, g, gb, a = w * values, np.zeros(n), 0.0, 0
+        for size, cols in parts:                 # a block of rows at a time, so that memory stays small
+            z, some = np.full(len(size), b), np.flatnonzero(size)
+            if len(some):
+                z[some] += np.add.reduceat(x[cols], (np.cumsum(size) - size)[some])
+            e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[a:a + len(size)]) / len(y)
+            g += np.bincount(cols, np.repeat(e, size), minlength=n)
+            gb += e.sum()
+            a += len(size)
+        g = g * values + PENALTY * w
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 * min(1.0, 3 * (1 - t / (ROUNDS + 1)))
         fix = np.sqrt(1 - 0.999 ** t) / (1 - 0.9 ** t)
@@ -169,10 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     p, q = F.col("p"), F.col("q")
     strength = (part(p, p + q, n_toxic) + part(q, p + q, n_other)
                 + part(n_toxic - p, n - p - q, n_toxic) + part(n_other - q, n - p - q, n_other))
-    best = sums.where((F.col("bucket") >= 0) & (p + q >= LEAST_TEXTS) & (p + q < n)).orderBy(strength.desc(), "bucket").limit(FEATURES).collect()
+    best = sums.where((F.col("bucket") >= 0) & (p + q >= LEAST_TEXTS) & (p + q < n)).orderBy(strength.desc(), "bucket").limit(FEATURES).toArrow()
     sums.unpersist()
-    chosen = np.array([r.bucket for r in best], np.int64)
-    ratio = np.array([np.log((r.p + 1) / (n_toxic + 2)) - np.log((r.q + 1) / (n_other + 2)) for r in best])
+    chosen, in_other, in_toxic = (best.column(c).to_numpy() for c in ("bucket", "q", "p"))
+    ratio = np.log((in_toxic + 1) / (n_toxic + 2)) - np.log((in_other + 1) / (n_other + 2))
     number = np.full(BUCKETS, -1, np.int32)
     number[chosen] = np.arange(len(chosen), dtype=np.int32)
 
@@ -182,14 +188,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
             text, out = batch.column("text").to_pylist(), []
             for a, b in blocks(text):
                 at, found = distinct_grams(text[a:b], kept)
-                out += [number[x] for x in np.split(found, np.searchsorted(at, np.arange(1, b - a)))]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.list_(pa.int32()))], names=["y", "f"])
+                out += [x.tobytes() for x in np.split(number[found].astype("<u2"), np.searchsorted(at, np.arange(1, b - a)))]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], names=["y", "f"])
 
-    rows = sample.mapInArrow(features, "y int, f array<int>").toArrow()  # ``most`` rows at most
+    if len(chosen) > 1 << 16:
+        raise ValueError("columns are kept in 16 bits")
+    rows = sample.mapInArrow(features, "y int, f binary").toArrow()  # ``most`` rows at most
     y = (rows.column("y").to_numpy() > 0).astype(float)
-    lists = rows.column("f").combine_chunks()
-    starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    w, b = fit_logistic(starts, lists.flatten().to_numpy(), ratio, y, len(chosen))
+    found = (rows.column("f").slice(a, FIT_ROWS).to_pylist() for a in range(0, len(y), FIT_ROWS))
+    parts = [(np.array([len(x) // 2 for x in f]), np.frombuffer(b"".join(f), "<u2")) for f in found]
+    del rows
+    w, b = fit_logistic(parts, ratio, y, len(chosen))
     weight = np.zeros(BUCKETS)
     weight[chosen] = w * ratio
     return LinearModel(weight, b)
