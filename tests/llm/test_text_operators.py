@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from katz_model import Katz
 from pyspark.sql import functions as F
@@ -222,6 +223,16 @@ def test_near_duplicates_at_the_threshold_and_in_large_groups(spark, monkeypatch
     check_components(got, rows, 4, 80)
 
 
+def test_every_text_of_a_repeated_doc_id_is_compared(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    texts = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, b + " end")], "node long, text string").coalesce(1)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long").coalesce(1)
+    assert {tuple(r) for r in neardup.verified(pairs, texts, 5, 80).collect()} == {(1, 2), (1, 3)}
+    rows = [(2, a), (2, b), (3, b + " end"), (4, a + " end")]
+    group = pd.DataFrame([(k, k, 0, 1, 0, 0, t) for k, t in rows], columns=["node", "component", "chunk", "pivot", "i", "j", "text"])
+    assert {tuple(sorted(x)) for x in neardup.open_links(group, 5, 80).itertuples(index=False)} == {(2, 3), (2, 4)}
+
+
 def test_near_duplicates_of_all_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     check_components(neardup.op3_fast_sketch_dedup(spark, SF).collect(), rows, 4, 80)

@@ -84,11 +84,11 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         for whole in batches:
             for lo in range(0, whole.num_rows, 200):
                 batch = whole.slice(lo, 200)
-                a = batch.column(0).to_pylist()
+                a, ta = batch.column(0).to_pylist(), batch.column(2)
                 ok = []
                 for i, other in enumerate(shingle_sets(batch.column(3).to_pylist(), width)):
-                    if a[i] != name:  # sorted by a: its set is made once
-                        name, own = a[i], shingle_sets([batch.column(2)[i].as_py()], width)[0]
+                    if (a[i], text := ta[i].as_py()) != name:  # sorted by a: its set is made once a text
+                        name, own = (a[i], text), shingle_sets([text], width)[0]
                     ok.append(alike(own, other, percent))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -100,7 +100,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 def open_links(group: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     """Links between components among the members of two chunks (or one) of a bucket, as few as join them."""
-    first = group.drop_duplicates("node").sort_values("node")
+    first = group.drop_duplicates(["node", "text"]).sort_values("node")  # every text of a repeated doc_id
     node, comp, chunk, pivot = (first[c].to_numpy() for c in ("node", "component", "chunk", "pivot"))
     i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
     sets = [x for lo in range(0, len(first), 200) for x in shingle_sets(first["text"].iloc[lo:lo + 200].tolist(), width)]
