@@ -471,3 +471,13 @@ def test_quality_of_labelled_documents(spark):
     rows = quality.op1_ordinal_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic = 0").collect()
     assert sum(r.selected == (r.quality == 1) for r in rows) >= 0.9 * len(rows)
     assert all(r.selected for r in rows if r.quality == 1)
+
+
+def test_sample_is_bounded_with_repeated_doc_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "x"), (3, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0)], "doc_id long, toxic int")
+    for most in (1, 7, 150):
+        assert 0 < toxicity.labelled_sample(docs, labels, "toxic", most, None).count() <= most
+    assert toxicity.labelled_sample(docs, labels, "toxic", 1000, None).count() == 303
+    many = spark.range(5000).withColumnRenamed("id", "labelled_id")
+    assert toxicity.drawn(many, "labelled_id", ["labelled_id"], 700).count() == 700

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, mix64, ready, slices, table, worker_state
-from .toxicity import BUCKETS, FIT_ROWS, distinct_grams, held_out, labelled_sample
+from .toxicity import BLOCK_CHARS, BUCKETS, FIT_ROWS, distinct_grams, held_out, labelled_sample
 
 FEATURES = 20_000
 SAMPLE = 20_000
@@ -85,7 +85,7 @@ def shapes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         ok = np.flatnonzero(own[:len(h)] == own[n - 1:])
         o = own[ok]
         share = SHAPE_SCALE / np.maximum(np.bincount(o, minlength=len(texts)), 1)
-        yield o, (mix64(h[ok] + np.uint64(n << 50)) % np.uint64(SHAPES)).astype(np.int64), share
+        yield o, (mix64(h[ok] + np.uint64(n << 50)) & np.uint64(SHAPES - 1)).astype(np.int64), share
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -100,7 +100,7 @@ def statistics(texts: list[str]) -> np.ndarray:
         stats[i] = (length, length * 16 + int(15 * len(set(words)) / n) if n else 0, min(15, int(40 * again)),
                     min(30, len(t) // n) if n else 31, int(15 * len(set(lines)) / len(lines)), min(15, int(30 * upper)))
     name = np.arange(stats.shape[1], dtype=np.int64) * 4096 + (1 << 40)
-    return (mix64((stats + name).ravel()) % np.uint64(SHAPES)).astype(np.int64).reshape(stats.shape)
+    return (mix64((stats + name).ravel()) & np.uint64(SHAPES - 1)).astype(np.int64).reshape(stats.shape)
 
 
 def shape_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most: int = SAMPLE, fo
         for batch in slices(batches):
             y, text = batch.column("y").to_numpy(), batch.column("text").to_pylist()
             total += np.bincount(y, minlength=grades)
-            for a, b in blocks(text):
+            for a, b in blocks(text, BLOCK_CHARS):
                 at, found = distinct_grams(text[a:b])
                 for k in range(grades):
                     texts[k] += np.bincount(found[y[a:b][at] == k], minlength=BUCKETS)
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, most: int = SAMPLE, fo
         kept = number >= 0
         for batch in slices(batches):
             text, grams, cols, vals = batch.column("text").to_pylist(), [], [], []
-            for a, b in blocks(text):
+            for a, b in blocks(text, BLOCK_CHARS):
                 at, found = distinct_grams(text[a:b], kept)
                 grams += [x.tobytes() for x in np.split(number[found].astype("<u2"), np.searchsorted(at, np.arange(1, b - a)))]
                 at, found, value = shape_features(text[a:b])
@@ -263,7 +263,7 @@ def grade(docs: DataFrame, weight: np.ndarray, thresholds: np.ndarray, extra: tu
         w, cuts = shared.value
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            s = np.concatenate([positions(w, texts[a:b]) for a, b in blocks(texts, 1 << 20)]) if texts else np.zeros(0)
+            s = np.concatenate([positions(w, texts[a:b]) for a, b in blocks(texts, BLOCK_CHARS)]) if texts else np.zeros(0)
             p = tails(s, cuts)
             tail = p[:, least_grade - 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p.sum(axis=1)), pa.array(tail), pa.array(list(p), pa.list_(pa.float64())), pa.array(tail >= least_tail)],
@@ -283,7 +283,7 @@ def selected(docs: DataFrame, weight: np.ndarray, thresholds: np.ndarray, least_
         w, cuts = shared.value
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            keep = [x >= least_tail for a, b in blocks(texts, 1 << 20) for x in tails(positions(w, texts[a:b]), cuts)[:, least_grade - 1].tolist()]
+            keep = [x >= least_tail for a, b in blocks(texts, BLOCK_CHARS) for x in tails(positions(w, texts[a:b]), cuts)[:, least_grade - 1].tolist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ A score is one table look-up per n-gram: the table (``BUCKETS`` numbers, of
 fixed size) goes to every task, texts are read once, nothing is shuffled.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, drawn by the
-hash of their doc_id. Counting and feature extraction run on Spark; the driver
+hash of their doc_id (and of their place, where rows repeat doc_ids beyond that number). Counting and feature extraction run on Spark; the driver
 gets ``FEATURES`` counts and, for each sampled row, the numbers of its kept
 features.
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, ready, slices, table, worker_state
+from .common import blocks, mix64, ready, saved, slices, table, worker_state
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
@@ -46,6 +46,7 @@ LEAST_TEXTS = 3
 PENALTY = 1e-4
 ROUNDS = 400
 FIT_ROWS = 512
+BLOCK_CHARS = 1 << 17        # characters whose n-grams are in memory at once
 
 
 def _alphabet() -> np.ndarray:
@@ -53,8 +54,9 @@ def _alphabet() -> np.ndarray:
     return np.array([c if chr(c).isalnum() else 32 for c in range(1 << 16)], np.uint32)
 
 
-def text_grams(texts: list[str | None], sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, bucket) of every n-gram inside a word, with repeats."""
+def text_grams(texts: list[str | None], kept: np.ndarray | None = None, sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, bucket) of every n-gram inside a word, with repeats; only buckets with ``kept`` if given.
+    ``buckets`` is a power of two."""
     alphabet = worker_state("alphabet", _alphabet)
     low = [f" {t.lower()} " if t else "" for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -72,8 +74,12 @@ def text_grams(texts: list[str | None], sizes: tuple[int, ...] = SIZES, buckets:
             m = len(h)
             inner = blank[n - 1:n - 1 + m] == blank[1:m + 1]  # no blank but at the ends
             ok = np.flatnonzero(inner & (owner[:m] == owner[n - 1:]))
+            own = (mix64(h[ok] + np.uint64(n)) & np.uint64(buckets - 1)).astype(np.int64)
+            if kept is not None:                 # what has no weight goes before the sizes are joined
+                use = np.flatnonzero(kept[own])
+                ok, own = ok[use], own[use]
             at.append(owner[ok])
-            found.append((mix64(h[ok] + np.uint64(n)) % np.uint64(buckets)).astype(np.int64))
+            found.append(own)
     if not at:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     return np.concatenate(at), np.concatenate(found)
@@ -81,10 +87,7 @@ def text_grams(texts: list[str | None], sizes: tuple[int, ...] = SIZES, buckets:
 
 def distinct_grams(texts: list[str | None], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(index of the text, bucket), each pair once; only buckets with ``kept`` if given."""
-    at, found = text_grams(texts)
-    if kept is not None:
-        use = np.flatnonzero(kept[found])
-        at, found = at[use], found[use]
+    at, found = text_grams(texts, kept)
     key = np.unique(at.astype(np.int64) * BUCKETS + found)
     return key // BUCKETS, key % BUCKETS
 
@@ -129,14 +132,27 @@ def held_out(doc_id: Column | str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % folds == 0
 
 
+def drawn(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The ``most`` rows with the least hashes of ``key`` (ties by ``order``). A threshold taken from the number of rows
+    lets about ``most`` of them through, so that no task sorts more than these."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    share = min(1.0, 1.1 * most / n + 200 / n)
+    return rows.where(F.xxhash64(key) <= int(-(2 ** 63) + share * (2 ** 64 - 1))).orderBy(F.xxhash64(key), *order).limit(most)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int | None) -> DataFrame:
-    """At most ``most`` rows (text, y) with a label, outside fold 0 of the doc_id's checksum."""
+    """At most ``most`` rows (doc_id, y, text) with a label, outside fold 0 of the doc_id's checksum; written once."""
     own = labels.select(F.col("doc_id").alias("labelled_id"), F.col(label).cast("int").alias("y")).where("labelled_id is not null and y is not null")
     if folds:
         own = own.where(~held_out("labelled_id", folds))
-    chosen = own.orderBy(F.xxhash64("labelled_id"), "labelled_id", "y").limit(most)
-    return (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))  # ``most`` rows at most
-            .select("doc_id", "y", "text"))
+    chosen = drawn(own, "labelled_id", ["labelled_id", "y"], most)
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))  # ``most`` labels at most
+    sample = saved(joined.select("doc_id", "y", "text", F.monotonically_increasing_id().alias("at")), "labelled-sample")
+    if sample.count() > most:                    # rows that repeat a doc_id
+        sample = sample.join(F.broadcast(drawn(sample.select("at"), "at", ["at"], most)), "at", "left_semi")
+    return sample.select("doc_id", "y", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, folds: int | None = 5) -> LinearModel:
@@ -150,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
         for batch in slices(batches):
             y, text = batch.column("y").to_numpy() > 0, batch.column("text").to_pylist()
             total += (int((~y).sum()), int(y.sum()))
-            for a, b in blocks(text):
+            for a, b in blocks(text, BLOCK_CHARS):
                 at, found = distinct_grams(text[a:b])
                 pos = y[a:b][at]
                 texts[1] += np.bincount(found[pos], minlength=BUCKETS)
@@ -186,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
         kept = number >= 0
         for batch in slices(batches):
             text, out = batch.column("text").to_pylist(), []
-            for a, b in blocks(text):
+            for a, b in blocks(text, BLOCK_CHARS):
                 at, found = distinct_grams(text[a:b], kept)
                 out += [x.tobytes() for x in np.split(number[found].astype("<u2"), np.searchsorted(at, np.arange(1, b - a)))]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], names=["y", "f"])
@@ -215,7 +231,7 @@ def score(docs: DataFrame, model: LinearModel, extra: tuple[str, ...] = ()) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            s = np.concatenate([LinearModel(*shared.value).scores(texts[a:b]) for a, b in blocks(texts)]) if texts else np.zeros(0)
+            s = np.concatenate([LinearModel(*shared.value).scores(texts[a:b]) for a, b in blocks(texts, BLOCK_CHARS)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                                              names=[*kept, "score", "predicted"])
 
@@ -233,7 +249,7 @@ def without_toxic(docs: DataFrame, model: LinearModel, least: float = 0.5) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            keep = [x < least for a, b in blocks(texts) for x in LinearModel(*shared.value).scores(texts[a:b]).tolist()]
+            keep = [x < least for a, b in blocks(texts, BLOCK_CHARS) for x in LinearModel(*shared.value).scores(texts[a:b]).tolist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
