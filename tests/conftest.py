@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -8,21 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from wardlake.session import build_session, checkpoint_dir  # noqa: E402
 
-AS_OF = dt.date(2026, 8, 14)   # a Friday; the week started Monday 2026-08-10
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session(master="local[4]", shuffle_partitions=4, app_name="wardlake-tests")
     checkpoint_dir(s)
     yield s
-
-
-def days(n: int) -> dt.date:
-    return AS_OF + dt.timedelta(days=n)
-
-
-def rows(df, *cols):
-    """Collected rows as tuples (of the given columns), sorted for comparison."""
-    sel = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in sel.collect()), key=lambda t: tuple((x is None, str(x)) for x in t))

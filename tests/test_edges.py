@@ -4,7 +4,7 @@ audits, and the settings-driven reports."""
 import datetime as dt
 from decimal import Decimal
 
-from conftest import AS_OF, days, rows
+from helpers import AS_OF, days, rows
 from wardlake.operators import aggregates as agg
 from wardlake.operators import changes, ingest, joins, refills, search
 from wardlake.plans import reports

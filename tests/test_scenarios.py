@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, days, rows
+from helpers import AS_OF, days, rows
 from wardlake.functions import labels
 from wardlake.operators import aggregates as agg
 from wardlake.operators import changes, ingest, joins, ledger, refills, search

@@ -9,7 +9,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, rows
+from helpers import AS_OF, rows
 from wardlake.operators import aggregates as agg
 from wardlake.operators import changes, ledger
 from wardlake.sources import sinks
