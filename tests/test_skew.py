@@ -123,15 +123,15 @@ def many_partitions(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("probe", [2000, 20, 1])
-def test_drug_over_many_partitions_is_exact(spark, many_partitions, probe):
-    """With a short probe the walk has to replay partitions from their true entry and go on."""
+@pytest.mark.parametrize("fan,most", [(32, 50_000), (2, 50_000), (3, 2)])
+def test_drug_over_many_partitions_is_exact(spark, many_partitions, fan, most):
+    """One level, many levels, and functions that are too large to be composed."""
     drugs = spark.range(100).select(F.col("id").alias("id"), F.concat(F.lit("d"), F.col("id")).alias("name"),
                                     F.lit(None).cast("string").alias("unit"),
                                     (F.col("id") % 7 * 10).cast("decimal(18,3)").alias("quantity_on_hand"))
     req = _requests(spark)
     want, _ = _brute_force([tuple(r) for r in req.collect()], {r.id: r.quantity_on_hand for r in drugs.collect()})
-    got = ledger.stock_ledger_apply(drugs, req, ["seq"], probe=probe).collect()
+    got = ledger.stock_ledger_apply(drugs, req, ["seq"], fan=fan, most=most).collect()
     assert len(got) == N and {r.seq: (r.accepted, r.balance_after) for r in got} == want
     assert all((r.reason is None) == r.accepted for r in got)
 
@@ -167,7 +167,7 @@ def test_hot_drug_respects_the_tenant_key(spark, many_partitions):
                                     F.concat(F.lit("d"), F.col("id")).alias("name"),
                                     F.lit(None).cast("string").alias("unit"),
                                     (F.col("id") % 5 * 10).cast("decimal(18,3)").alias("quantity_on_hand"))
-    got = ledger.stock_ledger_apply(drugs, req, ["seq"], tenant=["clinic_id"], probe=256)
+    got = ledger.stock_ledger_apply(drugs, req, ["seq"], tenant=["clinic_id"], fan=4)
     got = {r.seq: (r.accepted, r.balance_after) for r in got.collect()}
     bal = {(r.clinic_id, r.id): r.quantity_on_hand for r in drugs.collect()}
     want = {}
@@ -179,3 +179,62 @@ def test_hot_drug_respects_the_tenant_key(spark, many_partitions):
         bal[k] = b
         want[r.seq] = (ok, b)
     assert got == want
+
+
+def _fold(steps, x):
+    for s in steps:
+        if s > 0 or x + s >= 0:
+            x += s
+    return x
+
+
+def test_transfer_functions_equal_the_fold():
+    import random
+
+    from wardlake.operators import transfer as tr
+    rnd = random.Random(0)
+    for _ in range(400):
+        sizes = rnd.choice([[1, 2, 3], [10], [7, 3], [1000, 2000, 5000], [1, 2, 4, 8, 16], list(range(1, 30))])
+        a, b = ([rnd.choice([1, -1, -1]) * rnd.choice(sizes) * (rnd.random() > 0.05) for _ in range(rnd.randint(0, 25))] for _ in range(2))
+        cut = tr.transfer(a + b, rnd.choice([1, 3, 10]))
+        f, g, whole = tr.transfer(a)[0], tr.transfer(b)[0], tr.transfer(a + b)[0]
+        both = tr.compose(f, g)
+        for x in [*range(100), *(rnd.randint(0, 30_000) for _ in range(20))]:
+            want, y = _fold(a + b, x), x
+            for part in cut:
+                y = tr.evaluate(part, y)
+            assert want == y == tr.evaluate(whole, x) and (both is None or tr.evaluate(both, x) == want)
+
+
+def test_transfer_functions_stay_small():
+    """Many pieces, few runs: refusals of one size repeat, and balances meet."""
+    import random
+
+    from wardlake.operators import transfer as tr
+    rnd = random.Random(1)
+    assert len(tr.transfer([-10_000] * 5000 + [3000] * 700)[0]) <= 3
+    steps = [rnd.choice([1, -1, -1]) * 1000 * rnd.randint(1, 50) for _ in range(20_000)]
+    assert len(tr.transfer(steps)) == 1 and len(tr.transfer(steps)[0]) < 6000
+
+
+def test_drug_over_500_partitions_resolves_in_few_rounds(spark, monkeypatch):
+    """Refusals whose balances never meet: each partition's end depends on where it was entered."""
+    import random
+    rnd = random.Random(4)
+    parts = [[rnd.choice([3000, 7000, -7000, -11_000, -13_000]) for _ in range(9)] for _ in range(500)]
+    functions = []
+    for i, own in enumerate(parts):
+        for j, f in enumerate(ledger.transfer(own, 3)):
+            functions.append((5, 40_000, i, j, ledger._packed(f)))
+    df = spark.createDataFrame(functions, "drug_id long, _open long, _part int, _piece int, _fn struct<begin array<long>, origin array<long>, value array<long>, period array<long>>")
+    rounds = []
+    monkeypatch.setattr(ledger, "shared_table", lambda d, label, f=ledger.shared_table: (rounds.append(label), f(d, label))[1])
+    for fan, most in ((32, 50_000), (8, 50_000), (32, 4)):
+        rounds.clear()
+        got = {r._part: r._entry for r in ledger.entries(df, ["drug_id"], fan, most).collect()}
+        x, want = 40_000, {}
+        for i, own in enumerate(parts):
+            if i:
+                want[i] = x
+            x = _fold(own, x)
+        assert got == want and len(rounds) <= 12

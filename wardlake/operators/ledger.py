@@ -6,270 +6,288 @@ every earlier refusal. A running sum cannot express it.
 
 One plan for drugs of any size:
 
-1. Requests for unknown drugs (and NULL ids) are refused by a join and never
-   reach the replay.
-2. The others are range-partitioned by (drug, order): a drug with many
+1. One left join brings each request its drug (none for unknown and NULL ids, which are spread
+   over all tasks). Requests are range-partitioned by (drug, order): a drug with many
    requests spans several partitions, a small one lies inside one. Each
-   partition is replayed in one pass (``mapInArrow``; columns that the replay
-   does not need stay Arrow arrays), every drug from its opening stock, and
-   written once to the shared checkpoint folder with a summary of its first
-   and last drug.
-3. Only a drug that continues from an earlier partition can have started from
-   a wrong balance. Its summaries (one small row per partition) are walked in order:
-   a partition entered at ``x`` ends at ``x + net`` if nothing in it is
-   refused from there (``x >= need``); otherwise its first ``PROBE`` requests
-   are replayed from ``x`` until the balance meets that of the first pass, after
-   which both are the same. Should they not meet within the probe, that one
-   partition is replayed from its true entry, and the walk goes on.
+   partition is replayed in one pass (``mapInArrow``), every drug from its opening stock, and
+   written once to the shared checkpoint folder.
+2. A drug that continues from an earlier partition may have started from a wrong balance. So
+   each partition also leaves the *transfer function* of its first drug: the balance at
+   its end for every balance at its start (``operators.transfer``).
+3. Neighbouring functions are composed, ``FAN`` at a time, level by level (``entries``); on the way down
+   every block of partitions gets its true entry balance and hands it to its
+   members. With n partitions that is about 2 log n / log FAN rounds, whatever the requests are.
 4. Partitions entered with another balance than assumed are replayed from their
    true entry, in parallel; all other rows are final after the first pass.
 
-Replays from different balances meet quickly, because a refusal leaves a
-balance below the refused quantity. Quantities are exact integer thousandths.
+Quantities are exact integer thousandths.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import QTY
+from ..functions.semantics import js_decimal_text
+from ..schemas import MOVEMENT_TYPES, QTY
 from ..session import ship_package, shared_table
+from .transfer import MOST_RUNS, compose, constant, evaluate, transfer
 
 # Fixed texts of refusals
 REASON_QTY = "quantity must be greater than 0"
 REASON_TYPE = "type must be restock or dispense"
 REASON_UNKNOWN = "No drug with id "
 
-PROBE = 2_000        # requests kept in a summary, to be replayed by the walk
+FAN = 32             # functions composed by one task call
+SPREAD = 1024        # parts of the requests without a drug id in the join
 
 
-def _num_text(milli: int) -> str:
-    """JS-style number text for a thousandths count: 5000 -> '5', 2500 -> '2.5'."""
-    sign = "-" if milli < 0 else ""
-    whole, frac = divmod(abs(milli), 1000)
-    return f"{sign}{whole}" if frac == 0 else f"{sign}{whole}." + f"{frac:03d}".rstrip("0")
+def signed_step() -> Column:
+    """What a request adds to the balance in thousandths (negative: takes from it); 0 if it is refused whatever is on hand."""
+    q = (F.col("quantity") * F.lit(1000)).cast("long")
+    return (F.when((q > 0) & (F.col("type") == MOVEMENT_TYPES[0]), q).when((q > 0) & (F.col("type") == MOVEMENT_TYPES[1]), -q)
+            .otherwise(F.lit(0).cast("long")))
 
 
-def step(bal: int | None, typ: str, q: int | None, drug_id, name: str | None, unit: str | None):
-    """One request against the balance (thousandths; None = the drug does not
-    exist). Returns (new balance, accepted, reason). Checks run in the
-    application's order: drug exists, type, quantity > 0, enough on hand."""
-    if bal is None:
-        return None, False, f"{REASON_UNKNOWN}{'null' if drug_id is None else drug_id}"
-    if typ not in ("restock", "dispense"):
-        return bal, False, REASON_TYPE
-    if q is None or q <= 0:
-        return bal, False, REASON_QTY
-    if typ == "restock":
-        return bal + q, True, None
-    if q > bal:
-        return bal, False, f"Only {_num_text(bal)} {unit or 'unit(s)'} of {name} in stock"
-    return bal - q, True, None
+def refusal(known: Column, accepted: Column, step: Column, after: Column, name: Column, unit: Column) -> Column:
+    """Why a request was refused (NULL if it was not). Checks run in the application's order: drug exists, type, quantity > 0,
+    enough on hand."""
+    on_hand = js_decimal_text((after.cast("decimal(20,0)") / 1000).cast("decimal(20,3)"))
+    return (F.when(~known, F.concat(F.lit(REASON_UNKNOWN), F.coalesce(F.col("drug_id").cast("string"), F.lit("null"))))
+            .when(accepted, F.lit(None).cast("string"))
+            .when(~F.coalesce(F.col("type").isin(*MOVEMENT_TYPES), F.lit(False)), F.lit(REASON_TYPE))
+            .when(step == 0, F.lit(REASON_QTY))
+            .otherwise(F.concat(F.lit("Only "), on_hand, F.lit(" "), F.coalesce(F.nullif(unit, F.lit("")), F.lit("unit(s)")),
+                                F.lit(" of "), F.coalesce(name, F.lit("null")), F.lit(" in stock"))))
 
 
-def _int_or_none(q):
-    return None if q is None or q != q else int(q)
+def replay(steps: list[int], start: int) -> tuple[list[bool], list[int]]:
+    """(accepted, balance after) of each step from balance ``start``."""
+    accepted, after, bal = [], [], start
+    for s in steps:
+        ok = s > 0 or (s < 0 and bal + s >= 0)
+        if ok:
+            bal += s
+        accepted.append(ok)
+        after.append(bal)
+    return accepted, after
 
 
-def _milli(c: str):
-    return (F.col(c) * F.lit(1000)).cast("long")
+RUNS = T.ArrayType(T.LongType())
+FUNCTION = T.StructType([T.StructField(c, RUNS) for c in ("begin", "origin", "value", "period")])
+ARROW_FUNCTION = pa.struct([(c, pa.list_(pa.int64())) for c in ("begin", "origin", "value", "period")])
 
 
-SUMMARY = T.StructType([T.StructField("need", T.LongType()), T.StructField("net", T.LongType()),
-                        T.StructField("n", T.LongType()), T.StructField("exit", T.LongType()),
-                        T.StructField("states", T.ArrayType(T.LongType())),
-                        T.StructField("types", T.ArrayType(T.StringType())),
-                        T.StructField("qs", T.ArrayType(T.LongType()))])
+def _packed(runs: list[tuple[int, int, int, int]]) -> dict:
+    return dict(zip(("begin", "origin", "value", "period"), map(list, zip(*runs, strict=True)), strict=True))
 
 
-OUTCOME = (("accepted", pa.bool_()), ("reason", pa.string()), ("_after", pa.int64()))
-ARROW_SUMMARY = pa.struct([(n, pa.int64()) for n in ("need", "net", "n", "exit")]
-                          + [("states", pa.list_(pa.int64())), ("types", pa.list_(pa.string())), ("qs", pa.list_(pa.int64()))])
+def _runs(f) -> list[tuple[int, int, int, int]]:
+    return list(zip(*([int(x) for x in f[c]] for c in ("begin", "origin", "value", "period")), strict=True))
 
 
-class _Run:
-    """The requests of one drug in one partition, as far as they have come."""
+OUTCOME = (("accepted", pa.bool_()), ("_after", pa.int64()))
+PASS = (*OUTCOME, ("_part", pa.int32()), ("_first", pa.bool_()), ("_piece", pa.int32()), ("_fn", ARROW_FUNCTION))
 
-    def __init__(self, key, start: int, probe: int):
-        self.key, self.bal, self.probe = key, start, probe
-        self.need = self.net = self.n = 0
-        self.states, self.types, self.qs = [], [], []
 
-    def add(self, typ: str, q: int | None, name, unit):
-        self.bal, ok, why = step(self.bal, typ, q, None, name, unit)
-        if q is not None and q > 0:
-            if typ == "restock":
-                self.net += q
-            elif typ == "dispense":
-                self.need = max(self.need, q - self.net)
-                self.net -= q
-        self.n += 1
-        if self.n <= self.probe:
-            self.states.append(self.bal)
-            self.types.append(typ)
-            self.qs.append(q)
-        return ok, why
-
-    def summary(self) -> dict:
-        return {"need": self.need, "net": self.net, "n": self.n, "exit": self.bal, "states": self.states, "types": self.types, "qs": self.qs}
-
-
-def _first_pass(keys: Sequence[str], kept: Sequence[str], probe: int):
-    """Replay a sorted partition, every drug from its opening stock; the last
-    rows are the summaries of its first and last drug."""
+def _first_pass(keys: Sequence[str], kept: Sequence[str], most: int):
+    """Replay a sorted partition, every drug from its opening stock; the last rows are the transfer functions of its first
+    drug, and the end balance of its last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, first, cur, schema = TaskContext.get().partitionId(), None, None, None
-        done = []
+        part, schema, last_key, first_key, bal = TaskContext.get().partitionId(), None, None, None, None
+        first_steps, in_first = [], True
         for batch in batches:
-            schema = schema or pa.schema([*(batch.schema.field(c).with_nullable(True) for c in kept), *(pa.field(*f) for f in OUTCOME), pa.field("_part", pa.int32()), pa.field("_first", pa.bool_()), pa.field("_sum", ARROW_SUMMARY)])
-            key_rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            accepted, reasons, after, is_first = [], [], [], []
-            for key, typ, q, start, name, unit in zip(key_rows, *(batch.column(c).to_pylist() for c in ("type", "_q", "_open", "_name", "_unit")), strict=True):
-                if cur is None or key != cur.key:
-                    if cur is not None and cur is first:
-                        done.append(cur)
-                    cur = _Run(key, start, probe)
-                    first = first or cur
-                ok, why = cur.add(typ, q, name, unit)
-                accepted.append(ok)
-                reasons.append(why)
-                after.append(cur.bal)
-                is_first.append(cur is first)
-            n = len(accepted)
+            n = batch.num_rows
+            if not n:
+                continue
+            schema = schema or pa.schema([*(batch.schema.field(c).with_nullable(True) for c in kept), *(pa.field(*f) for f in PASS)])
+            cols = [batch.column(k) for k in keys]
+            key0 = tuple(c[0].as_py() for c in cols)
+            new = np.zeros(n, bool)
+            new[0] = key0 != last_key
+            for c in cols:
+                if n > 1:
+                    differs = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+                    both = pc.and_(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+                    new[1:] |= differs & ~both
+            last_key = tuple(c[n - 1].as_py() for c in cols)
+            if first_key is None:
+                first_key = key0
+            steps, opens = batch.column("_s").to_pylist(), batch.column("_open")
+            starts = np.flatnonzero(new).tolist()
+            accepted, after = [], []
+            for a, b in zip([*([] if starts[:1] == [0] else [0]), *starts], [*(starts[1:] if starts[:1] == [0] else starts), n], strict=True):
+                if new[a]:
+                    bal = opens[a].as_py()
+                if bal is None:
+                    accepted += [False] * (b - a)
+                    after += [None] * (b - a)
+                else:
+                    ok, got = replay(steps[a:b], bal)
+                    accepted += ok
+                    after += got
+                    bal = got[-1]
+            own = n if not in_first else next((x for x in starts if x or first_key != key0), n)
+            if in_first:
+                first_steps.append(np.array(steps[:own], np.int64))
+                in_first = own == n
+                first = np.arange(n) < own
+            else:
+                first = np.zeros(n, bool)
+            if key0 == first_key and first[:1].any():
+                first_open = opens[0].as_py() if new[0] else first_open
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(accepted, pa.bool_()), pa.array(reasons, pa.string()), pa.array(after, pa.int64()),
-                 pa.array([part] * n, pa.int32()), pa.array(is_first, pa.bool_()), pa.nulls(n, ARROW_SUMMARY)], schema=schema)
-        if cur is not None:
-            done.append(cur)
-            cols = []
+                [*(batch.column(c) for c in kept), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64()), pa.array([part] * n, pa.int32()),
+                 pa.array(first), pa.nulls(n, pa.int32()), pa.nulls(n, ARROW_FUNCTION)], schema=schema)
+        if schema is None:
+            return
+        ends = []
+        if first_open is not None:
+            ends += [(first_key, i, f) for i, f in enumerate(transfer(np.concatenate(first_steps).tolist(), most))]
+        if last_key != first_key and bal is not None:
+            ends.append((last_key, 0, constant(bal)))
+        if ends:
+            out = []
             for f in schema:
                 if f.name in keys:
-                    cols.append(pa.array([r.key[keys.index(f.name)] for r in done], f.type))
-                elif f.name == "_part":
-                    cols.append(pa.array([part] * len(done), f.type))
-                elif f.name == "_sum":
-                    cols.append(pa.array([r.summary() for r in done], f.type))
+                    out.append(pa.array([k[keys.index(f.name)] for k, _, _ in ends], f.type))
+                elif f.name in ("_part", "_piece", "_fn"):
+                    out.append(pa.array([{"_part": part, "_piece": i, "_fn": _packed(fn)}[f.name] for _, i, fn in ends], f.type))
                 else:
-                    cols.append(pa.nulls(len(done), f.type))
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+                    out.append(pa.nulls(len(ends), f.type))
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
     return run
 
 
-def _replay(kept: Sequence[str]):
+def _replay_entries(kept: Sequence[str]):
     """Replay partitions' first drugs, sorted by (partition, order), from ``_entry``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cur, bal = None, None
+        last, bal = None, None
         for batch in batches:
-            accepted, reasons, after = [], [], []
-            for part, entry, typ, q, name, unit in zip(*(batch.column(c).to_pylist() for c in ("_part", "_entry", "type", "_q", "_name", "_unit")), strict=True):
-                if part != cur:
-                    cur, bal = part, entry
-                bal, ok, why = step(bal, typ, q, None, name, unit)
-                accepted.append(ok)
-                reasons.append(why)
-                after.append(bal)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(accepted, pa.bool_()), pa.array(reasons, pa.string()), pa.array(after, pa.int64())],
+            parts = batch.column("_part").to_numpy()
+            steps, entry = batch.column("_s").to_pylist(), batch.column("_entry")
+            accepted, after, n = [], [], len(parts)
+            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), n] if n else [0]
+            for a, b in zip(edges, edges[1:]):
+                if parts[a] != last:
+                    last, bal = parts[a], entry[a].as_py()
+                ok, got = replay(steps[a:b], bal)
+                accepted += ok
+                after += got
+                bal = got[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())],
                                              schema=pa.schema([*(batch.schema.field(c).with_nullable(True) for c in kept), *(pa.field(*f) for f in OUTCOME)]))
     return run
 
 
-def _walk(keys: Sequence[str]):
-    """Entry balance of each further partition of a drug, up to the first whose exit is not known."""
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_part")
-        out, x = [], None
-        for part, start, sm, exact in zip(pdf["_part"], pdf["_open"], pdf["_sum"], pdf["_exit"], strict=True):
-            if x is None or x == start:
-                x = int(sm["exit"])
-                continue
-            row = [part, x, True]
-            if exact is not None and exact == exact:
-                x = int(exact)
-            elif x >= sm["need"]:
-                x += int(sm["net"])
+# ------------------------------------------------------------------ entry balances by composed functions
+def _loose(fields) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+
+
+def entries(functions: DataFrame, keys: Sequence[str], fan: int = FAN, most: int = MOST_RUNS) -> DataFrame:
+    """(keys, _part, _entry): the true balance at the start of every partition but the first of a drug.
+
+    ``functions(keys, _open, _part, _piece, _fn)``: transfer functions in order of (_part, _piece). Upwards, ``fan`` neighbouring
+    blocks become one row a level (more, if the function they make would have over ``most`` runs); downwards a block
+    evaluates its members' functions one after another from its own entry."""
+    key_fields = [functions.schema[k] for k in keys]
+    up_schema = _loose([*key_fields, T.StructField("_block", T.LongType()), T.StructField("_part", T.IntegerType()), T.StructField("_piece", T.IntegerType()),
+                        T.StructField("_open", T.LongType()), T.StructField("_fn", FUNCTION)])
+    down_schema = _loose([*key_fields, T.StructField("_block", T.LongType()), T.StructField("_entry", T.LongType())])
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_part", "_piece"])
+        rows, held = [], None
+        for part, piece, f in zip(pdf["_part"], pdf["_piece"], pdf["_fn"], strict=True):
+            f = _runs(f)
+            both = compose(held, f, most) if held is not None else None
+            if both is None:
+                rows.append([part, piece, f])
             else:
-                y, met = x, False
-                for typ, q, ref in zip(sm["types"], sm["qs"], sm["states"], strict=True):
-                    y = step(y, typ, _int_or_none(q), None, "", None)[0]
-                    if y == ref:
-                        met = True
-                        break
-                if met:
-                    x = int(sm["exit"])
-                elif sm["n"] <= len(sm["qs"]):
-                    x = y
-                else:
-                    row[2] = False
-            out.append(row)
-            if not row[2]:
-                break
-        got = pd.DataFrame(out, columns=["_part", "_entry", "_resolved"])
+                rows[-1][2] = both
+            held = rows[-1][2]
+        out = pd.DataFrame({"_part": [r[0] for r in rows], "_piece": [r[1] for r in rows], "_fn": [_packed(r[2]) for r in rows]})
+        for c in (*keys, "_block", "_open"):
+            out[c] = pdf[c].iat[0]
+        return out[up_schema.fieldNames()]
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_part", "_piece"])
+        x, out, seen = int(pdf["_entry"].iat[0]), [], None
+        for block, f in zip(pdf["_block"], pdf["_fn"], strict=True):
+            if block != seen:
+                out.append((block, x))
+                seen = block
+            x = evaluate(_runs(f), x)
+        got = pd.DataFrame(out, columns=["_block", "_entry"])
         for k in keys:
             got[k] = pdf[k].iat[0]
-        return got[[*keys, "_part", "_entry", "_resolved"]]
-    return walk
+        return got[down_schema.fieldNames()]
+
+    levels = [functions.withColumn("_block", F.col("_part").cast("long"))]
+    top = functions.agg(F.max("_part")).first()[0] or 0
+    while top >= fan:                           # a level up for each factor of ``fan`` in the number of partitions
+        above = levels[-1].withColumn("_block", F.floor(F.col("_block") / fan)).select(*up_schema.fieldNames())
+        levels.append(shared_table(above.groupBy(*keys, "_block").applyInPandas(up, up_schema), "ledger-functions"))
+        top //= fan
+    here = None
+    for level in reversed(levels):
+        rows = level.withColumn("_up", F.floor(F.col("_block") / fan))
+        if here is None:
+            rows = rows.withColumn("_entry", F.col("_open"))
+        else:
+            rows = rows.join(here.select(*keys, F.col("_block").alias("_up"), "_entry"), [*keys, "_up"])
+        here = shared_table(rows.select(*keys, "_up", "_block", "_part", "_piece", "_fn", "_entry").groupBy(*keys, "_up").applyInPandas(down, down_schema), "ledger-entries")
+    first = functions.groupBy(*keys).agg(F.min("_part").alias("_min"))
+    return (here.join(first, list(keys)).where(F.col("_block") > F.col("_min"))
+            .select(*keys, F.col("_block").cast("int").alias("_part"), "_entry"))
 
 
 def stock_ledger_apply(drugs: DataFrame, requests: DataFrame, order: Sequence[str],
-                       tenant: Sequence[str] = (), probe: int = PROBE) -> DataFrame:
+                       tenant: Sequence[str] = (), fan: int = FAN, most: int = MOST_RUNS) -> DataFrame:
     """Every request with ``accepted``, ``reason`` (NULL when accepted) and
     ``balance_after`` (stock after the request; NULL for an unknown drug).
 
     ``order`` names the request columns that give the total order within a
     drug (they must be unique per drug for a deterministic replay). The first
     pass is written to the shared checkpoint folder when this is called."""
-    spark = requests.sparkSession
-    ship_package(spark)
+    ship_package(requests.sparkSession)
     keys, kept = [*tenant, "drug_id"], requests.columns
     info = drugs.where(F.col("quantity_on_hand").isNotNull()).select(
-        *tenant, F.col("id").alias("drug_id"), _milli("quantity_on_hand").alias("_open"), F.col("name").alias("_name"), F.col("unit").alias("_unit"))
-    has_id = requests.where(F.col("drug_id").isNotNull())
-    known = has_id.withColumn("_q", _milli("quantity")).join(info, keys)
-    lost = has_id.join(info.select(*keys), keys, "left_anti").select(*kept).union(requests.where(F.col("drug_id").isNull()))
-    refused = lost.select(*kept, F.lit(False).alias("accepted"),
-                          F.concat(F.lit(REASON_UNKNOWN), F.coalesce(F.col("drug_id").cast("string"), F.lit("null"))).alias("reason"), F.lit(None).cast("long").alias("_after"))
-
-    def loose(fields) -> T.StructType:
-        return T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-
-    outcome = [T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("_after", T.LongType())]
-    rows_schema = loose([*requests.schema.fields, *outcome])
-    helpers = [known.schema[c] for c in ("_q", "_open", "_name", "_unit")]
-    schema = loose([*requests.schema.fields, *helpers, *outcome, T.StructField("_part", T.IntegerType()),
-                    T.StructField("_first", T.BooleanType()), T.StructField("_sum", SUMMARY)])
-    passed = shared_table(known.select(*kept, "_q", "_open", "_name", "_unit").repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-                          .mapInArrow(_first_pass(keys, [*kept, "_q", "_open", "_name", "_unit"], probe), schema), "ledger-pass")
-    summaries = passed.where(F.col("_sum").isNotNull()).select(*keys, "_part", "_sum").join(info.select(*keys, "_open"), keys)
-    rows = passed.where(F.col("_sum").isNull())
-    entry_schema = loose([*[requests.schema[k] for k in keys], T.StructField("_part", T.IntegerType()), T.StructField("_entry", T.LongType()),
-                          T.StructField("_resolved", T.BooleanType())])
-
-    def replayed(entries: DataFrame) -> DataFrame:
-        again = (rows.where("_first").join(entries.select(*keys, "_part", "_entry"), [*keys, "_part"])
-                 .select(*kept, "_q", "_name", "_unit", "_part", "_entry").repartition("_part").sortWithinPartitions("_part", *order))
-        return again.mapInArrow(_replay(kept), rows_schema)
-
-    exits = None
-    while True:   # once, but for partitions whose replays do not meet within the probe
-        seen = summaries.withColumn("_exit", F.lit(None).cast("long")) if exits is None else summaries.join(exits, [*keys, "_part"], "left")
-        entries = shared_table(seen.select(*keys, "_part", "_open", "_sum", "_exit").groupBy(*keys).applyInPandas(_walk(keys), entry_schema), "ledger-entries")
-        stuck = entries.where(~F.col("_resolved"))
-        if stuck.isEmpty():
-            break
-        ends = (replayed(stuck).groupBy(*keys).agg(F.max(F.struct(*order, "_after")).alias("_end"))
-                .join(stuck.select(*keys, "_part"), keys).select(*keys, "_part", F.col("_end._after").alias("_exit")))
-        exits = shared_table(ends if exits is None else exits.union(ends.select(*exits.columns)), "ledger-exits")
-    fixed = replayed(entries)
-    kept_rows = rows.join(entries.select(*keys, "_part", F.lit(True).alias("_first")), [*keys, "_part", "_first"], "left_anti")
-    out = kept_rows.select(*kept, "accepted", "reason", "_after").union(fixed).union(refused)
-    return out.withColumn("balance_after", (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY)).drop("_after")
+        *tenant, F.col("id").alias("drug_id"), (F.col("quantity_on_hand") * F.lit(1000)).cast("long").alias("_open"),
+        F.col("name").alias("_name"), F.col("unit").alias("_unit"), F.lit(0).alias("_spread"))
+    spread = F.when(F.col("drug_id").isNull(), F.pmod(F.xxhash64(*order), F.lit(SPREAD)).cast("int") + 1).otherwise(0)
+    joined = requests.withColumn("_spread", spread).join(info, [*keys, "_spread"], "left").withColumn("_s", signed_step())
+    carried = [*kept, "_s", "_open", "_name", "_unit"]
+    schema = _loose([*(joined.schema[c] for c in carried), T.StructField("accepted", T.BooleanType()), T.StructField("_after", T.LongType()),
+                     T.StructField("_part", T.IntegerType()), T.StructField("_first", T.BooleanType()), T.StructField("_piece", T.IntegerType()),
+                     T.StructField("_fn", FUNCTION)])
+    passed = shared_table(joined.select(*carried).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+                          .mapInArrow(_first_pass(keys, carried, most), schema), "ledger-pass")
+    rows = passed.where(F.col("_part").isNotNull() & F.col("_fn").isNull())
+    functions = passed.where(F.col("_fn").isNotNull()).select(*keys, "_part", "_piece", "_fn").join(info.select(*keys, "_open"), keys)
+    spans = functions.groupBy(*keys).agg(F.count_distinct("_part").alias("_n")).where("_n > 1").select(*keys)
+    functions = shared_table(functions.join(spans, keys, "left_semi"), "ledger-spans")
+    done = [*carried, "accepted", "_after"]
+    out = rows
+    if not functions.isEmpty():
+        wrong = shared_table(entries(functions, keys, fan, most).join(info.select(*keys, "_open"), keys).where("_entry <> _open").drop("_open"), "ledger-wrong")
+        again = (rows.where("_first").drop("accepted", "_after").join(wrong, [*keys, "_part"]).select(*carried, "_part", "_entry")
+                 .repartition("_part").sortWithinPartitions("_part", *order)
+                 .mapInArrow(_replay_entries(carried), _loose(schema[c] for c in done)))
+        final = rows.join(wrong.select(*keys, "_part", F.lit(True).alias("_first")), [*keys, "_part", "_first"], "left_anti")
+        out = final.select(*done).union(again)
+    reason = refusal(F.col("_open").isNotNull(), F.col("accepted"), F.col("_s"), F.col("_after"), F.col("_name"), F.col("_unit"))
+    return out.select(*kept, "accepted", reason.alias("reason"), (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY).alias("balance_after"))
 
 
 def accepted_movements(ledger: DataFrame) -> DataFrame:

@@ -27,11 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ledger import REASON_UNKNOWN, _int_or_none, step
+from ..operators.ledger import refusal, replay, signed_step
 from ..schemas import AI_DAILY_LIMIT, QTY
 from ..session import checkpoint_dir, ship_package
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Exact texts of days and instants in the rows that travel as JSON.
+ROW_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
 # ------------------------------------------------------------------ runner
 def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a streaming query over everything available, then stop.
@@ -59,68 +65,55 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFra
 
 
 # ------------------------------------------------------------------ stock ledger
-BUCKETS_PER_PARTITION = 8
-
-
 def stream_stock_ledger(requests: DataFrame, drugs: DataFrame, order: Sequence[str],
-                        tenant: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+                        tenant: Sequence[str] = ()) -> DataFrame:
     """Streaming replay of stock requests; same output columns as the batch
     ledger (all request columns, accepted, reason, balance_after). ``drugs`` is
     static: the opening stock is read when a drug is first seen, later batches use state.
 
+    State (``transformWithStateInPandas``, RocksDB) is keyed by (clinic, drug) and holds one number, the
+    balance; a trigger reads and writes the state of the drugs it has requests for and no other.
     Requests for drugs that are not known (or NULL) are refused by the join with
     ``drugs`` and leave nothing in state, so a drug that is added later is
-    known from then on. State is keyed by a hash bucket of (clinic, drug)
-    (``BUCKETS_PER_PARTITION`` times the session's shuffle partitions unless
-    given, so it grows with the cluster); a bucket's state holds the balances of its
-    drugs. Use ``maxFilesPerTrigger`` (``stream_table``) to bound a trigger's rows."""
+    known from then on. Columns that the replay does not use travel as one JSON text and come back as they were. A trigger's
+    requests of one drug are sorted together; ``maxFilesPerTrigger`` (``stream_table``) bounds a trigger's rows."""
+    from pyspark.sql.streaming import StatefulProcessor
     spark = requests.sparkSession
     ship_package(spark)
-    buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    milli = (F.col("quantity") * F.lit(1000)).cast("long")
+    spark.conf.set(STATE_STORE, ROCKSDB)
     d = drugs.where(F.col("quantity_on_hand").isNotNull()).select(
-        *tenant, F.col("id").alias("drug_id"), (F.col("quantity_on_hand") * 1000).cast("long").alias("_open"), F.col("name").alias("_name"), F.col("unit").alias("_unit"))
+        *tenant, F.col("id").alias("drug_id"), (F.col("quantity_on_hand") * F.lit(1000)).cast("long").alias("_open"), F.col("name").alias("_name"), F.col("unit").alias("_unit"))
     keys, kept = [*tenant, "drug_id"], requests.columns
-    r = requests.withColumn("_q", milli).join(d, keys, "left")
-    refused = r.where(F.col("_open").isNull()).select(
-        *kept, F.lit(False).alias("accepted"), F.concat(F.lit(REASON_UNKNOWN), F.coalesce(F.col("drug_id").cast("string"), F.lit("null"))).alias("reason"), F.lit(None).cast("long").alias("_after"))
-    # Columns that the replay does not need go through pandas as text, so that no number loses digits.
-    used = {*keys, *order, "type"}
-    text = [f.name for f in requests.schema.fields if f.name not in used and isinstance(f.dataType, (T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.FractionalType))]
-    known = (r.where(F.col("_open").isNotNull()).withColumns({c: F.col(c).cast("string") for c in text} if text else {})
-             .withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
-    out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in known.select(*kept).schema.fields] + [
-        T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
-        T.StructField("_after", T.LongType())])
-    state_schema = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())),
-                                 T.StructField("bal", T.ArrayType(T.LongType()))])
-
-    def fold(bucket, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chunks = list(pdfs)
-        pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
-        pdf = pdf.sort_values([*keys, *order], kind="mergesort")
-        book = dict(zip(*state.get, strict=True)) if state.exists else {}
-        acc, why, after = [], [], []
-        cols = [pdf[c].tolist() for c in keys]
-        for i, (typ, q, opening, name, unit) in enumerate(zip(pdf["type"].tolist(), pdf["_q"].tolist(),
-                                                              pdf["_open"].tolist(), pdf["_name"].tolist(),
-                                                              pdf["_unit"].tolist(), strict=True)):
-            k = repr(tuple(c[i] for c in cols))
-            bal = book[k] if k in book else int(opening)
-            bal, ok, reason = step(bal, typ, _int_or_none(q), cols[-1][i], name, unit)
-            book[k] = bal
-            acc.append(ok)
-            why.append(reason)
-            after.append(bal)
-        state.update((list(book), list(book.values())))
-        out = {c: pdf[c].to_numpy() for c in kept}
-        out.update(accepted=acc, reason=why, _after=pd.array(after, dtype="Int64"))
-        yield pd.DataFrame(out)
-
-    folded = known.groupBy("_bucket").applyInPandasWithState(
-        fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    restored = folded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in requests.schema.fields], "accepted", "reason", "_after")
-    return (restored.union(refused).withColumn("balance_after", (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY)).drop("_after"))
+    r = requests.join(d, keys, "left").withColumn("_s", signed_step())
+    row = F.to_json(F.struct(*kept, "_name", "_unit"), ROW_TEXT)
+    known = r.where(F.col("_open").isNotNull()).select(
+        *keys, F.col("_s").alias("in_step"), F.col("_open").alias("in_open"), row.alias("in_row"), F.struct(*order).cast("string").alias("in_tie"),
+        *[F.col(c).alias(f"in_{i}") for i, c in enumerate(order)])   # names with a leading underscore do not reach the processor
+    lost = r.where(F.col("_open").isNull()).select(*kept, "_name", "_unit", "_s", F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("_after"), F.lit(False).alias("_known"))
+    by = [f"in_{i}" for i in range(len(order))]
+
+    class Balance(StatefulProcessor):
+        """One drug: its balance is all that is kept."""
+
+        def init(self, handle) -> None:
+            self.balance = handle.getValueState("balance", T.StructType([T.StructField("milli", T.LongType())]))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(list(rows), ignore_index=True).sort_values([*by, "in_tie"], kind="mergesort")
+            start = self.balance.get()[0] if self.balance.exists() else int(pdf["in_open"].iat[0])
+            accepted, after = replay([int(x) for x in pdf["in_step"]], start)
+            self.balance.update((after[-1],))
+            yield pd.DataFrame({"_row": pdf["in_row"].to_numpy(), "_s": pdf["in_step"].to_numpy(), "accepted": accepted, "_after": after})
+
+        def close(self) -> None:
+            pass
+
+    folded = known.groupBy(*keys).transformWithStateInPandas(
+        Balance(), "_row string, _s long, accepted boolean, _after long", "Append", "None")
+    back = T.StructType([*requests.schema.fields, T.StructField("_name", T.StringType()), T.StructField("_unit", T.StringType())])
+    told = folded.select(F.from_json("_row", back, ROW_TEXT).alias("r"), "_s", "accepted", "_after").select("r.*", "_s", "accepted", "_after", F.lit(True).alias("_known"))
+    reason = refusal(F.col("_known"), F.col("accepted"), F.col("_s"), F.col("_after"), F.col("_name"), F.col("_unit"))
+    return told.unionByName(lost).select(*kept, "accepted", reason.alias("reason"), (F.col("_after").cast("decimal(20,0)") / 1000).cast(QTY).alias("balance_after"))
 
 
 # ------------------------------------------------------------------ assistant quota
