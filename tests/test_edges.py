@@ -2,6 +2,7 @@
 audits, and the settings-driven reports."""
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 from helpers import AS_OF, days, rows
@@ -103,8 +104,8 @@ def test_sync_envelope_only_opted_in_clinics_and_no_keys(spark):
                                  "id long, client_id long, entry_date date, entry_type string, medication string, "
                                  "day_supply int, reminder_sent_at timestamp")
     env = sinks.sync_envelope(_settings(spark), clients, hist)
-    docs = [r.value for r in sinks.to_json_lines(env).collect()]
-    assert len(docs) == 1 and '"clinicId":1' in docs[0] and '"username":"clinic1"' in docs[0]
+    docs = "".join(r.text for r in env.orderBy("row").collect()).splitlines()
+    assert len(docs) == 1 and json.loads(docs[0])["client"]["history"][0]["daySupply"] == 30 and '"clinicId":1' in docs[0] and '"username":"clinic1"' in docs[0]
     assert "secret" not in docs[0] and '"entryDate":"2026-08-14"' in docs[0]
 
 

@@ -2,6 +2,7 @@
 one operator, exact values. ``as_of`` is fixed (Friday 2026-08-14)."""
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -302,13 +303,13 @@ def test_refills_due_and_reminders(spark):
 def test_nested_export_shape(spark):
     from wardlake.sources import sinks
     clients, hist = _refill_fixture(spark)
-    n = {(r.id, r.month): r for r in sinks.export_clients_nested(clients, hist).collect()}
-    assert {k: [h.id for h in r.history] for k, r in n.items() if k[0] == 1} == {(1, "2026-06"): [1], (1, "2026-07"): [2], (1, "2026-08"): [6]}
-    assert {k[0] for k in n} == {1, 2, 3, 4}
-    assert sorted(n[1, "2026-08"].history[0].asDict()) == sorted(
-        ["daySupply", "entryDate", "entryType", "id", "medication", "reminderSentAt"])
+    doc = "".join(r.text for r in sinks.export_clients_nested(clients, hist).orderBy("row").collect())
+    n = {d["id"]: d for d in map(json.loads, doc.splitlines())}
+    assert [h["id"] for h in n[1]["history"]] == [6, 2, 1] and set(n) == {1, 2, 3, 4}
+    assert sorted(n[1]["history"][0]) == sorted(["daySupply", "entryDate", "entryType", "id", "medication", "reminderSentAt"])
     empty = spark.createDataFrame([(9, "No History", None, "Active")], "id long, name string, phone string, status string")
-    assert sinks.export_clients_nested(empty, hist).collect()[0].history == []
+    assert [r.text for r in sinks.export_clients_nested(empty, hist).collect()] == ['{"id":9,"name":"No History","phone":null,"status":"Active","history":[]}\n']
+    assert sinks.export_clients_nested(empty.where("false"), hist).collect() == []
 
 
 def test_cards_and_history_labels(spark):

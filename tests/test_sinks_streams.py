@@ -7,6 +7,7 @@ import os
 import tempfile
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import AS_OF, rows
@@ -36,14 +37,79 @@ def _csv_reference(header, records):
     return "\r\n".join([",".join(cell(h) for h in header)] + [",".join(cell(v) for v in r) for r in records])
 
 
+def _bytes(folder):
+    return b"".join(open(p, "rb").read() for p in sorted(glob.glob(f"{folder}/part-*"))).decode()
+
+
 def test_csv_exact_bytes(spark, tmp_path):
-    recs = [(None, "plain"), ("42", "has, comma"), ('say "hi"', "line\nbreak"), (" lead", "cr\rhere"), ("x", "")]
-    df = spark.createDataFrame(recs, "`Name` string, `Notes, extra` string").coalesce(1)
+    from wardlake.sources.part_files import read_csv_records
+    recs = [(None, "plain"), ("42", "has, comma"), ('say "hi"', "line\nbreak"), (" lead", "cr\rhere"), ("x", ""), (None, None), ("two\r\nends", "é")]
+    df = spark.createDataFrame(recs, "`Name` string, `Notes, extra` string")
+    out = str(tmp_path / "csv")
+    for n in (1, 3):
+        sinks.write_csv(df.coalesce(n), out)          # the second run replaces the first
+        assert _bytes(out) == _csv_reference(["Name", "Notes, extra"], recs)
+        assert len(glob.glob(f"{out}/part-*")) == n + 1 and os.listdir(out).count("_SUCCESS") == 1
+    want = [_csv_reference(r, []) for r in [("Name", "Notes, extra"), *recs]]
+    got = read_csv_records(spark, out).collect()
+    assert sorted((r.value, r.file_bytes) for r in got) == sorted((v, len(v.encode()) + 2 * bool(i)) for i, v in enumerate(want))
+    none = str(tmp_path / "none")
+    sinks.write_csv(df.where("false"), none)
+    assert _bytes(none) == _csv_reference(["Name", "Notes, extra"], []) and read_csv_records(spark, none).count() == 1
+
+
+def test_csv_failed_task_leaves_no_part(spark, tmp_path):
     out = str(tmp_path / "csv")
-    sinks.write_csv(df, out)
-    parts = sorted(glob.glob(out + "/part-*"))
-    text = "".join(open(p, newline="").read() for p in parts)
-    assert text == _csv_reference(["Name", "Notes, extra"], recs) + "\r\n"
+    good = spark.createDataFrame([("a",), ("b",)], "x string")
+    sinks.write_csv(good.coalesce(1), out)
+    before = {p: open(p, "rb").read() for p in glob.glob(f"{out}/*")}
+    bad = spark.range(0, 400, 1, 4).select(F.when(F.col("id") == 399, F.raise_error(F.lit("stop"))).otherwise(F.col("id").cast("string")).alias("x"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_csv(bad, out)
+    assert {p: open(p, "rb").read() for p in glob.glob(f"{out}/*")} == before
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_csv(bad, str(tmp_path / "new"))
+    assert glob.glob(f"{tmp_path}/new/*") == []
+    with pytest.raises(Exception, match="not empty"):
+        sinks.write_csv(good, out, mode="append")
+    assert {p: open(p, "rb").read() for p in glob.glob(f"{out}/*")} == before
+
+
+def test_snapshot_has_one_read_point_and_finds_damage(spark, tmp_path):
+    live, root = str(tmp_path / "live"), str(tmp_path / "snapshots")
+    for t in ("a", "b"):
+        spark.createDataFrame([(i, f"{t}{i}", None) for i in range(50)], "id long, name string, note string").write.parquet(f"{live}/{t}")
+    tables = {t: spark.read.parquet(f"{live}/{t}") for t in ("a", "b")}
+    for t in ("a", "b"):                          # rows that come after the tables were listed
+        spark.createDataFrame([(99, "late", "x")], "id long, name string, note string").write.mode("append").parquet(f"{live}/{t}")
+    name = sinks.snapshot_write(tables, root, dt.datetime(2026, 8, 14, 9, 0, 0))
+    assert all(spark.read.parquet(f"{root}/{name}/{t}").count() == 50 for t in ("a", "b"))
+    assert not glob.glob(f"{root}/_draft-*")
+    assert spark.read.parquet(f"{root}/{name}/_files").groupBy("table_name").count().count() == 2
+    check = sinks.snapshot_check(spark, root, name)
+    assert check.count() == 8 and check.where("not same").count() == 0
+    swapped = [(0, "b1", None), (1, "b0", None), *((i, f"b{i}", None) for i in range(2, 50))]
+    spark.createDataFrame(swapped, "id long, name string, note string").write.mode("overwrite").parquet(f"{root}/{name}/b")
+    assert rows(sinks.snapshot_check(spark, root, name).where("not same"), "table_name", "column_name") == [("b", "*")]
+    with pytest.raises(FileExistsError):
+        sinks.snapshot_write(tables, root, dt.datetime(2026, 8, 14, 9, 0, 0))
+    assert rows(sinks.snapshot_names(spark, root)) == [(name,)]
+
+
+def test_upgrade_finds_layouts_by_itself(spark, tmp_path):
+    from wardlake.sources.tables import layouts, upgrade_folder
+    folder = str(tmp_path / "visits")
+    day, paid = dt.date(2026, 8, 14), Decimal("5.00")
+    base = "id long, patient_id long, visit_date date, payment_amount "
+    for schema, row in ((base + "double", (1, 7, day, 5.0)), (base + "decimal(18,2), temperature_c double", (2, 7, day, paid, 38.5)),
+                        (base + "decimal(18,2), charge_amount decimal(18,2)", (3, 7, day, paid, Decimal("9.00"))),
+                        (base + "decimal(18,2), charge_amount decimal(18,2), created_by_staff_id long", (4, 7, day, paid, None, 3))):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+    assert len({tuple(r.layout) for r in layouts(spark, folder).collect()}) == 4
+    got = rows(upgrade_folder(spark, folder), "id", "charge_amount", "payment_amount", "temperature_c", "created_by_staff_id")
+    assert got == [(1, paid, paid, None, None), (2, paid, paid, 38.5, None), (3, Decimal("9.00"), paid, None, None), (4, None, paid, None, 3)]
+    os.makedirs(tmp_path / "empty")
+    assert upgrade_folder(spark, str(tmp_path / "empty")).collect() == []
 
 
 def test_csv_lines_keep_embedded_newlines(spark):

@@ -2,6 +2,8 @@
 Results are checked against a brute-force replay on the driver (small fixture)."""
 
 import datetime as dt
+import glob
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,7 +95,7 @@ def test_hot_key_settings_last_wins(spark):
     assert rows(changes.settings_upsert(empty, ch), "key", "value") == [("clinicName", str(N - 1))]
 
 
-def test_large_client_export_equals_the_plain_listing(spark):
+def test_large_client_export_equals_the_plain_listing(spark, tmp_path):
     from wardlake.sources import sinks
     hist = spark.range(2500).select(
         F.col("id"), F.when(F.col("id") < 2000, F.lit(1)).otherwise(F.col("id") % 5 + 2).alias("client_id"),
@@ -102,14 +104,18 @@ def test_large_client_export_equals_the_plain_listing(spark):
         F.lit(None).cast("timestamp").alias("reminder_sent_at"))
     clients = spark.range(1, 9).select(F.col("id"), F.concat(F.lit("c"), F.col("id")).alias("name"),
                                        F.lit(None).cast("string").alias("phone"), F.lit("Active").alias("status"))
-    out = sinks.export_clients_nested(clients, hist).collect()
-    assert len({(r.id, r.month) for r in out}) == len(out)
-    assert [(r.month, r.history) for r in out if r.id == 8] == [(None, [])]
-    for r in out:
-        assert all((h.entryDate or "")[:7] == (r.month or "") for h in r.history)
-    whole = [(h.id, r.id) for r in sorted(out, key=lambda r: (r.id, r.month or ""), reverse=True) for h in r.history]
-    plain = [(r.id, r.client_id) for r in sorted(hist.collect(), key=lambda r: (r.client_id, r.entry_date or dt.date.min, r.id), reverse=True)]
-    assert whole == plain
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # a client runs over several partitions
+    pieces = sinks.export_clients_nested(clients, hist)
+    got = pieces.orderBy("row").collect()
+    sinks.write_nested(pieces, str(tmp_path / "nested"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len({r.row >> 33 for r in got if r.id == 1}) > 1
+    docs = [json.loads(x) for x in "".join(r.text for r in got).splitlines()]
+    plain = sorted(hist.collect(), key=lambda r: (r.entry_date or dt.date.min, r.id), reverse=True)
+    assert {d["id"]: [h["id"] for h in d["history"]] for d in docs} == {c: [r.id for r in plain if r.client_id == c] for c in range(1, 9)}
+    assert len(docs) == 8 and "collect_list" not in pieces._jdf.queryExecution().toString()
+    parts = sorted(glob.glob(str(tmp_path / "nested" / "part-*")))
+    assert len(parts) > 2 and [json.loads(x) for x in "".join(open(f).read() for f in parts).splitlines()] == docs
 
 
 @pytest.fixture

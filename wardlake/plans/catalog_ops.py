@@ -4,6 +4,8 @@ composite reports and multi-clinic (tenant) runs. Same contract as
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -12,10 +14,9 @@ from ..operators import changes, ingest, refills, setops
 from ..schemas import SECRET_SETTING_KEYS
 from ..sources import sinks
 from ..sources.license import license_feed
-from ..sources.tables import schema_upgrade
 from . import reports
 from .catalog import dbl, query, tables
-from ..sources.driver import AS_OF_CLINIC, AS_OF_EVENTS, NOW_CLINIC
+from ..sources.driver import AS_OF_CLINIC, AS_OF_EVENTS, BINDINGS, NOW_CLINIC
 
 _SECRETS_SQL = ", ".join(f"'{k}'" for k in SECRET_SETTING_KEYS)
 PRESENT = "coalesce(regexp_matches({0}, '[^\\s]'), false)"
@@ -197,18 +198,23 @@ def q_fk_audit(spark, sf):
 
 
 @query("schema_upgrade", """
-SELECT id, CAST(payment_amount AS DOUBLE) AS charge_amount, CAST(payment_amount AS DOUBLE) AS payment_amount,
-       CAST(NULL AS DOUBLE) AS temperature_c, CAST(NULL AS BIGINT) AS created_by_staff_id
-FROM visits WHERE charge_amount = payment_amount
-UNION ALL
-SELECT id, CAST(charge_amount AS DOUBLE), CAST(payment_amount AS DOUBLE), temperature_c, created_by_staff_id
-FROM visits WHERE charge_amount <> payment_amount""")
+SELECT id, CAST(CASE WHEN id % 4 IN (0, 1) THEN payment_amount WHEN id % 4 = 3 AND id % 8 = 3 THEN NULL ELSE charge_amount END AS DOUBLE) AS charge_amount,
+       CAST(payment_amount AS DOUBLE) AS payment_amount, CASE WHEN id % 4 IN (1, 3) THEN temperature_c END AS temperature_c,
+       CASE WHEN id % 4 = 3 THEN created_by_staff_id END AS created_by_staff_id
+FROM visits""")
 def q_schema_upgrade(spark, sf):
+    """One folder with files of four layouts (the visits dealt by id; some charges of the current one are NULL), upgraded."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.tables import upgrade_folder
     v = tables(spark, sf)["visits"]
-    old = v.where(F.col("charge_amount") == F.col("payment_amount")).drop(
-        "charge_amount", "temperature_c", "blood_pressure", "pulse_bpm", "weight_kg", "created_by_staff_id")
-    cur = v.where(F.col("charge_amount") != F.col("payment_amount"))
-    u = schema_upgrade(cur, old, table="visits")
+    vitals, folder = ["temperature_c", "blood_pressure", "pulse_bpm", "weight_kg"], f"{checkpoint_dir(spark)}/layouts-{uuid.uuid4().hex}"
+    current = v.withColumn("charge_amount", F.when(F.col("id") % 8 != 3, F.col("charge_amount")))
+    for k, df in enumerate((v.drop("charge_amount", "created_by_staff_id", *vitals), v.drop("charge_amount", "created_by_staff_id"),
+                            v.drop("created_by_staff_id", *vitals), current)):
+        df.where(F.col("id") % 4 == k).write.mode("append").parquet(folder)
+    u = upgrade_folder(spark, folder)
     return u.select("id", dbl("charge_amount"), dbl("payment_amount"), "temperature_c", "created_by_staff_id")
 
 
@@ -530,52 +536,64 @@ def _csv_cell(c):
             f"THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END)")
 
 
-@query("csv_sink", "SELECT 'Visit Date,Patient,Complaint,Treatment,Temperature (C),Blood Pressure,Pulse (bpm),"
-       "Weight (kg),Charged,Paid,Balance,Payment Method,Notes,Recorded By' AS value\nUNION ALL\n"
-       "SELECT concat_ws(',', " + ", ".join(_csv_cell(f'e."{h}"') for _, h in sinks.VISIT_COLUMNS) + ") AS value\n"
-       "FROM (" + _VISIT_EXPORT + ") e")
+_HEADER = ("Visit Date,Patient,Complaint,Treatment,Temperature (C),Blood Pressure,Pulse (bpm),"
+           "Weight (kg),Charged,Paid,Balance,Payment Method,Notes,Recorded By")
+
+
+@query("csv_sink", f"SELECT '{_HEADER}' AS value, CAST(strlen('{_HEADER}') AS BIGINT) AS file_bytes\nUNION ALL\n"
+       "SELECT value, CAST(strlen(value) + 2 AS BIGINT) FROM (SELECT concat_ws(',', " + ", ".join(_csv_cell(f'e."{h}"') for _, h in sinks.VISIT_COLUMNS) + ") AS value\n"
+       "FROM (" + _VISIT_EXPORT + ") e)")
 def q_csv_sink(spark, sf):
+    """The visits export written as CSV part files, and every record read back from their bytes."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.part_files import read_csv_records
     t = tables(spark, sf)
-    return sinks.csv_lines(sinks.export_csv_visits(t["visits"], t["patients"], t["staff"]))
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(sinks.export_csv_visits(t["visits"], t["patients"], t["staff"]), path)
+    return read_csv_records(spark, path)
+
+
+_ENTRY_JSON = """CAST(to_json(struct_pack(id := h.id, entryDate := CAST(h.entry_date AS VARCHAR), entryType := h.entry_type, medication := h.medication,
+    daySupply := h.day_supply, reminderSentAt := strftime(h.reminder_sent_at, '%Y-%m-%dT%H:%M:%S.%gZ'))) AS VARCHAR)"""
+_PLACED = """
+placed AS (
+  SELECT h.client_id, h.id AS entry_id, """ + _ENTRY_JSON + """ AS json,
+         row_number() OVER (PARTITION BY h.client_id ORDER BY h.entry_date DESC, h.id DESC) AS place, count(*) OVER (PARTITION BY h.client_id) AS held
+  FROM subscription_history h)"""
+_CLIENT_JSON = "CAST(to_json(struct_pack(id := c.id, name := c.name, phone := c.phone, status := c.status)) AS VARCHAR)"
 
 
-_HIST_JSON = """
-hist AS (
-  SELECT client_id, strftime(entry_date, '%Y-%m') AS month, CAST(to_json(list(struct_pack(id := id, entryDate := CAST(entry_date AS VARCHAR),
-                                   entryType := entry_type, medication := medication, daySupply := day_supply,
-                                   reminderSentAt := strftime(reminder_sent_at, '%Y-%m-%dT%H:%M:%S.%gZ'))
-                                 ORDER BY entry_date DESC, id DESC)) AS VARCHAR) AS history_json
-  FROM subscription_history GROUP BY ALL)"""
+def _pieces(head: str, end: str) -> str:
+    return f"""CASE WHEN coalesce(p.place, 1) = 1 THEN {head} || ',"history":[' ELSE ',' END || coalesce(p.json, '')
+       || CASE WHEN coalesce(p.place = p.held, true) THEN '{end}' || chr(10) ELSE '' END AS text"""
 
 
-@query("export_clients_nested", """
-SELECT c.id, c.name, c.phone, c.status, h.month, coalesce(h.history_json, '[]') AS history_json
-FROM subscription_clients c LEFT JOIN hist h ON h.client_id = c.id""", extra=_HIST_JSON)
+@query("export_clients_nested", f"""
+SELECT c.id, p.entry_id, {_pieces(f"left({_CLIENT_JSON}, length({_CLIENT_JSON}) - 1)", "]}")}
+FROM subscription_clients c LEFT JOIN placed p ON p.client_id = c.id""", extra=_PLACED)
 def q_export_clients_nested(spark, sf):
     t = tables(spark, sf)
-    n = sinks.export_clients_nested(t["subscription_clients"], t["subscription_history"])
-    return n.select("id", "name", "phone", "status", "month",
-                    F.to_json("history", {"ignoreNullFields": "false"}).alias("history_json"))
+    return sinks.export_clients_nested(t["subscription_clients"], t["subscription_history"]).select("id", "entry_id", "text")
 
 
-@query("sync_envelope", """
-SELECT c.clinic_id AS clinicId, o.sms_username, o.sms_sender_id, c.id AS client_id,
-       h.month, coalesce(h.history_json, '[]') AS history_json
+@query("sync_envelope", f"""
+SELECT c.clinic_id, c.id, p.entry_id, {_pieces(
+    "'{\"clinicId\":' || c.clinic_id || ',\"smsSettings\":' || CAST(to_json(struct_pack(username := o.sms_username, senderId := o.sms_sender_id)) AS VARCHAR)"
+    f" || ',\"client\":' || left({_CLIENT_JSON}, length({_CLIENT_JSON}) - 1)", "]}}")}
 FROM subscription_clients c
 JOIN (SELECT clinic_id, max(CASE WHEN key = 'smsUsername' THEN value END) AS sms_username,
              max(CASE WHEN key = 'smsSenderId' THEN value END) AS sms_sender_id,
              max(CASE WHEN key = 'refillRemindersEnabled' THEN value END) AS enabled,
              max(CASE WHEN key = 'smsApiKey' THEN value END) AS api_key
       FROM upserted GROUP BY clinic_id) o ON o.clinic_id = c.clinic_id
-LEFT JOIN hist h ON h.client_id = c.id
+LEFT JOIN placed p ON p.client_id = c.id
 WHERE o.enabled = '1' AND coalesce(o.sms_username, '') <> '' AND coalesce(o.api_key, '') <> ''""",
-       extra=_UPSERTED + "," + _HIST_JSON)
+       extra=_UPSERTED + "," + _PLACED)
 def q_sync_envelope(spark, sf):
     t, s = _settings(spark, sf)
-    e = sinks.sync_envelope(s, t["subscription_clients"], t["subscription_history"])
-    return e.select("clinicId", F.col("smsSettings.username").alias("sms_username"),
-                    F.col("smsSettings.senderId").alias("sms_sender_id"), F.col("client.id").alias("client_id"), F.col("client.month").alias("month"),
-                    F.to_json("client.history", {"ignoreNullFields": "false"}).alias("history_json"))
+    return sinks.sync_envelope(s, t["subscription_clients"], t["subscription_history"]).select("clinic_id", "id", "entry_id", "text")
 
 
 # ------------------------------------------------------------------ composite reports
@@ -797,22 +815,31 @@ def q_assistant_eligible_messages(spark, sf):
 
 
 # ------------------------------------------------------------------ snapshots
-@query("snapshot_write", """
-SELECT 'patients' AS table_name, count(*) AS records, CAST(sum(id) AS BIGINT) AS id_sum FROM patients
-UNION ALL SELECT 'visits', count(*), CAST(sum(id) AS BIGINT) FROM visits
-UNION ALL SELECT 'drugs', count(*), CAST(sum(id) AS BIGINT) FROM drugs""")
+SNAPSHOT_TABLES = {"settings": "settings_stored", "staff": "staff", "patients": "patients", "visits": "visits", "drugs": "drugs",
+                   "drug_movements": "drug_movements", "appointments": "appointments", "subscription_clients": "subscription_clients",
+                   "subscription_history": "subscription_history"}
+
+
+def _column_sums_sql(table: str, bound: str) -> str:
+    columns = [re.search(r"AS (\w+)$", e)[1] for e in BINDINGS[bound][0][1]]
+    texts = {c: f"CAST({c} AS VARCHAR)" for c in columns}
+    texts["*"] = "concat_ws('|', " + ", ".join(f"coalesce({t}, '-')" for t in texts.values()) + ")"
+    return "\nUNION ALL\n".join(
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(*) AS records, count({t}) AS filled, "
+        f"CAST(coalesce(sum(CAST('0x' || substr(md5({t}), 1, 8) AS BIGINT)), 0) AS BIGINT) AS checksum, true AS same FROM {bound}" for c, t in texts.items())
+
+
+@query("snapshot_write", "\nUNION ALL\n".join(_column_sums_sql(t, b) for t, b in SNAPSHOT_TABLES.items()))
 def q_snapshot_write(spark, sf):
-    """Written to the shared folder, then read back from there."""
+    """All nine tables written to the shared folder, then every column of the copy against what was read."""
     import datetime as dt
     import uuid
 
     from ..session import checkpoint_dir
     t = tables(spark, sf)
     root = f"{checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
-    name = sinks.snapshot_write({k: t[k] for k in ("patients", "visits", "drugs")}, root, dt.datetime(2024, 1, 28, 12, 0, 0))
-    parts = [spark.read.parquet(f"{root}/{name}/{k}").agg(F.lit(k).alias("table_name"), F.count("*").alias("records"), F.sum("id").alias("id_sum"))
-             for k in ("patients", "visits", "drugs")]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    name = sinks.snapshot_write({k: t[b] for k, b in SNAPSHOT_TABLES.items()}, root, dt.datetime(2024, 1, 28, 12, 0, 0))
+    return sinks.snapshot_check(spark, root, name)
 
 
 @query("snapshot_retention", """
