@@ -191,20 +191,40 @@ def test_csv_lf_mode_uses_spark_writer_with_same_quoting(spark, tmp_path):
     assert text == _csv_reference(["Name", "Notes"], recs).replace("\r\n", "\n") + "\n"
 
 
-def test_stream_daily_income_append_mode_emits_only_closed_days(spark):
-    t = load_driver_tables(spark, SF)
-    src = stream_table_for_test(spark)
-    got = rows(streams.run_available_now(streams.stream_daily_income(src), "test_income_append", mode="append"),
-               "day", "income", "visits")
-    batch = dict((r[0], (r[1], r[2])) for r in rows(
-        t["visits"].groupBy(F.col("visit_date").alias("day")).agg(F.sum("payment_amount"), F.count(F.lit(1)))))
-    assert 0 < len(got) < len(batch)                   # the newest days stay open under the watermark
-    assert all(batch[d] == (inc, n) for d, inc, n in got)
-
-
-def stream_table_for_test(spark):
-    from wardlake.sources.driver import stream_table
-    return stream_table(spark, SF, "visits")
+def test_daily_income_has_every_day_once_and_returns_late_rows(spark):
+    d = dt.date
+    arrivals = [[(1, d(2026, 8, 10), Decimal("1.00"), 1), (2, d(2026, 8, 12), Decimal("2.00"), 2)], [(3, d(2026, 8, 11), Decimal("4.00"), 1), (4, d(2026, 8, 10), Decimal("9.00"), 1)],
+                [(5, d(2026, 8, 20), Decimal("5.00"), 1), (6, None, Decimal("3.00"), 1)], [(7, d(2026, 8, 12), Decimal("7.00"), 2), (8, d(2026, 8, 20), None, 1), (9, d(2026, 8, 19), Decimal("6.00"), 2)]]
+    root = tempfile.mkdtemp(prefix="wardlake-inc-", dir=_scratch(spark))
+    for i, own in enumerate(arrivals):
+        spark.createDataFrame(own, "id long, visit_date date, payment_amount decimal(18,2), clinic_id int").coalesce(1).write.parquet(f"{root}/part_{i}")
+    schema = spark.read.parquet(f"{root}/part_0").schema
+    for tenant in ((), ("clinic_id",)):
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/part_*")
+        days, late = streams.run_daily_income(src, "test_income", tenant=tenant)
+        got = rows(days, "day", "income", "visits")
+        if not tenant:
+            assert got == [(d(2026, 8, 10), Decimal("1.00"), 1), (d(2026, 8, 11), Decimal("4.00"), 1), (d(2026, 8, 12), Decimal("2.00"), 1),
+                           (d(2026, 8, 19), Decimal("6.00"), 1), (d(2026, 8, 20), Decimal("5.00"), 2)]
+        assert len(days.select(*tenant, "day").distinct().collect()) == len(got)
+        assert rows(late, "id", "batch") == [(4, 1), (6, 2), (7, 3)] and late.columns == [*schema.fieldNames(), "batch"]
+
+
+def test_quota_state_holds_open_days_only_and_late_messages_have_a_reason(spark):
+    day = dt.datetime(2026, 8, 1)
+    arrivals = [[(1, i, day + dt.timedelta(minutes=i)) for i in range(5)], [(1, 10 + i, day + dt.timedelta(days=1, minutes=i)) for i in range(2)],
+                [(1, 20, day + dt.timedelta(days=9)), (2, 30, day)], [(1, 40, day + dt.timedelta(hours=5)), (1, 41, day + dt.timedelta(days=8)), (2, 42, day), (1, 43, None)]]
+    root = tempfile.mkdtemp(prefix="wardlake-quota-", dir=_scratch(spark))
+    for i, own in enumerate(arrivals):
+        spark.createDataFrame(own, "clinic_id int, message_id long, sent_at timestamp").coalesce(1).write.parquet(f"{root}/part_{i}")
+    src = spark.readStream.schema(spark.read.parquet(f"{root}/part_0").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/part_*")
+    base = tempfile.mkdtemp(prefix="wardlake-quota-run-", dir=_scratch(spark))
+    got = {r.message_id: (r.admitted, r.reason) for r in streams.run_available_now(streams.stream_quota(src, limit=3), "q", base=base).collect()}
+    assert [got[i] for i in range(5)] == [(True, None)] * 3 + [(False, "daily limit reached")] * 2
+    assert all(got[i] == (True, None) for i in (10, 11, 20, 30, 41, 42)) and got[40] == got[43] == (False, "day is closed")
+    state = spark.read.format("statestore").option("stateVarName", "counts").load(f"{base}/checkpoint")
+    held = sorted((r.key.clinic_id, r.user_map_key.day - (day.date() - dt.date(1970, 1, 1)).days, r.user_map_value.n) for r in state.collect())
+    assert held == [(1, 8, 1), (1, 9, 1), (2, 0, 2)]          # days 0 and 1 of clinic 1 are gone
 
 
 def test_stream_daily_income_per_clinic(spark):

@@ -4,32 +4,52 @@ oracle is the batch answer, since batch and stream must agree."""
 
 from __future__ import annotations
 
-from ..sources.driver import stream_table
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import checkpoint_dir
 from ..streaming import streams
 from . import catalog
 from .catalog import LEDGER_ORDER, dbl, query, tables
 
+ARRIVALS = 4
+
+
+def arriving(df: DataFrame, time: str, parts: int = ARRIVALS) -> DataFrame:
+    """``df`` as a stream of ``parts`` micro-batches: written in time order, one after the other (the source takes
+    files by age), every row in one of them."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    ends = df.agg(F.min(time).cast("timestamp").cast("double").alias("a"), F.max(time).cast("timestamp").cast("double").alias("b")).first()
+    at = F.coalesce(F.floor((F.col(time).cast("timestamp").cast("double") - (ends.a or 0)) / max(((ends.b or 0) - (ends.a or 0)) / parts, 1e-9)), F.lit(0))
+    for k in range(parts):
+        df.where(F.least(at, F.lit(parts - 1)) == k).coalesce(1).write.parquet(f"{folder}/part={k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+
+
 _LEDGER_SQL = catalog.REGISTRY["stock_ledger_apply"][1]
 _QUOTA_SQL_BODY = """
-SELECT clinic_id, message_id, CAST(sent_at + INTERVAL 1 HOUR AS DATE) AS day,
-       row_number() OVER (PARTITION BY clinic_id, CAST(sent_at + INTERVAL 1 HOUR AS DATE)
-                          ORDER BY sent_at, message_id) <= 100 AS admitted
-FROM assistant_messages"""
+SELECT clinic_id, message_id, day, n <= 100 AS admitted, CASE WHEN n > 100 THEN 'daily limit reached' END AS reason
+FROM (SELECT clinic_id, message_id, CAST(sent_at + INTERVAL 1 HOUR AS DATE) AS day,
+             row_number() OVER (PARTITION BY clinic_id, CAST(sent_at + INTERVAL 1 HOUR AS DATE) ORDER BY sent_at, message_id) AS n
+      FROM assistant_messages)"""
 
 
 @query("stream_daily_income", """
 SELECT visit_date AS day, CAST(sum(payment_amount) AS DOUBLE) AS income, count(*) AS visits
-FROM visits WHERE visit_date <= (SELECT max(visit_date) FROM visits) - 2 GROUP BY visit_date""")
+FROM visits GROUP BY visit_date""")
 def q_stream_daily_income(spark, sf):
-    s = streams.stream_daily_income(stream_table(spark, sf, "visits"))
-    out = streams.run_available_now(s, "daily_income")   # append: a day comes out once the watermark has closed it
-    return out.select("day", dbl("income"), "visits")
+    """Every day of the input, over several micro-batches."""
+    days, _ = streams.run_daily_income(arriving(tables(spark, sf)["visits"], "visit_date"), "daily_income")
+    return days.select("day", dbl("income"), "visits")
 
 
 @query("stream_stock_ledger", sql=_LEDGER_SQL)
 def q_stream_stock_ledger(spark, sf):
     t = tables(spark, sf)
-    s = streams.stream_stock_ledger(stream_table(spark, sf, "stock_requests"), t["drugs"], LEDGER_ORDER)
+    s = streams.stream_stock_ledger(arriving(t["stock_requests"], "requested_at"), t["drugs"], LEDGER_ORDER)
     out = streams.run_available_now(s, "stock_ledger")
     return out.select("drug_id", "src_order", "src_line", "src_flag", "type", dbl("quantity"), "created_by_staff_id", "accepted", "reason",
                       dbl("balance_after"))
@@ -37,6 +57,5 @@ def q_stream_stock_ledger(spark, sf):
 
 @query("stream_quota", _QUOTA_SQL_BODY)
 def q_stream_quota(spark, sf):
-    s = streams.stream_quota(stream_table(spark, sf, "assistant_messages"), tz="+01:00", limit=100)
-    return streams.run_available_now(s, "quota").select("clinic_id", "message_id", "day", "admitted")
-
+    s = streams.stream_quota(arriving(tables(spark, sf)["assistant_messages"], "sent_at"), tz="+01:00", limit=100)
+    return streams.run_available_now(s, "quota").select("clinic_id", "message_id", "day", "admitted", "reason")

@@ -1,13 +1,13 @@
 """Structured Streaming forms of the operations that arrive one at a time.
 
 * ``stream_stock_ledger``: requests replayed per (clinic, drug) with the
-  balance kept in state across micro-batches (``applyInPandasWithState``).
+  balance kept in state across micro-batches (``transformWithStateInPandas``).
   Rows of one micro-batch are sorted by the order key inside the function.
-* ``stream_quota``: assistant messages admitted with one count per clinic
-  and local day in state.
-* ``stream_daily_income``: payments summed per one-day event-time window
-  with a watermark. Rows later than the watermark are dropped (our choice:
-  a day's income is final once the watermark has passed it).
+* ``stream_quota``: assistant messages admitted with a count per clinic
+  and open local day in state; closed days leave it.
+* ``run_daily_income``: income of every day, each day once when it is closed, and the rows that came too late.
+* ``stream_daily_income``: the same as an event-time window with Spark's own watermark (rows later than it are
+  dropped, days it has not passed stay open), for complete mode.
 
 Batch and stream agree when the requests/messages of one key arrive in order
 across micro-batches (the file source hands files over in arrival order).
@@ -18,6 +18,7 @@ end of its input and returns the sink as a DataFrame.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -25,7 +26,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import refusal, replay, signed_step
 from ..schemas import AI_DAILY_LIMIT, QTY
@@ -39,7 +39,7 @@ ROW_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZF
 
 
 # ------------------------------------------------------------------ runner
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a streaming query over everything available, then stop.
 
     The sink is parquet under the session's checkpoint folder (shared storage
@@ -47,9 +47,9 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFra
     so a batch replayed after a failure replaces its earlier attempt instead
     of adding rows (exactly-once output with the checkpointed offsets).
     Complete mode rewrites the whole result each micro-batch. Returns the
-    sink read back as a batch DataFrame."""
+    sink read back as a batch DataFrame. ``base``: a folder of its own for sink and checkpoint, to go on from."""
     spark = df.sparkSession
-    base = f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    base = base or f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -117,26 +117,64 @@ def stream_stock_ledger(requests: DataFrame, drugs: DataFrame, order: Sequence[s
 
 
 # ------------------------------------------------------------------ assistant quota
+OPEN_DAYS = 2
+REASON_LIMIT = "daily limit reached"
+REASON_CLOSED = "day is closed"
+
+
 def stream_quota(messages: DataFrame, tz: str = "UTC", limit: int = AI_DAILY_LIMIT,
-                 tenant: Sequence[str] = ("clinic_id",)) -> DataFrame:
-    """Streaming admission with one count per (clinic, local day) in state, so a
-    late message of an earlier day neither resets nor uses another day's quota.
-    The state is one number per clinic and day."""
-    ship_package(messages.sparkSession)
+                 tenant: Sequence[str] = ("clinic_id",), open_days: int = OPEN_DAYS) -> DataFrame:
+    """Streaming admission (message_id, day, admitted, ``reason`` of a refusal): the first ``limit`` messages of each clinic and
+    local day, by (sent_at, message_id) within a trigger and by arrival between triggers.
+
+    State per clinic (``transformWithStateInPandas``, RocksDB): a map from open day to its count, and the newest day
+    seen. A clinic's newest ``open_days`` days are open; when a newer one comes, older ones leave the map, so the state never has
+    more than ``open_days`` rows a clinic. A message for a day that an earlier trigger closed is refused with a reason; it
+    neither resets nor uses another day's quota. A NULL time has no day and is refused as closed."""
+    from pyspark.sql.streaming import StatefulProcessor
+    spark = messages.sparkSession
+    ship_package(spark)
+    spark.conf.set(STATE_STORE, ROCKSDB)
     m = messages.withColumn("day", F.to_date(F.from_utc_timestamp(F.col("sent_at"), tz)))
-    out_schema = T.StructType([f for f in m.select(*tenant, "message_id", "day").schema.fields]
-                              + [T.StructField("admitted", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("count", T.LongType())])
+    narrow = m.select(*tenant, "message_id", "sent_at", F.coalesce(F.unix_date("day"), F.lit(-2**31)).alias("day_no"))
+    kinds = [f"{c} {m.schema[c].dataType.simpleString()}" for c in (*tenant, "message_id")]
 
-    def admit(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["sent_at", "message_id"], kind="mergesort")
-        left = max(0, limit - (state.get[0] if state.exists else 0))
-        admitted = min(left, len(pdf))
-        state.update((limit - left + admitted,))
-        yield pdf[[*tenant, "message_id", "day"]].assign(admitted=[i < admitted for i in range(len(pdf))])
+    class DayCounts(StatefulProcessor):
+        """A clinic's open days and how many messages each has admitted."""
 
-    return m.groupBy(*tenant, "day").applyInPandasWithState(admit, out_schema, state_schema, "append",
-                                                            GroupStateTimeout.NoTimeout)
+        def init(self, handle) -> None:
+            self.counts = handle.getMapState("counts", "day int", "n long")
+            self.newest = handle.getValueState("newest", "day int")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(list(rows), ignore_index=True).sort_values(["day_no", "sent_at", "message_id"], kind="mergesort")
+            before = self.newest.get()[0] if self.newest.exists() else None
+            least = -2**31 + 1 if before is None else before - open_days + 1
+            after = max(int(pdf["day_no"].max()), least if before is None else before)
+            admitted, why = [], []
+            for day, n in pdf.groupby("day_no", sort=True).size().items():
+                if day < least:
+                    admitted += [False] * n
+                    why += [REASON_CLOSED] * n
+                    continue
+                used = self.counts.getValue((int(day),))[0] if self.counts.containsKey((int(day),)) else 0
+                free = min(n, max(0, limit - used))
+                admitted += [True] * free + [False] * (n - free)
+                why += [None] * free + [REASON_LIMIT] * (n - free)
+                if day > after - open_days:
+                    self.counts.updateValue((int(day),), (used + free,))
+            for (day,) in [tuple(k) for k in self.counts.keys()]:
+                if day <= after - open_days:
+                    self.counts.removeKey((day,))
+            self.newest.update((after,))
+            yield pd.DataFrame({**{c: pdf[c].to_numpy() for c in (*tenant, "message_id", "day_no")}, "admitted": admitted, "reason": pd.array(why, dtype="string")})
+
+        def close(self) -> None:
+            pass
+
+    out = narrow.groupBy(*tenant).transformWithStateInPandas(
+        DayCounts(), ", ".join([*kinds, "day_no int", "admitted boolean", "reason string"]), "Append", "None")
+    return out.select(*tenant, "message_id", F.when(F.col("day_no") > -2**31, F.date_from_unix_date("day_no")).alias("day"), "admitted", "reason")
 
 
 # ------------------------------------------------------------------ daily income
@@ -151,3 +189,59 @@ def stream_daily_income(visits: DataFrame, watermark: str = "1 day", tenant: Seq
             .groupBy(*tenant, F.window("event_time", "1 day"))
             .agg(F.sum("payment_amount").alias("income"), F.count(F.lit(1)).alias("visits"))
             .select(*tenant, F.to_date(F.col("window.start")).alias("day"), "income", "visits"))
+
+
+def run_daily_income(visits: DataFrame, name: str, delay_days: int = 1, tenant: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(days, late): income and visits of every day of the input, each day exactly once, and the rows that came too late.
+
+    Runs over everything available. After each micro-batch the days more than ``delay_days`` before the newest day seen are closed and
+    come out; at the end of the input the rest are. A row for a day that an earlier batch closed, or without a
+    date, is not added to anything: it is returned in ``late`` with its columns and the ``batch`` that brought it.
+
+    Between batches the only state is a row per (tenant, day, batch) of partial sums and a row per batch of the newest day,
+    as Parquet below the checkpoint folder. A batch writes folders of its own number from its rows and earlier batches'
+    folders alone, so a batch repeated after a failure replaces its first attempt."""
+    spark = visits.sparkSession
+    base = f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    kinds = [f"{c} {visits.schema[c].dataType.simpleString()}" for c in tenant]
+    sums = ", ".join([*kinds, "day date", "income decimal(28,2)", "visits long", "batch long"])
+
+    def parts(kind: str, schema: str, before: int) -> DataFrame:
+        """What batches before ``before`` have written."""
+        if not before:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*(f"{base}/{kind}/batch={i}" for i in range(before))).drop("batch")
+
+    def closed_before(batch: int):
+        newest = parts("clock", "day date, batch long", batch).agg(F.max("day")).first()[0]
+        return None if newest is None else newest - dt.timedelta(days=delay_days)
+
+    def finish(start, end, batches: int, folder: str) -> None:
+        """Days in [start, end) come out, from the partial sums of the batches so far."""
+        days = parts("sums", sums, batches)
+        if start is not None:
+            days = days.where(F.col("day") >= F.lit(start))
+        if end is not None:
+            days = days.where(F.col("day") < F.lit(end))
+        days.groupBy(*tenant, "day").agg(F.sum("income").cast("decimal(28,2)").alias("income"), F.sum("visits").alias("visits")).write.mode("overwrite").parquet(f"{base}/days/{folder}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        closed = closed_before(number)
+        rows = batch.withColumn("_late", F.lit(False) if closed is None else F.col("visit_date") < F.lit(closed))
+        good = F.col("visit_date").isNotNull() & ~F.col("_late")
+        rows.where(~F.coalesce(good, F.lit(False))).drop("_late").write.mode("overwrite").parquet(f"{base}/late/batch={number}")
+        (rows.where(good).groupBy(*tenant, F.col("visit_date").alias("day")).agg(F.sum("payment_amount").cast("decimal(28,2)").alias("income"), F.count(F.lit(1)).alias("visits"))
+         .write.mode("overwrite").parquet(f"{base}/sums/batch={number}"))
+        batch.agg(F.max("visit_date").alias("day")).write.mode("overwrite").parquet(f"{base}/clock/batch={number}")
+        now = closed_before(number + 1)
+        if now is not None:
+            finish(closed, now, number + 1, f"batch={number}")
+
+    q = (visits.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    done = 1 + max((p["batchId"] for p in q.recentProgress if p["numInputRows"]), default=-1)
+    finish(closed_before(done), None, done, "end")
+    late = spark.createDataFrame([], T.StructType([*visits.schema.fields, T.StructField("batch", T.IntegerType())]))
+    if done:
+        late = spark.read.schema(late.schema).parquet(f"{base}/late")
+    return spark.read.option("recursiveFileLookup", True).schema(sums.removesuffix(", batch long")).parquet(f"{base}/days"), late
