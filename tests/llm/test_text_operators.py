@@ -307,13 +307,14 @@ def key_of(rows):
     return sorted(map(tuple, rows), key=str)
 
 
-def test_contamination_of_odd_rows_in_blocks_of_items(spark, monkeypatch):
+def test_contamination_of_odd_rows_in_blocks_of_items(spark):
     items = [(1, "two THREE four-five six"), (2, None), (3, ""), (4, "one"), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (5, "one"), (6, "日本語 text")]
     df, bench = odd_documents(spark), spark.createDataFrame(items, "item_id long, text string")
     want = key_of(plain_hits([(r.doc_id, r.text) for r in df.collect()], items, 10))
     assert key_of(decontaminate.contamination(df, bench).collect()) == want
-    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (3,))
-    assert key_of(decontaminate.contamination(df, bench).collect()) == want
+    assert decontaminate.built(bench, 10, 2)[1] >= 10
+    for block_words in (2, 7):                    # many blocks, read from the folder in turn
+        assert key_of(decontaminate.contamination(df, bench, block_words=block_words).collect()) == want
     assert not any(r.contaminated for r in decontaminate.contamination(df, bench.where("false")).collect())
     assert decontaminate.contamination(df.where("false"), bench).collect() == []
 

@@ -15,20 +15,23 @@ hit share reaches a limit.
 Only stretches that can hold a window are streamed: runs of word pairs that all
 occur in some item (found at once for a block of texts with array operations).
 
-The benchmark is the stated query set: its items go in blocks of at most
-``BLOCK_WORDS`` words, an automaton each, and every block passes over all
-documents, so an automaton that is broadcast has a bounded size. Usually one
-block holds all items.
+The benchmark is the stated query set: its items are dealt into blocks of about
+``BLOCK_WORDS`` words, each block's automaton is built by a task and written to the shared
+folder, and every block is held against all documents. A task has the automata of at most ``KEPT`` blocks
+in memory and reads others from the folder as it needs them; nothing of the benchmark is
+collected or broadcast. Usually one block holds all items.
 
 Defined cases: NULL and empty texts have no words and are not hit; items
-without words have no window; equal items each count; NULL item_ids count as
-an item named ``null``; repeated rows are returned each; an empty benchmark hits
+without words have no window; equal items each count; an item longer than a block is a block's
+whole weight; NULL item_ids count as an item named ``null``; repeated rows are returned each; an empty benchmark hits
 nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, ready, slices, table
+from .common import blocks, ready, saved, shared_folder, slices, table, worker_state
+from .files import open_file, whole_file
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 50_000
+KEPT = 2
 #: Word signs: digits, letters a-z (after lower-casing A-Z) and everything beyond ASCII.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -63,16 +68,16 @@ class Automaton:
             last = 0
             for c in w:
                 last = self._extend(last, c)
-        self.items: list[set[int]] = [set() for _ in self.next]   # whose window of ``window`` words ends in this state
-        self.short: list[set[int]] = [set() for _ in self.next]   # shorter items that end in this state as a whole
+        self.items: dict[int, set[int]] = {}   # by state: whose window of ``window`` words ends there
+        self.short: dict[int, set[int]] = {}   # by state: shorter items that end there as a whole
         for k, w in enumerate(ids):
             state = size = 0
             for c in w:
                 state, size = self.step(state, size, c)
                 if size >= window:
-                    self.items[self.window_state(state)].add(k)
+                    self.items.setdefault(self.window_state(state), set()).add(k)
             if len(w) < window:
-                self.short[state].add(k)
+                self.short.setdefault(state, set()).add(k)
         self.shortest = min([window, *(len(w) for w in ids)])
         pairs = {a * len(self.number) + b for w in ids for a, b in zip(w, w[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
@@ -131,22 +136,17 @@ class Automaton:
             state, size = self.step(state, size, c)
             if size >= self.window:
                 spans.append((at + 1 - self.window, at + 1))
-                found |= self.items[self.window_state(state)]
+                found |= self.items.get(self.window_state(state), frozenset())
             if self.shortest < self.window:
                 s = state
                 while s > 0:  # shorter items that are a suffix of the match
-                    if self.short[s] and self.length[s] <= size:
+                    if s in self.short and self.length[s] <= size:
                         spans.append((at + 1 - self.length[s], at + 1))
                         found |= self.short[s]
                     s = self.link[s]
         return spans, found
 
 
-def build(items: list[tuple[str, list[bytes]]], window: int) -> dict:
-    """The automaton as plain values, to be broadcast."""
-    return dict(Automaton(items, window).__dict__)
-
-
 def _automaton(parts: dict) -> Automaton:
     a = Automaton.__new__(Automaton)
     a.__dict__.update(parts)
@@ -192,38 +192,61 @@ def scan(texts: list[str | None], a: Automaton) -> list[tuple[int, np.ndarray, s
     return out
 
 
-def item_blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of at most ``most`` words (one longer item is a block of its own), streamed to the driver."""
-    block, size = [], 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").toLocalIterator():
-        w = words(r.text)
-        if block and size + len(w) > most:
-            yield block
-            block, size = [], 0
-        block.append((r.item, w))
-        size += len(w)
-    if block:
-        yield block
-
-
-def _shared(spark: SparkSession, benchmark: DataFrame, window: int) -> list:
-    return [spark.sparkContext.broadcast(build(b, window)) for b in item_blocks(benchmark)]
+def built(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> tuple[str, int]:
+    """(folder, number of blocks): the automata of ``benchmark(item_id, text)``, one file a block, written by tasks."""
+    spark = ready(benchmark.sparkSession)
+    folder = shared_folder(spark, "automata")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(words(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=["item", "text", "size"])
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+    sized = saved(items.mapInArrow(count, "item string, text string, size long").withColumn("row", F.monotonically_increasing_id()), "items")
+    blocks_needed = math.ceil((sized.agg(F.sum("size")).first()[0] or 0) / block_words)
+    if not blocks_needed:
+        return folder, 0
+    dealt = sized.select("item", "text", F.pmod(F.xxhash64("row"), F.lit(blocks_needed)).alias("block"))  # equal items too are spread
+
+    def build(block: pa.Table) -> pa.Table:
+        number = block.column("block")[0].as_py()
+        pairs = zip(block.column("item").to_pylist(), block.column("text").to_pylist(), strict=True)
+        with whole_file(folder, f"{number}.automaton") as out:
+            out.write(pickle.dumps(Automaton([(name, words(text)) for name, text in pairs], window).__dict__))
+        return pa.table({"block": pa.array([number], pa.int64())})
+
+    made = {r.block for r in dealt.groupBy("block").applyInArrow(build, "block long").collect()}   # numbers of blocks alone
+    for number in set(range(blocks_needed)) - made:                                               # that got no item
+        with whole_file(folder, f"{number}.automaton") as out:
+            out.write(pickle.dumps(Automaton([], window).__dict__))
+    return folder, blocks_needed
+
+
+def loaded(folder: str, number: int) -> Automaton:
+    """A block's automaton; the worker keeps the last ``KEPT``."""
+    kept = worker_state("automata", dict)
+    if (folder, number) not in kept:
+        while len(kept) >= KEPT:
+            kept.pop(next(iter(kept)))
+        with open_file(folder, f"{number}.automaton") as f:
+            kept[folder, number] = pickle.loads(f.read())
+    return _automaton(kept[folder, number])
 
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: words, hit words, and the items of ``benchmark(item_id, text)`` it holds windows of."""
-    spark = ready(docs.sparkSession)
-    automata = _shared(spark, benchmark, window)
+    folder, number = built(benchmark, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, _rows_at_once(number)):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in blocks(texts):
+            for lo, hi in blocks(texts, _chars_at_once(number)):
                 rows = []
-                for n, mask, items in _scan_all(texts[lo:hi], automata):
+                for n, mask, items in _scan_all(texts[lo:hi], folder, number):
                     hit = int(mask.sum())
                     rows.append((n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0))
                 cols = zip(*rows, strict=True)
@@ -233,12 +256,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return docs.select("doc_id", "text").mapInArrow(run, REPORT)
 
 
-def _scan_all(texts: list[str | None], automata: list) -> list[tuple[int, np.ndarray, list[str]]]:
+def _rows_at_once(number: int) -> int:
+    return 500 if number <= KEPT else 5_000          # automata that are read again and again serve more rows a time
+
+
+def _chars_at_once(number: int) -> int:
+    return 1 << 18 if number <= KEPT else 1 << 22
+
+
+def _scan_all(texts: list[str | None], folder: str, number: int) -> list[tuple[int, np.ndarray, list[str]]]:
     """``scan`` over every block of items; items by name."""
     out = None
-    for shared in automata:
-        a = _automaton(shared.value)
-        got = [(n, mask, [a.names[k] for k in items]) for n, mask, items in scan(texts, a)]
+    for k in range(number):
+        a = loaded(folder, k)
+        got = [(n, mask, [a.names[i] for i in items]) for n, mask, items in scan(texts, a)]
         if out is None:
             out = got
         else:
@@ -261,21 +292,20 @@ def without_hits(text: str, mask: np.ndarray) -> str:
     return b" ".join(p.strip(b" ") for p in parts).strip(b" ").decode("utf-8", "surrogatepass") if len(parts) > 1 else text
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with hit spans removed from ``text``; a text of which ``most_share`` or more of the words are hit
     is left out. All columns stay; ``n_chars``, if there, is counted anew for changed texts."""
-    spark = ready(docs.sparkSession)
-    automata = _shared(spark, benchmark, window)
+    folder, number = built(benchmark, window, block_words)
     names = docs.columns
     has_count = "n_chars" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, _rows_at_once(number)):
             texts = batch.column("text").to_pylist()
             counts = batch.column("n_chars").to_pylist() if has_count else []
             keep, new = [], list(texts)
-            for lo, hi in blocks(texts):
-                for i, (n, mask, _) in enumerate(_scan_all(texts[lo:hi], automata), lo):
+            for lo, hi in blocks(texts, _chars_at_once(number)):
+                for i, (n, mask, _) in enumerate(_scan_all(texts[lo:hi], folder, number), lo):
                     hit = int(mask.sum())
                     keep.append(not hit or hit < most_share * n)
                     if hit and keep[-1]:

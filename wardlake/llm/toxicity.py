@@ -139,7 +139,7 @@ def drawn(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     if n <= most:
         return rows
     share = min(1.0, 1.1 * most / n + 200 / n)
-    return rows.where(F.xxhash64(key) <= int(-(2 ** 63) + share * (2 ** 64 - 1))).orderBy(F.xxhash64(key), *order).limit(most)
+    return rows.where(F.xxhash64(key) <= min(2 ** 63 - 1, int(share * 2 ** 64) - 2 ** 63)).orderBy(F.xxhash64(key), *order).limit(most)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int | None) -> DataFrame:
