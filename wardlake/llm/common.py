@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any, TypeVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir, ship_package
@@ -40,22 +42,43 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def worker_state(name: str, make: Callable[[], T]) -> T:
-    """A value that lives as long as the Python worker, over its tasks.
+def worker_state(name: str, make: Callable[[], T], large: bool = False) -> T:
+    """A value that lives as long as the Python worker, over its tasks; a ``large`` one until a pass that does not use it.
 
     Task functions are pickled by value, so a module-level variable would be
     new in each task; ``sys`` is the one module every task shares."""
     kept = sys.__dict__.setdefault("_wardlake_worker_state", {})
     if name not in kept:
         kept[name] = make()
+        if large:
+            kept.setdefault("large", set()).add(name)
     return kept[name]
 
 
-def slices(batches: Iterator[Any], rows: int = 500) -> Iterator[Any]:
-    """Arrow batches cut into at most ``rows`` rows, so that few texts at a time become Python strings."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+def release(uses: str | None = None) -> None:
+    """Drop the worker's large values but those whose name begins with ``uses``, and give free memory back to the system,
+    so that a worker does not carry one operator's peak into the next one's tasks."""
+    kept = sys.__dict__.setdefault("_wardlake_worker_state", {})
+    for name in [x for x in kept.get("large", ()) if uses is None or not x.startswith(uses)]:
+        kept["large"].discard(name)
+        kept.pop(name)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):                # another C library
+        pass
+
+
+def slices(batches: Iterator[Any], rows: int = 500, uses: str | None = None) -> Iterator[Any]:
+    """Arrow batches cut into at most ``rows`` rows, so that few texts at a time become Python strings. ``uses``: the large
+    worker values of this pass."""
+    release(uses)
+    try:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                yield batch.slice(lo, rows)
+    finally:
+        release(uses)
 
 
 def blocks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:

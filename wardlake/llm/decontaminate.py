@@ -225,7 +225,7 @@ def built(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) ->
 
 def loaded(folder: str, number: int) -> Automaton:
     """A block's automaton; the worker keeps the last ``KEPT``."""
-    kept = worker_state("automata", dict)
+    kept = worker_state("automata", dict, large=True)
     if (folder, number) not in kept:
         while len(kept) >= KEPT:
             kept.pop(next(iter(kept)))
@@ -242,7 +242,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     folder, number = built(benchmark, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, _rows_at_once(number)):
+        for batch in slices(batches, _rows_at_once(number), "automata"):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in blocks(texts, _chars_at_once(number)):
                 rows = []
@@ -300,7 +300,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_shar
     has_count = "n_chars" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, _rows_at_once(number)):
+        for batch in slices(batches, _rows_at_once(number), "automata"):
             texts = batch.column("text").to_pylist()
             counts = batch.column("n_chars").to_pylist() if has_count else []
             keep, new = [], list(texts)

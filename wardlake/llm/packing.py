@@ -53,7 +53,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     """A row per piece of ``docs(doc_id, text)``; see the module text."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, part, seen = encoder(tokenizer), struct.pack("<I", end_id), TaskContext.get().partitionId(), {}
-        for batch in slices(batches):
+        for batch in slices(batches, uses="encoder:"):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             cols: list[list] = [[] for _ in range(7)]
             for a, b in blocks(texts):

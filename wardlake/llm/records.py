@@ -154,7 +154,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) ->
         end = struct.pack("<I", end_id)
         part = TaskContext.get().partitionId()
         offsets, at, n_ids, out, ctx = [], 0, 0, None, None
-        for batch in slices(batches):
+        for batch in slices(batches, uses="encoder:"):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 ids = [x + end for x in enc.ids(texts[a:b])]

@@ -119,4 +119,4 @@ def encoder(path: str) -> Encoder:
     """This worker's encoder for ``path``, kept over its tasks."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return worker_state(f"encoder:{path}", lambda: Encoder(path))
+    return worker_state(f"encoder:{path}", lambda: Encoder(path), large=True)
