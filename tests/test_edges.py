@@ -56,11 +56,11 @@ def test_p13_p14_null_medication_group_and_same_day_tie(spark):
 
 
 def test_attribution_names_and_coverage(spark):
-    staff = spark.createDataFrame([(1, "Nurse Joy")], "id long, name string")
+    staff = spark.createDataFrame([(1, "Nurse Petra")], "id long, name string")
     v = spark.createDataFrame([(1, 1, AS_OF, 1), (2, 1, days(-1), None), (3, 1, days(-2), 42)],
                               "id long, patient_id long, visit_date date, created_by_staff_id long")
     names = rows(joins.visit_history(v, staff), "id", "recorded_by_name")
-    assert names == [(1, "Nurse Joy"), (2, None), (3, None)]
+    assert names == [(1, "Nurse Petra"), (2, None), (3, None)]
     cov = joins.attribution_coverage({"visits": v}, staff).collect()[0]
     assert (cov.records, cov.with_author, cov.with_known_author) == (3, 2, 1)
 
@@ -172,7 +172,7 @@ def test_per_clinic_list_cap(spark):
 def test_license_feed_entries_one_document_for_all_clinics(spark):
     from wardlake.sources.license import license_feed_entries
     doc = ('{"a": {"expiresAt": "2027-01-15", "plan": "10month"}, "b": {"expiresAt": 5}, "c": {},'
-           ' "d": {"expiresAt": "2026-12-01", "plan": "lifetime"}, "e": "x"}')
+           ' "d": {"expiresAt": "2026-12-01", "plan": "forever"}, "e": "x"}')
     docs = spark.createDataFrame([(1, doc), (2, "not json"), (3, "[1, 2]")], "doc_id int, text string")
     got = rows(license_feed_entries(docs, keep=["doc_id"]), "doc_id", "clinic_key", "expires_at", "plan")
     assert got == [(1, "a", "2027-01-15", "10month"), (1, "d", "2026-12-01", None)]

@@ -19,31 +19,31 @@ ORDER = ["seq"]
 
 def _patients(spark):
     return conform(spark.createDataFrame(
-        [(1, "Mary", "Kollie", dt.date(1990, 4, 12), "Female", "0770123456", None, 1),
-         (2, "James", "Doe", None, None, None, None, 1),
-         (3, "Ann", "Smith", None, None, "0881111111", None, None)],
+        [(1, "Ingrid", "Sandvik", dt.date(1987, 11, 23), "Female", "0555010203", None, 1),
+         (2, "Teodor", "Abara", None, None, None, None, 1),
+         (3, "Ann", "Smith", None, None, "0555999111", None, None)],
         "id long, first_name string, last_name string, date_of_birth date, gender string, phone string, "
         "address string, created_by_staff_id long"), "patients")
 
 
 def _staff(spark):
-    return spark.createDataFrame([(1, "Nurse Joy", "Nurse", "nursejoy", 1), (2, "Dr Who", "Doctor", "drwho", 0)],
+    return spark.createDataFrame([(1, "Nurse Petra", "Nurse", "nursepetra", 1), (2, "Dr Who", "Doctor", "drwho", 0)],
                                  "id long, name string, role string, username string, active int")
 
 
 def test_patient_ingest_and_search(spark):
     batch = spark.createDataFrame(
-        [(1, " Mary ", "Kollie", "1990-04-12", "Female", "0770123456", "", ""),
-         (2, "", "Doe", "", "", "", "", "")],
+        [(1, " Ingrid ", "Sandvik", "1987-11-23", "Female", "0555010203", "", ""),
+         (2, "", "Abara", "", "", "", "", "")],
         "row_key long, first_name string, last_name string, date_of_birth string, gender string, phone string, "
         "address string, created_by_staff_id string")
     out = ingest.ingest_patients(batch)
     ok = ingest.accepted(out).collect()
-    assert len(ok) == 1 and ok[0].first_name == "Mary" and ok[0].gender == "Female" and ok[0].address is None
+    assert len(ok) == 1 and ok[0].first_name == "Ingrid" and ok[0].gender == "Female" and ok[0].address is None
     assert ingest.rejected(out).collect()[0].reasons == ["firstName is required"]
     p = _patients(spark)
-    assert [r.id for r in search.search_patients(p, "kol").collect()] == [1]
-    assert [r.id for r in search.search_patients(p, "0770").collect()] == [1]
+    assert [r.id for r in search.search_patients(p, "sand").collect()] == [1]
+    assert [r.id for r in search.search_patients(p, "0555").collect()] == [1]
     assert [r.id for r in search.search_patients(p, "  ").collect()] == [2, 1, 3]   # last, first order
 
 
@@ -90,9 +90,9 @@ def test_settings_last_value_wins_and_blank_secret_is_ignored(spark):
 
 def _drugs(spark):
     return spark.createDataFrame(
-        [(1, "Paracetamol", "tablets", Decimal("100"), Decimal("20"), days(200)),
+        [(1, "Ibuprofen", "tablets", Decimal("100"), Decimal("20"), days(200)),
          (2, "Bandages", None, Decimal("5"), Decimal("10"), None),
-         (3, "Amoxicillin", "capsules", Decimal("40"), Decimal("10"), days(5)),
+         (3, "Doxycycline", "capsules", Decimal("40"), Decimal("10"), days(5)),
          (4, "Old stock", None, Decimal("10"), Decimal("10"), days(-3))],
         "id long, name string, unit string, quantity_on_hand decimal(18,3), reorder_level decimal(18,3), "
         "expiry_date date")
@@ -110,7 +110,7 @@ def test_stock_ledger_refusals_and_reconcile(spark):
     assert [(r.accepted, r.balance_after) for r in led] == [
         (True, Decimal("150")), (True, Decimal("120")), (False, Decimal("120")), (False, Decimal("120")),
         (True, Decimal("125")), (False, None), (False, Decimal("5")), (True, Decimal("0"))]
-    assert led[2].reason == "Only 120 tablets of Paracetamol in stock"
+    assert led[2].reason == "Only 120 tablets of Ibuprofen in stock"
     assert led[3].reason == "quantity must be greater than 0"
     assert led[5].reason == "No drug with id 77"
     assert led[6].reason == "Only 5 unit(s) of Bandages in stock"
@@ -129,7 +129,7 @@ def test_stock_ledger_refusals_and_reconcile(spark):
 def test_low_stock_expiring_and_attention(spark):
     d = _drugs(spark)
     assert [r.name for r in search.low_stock(d).collect()] == ["Bandages", "Old stock"]
-    assert [r.name for r in search.expiring_soon(d, AS_OF).collect()] == ["Old stock", "Amoxicillin"]
+    assert [r.name for r in search.expiring_soon(d, AS_OF).collect()] == ["Old stock", "Doxycycline"]
     from wardlake.operators.setops import needs_attention
     att = needs_attention(d, AS_OF).collect()
     assert len(att) == 4
@@ -139,11 +139,11 @@ def test_low_stock_expiring_and_attention(spark):
 def test_staff_username_unique_lowercase_and_redacted(spark):
     existing = _staff(spark)
     batch = spark.createDataFrame(
-        [(1, "Joy Two", "Nurse", " NurseJoy ", "pw"), (2, "New One", "Admin", "Boss", "pw"),
+        [(1, "Petra Two", "Nurse", " NursePetra ", "pw"), (2, "New One", "Admin", "Boss", "pw"),
          (3, "New Two", "Admin", "boss ", "pw"), (4, "X", "Admin", "x", "")],
         "row_key long, name string, role string, username string, password string")
     out = ingest.ingest_staff(batch, existing).orderBy("row_key").collect()
-    assert out[0].reasons == ['Username " NurseJoy " is already taken']
+    assert out[0].reasons == ['Username " NursePetra " is already taken']
     assert out[1].reasons == [] and out[1].username == "boss"
     assert out[2].reasons == ['Username "boss " is already taken']
     assert out[3].reasons == ["password is required"]
@@ -194,7 +194,7 @@ def test_snapshot_names_and_retention(spark, tmp_path):
 
 def test_vitals_text_and_receipt_lines(spark):
     v = spark.createDataFrame(
-        [(1, 38.5, "120/80", 72, 65.4, Decimal("50"), Decimal("30"), "Cash", "Ann", "Lee", "Joy", "Flu", None,
+        [(1, 38.5, "120/80", 72, 65.4, Decimal("50"), Decimal("30"), "Cash", "Ann", "Lee", "Petra", "Flu", None,
           AS_OF),
          (2, None, "", None, 65.0, Decimal("10"), Decimal("10"), None, "Bo", "Ray", None, None, None, AS_OF)],
         "id long, temperature_c double, blood_pressure string, pulse_bpm int, weight_kg double, "
@@ -230,7 +230,7 @@ def test_license_feed_cases(spark):
         (1, "not json", "abc"), (2, "{}", "abc"), (3, '{"abc": {"expiresAt": "x"}}', "xyz"), (4, '{"abc": {}}', "abc"),
         (5, '{"abc": {"expiresAt": "2027-01-15", "clinicName": "Test Clinic"}}', "abc"),
         (6, '{"abc": {"expiresAt": "2027-01-15", "plan": "10month"}}', "abc"),
-        (7, '{"abc": {"expiresAt": "2027-01-15", "plan": "lifetime"}}', "abc"),
+        (7, '{"abc": {"expiresAt": "2027-01-15", "plan": "forever"}}', "abc"),
         (8, '{"abc": {"expiresAt": 20270115}}', "abc"), (9, '[1, 2]', "0")],
         "doc_id int, text string, clinic_key string")
     got = rows(license_feed(docs, keep=["doc_id"]), "doc_id", "expires_at", "plan")
@@ -275,15 +275,15 @@ def test_quota_five_allowed_sixth_refused(spark):
 
 
 def _refill_fixture(spark):
-    clients = spark.createDataFrame([(1, "Client Due Soon", "0770000001", "Active"),
-                                     (2, "Client Overdue", "0770000002", "Active"),
-                                     (3, "Client Not Due Yet", "0770000003", "Active"),
-                                     (4, "Client Inactive", "0770000004", "Inactive")],
+    clients = spark.createDataFrame([(1, "Harbor Dairy", "0555000001", "Active"),
+                                     (2, "Mill Bakery", "0555000002", "Active"),
+                                     (3, "Quarry Works", "0555000003", "Active"),
+                                     (4, "Old Ferry", "0555000004", "Inactive")],
                                     "id long, name string, phone string, status string")
     hist = spark.createDataFrame(
-        [(1, 1, days(-60), "Order", "Metformin", 30, None), (2, 1, days(-27), "Order", "Metformin", 30, None),
-         (3, 2, days(-40), "Order", "Lisinopril", 30, None), (4, 3, days(-5), "Order", "Omeprazole", 30, None),
-         (5, 4, days(-30), "Order", "Vitamin D", 30, None), (6, 1, days(-1), "Note", None, None, None)],
+        [(1, 1, days(-60), "Order", "Salbutamol", 30, None), (2, 1, days(-27), "Order", "Salbutamol", 30, None),
+         (3, 2, days(-40), "Order", "Enalapril", 30, None), (4, 3, days(-5), "Order", "Ranitidine", 30, None),
+         (5, 4, days(-30), "Order", "Folic acid", 30, None), (6, 1, days(-1), "Note", None, None, None)],
         "id long, client_id long, entry_date date, entry_type string, medication string, day_supply int, "
         "reminder_sent_at timestamp")
     return clients, hist
@@ -292,12 +292,12 @@ def _refill_fixture(spark):
 def test_refills_due_and_reminders(spark):
     clients, hist = _refill_fixture(spark)
     due = {r.client_name: r.days_until_due for r in refills.refills_due(hist, clients, AS_OF, 7).collect()}
-    assert due == {"Client Due Soon": 3, "Client Overdue": -10}
-    assert "Client Due Soon" not in {r.client_name for r in refills.refills_due(hist, clients, AS_OF, 2).collect()}
+    assert due == {"Harbor Dairy": 3, "Mill Bakery": -10}
+    assert "Harbor Dairy" not in {r.client_name for r in refills.refills_due(hist, clients, AS_OF, 2).collect()}
     marked = changes.apply_reminders_sent(hist, spark.createDataFrame([(2, dt.datetime(2026, 8, 14, 8))],
                                                                       "id long, sent_at timestamp"))
     after = {r.client_name for r in refills.refills_due(marked, clients, AS_OF, 7).collect()}
-    assert after == {"Client Overdue"}            # the reminded newest order still hides the older one
+    assert after == {"Mill Bakery"}            # the reminded newest order still hides the older one
 
 
 def test_nested_export_shape(spark):
@@ -314,11 +314,11 @@ def test_nested_export_shape(spark):
 
 def test_cards_and_history_labels(spark):
     card = labels.patient_card(_patients(spark)).where("id = 1").collect()[0]
-    assert card.meta == "DOB: 1990-04-12 · Female · 0770123456" and card.display_name == "Mary Kollie"
-    h = spark.createDataFrame([(1, "Metformin", "30 tablets", 30), (2, None, None, None)],
+    assert card.meta == "DOB: 1987-11-23 · Female · 0555010203" and card.display_name == "Ingrid Sandvik"
+    h = spark.createDataFrame([(1, "Salbutamol", "30 tablets", 30), (2, None, None, None)],
                               "id long, medication string, quantity string, day_supply int")
     got = rows(labels.history_labels(h), "id", "medication_label", "supply_label")
-    assert got == [(1, "Metformin (30 tablets)", "30 days"), (2, "", "")]
+    assert got == [(1, "Salbutamol (30 tablets)", "30 days"), (2, "", "")]
 
 
 def test_numbers_that_do_not_fit_are_reported(spark):
