@@ -53,7 +53,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express the classifiers, the tokenizer or the packing; tests/llm holds a brute-force version.
+#: SQL cannot express the classifiers, the tokenizer or the packing; tests/llm compares every stage with its operator.
 ORACLE_SQL = None
 
 
