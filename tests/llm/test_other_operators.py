@@ -168,7 +168,7 @@ def test_preferences_share_one_prompt(spark):
     good = parts[1, "chosen"][0]
     assert good.rendered[good.mask_start:good.mask_end] == "good<|im_end|>" and parts[1, "rejected"][1].mask_end == 0
     assert all(r.mask_start == r.mask_end == 0 for (_, part), own in parts.items() if part == "prompt" for r in own)
-    assert (2, "prompt") not in parts and len(parts[2, "chosen"]) == 1
+    assert set(k for k in parts if k[0] == 2) == {(2, "unpaired")} and parts[2, "unpaired"][0].mask_end == 0
     assert [r.role for r in parts[3, "prompt"]] == ["unknown"] and parts[3, "chosen"][0].rendered != parts[3, "rejected"][0].rendered
     assert set(k for k in parts if k[0] == 4) == {(4, "prompt")}
     assert len(parts[5, "chosen"]) == len(parts[5, "rejected"]) == 2 and (5, "prompt") not in parts
@@ -176,6 +176,49 @@ def test_preferences_share_one_prompt(spark):
     assert preferences.preferences(empty, empty).collect() == []
 
 
+def test_every_turn_is_in_a_pair_and_prompts_have_several_lengths(spark):
+    """Whole conversations against a plain-Python prefix search over the same pairs."""
+    rnd = random.Random(4)
+    talks = {c: [(t, rnd.choice(["user", "assistant", "assistant", None]), rnd.choice(["a", "b", "", None])) for t in range(rnd.randrange(1, 9))]
+             for c in [*range(-6, 40), 51]}
+    talks[3] = [(None, "user", "x"), (0, "user", "no answer")]
+    talks[8] = talks[9] = [(0, "user", "q"), (1, "assistant", "equal")]
+    lines = [(c, *t, "zz", 1) for c, own in talks.items() for t in own] + [(5, *talks[5][0], "again", 2), (None, 0, "user", "lost", "zz", 1)]
+    rnd.shuffle(lines)
+    got = preferences.from_sides(preferences.neighbour_endings(spark.createDataFrame(
+        lines, "conv_id long, turn long, role string, text string, leave_0 string, c int"))).collect()
+
+    def plain(own):
+        return [(preferences.FIRST if t is None else t, r or "unknown", x or "") for t, r, x in own]
+
+    want, lengths = [], set()
+    for c, own in talks.items():
+        own, other = plain(own), plain(talks.get(c ^ 1, []))
+        if not other:
+            want += [(c, "unpaired", *t) for t in own]
+            continue
+        leave = max([t for t, r, _ in own if r == "assistant"], default=own[0][0])
+        rejected = [t for t in own if t[0] < leave] + [t for t in other if t[0] >= leave]
+        n = 0
+        while n < min(len(own), len(rejected)) and own[n] == rejected[n]:
+            n += 1
+        lengths.add(n)
+        want += [(c, "prompt", *t) for t in own[:n]] + [(c, "chosen", *t) for t in own[n:]] + [(c, "rejected", *t) for t in rejected[n:]]
+    render = [(c, part, t, r, f"<|im_start|>{r}\n{x}<|im_end|>\n") for c, part, t, r, x in want]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(render) and len(lengths) > 4 and 0 in lengths
+    for r in got:
+        trained = r.role == "assistant" and r.part in ("chosen", "rejected")
+        assert r.rendered[r.mask_start:r.mask_end] == (r.rendered[len("<|im_start|>assistant\n"):-1] if trained else "")
+
+
+def test_all_turns_of_the_table_are_accounted_for(spark):
+    rows = preferences.op8_preference_pairs(spark, "/root/testdata/sf0.01")
+    mine = rows.where("part <> 'rejected'").select("pair_id", "turn", "role")
+    turns = table(spark, "/root/testdata/sf0.01", "conversations").select("conv_id", "turn", "role").distinct()
+    assert turns.exceptAll(mine.distinct()).isEmpty() and mine.count() == turns.count()
+    assert rows.where("part = 'prompt'").groupBy("pair_id").count().select("count").distinct().count() >= 3
+
+
 def test_preference_plan_is_native(spark):
     plan = preferences.op8_preference_pairs(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

@@ -20,8 +20,10 @@ Defined cases: rows with a NULL pair or conversation id are left out; a NULL tur
 all others, a NULL role is ``unknown``, a NULL text is empty; repeated rows
 count once; several different rows of one turn number belong to that turn, in
 the order of role and text; two equal conversations give a prompt and no
-completions; a side without any turn gives no rows of its part; other columns
-are ignored; empty tables give no rows. ``<|`` inside a text is rendered as
+completions; a pair that has only one side has no preference: its turns are the
+part ``unpaired`` and are not trained on; a side whose turns all belong to the prompt gives
+no rows of its part, and one without an assistant turn in its completion gives rows without a
+mask; other columns are ignored; empty tables give no rows. ``<|`` inside a text is rendered as
 ``< |`` so that no text can hold a mark.
 """
 
@@ -48,57 +50,64 @@ def rendered(role: Column, text: Column) -> Column:
 def preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -> DataFrame:
     """``pair_id, part, turn, role, rendered, mask_start, mask_end`` from the turns
     (``key``, turn, role, text) of the chosen and the rejected conversations."""
-    sides = tidy(chosen, key).withColumn("c", F.lit(1)).withColumn("r", F.lit(0)).union(
-        tidy(rejected, key).withColumn("c", F.lit(0)).withColumn("r", F.lit(1)))
+    return from_sides(tidy(chosen, key).withColumn("c", F.lit(1)).withColumn("r", F.lit(0)).union(
+        tidy(rejected, key).withColumn("c", F.lit(0)).withColumn("r", F.lit(1))))
+
+
+def from_sides(sides: DataFrame) -> DataFrame:
+    """``preferences`` of tidy turns with marks of the sides they are on: ``c`` and ``r``, 0 or 1."""
     turns = sides.groupBy("pair_id", "turn", "role", "text").agg(F.max("c").alias("c"), F.max("r").alias("r"))
-    differ = turns.where("c <> r").groupBy(F.col("pair_id").alias("p")).agg(F.min("turn").alias("first"))
+    pairs = turns.groupBy(F.col("pair_id").alias("p")).agg(
+        F.min(F.when(F.col("c") != F.col("r"), F.col("turn"))).alias("first"), (F.max("c") + F.max("r") == 2).alias("both"))
     common = F.col("first").isNull() | (F.col("turn") < F.col("first"))
-    parts = F.when(common, F.array(F.lit("prompt"))).otherwise(F.array_compact(F.array(
-        F.when(F.col("c") == 1, F.lit("chosen")), F.when(F.col("r") == 1, F.lit("rejected")))))
-    trained = (F.col("part") != "prompt") & (F.col("role") == "assistant")
-    return (turns.join(differ, turns.pair_id == differ.p, "left")
+    parts = (F.when(~F.col("both"), F.array(F.lit("unpaired"))).when(common, F.array(F.lit("prompt"))).otherwise(F.array_compact(F.array(
+        F.when(F.col("c") == 1, F.lit("chosen")), F.when(F.col("r") == 1, F.lit("rejected"))))))
+    trained = F.col("part").isin("chosen", "rejected") & (F.col("role") == "assistant")
+    return (turns.join(pairs, turns.pair_id == pairs.p)
             .select("pair_id", F.explode(parts).alias("part"), "turn", "role", rendered(F.col("role"), F.col("text")).alias("rendered"))
             .withColumn("mask_start", F.when(trained, F.length("role") + 13).otherwise(0).cast("long"))
             .withColumn("mask_end", F.when(trained, F.length("rendered") - 1).otherwise(0).cast("long")))
 
 
-def answer_swaps(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chosen, rejected) turns for every conversation with an assistant turn: chosen is the conversation up
-    to its last answer; rejected has in place of that answer the last one of the conversation whose id differs
-    in the lowest bit, or none if there is no such conversation."""
-    turns = tidy(conversations, "conv_id")
-    last = turns.where(F.col("role") == "assistant").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("other"))
-    ends = last.select("pair_id", F.col("last.turn").alias("end")).join(other, "pair_id", "left")
-    upto = turns.join(ends, "pair_id").where(F.col("turn") <= F.col("end"))
-    answer = (F.col("turn") == F.col("end")) & (F.col("role") == "assistant")
-    columns = ("pair_id", "turn", "role", "text")
-    swapped = ends.where("other is not null").select("pair_id", F.col("end").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    return upto.select(*columns), upto.where(~answer).select(*columns).union(swapped)
+def neighbour_endings(conversations: DataFrame) -> DataFrame:
+    """Sides for ``from_sides`` from plain conversations, every one of them chosen, with all its turns: its rejected side leaves it at
+    its last answer (at its first turn, if it has no answer) and goes on with the turns of that number and later ones of its
+    neighbour, the conversation whose id differs in the lowest bit. Without a neighbour there is no rejected side."""
+    own = F.col("pair_id").bitwiseAND(F.lit(1))
+    turns = tidy(conversations, "conv_id").withColumn("two", F.shiftright("pair_id", 1))
+    leaves = turns.groupBy(F.col("two").alias("t")).agg(*[
+        F.coalesce(F.max(F.when((own == x) & (F.col("role") == "assistant"), F.col("turn"))), F.min(F.when(own == x, F.col("turn")))).alias(f"leave_{x}")
+        for x in (0, 1)])
+    here = F.when(own == 0, F.col("leave_0")).otherwise(F.col("leave_1"))
+    there = F.when(own == 0, F.col("leave_1")).otherwise(F.col("leave_0"))
+    kept = F.coalesce((F.col("turn") < here) & there.isNotNull(), F.lit(False)).cast("int")
+    on = F.array_compact(F.array(
+        F.struct(F.col("pair_id"), F.lit(1).alias("c"), kept.alias("r")),
+        F.when(F.col("turn") >= there, F.struct(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.lit(0).alias("c"), F.lit(1).alias("r")))))
+    return (turns.join(leaves, turns.two == leaves.t).select(F.explode(on).alias("on"), "turn", "role", "text")
+            .select("on.pair_id", "turn", "role", "text", "on.c", "on.r"))
 
 
 def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as preference pairs."""
-    return preferences(*answer_swaps(table(spark, sf_dir, "conversations")))
+    """All conversations, with all their turns, as preference pairs."""
+    return from_sides(neighbour_endings(table(spark, sf_dir, "conversations")))
 
 
 OP8_SQL = """
 WITH t AS (SELECT conv_id AS pair_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, 'unknown') AS role,
                   coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-l AS (SELECT pair_id, turn AS last_turn, text AS answer FROM (
-        SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC) AS k FROM t WHERE role = 'assistant') WHERE k = 1),
-p AS (SELECT l.pair_id, l.last_turn, o.answer AS other FROM l LEFT JOIN l o ON o.pair_id = xor(l.pair_id, CAST(1 AS BIGINT))),
-u AS (SELECT t.*, last_turn FROM t JOIN p USING (pair_id) WHERE turn <= last_turn),
-s AS (SELECT pair_id, turn, role, text, 1 AS c, 0 AS r FROM u
-      UNION ALL SELECT pair_id, turn, role, text, 0, 1 FROM u WHERE NOT (turn = last_turn AND role = 'assistant')
-      UNION ALL SELECT pair_id, last_turn, 'assistant', other, 0, 1 FROM p WHERE other IS NOT NULL),
+l AS (SELECT pair_id, coalesce(max(turn) FILTER (role = 'assistant'), min(turn)) AS leaves FROM t GROUP BY pair_id),
+p AS (SELECT l.pair_id, l.leaves, o.pair_id AS other FROM l JOIN l o ON o.pair_id = xor(l.pair_id, CAST(1 AS BIGINT))),
+s AS (SELECT pair_id, turn, role, text, 1 AS c, 0 AS r FROM t
+      UNION ALL SELECT pair_id, turn, role, text, 0, 1 FROM t JOIN p USING (pair_id) WHERE turn < leaves
+      UNION ALL SELECT p.pair_id, turn, role, text, 0, 1 FROM t JOIN p ON p.other = t.pair_id WHERE turn >= leaves),
 e AS (SELECT pair_id, turn, role, text, max(c) AS c, max(r) AS r FROM s GROUP BY ALL),
-f AS (SELECT pair_id, min(turn) AS first FROM e WHERE c <> r GROUP BY pair_id),
-g AS (SELECT e.*, unnest(CASE WHEN first IS NULL OR turn < first THEN ['prompt']
+f AS (SELECT pair_id, min(CASE WHEN c <> r THEN turn END) AS first, max(c) + max(r) = 2 AS both_sides FROM e GROUP BY pair_id),
+g AS (SELECT e.*, unnest(CASE WHEN NOT both_sides THEN ['unpaired'] WHEN first IS NULL OR turn < first THEN ['prompt']
              ELSE list_filter([CASE WHEN c = 1 THEN 'chosen' END, CASE WHEN r = 1 THEN 'rejected' END], lambda x: x IS NOT NULL) END) AS part
-      FROM e LEFT JOIN f USING (pair_id)),
+      FROM e JOIN f USING (pair_id)),
 h AS (SELECT pair_id, part, turn, role,
              '<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS rendered FROM g)
-SELECT *, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 13 ELSE 0 END AS BIGINT) AS mask_start,
-       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(rendered) - 1 ELSE 0 END AS BIGINT) AS mask_end
+SELECT *, CAST(CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN length(role) + 13 ELSE 0 END AS BIGINT) AS mask_start,
+       CAST(CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN length(rendered) - 1 ELSE 0 END AS BIGINT) AS mask_end
 FROM h"""
