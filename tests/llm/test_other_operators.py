@@ -127,6 +127,10 @@ def test_search_of_few_and_no_vectors(spark):
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(few).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
     assert ann.search(few.where("false")).collect() == []
+    extremes = [(3, [1e-200, 0.0]), (4, [1e300, 1e300]), (100, [5e-324, 0.0])]
+    tiny = spark.createDataFrame([*[(r.vec_id, list(r.embedding)) for r in few.collect()], *extremes], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(tiny).collect()}
+    assert len(got) == 15 and abs(got[0, 3] - 1) < 1e-12 and abs(got[100, 4] - 0.5 ** 0.5) < 1e-12 and abs(got[50, 100]) < 1e-12
 
 
 def test_recall_on_the_embeddings_table(spark):

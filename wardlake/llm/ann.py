@@ -63,6 +63,11 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which leave a cosine as it is, so that no square overflows or vanishes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def kmeans(x: np.ndarray, k: int, turns: int = TURNS) -> np.ndarray:
     """Centroids by Lloyd's rounds from evenly spaced rows; an empty one takes the row farthest from its own."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
@@ -170,6 +175,7 @@ def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int) -> list[
 def best(queries: np.ndarray, q_ids: np.ndarray, wanted: np.ndarray, entries: np.ndarray, e_ids: np.ndarray, cells: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, entry, cosine) of each query's ``k`` nearest entries but its own, among entries whose
     cell it wants (``wanted``: queries x cells); equal vectors get equal numbers."""
+    queries, entries = scaled(queries), scaled(entries)
     qn, en = np.linalg.norm(queries, axis=1), np.linalg.norm(entries, axis=1)
     qu, eu = queries / qn[:, None], entries / en[:, None]
     by_cell = [(c, np.flatnonzero(cells == c)) for c in np.unique(cells)]
