@@ -138,6 +138,18 @@ def test_records_round_trip_and_shuffled_reads(spark):
     assert [r.doc_id for r in first] != [r.doc_id for r in records.shuffled_reads(spark, folder, counts, 2).collect()]
 
 
+def test_texts_of_one_id_keep_one_order(spark):
+    lines = [(d, f"text {d} {i}", "x") for d in (None, 3, 7) for i in range(60)] + [(5, "same", "x")] * 9
+    runs = set()
+    for parts in (1, 2, 7):
+        folder = shared_folder(spark, "records")
+        wrote = sorted(records.write_records(spark.createDataFrame(lines, "doc_id long, text string, part string").repartition(parts), folder, P.path("byte_bpe_50k.json"), 0).collect())
+        before = [sum(r.ids for r in wrote[:i]) for i in range(len(wrote))]
+        rows = records.read_records(spark, folder, [(r.part, b) for r, b in zip(wrote, before, strict=True)]).collect()
+        runs.add(tuple(sorted((r.start, r.doc_id or 0, r.ids_crc32) for r in rows)))
+    assert len(runs) == 1 and len(runs.pop()) == len(lines)
+
+
 def test_damaged_record_is_refused():
     a, b = records.frames([records.payload(5, np.array([1, 2], "<u4").tobytes(), 2), records.payload(None, b"", 4)])
     assert [records.from_payload(x) for x in records.unframe(a + b, np.array([0, len(a)]))] == [(5, np.array([1, 2], "<u4").tobytes()), (None, b"")]

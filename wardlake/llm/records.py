@@ -11,9 +11,10 @@ Beside each ``part-N.rec`` lies ``part-N.idx``: the byte offset of every frame
 and the file's end as uint64 LE, so a shuffled reader seeks single records
 without scanning.
 
-Documents are range-partitioned and sorted by ``doc_id``; the task that
+Documents are range-partitioned and sorted by ``doc_id`` and then by a hash of their text; the task that
 tokenizes a range also writes it, so each text is shuffled once and ids never
-are. File N holds smaller ids than file N+1. Nothing is gathered but one row
+are. File N holds no greater ids than file N+1, and texts that share one id (or have none)
+have an order of their own, the same in every run, and may lie in several files. Nothing is gathered but one row
 a file.
 
 Defined cases: a NULL text is empty (one record with the end id alone); NULL
@@ -26,6 +27,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -153,30 +155,30 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) ->
         width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 65536 else 4
         end = struct.pack("<I", end_id)
         part = TaskContext.get().partitionId()
-        offsets, at, n_ids, out, ctx = [], 0, 0, None, None
-        for batch in slices(batches, uses="encoder:"):
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                ids = [x + end for x in enc.ids(texts[a:b])]
-                packed = frames([payload(d, x, width) for d, x in zip(doc_ids[a:b], ids, strict=True)])
-                if out is None:
-                    ctx = whole_file(folder, f"part-{part:06d}.rec")
-                    out = ctx.__enter__()
-                for f in packed:
-                    offsets.append(at)
-                    at += len(f)
-                out.write(b"".join(packed))
-                n_ids += sum(map(len, ids)) // 4
+        offsets, at, n_ids, out, stack = [], 0, 0, None, ExitStack()
+        with stack:
+            for batch in slices(batches, uses="encoder:"):
+                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b in blocks(texts):
+                    ids = [x + end for x in enc.ids(texts[a:b])]
+                    packed = frames([payload(d, x, width) for d, x in zip(doc_ids[a:b], ids, strict=True)])
+                    if out is None:
+                        out = stack.enter_context(whole_file(folder, f"part-{part:06d}.rec"))
+                    for f in packed:
+                        offsets.append(at)
+                        at += len(f)
+                    out.write(b"".join(packed))
+                    n_ids += sum(map(len, ids)) // 4
         if out is not None:
-            ctx.__exit__(None, None, None)
             with whole_file(folder, f"part-{part:06d}.idx") as index:
                 index.write(np.array([*offsets, at], "<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())] + [pa.array([x], pa.int64()) for x in (len(offsets), n_ids, at)],
                                              names=["part", "records", "ids", "bytes"])
 
     ready(docs.sparkSession)
+    order = ("doc_id", F.xxhash64("text"))
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            .repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, WROTE))
+            .repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(write, WROTE))
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, record long"
