@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..operators import joins, ledger, refills, search
 from ..schemas import LIST_CAP
+from ..sources import stored
 from ..sources.driver import AS_OF_CLINIC, AS_OF_EVENTS, NOW_CLINIC, binding_ctes, load_driver_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +70,7 @@ WHERE id IN (SELECT patient_id FROM visits WHERE visit_date = DATE '{AS_OF_CLINI
 def q_lookup_by_keys(spark, sf):
     t = tables(spark, sf)
     keys = t["visits"].where(F.col("visit_date") == F.lit(AS_OF_CLINIC)).select(F.col("patient_id").alias("id"))
-    return search.lookup_by_keys(t["patients"], keys).select("id", "first_name", "last_name", "phone")
+    return stored.lookup_stored(t["patients"], keys).select("id", "first_name", "last_name", "phone")
 
 
 @query("full_listing", """
@@ -242,10 +243,20 @@ SELECT 'drugs', count(*), count(d.created_by_staff_id), count(s.id)
 FROM drugs d LEFT JOIN staff s ON s.id = d.created_by_staff_id
 UNION ALL
 SELECT 'drug_movements', count(*), count(m.created_by_staff_id), count(s.id)
-FROM drug_movements m LEFT JOIN staff s ON s.id = m.created_by_staff_id""")
+FROM drug_movements m LEFT JOIN staff s ON s.id = m.created_by_staff_id
+UNION ALL
+SELECT 'appointments', count(*), count(a.created_by_staff_id), count(s.id)
+FROM appointments a LEFT JOIN staff s ON s.id = a.created_by_staff_id
+UNION ALL
+SELECT 'subscription_clients', count(*), count(c.created_by_staff_id), count(s.id)
+FROM subscription_clients c LEFT JOIN staff s ON s.id = c.created_by_staff_id
+UNION ALL
+SELECT 'subscription_history', count(*), count(h.created_by_staff_id), count(s.id)
+FROM subscription_history h LEFT JOIN staff s ON s.id = h.created_by_staff_id""")
 def q_attribution_coverage(spark, sf):
     t = tables(spark, sf)
-    parts = {k: t[k] for k in ("patients", "visits", "drugs", "drug_movements")}
+    parts = {k: t[k] for k in ("patients", "visits", "drugs", "drug_movements", "appointments",
+                               "subscription_clients", "subscription_history")}
     return joins.attribution_coverage(parts, t["staff"]).select("table_name", "records", "with_author",
                                                                  "with_known_author")
 

@@ -12,10 +12,10 @@ from ..functions import labels
 from ..operators import aggregates as agg
 from ..operators import changes, ingest, refills, setops
 from ..schemas import SECRET_SETTING_KEYS
-from ..sources import sinks
+from ..sources import sinks, stored
 from ..sources.license import license_feed
 from . import reports
-from .catalog import dbl, query, tables
+from .catalog import REGISTRY, dbl, query, tables
 from ..sources.driver import AS_OF_CLINIC, AS_OF_EVENTS, BINDINGS, NOW_CLINIC
 
 _SECRETS_SQL = ", ".join(f"'{k}'" for k in SECRET_SETTING_KEYS)
@@ -309,6 +309,46 @@ def q_apply_reminders_sent(spark, sf):
     return h.select("id", F.date_format("reminder_sent_at", "yyyy-MM-dd HH:mm:ss").alias("reminder_sent_at"))
 
 
+# ------------------------------------------------------------------ changes stored in place
+def _stored(spark, base, part, batch, change, *cols):
+    """Store ``base`` in folders by ``part``, merge the batch into it, and read the stored table again."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    base = base.withColumn("part", part)
+    stored.store_table(base, path, "part")
+    stored.merge_changes(spark, path, base.schema, batch, change, "part")
+    return spark.read.schema(base.schema).parquet(path).select(*cols)
+
+
+@query("store_appointment_status", sql=REGISTRY["apply_appointment_status"][1])
+def q_store_appointment_status(spark, sf):
+    t = tables(spark, sf)
+    return _stored(spark, t["appointments"], F.date_format("appointment_date", "yyyy-MM"), t["appointment_status_changes"],
+                   lambda rows, batch: changes.apply_appointment_status(rows, batch)[0], "id", "status")
+
+
+@query("store_client_status", sql=REGISTRY["apply_client_status"][1])
+def q_store_client_status(spark, sf):
+    t = tables(spark, sf)
+    return _stored(spark, t["subscription_clients"], F.expr("id div 10000"), t["client_status_changes"],
+                   lambda rows, batch: changes.apply_client_status(rows, batch)[0], "id", "status")
+
+
+@query("store_staff_active", sql=REGISTRY["apply_staff_active"][1])
+def q_store_staff_active(spark, sf):
+    t = tables(spark, sf)
+    return _stored(spark, t["staff"], F.expr("id div 10000"), t["staff_active_changes"], changes.apply_staff_active, "id", "active")
+
+
+@query("store_reminders_sent", sql=REGISTRY["apply_reminders_sent"][1])
+def q_store_reminders_sent(spark, sf):
+    t = tables(spark, sf)
+    return _stored(spark, t["subscription_history"], F.date_format("entry_date", "yyyy-MM"), t["reminder_marks"], changes.apply_reminders_sent,
+                   "id", F.date_format("reminder_sent_at", "yyyy-MM-dd HH:mm:ss").alias("reminder_sent_at"))
+
+
 @query("license_feed", "SELECT doc_id, clinic_key, expires_at, plan FROM feed", extra=_UPSERTED)
 def q_license_feed(spark, sf):
     return license_feed(tables(spark, sf)["license_docs"], keep=["doc_id"])
