@@ -52,6 +52,21 @@ def test_cached_ids_are_the_library_s(name):
     assert np.frombuffer(enc.ids([t])[0], "<u4").tolist() == whole(t)[:-1]
 
 
+def test_pretokens_are_kept_from_the_second_meeting():
+    enc = tokens.Encoder(P.path("word_bpe_49k.json"), keep=3)
+    first = enc.ids(["alpha beta"])
+    assert not enc.cache and not enc.cache.old and enc.cache.marks == 2
+    assert enc.ids(["alpha beta", "gamma"])[0] == first[0] and set(enc.cache) == {"alpha", "beta"}
+    long = "x" * (tokens.LONGEST_KEPT + 1)
+    for t in (long, long, "gamma delta", "delta"):
+        enc.ids([t])
+    assert set(enc.cache.old) == {"alpha", "beta", "gamma", "delta"} and not enc.cache
+    assert enc.ids(["beta alpha"])[0] == first[0][4 * 1:] + first[0][:4 * 1] and set(enc.cache) == {"alpha", "beta"}
+    enc.cache.marks = tokens.MET
+    enc.ids(["epsilon"])
+    assert enc.cache.marks == 0 and not any(enc.cache.met)
+
+
 # ------------------------------------------------------------------ packing
 def check_packing(rows, docs, ids, capacity):
     want = sorted((d, p, at, len(x[at:at + capacity]), crc(x[at:at + capacity])) for d, t in docs for x in [ids(t)]

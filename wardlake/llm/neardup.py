@@ -81,16 +81,14 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """The rows of ``pairs(a, b)`` whose full sets are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, own = None, None
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
-                batch = whole.slice(lo, 200)
-                a, ta = batch.column(0).to_pylist(), batch.column(2)
-                ok = []
-                for i, other in enumerate(shingle_sets(batch.column(3).to_pylist(), width)):
-                    if (a[i], text := ta[i].as_py()) != name:  # sorted by a: its set is made once a text
-                        name, own = (a[i], text), shingle_sets([text], width)[0]
-                    ok.append(alike(own, other, percent))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in slices(batches, 200):
+            a, ta = batch.column(0).to_pylist(), batch.column(2)
+            ok = []
+            for i, other in enumerate(shingle_sets(batch.column(3).to_pylist(), width)):
+                if (a[i], text := ta[i].as_py()) != name:  # sorted by a: its set is made once a text
+                    name, own = (a[i], text), shingle_sets([text], width)[0]
+                ok.append(alike(own, other, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     ready(pairs.sparkSession)
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")

@@ -3,9 +3,10 @@
 A BPE model encodes every pretoken by itself, so the ids of a text are those
 of its pretokens, one after another. Natural text repeats its words: here the
 library encodes each distinct pretoken once per worker, and a text's ids are
-the joined cache entries. The split into pretokens is done here only for
+the joined cache entries. A pretoken goes to the model itself, in its byte-level
+signs: the signs in ``SAFE_RANGES`` are left as they are by the known normalisers. The split into pretokens is done here only for
 texts made of characters on which this module's regular expression surely
-agrees with the library's (``SAFE``); any other text goes to the library
+agrees with the library's (``SAFE_RANGES``); any other text goes to the library
 whole, and so does every text if the tokenizer file has a pipeline that is
 not known here. Either way the ids equal ``encode(text).ids``.
 """
@@ -18,7 +19,7 @@ import unicodedata
 
 import numpy as np
 
-from .common import worker_state
+from .common import blocks, worker_state
 
 #: Tab, line feed, carriage return, printable ASCII, Latin letters and signs
 #: below U+0250 but for the no-break space, soft hyphen and dotted capital I,
@@ -26,6 +27,15 @@ from .common import worker_state
 SAFE_RANGES = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0xAC), (0xAE, 0x12F), (0x131, 0x24F), (0x2010, 0x2027))
 #: Pretokens longer than this are not kept in the cache.
 LONGEST_KEPT = 40
+#: Bytes that remember which pretokens were met once (a power of two).
+MET = 1 << 22
+#: Characters of texts that are split at a time.
+AT_ONCE = 1 << 19
+
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the signs from U+0100 on.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 def _of(kind: str) -> str:
@@ -34,11 +44,12 @@ def _of(kind: str) -> str:
 
 
 def _patterns() -> dict[str, re.Pattern]:
+    # letters come first, as most pretokens are words; the other parts begin with other signs, so the split is the library's
     let, num = _of("L"), _of("N")
     return {
         "unsafe": re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" if b > a else chr(a) for a, b in SAFE_RANGES).replace("\t-\n", r"\t\n").replace("\r", r"\r") + "]"),
-        "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{let}]+| ?[{num}]+| ?[^\s{let}{num}]+|\s+(?!\S)|\s+"),
-        "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{let}]+|[{num}]|[^\s{let}{num}]+"),
+        "byte": re.compile(rf" ?[{let}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{num}]+| ?[^\s{let}{num}]+|\s+(?!\S)|\s+"),
+        "word": re.compile(rf"[{let}]+|'s|'t|'re|'ve|'m|'ll|'d|[{num}]|[^\s{let}{num}]+"),
     }
 
 
@@ -62,22 +73,40 @@ def pipeline(spec: dict) -> str | None:
 
 
 class Cache(dict):
-    """Ids by pretoken. Two generations: when the young one is full it becomes the old one, and what
-    is still in use comes back from there, so frequent pretokens stay and memory is bounded."""
+    """Ids by pretoken. A pretoken is kept from its second meeting on (a bit for its hash remembers the first; a clash only
+    keeps one earlier), so words that occur once cost no memory. Two generations: when the young one is full it becomes
+    the old one, and what is still in use comes back from there, so frequent pretokens stay and memory is bounded."""
 
     def __init__(self, tok, keep: int):
         super().__init__()
         self.tok, self.keep, self.old = tok, keep, {}
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.old.get(word)
-        if got is None:
-            got = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST_KEPT:
-            self[word] = got
-        return got
-
-    def trim(self) -> None:
+        self.met, self.marks = bytearray(MET), 0
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Give each of ``words`` its entry; returns those that ``forget`` is to drop after their use."""
+        new = words.difference(self)
+        if self.old:
+            back = new.intersection(self.old)
+            self.update((w, self.old[w]) for w in back)
+            new -= back
+        once, met, pieces = [], self.met, self.tok.model.tokenize
+        for w in new:
+            signs = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(BYTE_SIGNS)
+            self[w] = np.array([p.id for p in pieces(signs)], "<u4").tobytes()
+            at = hash(w) & (MET - 1)
+            if len(w) > LONGEST_KEPT:
+                once.append(w)
+            elif not met[at]:
+                met[at] = 1
+                self.marks += 1
+                once.append(w)
+        return once
+
+    def forget(self, once: list[str]) -> None:
+        for w in once:
+            del self[w]
+        if self.marks > MET // 2:
+            self.met, self.marks = bytearray(MET), 0
         if len(self) > self.keep:
             self.old = dict(self)
             self.clear()
@@ -86,7 +115,7 @@ class Cache(dict):
 class Encoder:
     """``ids(texts)``: for each text its ids as little-endian unsigned 32-bit numbers, joined."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -105,13 +134,13 @@ class Encoder:
         return bool(self.kind) and not self.unsafe(text) and not any(a in text for a in self.added)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        get, out = self.cache.__getitem__, []
-        for t in texts:
-            if self.simple(t):
-                out.append(b"".join(map(get, self.split(t.lower() if self.lower else t))))
-                self.cache.trim()
-            else:
-                out.append(self.whole(t))
+        out: list[bytes] = []
+        for a, b in blocks(texts, AT_ONCE):
+            split = [self.split(t.lower() if self.lower else t) if self.simple(t) else None for t in texts[a:b]]
+            once = self.cache.learn(set().union(*(x for x in split if x is not None)))
+            get = self.cache.__getitem__
+            out += [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts[a:b], split, strict=True)]
+            self.cache.forget(once)
         return out
 
 
