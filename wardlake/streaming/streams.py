@@ -2,7 +2,7 @@
 
 * ``stream_stock_ledger``: requests replayed per (clinic, drug) with the
   balance kept in state across micro-batches (``transformWithStateInPandas``).
-  Rows of one micro-batch are sorted by the order key inside the function.
+  Rows of one micro-batch are sorted by the order key inside the function, many drugs in a call.
 * ``stream_quota``: assistant messages admitted with a count per clinic
   and open local day in state; closed days leave it.
 * ``run_daily_income``: income of every day, each day once when it is closed, and the rows that came too late.
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +40,9 @@ ROW_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZF
 
 
 # ------------------------------------------------------------------ runner
-def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
-    """Run a streaming query over everything available, then stop.
+def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str | None = None, arrivals: Iterable = (None,)) -> DataFrame:
+    """Run a streaming query over everything available, then stop; with ``arrivals``, once after each of its steps, which bring
+    new rows: a run goes on where the one before it stopped.
 
     The sink is parquet under the session's checkpoint folder (shared storage
     on a cluster). Each micro-batch overwrites its own ``batch=<id>`` folder,
@@ -58,25 +60,61 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str
         else:
             batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
-    q = (df.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    for _ in arrivals:
+        q = (df.writeStream.outputMode(mode).foreachBatch(write)
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(out).select(*df.columns)
 
 
 # ------------------------------------------------------------------ stock ledger
+#: Drugs are dealt to so many groups; a call of the processor replays a trigger's rows of one group.
+GROUPS = 2048
+LAST = 2**63 - 1
+
+
+def _sortable(c: Column, kind: T.DataType) -> Column:
+    """An order column as a whole number where its values are exact ones (NULL: the largest, as NULLs come last), else as it is."""
+    if isinstance(kind, T.IntegralType):
+        n = c.cast("long")
+    elif isinstance(kind, T.TimestampType):
+        n = F.unix_micros(c)
+    elif isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        n = (c * F.lit(10 ** kind.scale)).cast("long")
+    else:
+        return c
+    return F.coalesce(n, F.lit(LAST))
+
+
+def _columns(balances: dict[tuple, int]) -> tuple:
+    return (*map(list, zip(*balances, strict=True)), list(balances.values()))
+
+
+def in_order(pdf: pd.DataFrame, drug: Sequence[str], by: Sequence[str]) -> pd.DataFrame:
+    """Rows sorted by (drug, by). Two order columns tell most rows of a drug apart; the others are looked at for the rest alone."""
+    first = [*drug, *by[:2]]
+    out = pdf.sort_values(first)
+    tied = out.duplicated(first, keep=False).to_numpy()
+    if tied.any():
+        place = out.index.to_numpy().copy()
+        place[tied] = out[tied].sort_values([*drug, *by]).index.to_numpy()
+        out = pdf.loc[place]
+    return out
+
+
 def stream_stock_ledger(requests: DataFrame, drugs: DataFrame, order: Sequence[str],
-                        tenant: Sequence[str] = ()) -> DataFrame:
+                        tenant: Sequence[str] = (), groups: int = GROUPS) -> DataFrame:
     """Streaming replay of stock requests; same output columns as the batch
     ledger (all request columns, accepted, reason, balance_after). ``drugs`` is
     static: the opening stock is read when a drug is first seen, later batches use state.
 
-    State (``transformWithStateInPandas``, RocksDB) is keyed by (clinic, drug) and holds one number, the
-    balance; a trigger reads and writes the state of the drugs it has requests for and no other.
+    State (``transformWithStateInPandas``, RocksDB) is one number for each (clinic, drug), the balance. Drugs are dealt to ``groups``
+    groups by a hash (fixed while a checkpoint is used), so that one call replays many drugs: a trigger reads the balances of the groups it has requests
+    for and appends those of the drugs it has requests for; a group's list is written anew when half of it is outdated.
     Requests for drugs that are not known (or NULL) are refused by the join with
     ``drugs`` and leave nothing in state, so a drug that is added later is
     known from then on. Columns that the replay does not use travel as one JSON text and come back as they were. A trigger's
-    requests of one drug are sorted together; ``maxFilesPerTrigger`` (``stream_table``) bounds a trigger's rows."""
+    requests of one group are sorted together; ``maxFilesPerTrigger`` (``stream_table``) bounds a trigger's rows."""
     from pyspark.sql.streaming import StatefulProcessor
     spark = requests.sparkSession
     ship_package(spark)
@@ -87,28 +125,46 @@ def stream_stock_ledger(requests: DataFrame, drugs: DataFrame, order: Sequence[s
     r = requests.join(d, keys, "left").withColumn("_s", signed_step())
     row = F.to_json(F.struct(*kept, "_name", "_unit"), ROW_TEXT)
     known = r.where(F.col("_open").isNotNull()).select(
-        *keys, F.col("_s").alias("in_step"), F.col("_open").alias("in_open"), row.alias("in_row"), F.struct(*order).cast("string").alias("in_tie"),
-        *[F.col(c).alias(f"in_{i}") for i, c in enumerate(order)])   # names with a leading underscore do not reach the processor
+        F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("in_group"), *[F.col(k).alias(f"in_key_{i}") for i, k in enumerate(keys)],
+        F.col("_s").alias("in_step"), F.col("_open").alias("in_open"), row.alias("in_row"), F.struct(*order).cast("string").alias("in_tie"),
+        *[_sortable(F.col(c), r.schema[c].dataType).alias(f"in_{i}") for i, c in enumerate(order)])   # names with a leading underscore do not reach the processor
     lost = r.where(F.col("_open").isNull()).select(*kept, "_name", "_unit", "_s", F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("_after"), F.lit(False).alias("_known"))
-    by = [f"in_{i}" for i in range(len(order))]
+    drug, by = [f"in_key_{i}" for i in range(len(keys))], [*(f"in_{i}" for i in range(len(order))), "in_tie"]
+    balances = T.StructType([*(T.StructField(k, T.ArrayType(known.schema[k].dataType)) for k in drug), T.StructField("milli", T.ArrayType(T.LongType()))])
 
     class Balance(StatefulProcessor):
-        """One drug: its balance is all that is kept."""
+        """A group's drugs: their balances are all that is kept."""
 
         def init(self, handle) -> None:
-            self.balance = handle.getValueState("balance", T.StructType([T.StructField("milli", T.LongType())]))
+            self.balances = handle.getListState("balances", balances)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat(list(rows), ignore_index=True).sort_values([*by, "in_tie"], kind="mergesort")
-            start = self.balance.get()[0] if self.balance.exists() else int(pdf["in_open"].iat[0])
-            accepted, after = replay([int(x) for x in pdf["in_step"]], start)
-            self.balance.update((after[-1],))
+            pdf = in_order(pd.concat(list(rows), ignore_index=True), drug, by)
+            held, told = {}, 0
+            for chunk in self.balances.get() if self.balances.exists() else ():
+                *names, milli = chunk
+                held.update(zip(zip(*names, strict=True), milli, strict=True))
+                told += len(milli)
+            names, steps, opens = list(zip(*(pdf[k].tolist() for k in drug), strict=True)), pdf["in_step"].tolist(), pdf["in_open"].tolist()
+            accepted, after, new, a = [], [], {}, 0
+            for name, same in groupby(names):
+                b = a + sum(1 for _ in same)
+                ok, got = replay(steps[a:b], held.get(name, opens[a]))
+                accepted += ok
+                after += got
+                new[name] = got[-1]
+                a = b
+            whole = held | new
+            if told + len(new) > 2 * len(whole):         # as many outdated balances as there are drugs
+                self.balances.put([_columns(whole)])
+            else:
+                self.balances.appendValue(_columns(new))
             yield pd.DataFrame({"_row": pdf["in_row"].to_numpy(), "_s": pdf["in_step"].to_numpy(), "accepted": accepted, "_after": after})
 
         def close(self) -> None:
             pass
 
-    folded = known.groupBy(*keys).transformWithStateInPandas(
+    folded = known.groupBy("in_group").transformWithStateInPandas(
         Balance(), "_row string, _s long, accepted boolean, _after long", "Append", "None")
     back = T.StructType([*requests.schema.fields, T.StructField("_name", T.StringType()), T.StructField("_unit", T.StringType())])
     told = folded.select(F.from_json("_row", back, ROW_TEXT).alias("r"), "_s", "accepted", "_after").select("r.*", "_s", "accepted", "_after", F.lit(True).alias("_known"))
@@ -191,10 +247,10 @@ def stream_daily_income(visits: DataFrame, watermark: str = "1 day", tenant: Seq
             .select(*tenant, F.to_date(F.col("window.start")).alias("day"), "income", "visits"))
 
 
-def run_daily_income(visits: DataFrame, name: str, delay_days: int = 1, tenant: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def run_daily_income(visits: DataFrame, name: str, delay_days: int = 1, tenant: Sequence[str] = (), arrivals: Iterable = (None,)) -> tuple[DataFrame, DataFrame]:
     """(days, late): income and visits of every day of the input, each day exactly once, and the rows that came too late.
 
-    Runs over everything available. After each micro-batch the days more than ``delay_days`` before the newest day seen are closed and
+    Runs over everything available, once after each step of ``arrivals`` (as ``run_available_now``). After each micro-batch the days more than ``delay_days`` before the newest day seen are closed and
     come out; at the end of the input the rest are. A row for a day that an earlier batch closed, or without a
     date, is not added to anything: it is returned in ``late`` with its columns and the ``batch`` that brought it.
 
@@ -237,9 +293,11 @@ def run_daily_income(visits: DataFrame, name: str, delay_days: int = 1, tenant:
         if now is not None:
             finish(closed, now, number + 1, f"batch={number}")
 
-    q = (visits.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    done = 1 + max((p["batchId"] for p in q.recentProgress if p["numInputRows"]), default=-1)
+    done = 0
+    for _ in arrivals:
+        q = (visits.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+        done = max([done, *(1 + p["batchId"] for p in q.recentProgress if p["numInputRows"])])
     finish(closed_before(done), None, done, "end")
     late = spark.createDataFrame([], T.StructType([*visits.schema.fields, T.StructField("batch", T.IntegerType())]))
     if done:
