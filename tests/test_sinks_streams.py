@@ -284,3 +284,29 @@ def test_ledger_sort_looks_at_later_columns_for_ties_alone():
     pdf = pd.DataFrame({"k": [2, 1, 1, 1, 2, 1], "a": [1, 1, 1, 1, 1, 0], "b": [1, 5, 5, 5, 0, 9], "c": ["x", "z", None, "y", "q", "m"], "t": list("abcdef")})
     got = streams.in_order(pdf, ["k"], ["a", "b", "c", "t"])
     pd.testing.assert_frame_equal(got, pdf.sort_values(["k", "a", "b", "c", "t"]))
+
+
+def test_csv_parts_are_read_in_pieces():
+    import io
+
+    from wardlake.sources.part_files import csv_pieces
+    recs = [("plain", None), ('say "hi"', "two\r\nends, é"), ("", ""), ("x" * 300, 'q"'), ("last", "")]
+    text = _csv_reference(["Name", "Notes, extra"], recs)
+    want = [_csv_reference(r, []) for r in [("Name", "Notes, extra"), *recs]]
+
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            Counted.most = max(Counted.most, n)
+            return super().read(n)
+
+    for data, headed, told in ((text, True, want), (text[len(want[0]):], False, want[1:]), ("", True, [""]), ("", False, [])):
+        for piece in (1, 7, 1 << 20):
+            got = [r for b in csv_pieces("part", io.BytesIO(data.encode()), headed, piece) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            assert [v for v, _ in got] == told
+            assert sum(n for _, n in got) == len(data.encode())
+    many = ("\r\n" + "a,b" * 5) * 5000
+    assert sum(b.num_rows for b in csv_pieces("part", Counted(many.encode()), False, 64)) == 5000 and Counted.most <= 64
+    with pytest.raises(ValueError, match="not a record at 4"):
+        list(csv_pieces("part", io.BytesIO(b'\r\nab"c'), False, 2))

@@ -104,29 +104,48 @@ def write_parts(texts: DataFrame, path: str, opening: str = "", before: str = ""
     texts.write.format(FORMAT).option("path", path).option("opening", opening).option("before", before).mode(mode).save()
 
 
-#: A record of the CSV export: quoted cells may hold line ends, others may not.
-RECORD = re.compile(r'(?:"(?:[^"]|"")*"|[^"\r\n])*')
+#: A record of the CSV export: quoted cells may hold line ends, others may not (a doubled quote ends one quoted run and begins the next).
+RECORD = re.compile(rb'(?:"[^"]*"|[^"\r\n]+)*')
+#: Bytes of a part that are in memory at a time; more only while a single record is longer.
+PIECE = 4 << 20
+
+
+def csv_pieces(name: str, stream, headed: bool, piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The records of one CSV part (``headed``: its first record is the header, which has no separator and may be empty) and
+    the bytes each takes, read ``piece`` bytes at a time: a record that a piece cuts waits for the next."""
+    kept, place, more, seen = b"", 0, True, not headed
+    while more:
+        got = stream.read(max(piece, len(kept)))        # a long record doubles what is read, so that it is matched few times
+        more = len(got) > 0
+        kept += got
+        at, values, sizes = 0, [], []
+        while at < len(kept) or not (more or seen):
+            start = at + 2 if kept.startswith(b"\r\n", at) else at
+            end = RECORD.match(kept, start).end()
+            if not kept.startswith(b"\r\n", end):
+                if more:
+                    break
+                if end < len(kept):
+                    raise ValueError(f"{name}: not a record at {place + end}")
+            values.append(kept[start:end])
+            sizes.append(end - at)
+            at, seen = end, True
+        kept, place = kept[at:], place + at
+        if values:
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64())], names=["value", "file_bytes"])
 
 
 def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(value, file_bytes) of every record of a CSV folder, from the files' bytes: the record's text and the bytes it
-    takes in the file with the separator before it. A part is read whole, so parts should be of partition size."""
+    takes in the file with the separator before it. A task reads its parts one after another, each in pieces (``csv_pieces``), so a
+    part may be of any size."""
     ship_package(spark)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text, at, values, sizes = content.decode(), 0, [], []
-                while at < len(text) or (not at and name.endswith("part-00000")):
-                    start = at + 2 if text.startswith("\r\n", at) else at
-                    end = RECORD.match(text, start).end()
-                    if end < len(text) and not text.startswith("\r\n", end):
-                        raise ValueError(f"{name}: not a record at {end}")
-                    values.append(text[start:end])
-                    sizes.append(len(text[at:end].encode()))
-                    at = end
-                    if at == start == len(text):
-                        break
-                yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(sizes, pa.int64())], names=["value", "file_bytes"])
-
-    return spark.read.format("binaryFile").load(f"{path}/part-*").select("path", "content").mapInArrow(split, "value string, file_bytes long")
+            for name in batch.column(0).to_pylist():
+                system, place = open_folder(name)
+                with system.open_input_stream(place) as stream:
+                    yield from csv_pieces(name, stream, name.endswith("part-00000"))
+
+    return spark.read.format("binaryFile").load(f"{path}/part-*").select("path").mapInArrow(split, "value string, file_bytes long")
