@@ -509,3 +509,12 @@ def test_sample_is_bounded_with_repeated_doc_ids(spark):
     assert toxicity.labelled_sample(docs, labels, "toxic", 1000, None).count() == 303
     many = spark.range(5000).withColumnRenamed("id", "labelled_id")
     assert toxicity.drawn(many, "labelled_id", ["labelled_id"], 700).count() == 700
+
+
+def test_pretoken_cache_stays_small_within_one_text():
+    """A text with more distinct words than the cache may keep leaves at most two generations of them, and the library's ids."""
+    enc = tokens.Encoder(P.path("byte_bpe_50k.json"), keep=50)
+    text = " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} über-{i}\t" for i in range(500)) * 3
+    assert enc.simple(text)
+    assert enc.ids([text]) == [enc.whole(text)]
+    assert len(enc.cache) <= 50 and len(enc.cache.old) <= 51

@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
 
-from .common import blocks, worker_state
+from .common import worker_state
 
 #: Tab, line feed, carriage return, printable ASCII, Latin letters and signs
 #: below U+0250 but for the no-break space, soft hyphen and dotted capital I,
@@ -29,13 +30,12 @@ SAFE_RANGES = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0xAC), (0xAE, 0x
 LONGEST_KEPT = 40
 #: Bytes that remember which pretokens were met once (a power of two).
 MET = 1 << 22
-#: Characters of texts that are split at a time.
-AT_ONCE = 1 << 19
 
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the signs from U+0100 on.
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+SPACE_SIGN = chr(BYTE_SIGNS[0x20])
 
 
 def _of(kind: str) -> str:
@@ -75,41 +75,38 @@ def pipeline(spec: dict) -> str | None:
 class Cache(dict):
     """Ids by pretoken. A pretoken is kept from its second meeting on (a bit for its hash remembers the first; a clash only
     keeps one earlier), so words that occur once cost no memory. Two generations: when the young one is full it becomes
-    the old one, and what is still in use comes back from there, so frequent pretokens stay and memory is bounded."""
+    the old one, and what is still in use comes back from there, so frequent pretokens stay and memory is bounded.
+
+    A pretoken that is kept is one look-up; only others reach ``__missing__``."""
 
     def __init__(self, tok, keep: int):
         super().__init__()
-        self.tok, self.keep, self.old = tok, keep, {}
+        self.pieces, self.keep, self.old = tok.model.tokenize, keep, {}
         self.met, self.marks = bytearray(MET), 0
 
-    def learn(self, words: set[str]) -> list[str]:
-        """Give each of ``words`` its entry; returns those that ``forget`` is to drop after their use."""
-        new = words.difference(self)
-        if self.old:
-            back = new.intersection(self.old)
-            self.update((w, self.old[w]) for w in back)
-            new -= back
-        once, met, pieces = [], self.met, self.tok.model.tokenize
-        for w in new:
-            signs = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(BYTE_SIGNS)
-            self[w] = np.array([p.id for p in pieces(signs)], "<u4").tobytes()
-            at = hash(w) & (MET - 1)
-            if len(w) > LONGEST_KEPT:
-                once.append(w)
-            elif not met[at]:
-                met[at] = 1
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isascii() and word.isprintable():
+                signs = word.replace(" ", SPACE_SIGN)
+            else:
+                signs = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+            found = [p.id for p in self.pieces(signs)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(word) > LONGEST_KEPT:
+                return ids
+            at = hash(word) & (MET - 1)
+            if not self.met[at]:
+                self.met[at] = 1
                 self.marks += 1
-                once.append(w)
-        return once
-
-    def forget(self, once: list[str]) -> None:
-        for w in once:
-            del self[w]
-        if self.marks > MET // 2:
-            self.met, self.marks = bytearray(MET), 0
+                if self.marks > MET // 2:
+                    self.met, self.marks = bytearray(MET), 0
+                return ids
+        self[word] = ids
         if len(self) > self.keep:
             self.old = dict(self)
             self.clear()
+        return ids
 
 
 class Encoder:
@@ -134,13 +131,12 @@ class Encoder:
         return bool(self.kind) and not self.unsafe(text) and not any(a in text for a in self.added)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for a, b in blocks(texts, AT_ONCE):
-            split = [self.split(t.lower() if self.lower else t) if self.simple(t) else None for t in texts[a:b]]
-            once = self.cache.learn(set().union(*(x for x in split if x is not None)))
-            get = self.cache.__getitem__
-            out += [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts[a:b], split, strict=True)]
-            self.cache.forget(once)
+        get, out = self.cache.__getitem__, []
+        for t in texts:
+            if self.simple(t):
+                out.append(b"".join(map(get, self.split(t.lower() if self.lower else t))))
+            else:
+                out.append(self.whole(t))
         return out
 
 
